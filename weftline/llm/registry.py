@@ -1,8 +1,10 @@
 """Queries of the training-data operators, by name, with DuckDB SQL where it can express them."""
 
-from weftline.llm import sentencepiece
+from weftline.llm import decontaminate, sentencepiece, simhash
 
 QUERIES: dict = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op10_simhash": simhash.op10_simhash,
 }
 ORACLES: dict = {}
