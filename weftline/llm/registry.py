@@ -1,10 +1,11 @@
 """Queries of the training-data operators, by name, with DuckDB SQL where it can express them."""
 
-from weftline.llm import decontaminate, sentencepiece, simhash
+from weftline.llm import caps, decontaminate, sentencepiece, simhash
 
 QUERIES: dict = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op4_caps": caps.op4_caps,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES: dict = {}
