@@ -32,7 +32,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Size that the optimizer estimates for df, from file sizes; reads no data."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

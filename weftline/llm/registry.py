@@ -1,11 +1,18 @@
 """Queries of the training-data operators, by name, with DuckDB SQL where it can express them."""
 
-from weftline.llm import caps, decontaminate, sentencepiece, simhash
+from weftline.llm import caps, chat, decontaminate, html, lm, sentencepiece, simhash, urls
 
 QUERIES: dict = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_caps": caps.op4_caps,
+    "op6_urls": urls.op6_urls,
+    "op7_lm": lm.op7_lm,
+    "op8_html": html.op8_html,
+    "op9_chat": chat.op9_chat,
     "op10_simhash": simhash.op10_simhash,
 }
-ORACLES: dict = {}
+ORACLES: dict = {
+    "op6_urls": urls.ORACLE,
+    "op9_chat": chat.ORACLE,
+}
