@@ -1,11 +1,13 @@
 """Queries of the training-data operators, by name, with DuckDB SQL where it can express them."""
 
-from weftline.llm import caps, chat, decontaminate, html, lm, sentencepiece, simhash, urls
+from weftline.llm import caps, chat, decontaminate, html, lm, quality, sentencepiece, simhash, toxicity, urls
 
 QUERIES: dict = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_caps": caps.op4_caps,
+    "op5_quality": quality.op5_quality,
     "op6_urls": urls.op6_urls,
     "op7_lm": lm.op7_lm,
     "op8_html": html.op8_html,
