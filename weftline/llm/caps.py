@@ -31,7 +31,7 @@ from weftline.llm.common import components, cut, table
 COSINE = 0.95
 RECALL = 0.9995
 SAMPLE = 4000
-CHUNK = 4096
+CHUNK = 8192
 #: Codewords of each half: about the square root of the vectors, so that caps keep their size.
 LEAST_WORDS, MOST_WORDS = 16, 2048
 
@@ -71,13 +71,25 @@ class Code:
         self.threshold = float(np.quantile(best, 1 - recall, method="lower")) if len(best) else 0.0
         return self
 
-    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index, first, second) of all filters that each vector exceeds, in order."""
-        a, b = self.products(unit)
-        top = b.max(axis=1)
-        index, first = np.nonzero(a + top[:, None] >= self.threshold)
-        rows, second = np.nonzero(a[index, first][:, None] + b[index] >= self.threshold)
-        return index[rows], first[rows], second
+    def decode(self, unit: np.ndarray) -> list[np.ndarray]:
+        """The numbers of all filters that each vector exceeds, ascending."""
+        found = []
+        for begin in range(0, len(unit), 256):
+            a, b = self.products(unit[begin : begin + 256])
+            index, first = np.nonzero(a + b.max(axis=1)[:, None] >= self.threshold)
+            rows, second = np.nonzero(a[index, first][:, None] + b[index] >= self.threshold)
+            filters = first[rows] * self.words + second
+            found += np.split(filters, np.searchsorted(index[rows], np.arange(1, len(a))))
+        return found
+
+    def seconds(self, unit: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index, second) of the filters with this first codeword."""
+        found = []
+        for begin in range(0, len(unit), 2048):
+            a, b = self.products(unit[begin : begin + 2048])
+            index, second = np.nonzero(a[:, first, None] + b >= self.threshold)
+            found.append((index + begin, second))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def firsts(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index, first) of the first codewords in each vector's list."""
@@ -114,14 +126,15 @@ def _compare(code: Code, first: int, unit: np.ndarray, weight: np.ndarray, side:
 
     side: chunk of each vector if only pairs between two chunks are wanted.
     """
-    index, firsts, seconds = code.decode(unit)
-    own = firsts == first
+    index, seconds = code.seconds(unit, first)
+    order = np.argsort(seconds, kind="stable")
+    index, seconds = index[order], seconds[order]
     label = np.arange(len(unit))
     linked = np.zeros(len(unit), np.int64)
-    filters = firsts * code.words + seconds
-    # filters of each vector, by vector: index is sorted
-    for second in np.unique(seconds[own]):
-        members = index[own & (seconds == second)]
+    lists: dict[int, np.ndarray] = {}  # filters of the vectors that have links
+    bounds = np.searchsorted(seconds, np.arange(code.words + 1))
+    for second in range(code.words):
+        members = index[bounds[second] : bounds[second + 1]]
         if len(members) < 2 or side is not None and (side[members] == side[members[0]]).all():
             continue
         rows = members if side is None else members[~side[members]]
@@ -137,11 +150,15 @@ def _compare(code: Code, first: int, unit: np.ndarray, weight: np.ndarray, side:
             close, p, o = close[np.ix_(keep_r, keep_o)], part[keep_r], others[keep_o]
             # counted already where an earlier filter is shared
             used = np.unique(np.concatenate((p, o)))
-            mine = np.isin(index, used) & (filters < first * code.words + second)
-            if mine.any():
-                names, column = np.unique(filters[mine], return_inverse=True)
+            new = [u for u in used.tolist() if u not in lists]
+            if new:
+                lists.update(zip(new, code.decode(unit[new]), strict=True))
+            own = first * code.words + second
+            mine = [lists[u][: np.searchsorted(lists[u], own)] for u in used.tolist()]
+            names, column = np.unique(np.concatenate(mine), return_inverse=True)
+            if len(names):
                 has = np.zeros((len(used), len(names)), np.float32)
-                has[np.searchsorted(used, index[mine]), column] = 1
+                has[np.repeat(np.arange(len(used)), [len(m) for m in mine]), column] = 1
                 shared = has[np.searchsorted(used, p)] @ has[np.searchsorted(used, o)].T > 0
                 close &= ~shared
             linked[p] += close @ weight[o]
