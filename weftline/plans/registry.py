@@ -1,4 +1,6 @@
 """Queries of the engine, by name, with their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from weftline.plans.oracles import ORACLES
+from weftline.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
