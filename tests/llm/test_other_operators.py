@@ -146,6 +146,20 @@ def test_page_without_article_element():
     assert html.main_text(page).split("\n\n") == ["T & x", "One, two, three and so on for a while.", "Short.", "item one", "item two", "c", "d", "bare text more", "Quote"]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div id=top>Home | About</div><div class=wrap><h1>Title</h1><div class=part><p>First part has words, yes.</p></div><h2>Sub</h2><div class=part><p>Tiny.</p></div><h3>Related</h3><ul><li><a href=1>x</a></li><li><a href=2>y</a></li></ul></div>", "Title|First part has words, yes.|Sub|Tiny."),
+        ("<h1>Recipe</h1><p>Ingredients</p><ul><li>one, two, three</li><li>four, five, six</li></ul><p>Mix.</p>", "Recipe|Ingredients|one, two, three|four, five, six|Mix."),
+        ('<main><article><h1>A</h1><section><p>One.</p></section><section><p>Two, with, many, commas.</p></section></article><section class="comments"><article class="comment"><p>Bad, bad, bad.</p></article></section></main>', "A|One.|Two, with, many, commas."),
+        ("<table><tr><td class=menu><a href=1>m</a></td><td><p>Body text, here.</p><p>More</p></td></tr></table>", "Body text, here.|More"),
+        ('<div class="content"><p>Hello, world.</p><div class="ad">Buy!</div><p>Bye</p></div><div class="cookie-banner">We use cookies. Accept, or leave.</div>', "Hello, world.|Bye"),
+    ],
+)
+def test_kinds_of_pages(page, text):
+    assert html.main_text(f"<!DOCTYPE html><html><body>{page}</body></html>").split("\n\n") == text.split("|")
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [(None, ""), ("", ""), ("<nav>x</nav>", ""), ("plain &lt;b&gt; & more", "plain <b> & more"), ("<p>a < b", "a < b"), ("<p>a<!-- <p>no</p> -->b", "ab"), ("<article><p>x&nbsp; y</p></article>", "x y"), ("<p title='>'>q</p>", "q"), ("<p>open <b", "open"), ("<article class=comment><p>no</p></article><article><header><h1>H</h1></header><p>yes.</p></article>", "H\n\nyes.")],

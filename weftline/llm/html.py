@@ -2,8 +2,8 @@
 
 A page becomes a tree. Elements that cannot hold article text (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, reader comments, hidden parts) are set aside by tag, role, class
-and id. Each paragraph left earns points for its length and commas, passed to its ancestors: whole to
-its parent, then half, a third and so on. A container's points are discounted by the share of its
+and id. Each paragraph left earns points for its length and commas, passed to the containers around
+it: whole to the nearest, then half, a third and so on. A container's points are discounted by the share of its
 text that is in links. The best container is kept, with those siblings that score near it or read
 like prose; its blocks are the main text. Lists that are links alone are menus wherever they stand.
 Nothing else is dropped, and texts are never capped. Trees are walked without recursion, so nesting
@@ -41,7 +41,9 @@ MARKS = frozenset(
 OWN = frozenset("article entry post content story page-title".split())
 #: Articles and the like are set aside for these marks alone.
 FOREIGN = frozenset("ad ads advert advertisement comment comments reply sponsored promo related".split())
-PARAGRAPHS = frozenset("p pre blockquote li td dd h1 h2 h3 h4 h5 h6 figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of a text that are never its container; their points go to what holds them.
+PARTS = frozenset("p pre ul ol dl li dt dd table caption thead tbody tfoot tr blockquote figure figcaption h1 h2 h3 h4 h5 h6 hgroup address details summary".split())
 BONUS = {"article": 25.0, "main": 10.0, "section": 3.0}
 #: A paragraph's points: one, one for each comma, one for each so many characters up to a limit.
 POINT_CHARS, POINT_MOST = 100, 3.0
@@ -54,11 +56,11 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "kids", "bad", "chars", "linked", "links", "points", "score")
+    __slots__ = ("tag", "attributes", "parent", "kids", "bad", "chars", "linked", "links", "points", "score", "box")
 
     def __init__(self, tag: str, attributes: str, parent):
         self.tag, self.attributes, self.parent, self.kids = tag, attributes, parent, []
-        self.bad, self.chars, self.linked, self.links, self.points, self.score = False, 0, 0, 0, 0.0, 0.0
+        self.bad, self.chars, self.linked, self.links, self.points, self.score, self.box = False, 0, 0, 0, 0.0, 0.0, None
 
 
 def parse(page: str) -> Node:
@@ -220,10 +222,24 @@ def _measure(root: Node) -> list[Node]:
             node.parent.chars += node.chars
             node.parent.linked += node.linked
             node.parent.links += node.links
+    menus = set()
     for node in order:
         # a list, table or box that is links alone is a menu
         if node.tag in ("ul", "ol", "dl", "div", "section", "table") and node.links >= 2 and node.chars and node.linked >= 0.9 * node.chars and node.chars < 0.9 * root.chars:
             node.bad = True
+            menus.add(id(node))
+    for node in order:
+        # and a heading that only menus follow is the menu's
+        menu = text = False
+        for kid in reversed(node.kids):
+            if isinstance(kid, str):
+                text = text or not kid.isspace()
+            elif kid.tag in HEADINGS:
+                kid.bad = kid.bad or kid.tag != "h1" and menu and not text
+                menu = text = False
+            else:
+                menu = menu or id(kid) in menus or kid.tag == "nav"
+                text = text or not kid.bad and kid.chars > 0
     alive, dead = [], set()
     for node in order:
         if node.bad or id(node.parent) in dead:
@@ -263,41 +279,52 @@ def _own(node: Node) -> str:
 
 def _best(root: Node, nodes: list[Node]) -> list[Node]:
     """The best container and the siblings to keep with it, in page order."""
-    for node in nodes:
+    for node in nodes:  # parents first
+        node.box = node if node.tag in BLOCK and node.tag not in PARTS else node.parent.box
         if node.tag not in BLOCK:
             continue
         text = _own(node)
         if not text:
             continue
         points = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / POINT_CHARS, POINT_MOST)
-        # a paragraph passes its points on; bare text in a container counts for the container itself
-        above, level = (node.parent, 1) if node.tag in PARAGRAPHS and node.parent is not None else (node, 1)
+        # bare text in a container counts for the container itself
+        above, level = node.box, 1
         while above is not None and level <= LEVELS:
-            if above.tag in BLOCK:
-                above.points += points / level
-                level += 1
-            above = above.parent
+            above.points += points / level
+            above, level = above.parent and above.parent.box, level + 1
     best = None
     for node in nodes:
-        if node.points and node.tag not in ("p", "tr", "thead", "tbody", "tfoot"):
+        if node.points:
             density = node.linked / node.chars if node.chars else 0.0
             node.score = (node.points + BONUS.get(node.tag, 0.0)) * (1 - density)
             if best is None or node.score > best.score:
                 best = node
     if best is None:
         return [root]
+    node = best
+    while node.parent is not None and node.tag != "article":
+        node = node.parent
+    if node.tag == "article":
+        best = node  # a part of an article stands for all of it
     if best.parent is None:
         return [best]
-    kept = []
-    for kid in best.parent.kids:
+    kept, follows = [], False
+    for kid in reversed(best.parent.kids):
         if kid is best:
+            keep = True
+        elif isinstance(kid, str) or kid.bad or not kid.chars:
+            continue
+        else:
+            density = kid.linked / kid.chars
+            if kid.tag in HEADINGS:
+                keep = kid.tag == "h1" or follows and density < 0.5
+            else:
+                prose = (kid.points or kid.tag in PARTS) and density < 0.25 and (kid.chars > 80 or density == 0 and re.search(r"[.!?。][\"')\]»”]?$", _flat(kid)) is not None)
+                keep = prose or kid.score >= max(10.0, 0.2 * best.score)
+        follows = keep
+        if keep:
             kept.append(kid)
-        elif isinstance(kid, Node) and not kid.bad:
-            density = kid.linked / kid.chars if kid.chars else 0.0
-            prose = kid.tag in ("p", "blockquote", "pre") and density < 0.25 and (kid.chars > 80 or density == 0 and re.search(r"[.!?。][\"')\]»”]?$", _flat(kid)) is not None)
-            if kid.score >= max(10.0, 0.2 * best.score) or prose or kid.tag == "h1" and kid.chars:
-                kept.append(kid)
-    return kept
+    return kept[::-1]
 
 
 def _blocks(kept: list[Node]) -> list[str]:
