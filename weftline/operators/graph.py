@@ -36,8 +36,8 @@ def gateway_type(x: str) -> str:
     return f"case {x} " + " ".join(f"when '{k}' then '{v}'" for k, v in GATEWAYS.items()) + " end"
 
 
-def graphs(records: DataFrame) -> DataFrame:
-    """records with g and e (see above)."""
+def graphs(records: DataFrame, with_edges: bool = True) -> DataFrame:
+    """records with g and e (see above); without e if only nodes, or paths, are wanted."""
     flow = "coalesce(SequenceFlow, cast(array() as array<struct<src: string, tgt: string, condition: string>>))"
     first = "array_distinct(transform(step_nodes, n -> n.resourceId))"
     named = f"{_in('n.type', ACTIONABLE)} and not {T.blank('n.text')}"
@@ -62,6 +62,8 @@ def graphs(records: DataFrame) -> DataFrame:
             f"'schema_id', coalesce(n.action_id, n.gateway_id, case when n.type = 'StartNode' and {T.blank('n.text')} then 'start' end), 'in_degree', n.in_degree, 'out_degree', n.out_degree))"
         ),
     )
+    if not with_edges:
+        return rows.drop("w0", "w1", "w2")
     end = lambda x: f"try_element_at(filter(g, n -> n.rid <=> x.{x}), 1)"
     rows = fixed(rows, e=(f"transform({flow}, (x, i) -> named_struct('idx', i, 'src', x.src, 'tgt', x.tgt, 'condition', x.condition, 's', {end('src')}, 't', {end('tgt')}))"))
     return rows.drop("w0", "w1", "w2")

@@ -137,7 +137,7 @@ def _graphs(batch: pd.DataFrame):
 
 
 def _slim(graphs: DataFrame) -> DataFrame:
-    return graphs.select("record_no", F.expr("transform(g, n -> named_struct('rid', n.rid, 'type', n.type, 'action_id', n.action_id))").alias("n"), F.expr("transform(e, x -> named_struct('src', x.src, 'tgt', x.tgt))").alias("x"))
+    return graphs.select("record_no", F.expr("transform(g, n -> named_struct('rid', n.rid, 'type', n.type, 'action_id', n.action_id))").alias("n"), F.expr("coalesce(transform(SequenceFlow, x -> named_struct('src', x.src, 'tgt', x.tgt)), cast(array() as array<struct<src: string, tgt: string>>))").alias("x"))
 
 
 def execution_paths(graphs: DataFrame, on_error: str = "raise") -> DataFrame:

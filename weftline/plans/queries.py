@@ -34,6 +34,10 @@ def _graphs(spark: SparkSession, d: str) -> DataFrame:
     return G.graphs(_records(spark, d))
 
 
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return G.graphs(_records(spark, d), with_edges=False)
+
+
 def _flows(spark: SparkSession, d: str) -> DataFrame:
     return workflow.workflows(_graphs(spark, d))
 
@@ -105,7 +109,7 @@ def train_test_split(spark, d):
 
 @query
 def nodes(spark, d):
-    return G.nodes(_graphs(spark, d)).select("record_no", "idx", "rid", "text", "type", "agent")
+    return G.nodes(_nodes(spark, d)).select("record_no", "idx", "rid", "text", "type", "agent")
 
 
 @query
@@ -120,7 +124,7 @@ def adjacency(spark, d):
 
 @query
 def start_nodes(spark, d):
-    return G.nodes(_graphs(spark, d)).where("type = 'StartNode'").select("record_no", "rid")
+    return G.nodes(_nodes(spark, d)).where("type = 'StartNode'").select("record_no", "rid")
 
 
 @query
@@ -130,22 +134,22 @@ def dangling_edges(spark, d):
 
 @query
 def gateway_degrees(spark, d):
-    return G.nodes(_graphs(spark, d)).where("gateway_id is not null").select("record_no", "rid", F.col("in_degree").cast("bigint").alias("in_degree"), F.col("out_degree").cast("bigint").alias("out_degree"), F.expr(G.role("in_degree", "out_degree")).alias("role"))
+    return G.nodes(_nodes(spark, d)).where("gateway_id is not null").select("record_no", "rid", F.col("in_degree").cast("bigint").alias("in_degree"), F.col("out_degree").cast("bigint").alias("out_degree"), F.expr(G.role("in_degree", "out_degree")).alias("role"))
 
 
 @query
 def gateway_ids(spark, d):
-    return G.nodes(_graphs(spark, d)).where("gateway_id is not null").select("record_no", "rid", "gateway_id")
+    return G.nodes(_nodes(spark, d)).where("gateway_id is not null").select("record_no", "rid", "gateway_id")
 
 
 @query
 def action_ids(spark, d):
-    return G.nodes(_graphs(spark, d)).where("action_id is not null").select("record_no", "rid", "action_id")
+    return G.nodes(_nodes(spark, d)).where("action_id is not null").select("record_no", "rid", "action_id")
 
 
 @query
 def schema_ids(spark, d):
-    return G.nodes(_graphs(spark, d)).select("record_no", "rid", "schema_id")
+    return G.nodes(_nodes(spark, d)).select("record_no", "rid", "schema_id")
 
 
 # workflows
@@ -196,17 +200,17 @@ def gateway_type_counts(spark, d):
 
 @query
 def matching_joins(spark, d):
-    return paths.matching_joins(_graphs(spark, d))
+    return paths.matching_joins(_nodes(spark, d))
 
 
 @query
 def execution_paths(spark, d):
-    return paths.execution_paths(_graphs(spark, d)).select("record_no", _joined("path", ">"))
+    return paths.execution_paths(_nodes(spark, d)).select("record_no", _joined("path", ">"))
 
 
 @query
 def execution_states(spark, d):
-    return paths.execution_states(paths.execution_paths(_graphs(spark, d))).select("record_no", _joined("completed", ">"), _joined("available"), "can_terminate")
+    return paths.execution_states(paths.execution_paths(_nodes(spark, d))).select("record_no", _joined("completed", ">"), _joined("available"), "can_terminate")
 
 
 @query
