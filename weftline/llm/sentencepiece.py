@@ -11,6 +11,7 @@ as in the library. Rounds are as many as the longest chain of different merges i
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -185,8 +186,9 @@ class Model:
                 self.surface[i] = ""
             elif kind == self.UNKNOWN:
                 self.surface[i] = " ⁇ "
-            elif kind == self.BYTE:
-                self.surface[i] = None
+            elif kind == self.BYTE:  # ASCII stands for itself even among other bytes
+                self.surface[i] = chr(self.byte_of[i]) if self.byte_of[i] < 128 else None
+        self.decimal = [str(i) for i in range(len(self.pieces))]
 
     # encoding
 
@@ -194,9 +196,9 @@ class Model:
         """Words of a text, cut where no merge can cross."""
         return self.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
+    def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word."""
-        out: list[np.ndarray] = []
+        out: list[list[int]] = []
         begin = 0
         while begin < len(words):
             end, size = begin, 0
@@ -207,7 +209,7 @@ class Model:
             begin = end
         return out
 
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
+    def _encode(self, words: list[str]) -> list[list[int]]:
         lengths = np.array([len(w) for w in words])
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         word = np.repeat(np.arange(len(words)), lengths)
@@ -275,7 +277,7 @@ class Model:
         order = np.argsort(place, kind="stable")
         return symbols[order], part[order]
 
-    def _ids(self, symbols: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
+    def _ids(self, symbols: np.ndarray, owner: np.ndarray, n: int) -> list[list[int]]:
         odd = (symbols < 0) | (symbols >= self.n_pieces)
         if odd.any():
             values, owners = [], []
@@ -288,8 +290,9 @@ class Model:
                 owners += [owner[last:i], np.full(len(data), owner[i])]
                 last = i + 1
             symbols, owner = np.concatenate([*values, symbols[last:]]), np.concatenate([*owners, owner[last:]])
-        ends = np.searchsorted(owner, np.arange(1, n + 1))
-        return np.split(symbols, ends[:-1])
+        bounds = np.searchsorted(owner, np.arange(n + 1)).tolist()
+        ids = symbols.tolist()
+        return [ids[a:b] for a, b in itertools.pairwise(bounds)]
 
     def encode(self, texts: list[str | None], cache: dict | None = None) -> list[list[int]]:
         """Ids of each text with an end id; null counts as empty."""
@@ -302,10 +305,10 @@ class Model:
         """Fills the cache with ids, and their decimal form, of the words that it lacks."""
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        new = list({w for words in split for w in words if w not in cache})
+        new = list({w for words in split for w in words}.difference(cache))
+        decimal = self.decimal
         for w, ids in zip(new, self.encode_words(new), strict=True):
-            ids = ids.tolist()
-            cache[w] = ids, " ".join(map(str, ids)), len(ids)
+            cache[w] = ids, " ".join([decimal[i] for i in ids]), len(ids)
 
     # decoding
 
@@ -361,13 +364,14 @@ def _utf8(data: bytes) -> str:
         return "".join(out)
 
 
-_models: dict[bytes, Model] = {}
+#: Models, with the words that they have met, that a worker keeps from task to task.
+_models: dict[bytes, tuple[Model, dict]] = {}
 
 
-def _load(data: bytes) -> Model:
+def _load(data: bytes) -> tuple[Model, dict]:
     key = hashlib.sha256(data).digest()
     if key not in _models:
-        _models[key] = Model(data)
+        _models[key] = Model(data), {}
     return _models[key]
 
 
@@ -376,7 +380,7 @@ def _stage(docs: DataFrame, path: str | None, row, columns: str, id_column: str,
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        model, cache = _load(data), {}
+        model, cache = _load(data)
         for batch in blocks(batches, text_column):
             split = [model.split(t or "") for t in batch.column(text_column).to_pylist()]
             model.learn(split, cache)
@@ -406,7 +410,7 @@ def decode(encoded: DataFrame, path: str | None = None, id_column: str = "doc_id
     kind = encoded.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        model = _load(data)
+        model, _ = _load(data)
         for batch in batches:
             texts = [model.decode(x or []) for x in batch.column(ids_column).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(texts, pa.string())], [id_column, "text"])
