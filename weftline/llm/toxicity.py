@@ -148,7 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("to
     """
     spark = docs.sparkSession
     names = [*categories, *(["severe"] if severe else [])]
-    known = labels.where(" and ".join(f"`{c}` in (0, 1)" for c in ("doc_id", *categories)).replace("`doc_id` in (0, 1)", "doc_id is not null"))
+    known = labels.where("doc_id is not null")
+    for c in categories:
+        known = known.where(F.col(c).isin(0, 1))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(*(F.max(c).cast("int").alias(c) for c in categories))
     known = cut(known.select("doc_id", F.struct(*categories).alias("y"), F.greatest(*categories, F.lit(0)).alias("any")))
     sizes = {r[0]: r[1] for r in known.groupBy("any").count().collect()}
@@ -210,11 +212,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("to
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), lists], ["doc_id", "y", "ids"])
 
     counted = sample.mapInArrow(count, "hash bigint, n bigint, " + ", ".join(f"`{c}` bigint" for c in categories)).groupBy("hash").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in categories)).where(F.col("n") >= LEAST_DOCS)
-    kept_y = [r[1] for r in sample.select("doc_id", "y").where(F.col("doc_id").isin(kept) if len(kept) < 100 else F.lit(True)).collect() if r[0] in ids.value]
-    n = max(1, len(kept_y))
-    best = None
+    label = {r[0]: r[1] for r in sample.select("doc_id", "y").collect()}
+    n, best = len(kept), None
     for c in categories:
-        p = sum(y[c] for y in kept_y)
+        p = sum(label[i][c] for i in kept)
         a, b = F.col(c), F.col("n") - F.col(c)
         z = F.abs(F.log((a + 0.5) / (F.lit(p + 0.5) - a + 0.5)) - F.log((b + 0.5) / (F.lit(n - p + 0.5) - b + 0.5))) / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
         best = z if best is None else F.greatest(best, z)
