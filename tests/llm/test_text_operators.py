@@ -230,6 +230,13 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_dedup_judges_rows_of_one_id_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in ("tok", "word", "other"))
+    kept = lambda texts, ids: sorted((r.doc_id, r.text) for r in simhash.dedup(docs(spark, texts, ids)).collect())
+    assert kept([a, b, b], [5, 5, 3]) == [(3, b), (5, a)]
+    assert kept([a, c, c], [5, 5, 5]) == sorted([(5, a), (5, c)])
+
+
 # language model
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from weftline.llm.common import blocks, components, cut, table
 
@@ -206,6 +207,18 @@ def links(classes: DataFrame, radius: int = RADIUS, leaf: int = LEAF, chunk: int
     return routed.groupBy("leaf", "task").applyInArrow(search, "a bigint, b bigint")
 
 
+def _grouped(docs: DataFrame, id_column: str, text_column: str, radius: int) -> DataFrame:
+    """(id, fp, root, component_id) of every document: root tells components apart, also those that share an id."""
+    fps = cut(fingerprints(docs, id_column, text_column))
+    classes = cut(fps.groupBy("fp").agg(F.min(id_column).alias("least")))
+    joined = components(links(classes.select("fp"), radius))
+    roots = classes.join(joined, F.col("fp") == F.col("node")).select("fp", "root", "least")
+    best = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = roots.join(best, "root").select("fp", "root", "component_id")
+    of = classes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return fps.join(of, "fp").select(id_column, "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id, fp, component_id): every document, with the smallest id reachable by links.
 
@@ -213,32 +226,43 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows and ids stay, each in its component; null ids stay and are never a component's id unless it
     has no other; an empty table gives an empty one; other columns are ignored.
     """
-    fps = cut(fingerprints(docs, id_column, text_column))
-    classes = cut(fps.groupBy("fp").agg(F.min(id_column).alias("least")))
-    joined = components(links(classes.select("fp"), radius))
-    roots = classes.join(joined, F.col("fp") == F.col("node")).select("fp", "root", "least")
-    best = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = roots.join(best, "root").select("fp", "component_id")
-    of = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(of, "fp").select(id_column, "fp", "component_id")
+    return _grouped(docs, id_column, text_column, radius).select(id_column, "fp", "component_id")
 
 
 #: Dropped ids that may be broadcast; 16 bytes each, so at most 32 MB.
 BROADCAST_IDS = 2_000_000
 
 
+def _marked(docs: DataFrame, text_column: str) -> DataFrame:
+    """docs, all columns, with the fingerprint as weft_fp."""
+
+    def run(batches):
+        for batch in blocks(batches, text_column):
+            fps = np.array([fingerprint(t) for t in batch.column(text_column).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], [*batch.schema.names, "weft_fp"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("weft_fp", LongType())]))
+
+
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs, all columns, with one document of each group: the one with the smallest id.
 
-    Rows with a null id stay; of rows with the same id and group one stays. Cases as in near_duplicates().
+    Rows with a null id stay; of rows with the same id and group one stays. Rows with the same id in
+    different groups are judged each in its own. Cases as in near_duplicates().
     """
-    judged = cut(near_duplicates(docs, id_column, text_column).select(id_column, "component_id"))
-    dropped = judged.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column)).distinct()
-    counts = judged.where(F.col(id_column).isNotNull()).agg(F.count("*").alias("n"), F.count_distinct(id_column).alias("ids"), F.count(F.when(F.col(id_column) != F.col("component_id"), 1)).alias("out")).first()
-    kept = docs.join(F.broadcast(dropped) if counts["out"] <= BROADCAST_IDS else dropped, id_column, "left_anti").select(docs.columns)
+    named = cut(_grouped(docs, id_column, text_column, RADIUS).where(F.col(id_column).isNotNull()))
+    counts = named.agg(F.count("*").alias("n"), F.count_distinct(id_column).alias("ids"), F.count(F.when(F.col(id_column) != F.col("component_id"), 1)).alias("out")).first()
+    small = lambda rows, n: F.broadcast(rows) if n <= BROADCAST_IDS else rows
     if counts["n"] == counts["ids"]:
-        return kept
-    return kept.where(F.col(id_column).isNotNull()).dropDuplicates([id_column]).union(kept.where(F.col(id_column).isNull()))
+        dropped = named.where(F.col(id_column) != F.col("component_id")).select(id_column)
+        return docs.join(small(dropped, counts["out"]), id_column, "left_anti").select(docs.columns)
+    # an id may stand for several texts: a row is told by its id and fingerprint, and a group keeps one such pair
+    kept = named.where(F.col(id_column) == F.col("component_id")).groupBy(id_column, "root").agg(F.min("fp").alias("fp"))
+    dropped = cut(named.select(id_column, "fp").distinct().join(kept, [id_column, "fp"], "left_anti").select(id_column, F.col("fp").alias("weft_fp")))
+    keys = [id_column, "weft_fp"]
+    rows = _marked(docs.where(F.col(id_column).isNotNull()), text_column)
+    rows = rows.join(small(dropped, dropped.count()), keys, "left_anti").dropDuplicates(keys)
+    return rows.select(docs.columns).union(docs.where(F.col(id_column).isNull()))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
