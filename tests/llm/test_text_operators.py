@@ -260,6 +260,38 @@ def test_model_beats_base_on_held_out_texts(spark):
     assert r.s > r.b
 
 
+def test_weights_are_fitted_on_all_training_texts(spark):
+    rows = table(spark, DATA.replace("0.001", "0.01"), "documents")
+    model = lm.Model(rows, "doc_id", "text")
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    n, v = model.totals.n, model.totals.v
+    first, words, pairs = lm.tokens(pa.array(texts.values()))
+    _, words, pairs = model.blocks[0].value.probe(words, pairs)
+    before = np.concatenate(([0], words[:-1]))
+    before[first[:-1]] = 0
+    one, two, level = {}, {}, {}
+    for less in (1.0, 0.0):
+        count, pair, context = (np.maximum(lm.ESTIMATES[x] - less, 0) for x in (words, pairs, before))
+        one[less] = np.minimum((count + 0.5) / (n + 0.5 * (v + 1)), 1)
+        two[less] = np.minimum(np.divide(pair, context, out=np.zeros(len(words)), where=context > 0), 1)
+        level[less] = np.where(context > 0, before, 0)
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 1 for i in texts])
+    train = np.repeat(~held, np.diff(first))
+    assert (~held).sum() > 700
+    weights = np.full(len(lm.ESTIMATES), 0.1)
+    seen = np.bincount(level[1.0][train], minlength=len(weights))
+    for _ in range(20):
+        w = weights[level[1.0]]
+        share = w * two[1.0] / (w * two[1.0] + (1 - w) * one[1.0])
+        weights = (np.bincount(level[1.0][train], share[train], len(weights)) + 1) / (seen + 20)
+    weights = np.minimum(weights, 0.99)
+    weights[0] = 0
+    w = weights[level[0.0]]
+    want = np.add.reduceat(np.log10(w * two[0.0] + (1 - w) * one[0.0]), first[:-1])
+    got = {r.doc_id: r.score for r in lm.score(rows).collect()}
+    assert [got[i] for i in texts] == pytest.approx(list(want), rel=1e-7)
+
+
 def test_blocks_give_the_same_scores(spark):
     rows = table(spark, DATA, "documents").limit(40)
     one = {r.doc_id: r for r in lm.score(rows).collect()}

@@ -6,8 +6,9 @@ one entry of an array per worker batch, and all segments are alike. A task adds
 builds its part of the filter: an n-gram with count c is entered for the levels 1 to
 1 + floor(log(c) / log(LEVEL)). Probing asks for level after level until one is missing; the last
 found is the quantised count. Word probabilities interpolate bigram and unigram estimates with
-weights fitted, by how often the context was seen, on a bounded sample of training texts whose own
-occurrence is taken out.
+weights fitted, by how often the context was seen, on all training texts, each word's own occurrence
+taken out: estimates depend on three levels only (word, pair, context), so workers count the triples
+of levels, and the fit needs no more than these counts, however large the corpus.
 
 The filter, with exact word counts for the baseline, goes to the workers in broadcast blocks of at
 most BLOCK_MODEL bytes (whole segments). If the corpus needs more than one block, the texts pass
@@ -39,8 +40,8 @@ SEGMENT_BYTES = 4 << 20
 BATCH_WORDS = 1 << 20
 #: Rows of an Arrow batch; texts may be long, and a batch is held beside the model.
 BATCH_ROWS = 1000
-#: Training texts that the interpolation weights are fitted on at the most.
-SAMPLE = 400
+#: Levels that a worker takes at a time, one byte for each word.
+BLOCK_LEVELS = 1 << 17
 FOLDS, HELD_OUT = 5, 1
 THRESHOLDS = LEVEL ** np.arange(1, 120)
 #: Count that a level stands for: the mean of the whole numbers in it.
@@ -192,34 +193,42 @@ class Totals:
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
-    def estimates(self, first, words, pairs, less: float = 0.0):
+    def estimates(self, words, pairs, before, less: float = 0.0):
         """(unigram, bigram) probabilities and the context's level; less is taken off counts."""
-        before = np.zeros_like(words)
-        before[1:] = words[:-1]
-        before[first[:-1]] = 0  # a text's first word has no context word: unigram only
         one = (np.maximum(ESTIMATES[words] - less, 0) + 0.5) / (self.n + 0.5 * (self.v + 1))
         context = np.maximum(ESTIMATES[before] - less, 0)
         two = np.minimum(1.0, np.divide(np.maximum(ESTIMATES[pairs] - less, 0), context, out=np.zeros(len(words)), where=context > 0))
         return np.minimum(one, 1.0), two, np.where(context > 0, before, 0)
 
-    def fit(self, first, words, pairs, rounds: int = 20) -> None:
-        """Interpolation weights by expectation maximisation, each text's own occurrence left out."""
-        one, two, context = self.estimates(first, words, pairs, 1.0)
-        seen = np.bincount(context, minlength=len(self.weights))
+    def fit(self, words, pairs, before, times, rounds: int = 20) -> None:
+        """Interpolation weights by expectation maximisation, each word's own occurrence left out.
+
+        words, pairs, before: levels, which the training texts hold so many times.
+        """
+        one, two, context = self.estimates(words, pairs, before, 1.0)
+        seen = np.bincount(context, times, len(self.weights))
         for _ in range(rounds):
             w = self.weights[context]
             share = w * two / (w * two + (1 - w) * one)
             # levels seen little lean on a common prior
-            self.weights = (np.bincount(context, share, len(self.weights)) + 1.0) / (seen + 20.0)
+            self.weights = (np.bincount(context, share * times, len(self.weights)) + 1.0) / (seen + 20.0)
         self.weights = np.minimum(self.weights, 0.99)
         self.weights[0] = 0.0
 
-    def score(self, first, words, pairs) -> np.ndarray:
-        one, two, context = self.estimates(first, words, pairs)
+    def score(self, words, pairs, before) -> np.ndarray:
+        one, two, context = self.estimates(words, pairs, before)
         w = self.weights[context]
         return np.log10(w * two + (1 - w) * one)
 
 
+def _before(first: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Levels of the words before; a text's first word has none: unigram only."""
+    before = np.zeros_like(words)
+    before[1:] = words[:-1]
+    before[first[:-1]] = 0
+    return before
+
+
 def _by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first[:-1]) if len(first) > 1 else np.empty(0)
 
@@ -253,27 +262,16 @@ class Model:
         built = cut(packed.groupBy("segment").applyInArrow(_build, "segment int, size bigint, bits binary, words binary, counts binary, total bigint, distinct bigint"))
         sums = built.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
         self.totals = Totals(sums["n"] or 0, sums["v"] or 0)
-        keep = rows.where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) != HELD_OUT)
-        sample = keep.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(SAMPLE).select("text").toArrow().column("text").combine_chunks()
-        first, words, pairs = tokens(sample)
-        state = None
         self.blocks = []
         parts, size = [], 0
         for row in built.select("segment", "size", "bits", "words", "counts").toLocalIterator():
             n = len(row[2]) + len(row[3]) + len(row[4])
             if parts and size + n > most:
-                state = self._add(spark, Block(segments, parts), words, pairs, state)
+                self.blocks.append(spark.sparkContext.broadcast(Block(segments, parts)))
                 parts, size = [], 0
             parts.append([row[0], row[1], bytes(row[2]), bytes(row[3]), bytes(row[4])])
             size += n
-        state = self._add(spark, Block(segments, parts), words, pairs, state)
-        if len(words):
-            self.totals.fit(first, state[1], state[2])
-
-    def _add(self, spark, block: Block, words, pairs, state):
-        got = block.probe(words, pairs)
-        self.blocks.append(spark.sparkContext.broadcast(block))
-        return got if state is None else tuple(a + b for a, b in zip(state, got, strict=True))
+        self.blocks.append(spark.sparkContext.broadcast(Block(segments, parts)))
 
 
 def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: int = BLOCK_MODEL) -> DataFrame:
@@ -287,52 +285,90 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     kind = docs.schema[id_column].dataType.simpleString()
     model = Model(docs, id_column, text_column, most)
     totals, n_train = model.totals, model.totals.n
+    now = docs.select(F.col(id_column), F.col(text_column).alias("text"), *(F.lit(None).cast("binary").alias(c) for c in STATE))
+    for block in model.blocks[:-1]:
+        now = cut(now.mapInArrow(_pass(block), now.schema))
+    probed = cut(now.mapInArrow(_last(model.blocks[-1], totals), f"`{id_column}` {kind}, held_out boolean, n_known bigint, base_score double, words binary, pairs binary"))
+    _fit(probed, totals)
     names = [id_column, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def result(ids, first, counts, words, pairs):
-        held = fold(ids.to_pylist()) == HELD_OUT
-        n = np.diff(first)
-        columns = [held, n, _by_text((counts > 0).astype(np.int64), first), np.full(len(n), n_train), _by_text(totals.base(counts), first), _by_text(totals.score(first, words, pairs), first)]
-        return pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in columns)], names)
+    def finish(batches):
+        for batch in blocks(batches, "words", BLOCK_LEVELS):
+            first, words, pairs = _levels(batch)
+            ids, held, known, base = (batch.column(i) for i in range(4))
+            n = np.diff(first)
+            score_ = _by_text(totals.score(words, pairs, _before(first, words)), first)
+            yield pa.RecordBatch.from_arrays([ids, held, pa.array(n), known, pa.array(np.full(len(n), n_train)), base, pa.array(score_)], names)
 
-    out = f"`{id_column}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    rows = docs.select(F.col(id_column), F.col(text_column).alias("text"))
-    if len(model.blocks) == 1:
-        block = model.blocks[0]
+    return probed.mapInArrow(finish, f"`{id_column}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
-        def run(batches):
-            for batch in blocks(batches):
-                first, words, pairs = tokens(batch.column("text"))
-                yield result(batch.column(0), first, *block.value.probe(words, pairs))
 
-        return rows.mapInArrow(run, out)
-    now = rows.select("*", *(F.lit(None).cast("binary").alias(c) for c in ("counts", "words", "pairs")))
-    types = (np.int64, np.uint8, np.uint8)
-    for block in model.blocks:
-        now = cut(now.mapInArrow(_pass(block, types), now.schema))
+#: What blocks so far knew of the words of a text.
+STATE = {"counts": np.int64, "words": np.uint8, "pairs": np.uint8}
 
-    def finish(batches):
-        for batch in blocks(batches):
-            first, _, _ = tokens(batch.column("text"))
-            yield result(batch.column(0), first, *(np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in zip(("counts", "words", "pairs"), types, strict=True)))
 
-    return now.mapInArrow(finish, out)
+def _known(block, batches):
+    """(batch, first, counts, word levels, pair levels), with what earlier blocks knew."""
+    for batch in blocks(batches):
+        first, words, pairs = tokens(batch.column("text"))
+        found = []
+        for (c, t), new in zip(STATE.items(), block.value.probe(words, pairs), strict=True):
+            old = batch.column(c).to_pylist()
+            if old[0] is not None:
+                new = new + np.frombuffer(b"".join(old), t)
+            found.append(new.astype(t))
+        yield batch, first, *found
+
+
+def _binary(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in np.split(values, first[1:-1])], pa.binary())
+
 
+def _pass(block):
+    def run(batches):
+        for batch, first, *found in _known(block, batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(_binary(x, first) for x in found)], batch.schema.names)
+
+    return run
+
+
+def _last(block, totals):
+    """The last pass keeps the levels, and of the counts what results need."""
 
-def _pass(block, types):
     def run(batches):
-        for batch in blocks(batches):
-            first, words, pairs = tokens(batch.column("text"))
-            found = []
-            for c, t, new in zip(("counts", "words", "pairs"), types, block.value.probe(words, pairs), strict=True):
-                old = batch.column(c).to_pylist()
-                if old[0] is not None:
-                    new = new + np.frombuffer(b"".join(old), t)
-                found.append(pa.array([x.tobytes() for x in np.split(new.astype(t), first[1:-1])], pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], batch.schema.names)
+        for batch, first, counts, words, pairs in _known(block, batches):
+            held = fold(batch.column(0).to_pylist()) == HELD_OUT
+            known, base = _by_text((counts > 0).astype(np.int64), first), _by_text(totals.base(counts), first)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held), pa.array(known), pa.array(base), _binary(words, first), _binary(pairs, first)], [batch.schema.names[0], "held_out", "n_known", "base_score", "words", "pairs"])
 
     return run
 
 
+def _levels(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, word levels, pair levels) of a batch of _last()."""
+    words, pairs = (batch.column(c).to_pylist() for c in ("words", "pairs"))
+    first = np.concatenate(([0], np.cumsum([len(x) for x in words], dtype=np.int64)))
+    return first, np.frombuffer(b"".join(words), np.uint8), np.frombuffer(b"".join(pairs), np.uint8)
+
+
+def _fit(probed: DataFrame, totals: Totals) -> None:
+    """Fits the weights on all training texts: at most one row for each triple of levels reaches the driver."""
+    base = len(ESTIMATES)
+
+    def count(batches):
+        times = np.zeros(base**3, np.int64)
+        for batch in blocks(batches, "words", BLOCK_LEVELS):
+            first, words, pairs = _levels(batch)
+            triples, n = np.unique((words.astype(np.int64) * base + pairs) * base + _before(first, words), return_counts=True)
+            times[triples] += n
+        found = np.flatnonzero(times)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times[found])], ["triple", "n"])
+
+    got = probed.where("not held_out").select("words", "pairs").mapInArrow(count, "triple bigint, n bigint").groupBy("triple").agg(F.sum("n").alias("n")).orderBy("triple").toArrow()
+    triples, times = (got.column(c).to_numpy() for c in ("triple", "n"))
+    if len(triples):
+        totals.fit(triples // base**2, triples // base % base, triples % base, times)
+
+
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
