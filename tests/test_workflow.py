@@ -10,7 +10,7 @@ from weftline.operators import validate
 from weftline.operators.paths import execution_paths, execution_states
 from weftline.operators.workflow import actions, gateways, with_states, workflows
 from weftline.sources import export
-from weftline.sources.records import RECORD
+from weftline.sources.records import RECORD, event_records
 
 
 def of(spark, *rows):
@@ -89,6 +89,18 @@ def test_last_graph_of_a_file_index_and_unmatched(spark):
     assert [r.file_index for r in validate.unmatched(raw, found).collect()] == [6]
 
 
+def test_runs_of_a_user_with_very_many_events_keep_their_own_numbers(spark):
+    """Run 1,000 of a user is not run 0 of the next one."""
+    hot = spark.range(10_020).selectExpr("id as event_id", "1L as user_id", "'view' as event_type")
+    rows = hot.unionByName(spark.range(20).selectExpr("id + 20000 as event_id", "2L as user_id", "'click' as event_type")).selectExpr("*", "timestamp_seconds(event_id) as ts", "1.0D as value")
+    found = event_records(rows)
+    numbers = [r.record_no for r in found.select("record_no").collect()]
+    assert len(numbers) == len(set(numbers)) == 1004
+    assert {*range(1000, 2000), 2000, 2001} <= set(numbers)
+    pairs = validate.joined(G.graphs(found), workflows(G.graphs(found)))
+    assert pairs.count() == 1004 and pairs.where("g[1].text <> workflow.actions[if(g[0].text = '', 0, 1)].name").count() == 0
+
+
 def test_averages_of_nothing(spark):
     rows = of(spark, ODD)
     measured = validate.metrics(validate.joined(G.graphs(rows.limit(0)), workflows(G.graphs(rows))))

@@ -54,10 +54,20 @@ def write_records(records: DataFrame, path: str) -> None:
 TEMPLATE = ((0, 1, ""), (1, 2, ""), (2, 3, "high"), (2, 4, "low"), (3, 5, ""), (4, 5, ""), (5, 6, ""), (6, 7, ""), (7, 1, "again"), (7, 8, "retry"), (7, 9, "done"), (8, 9, ""))
 
 
+#: Runs of a user that are numbered user_id * 1000 + run; further ones get numbers from FURTHER on, in RUNS places
+#: for each user from -USERS to USERS - 1.
+PLAIN, FURTHER, RUNS, USERS = 1000, 1 << 62, 1 << 26, 1 << 34
+NUMBER = f"""case when user_id is null then null
+          when run < {PLAIN} and user_id < {FURTHER // PLAIN} then user_id * {PLAIN} + run
+          when run between {PLAIN} and {PLAIN + RUNS - 1} and user_id between {-USERS} and {USERS - 1} then {FURTHER} + (user_id + {USERS}) * {RUNS} + (run - {PLAIN})
+          else cast(raise_error(concat('no record number for user ', user_id, ', run ', run)) as bigint) end"""
+
+
 def event_records(events: DataFrame) -> DataFrame:
     """Records of complete runs of ten events of a user, over a fixed ten-node template.
 
-    One shuffle, by user: the runs are grouped in the partitions that the window made.
+    One shuffle, by user: the runs are grouped in the partitions that the window made. Numbers are
+    unique, however many runs a user has; a user or run beyond NUMBER's ranges is an error.
     """
     events.createOrReplaceTempView("weft_events")
     edges = ", ".join(f"named_struct('a', {a}, 'b', {b}, 'cond', '{c}')" for a, b, c in TEMPLATE)
@@ -66,7 +76,7 @@ def event_records(events: DataFrame) -> DataFrame:
         runs as (
           select user_id, cast(floor(rn / 10) as bigint) as run, array_sort(collect_list(named_struct('pos', cast(rn % 10 as int), 'kind', event_type, 'value', value))) as steps
           from ranked group by user_id, cast(floor(rn / 10) as bigint) having count(*) = 10),
-        keyed as (select user_id * 1000 + run as file_index, steps, steps[2].kind as split from runs)
+        keyed as (select {NUMBER} as file_index, steps, steps[2].kind as split from runs)
         select file_index as record_no, file_index, array_join(transform(steps, s -> s.kind), ' ') as paragraph,
           transform(steps, s -> named_struct(
             'resourceId', concat('sid-', file_index, '-', s.pos),
