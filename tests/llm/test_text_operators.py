@@ -300,6 +300,19 @@ def test_blocks_give_the_same_scores(spark):
         assert many[i].score == pytest.approx(r.score) and many[i].base_score == pytest.approx(r.base_score) and many[i].n_known == r.n_known
 
 
+def test_several_blocks_give_the_scores_of_one(spark):
+    rows = table(spark, DATA, "documents").limit(40)
+    found = []
+    for most in (lm.BLOCK_MODEL, 50_000):
+        n = len(lm.Model(rows, "doc_id", "text", most, segment_bytes=100).blocks)
+        assert n == 1 if most == lm.BLOCK_MODEL else n > 2
+        found.append({r.doc_id: r for r in lm.score(rows, most=most, segment_bytes=100).collect()})
+    one, many = found
+    assert one.keys() == many.keys()
+    for i, r in one.items():
+        assert many[i].score == pytest.approx(r.score) and many[i].base_score == pytest.approx(r.base_score) and many[i].n_known == r.n_known
+
+
 def test_filter_never_misses_and_seldom_invents():
     rng = np.random.default_rng(0)
     grams = rng.integers(0, 2**63, 20_000, dtype=np.uint64)

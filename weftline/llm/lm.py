@@ -236,11 +236,11 @@ def _by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Model:
     """Broadcast blocks and totals."""
 
-    def __init__(self, docs: DataFrame, id_column: str, text_column: str, most: int = BLOCK_MODEL):
+    def __init__(self, docs: DataFrame, id_column: str, text_column: str, most: int = BLOCK_MODEL, segment_bytes: int = SEGMENT_BYTES):
         spark = docs.sparkSession
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-        segments = 1 << max(0, min(20, (input_bytes(rows) // SEGMENT_BYTES).bit_length()))
+        segments = 1 << max(0, min(20, (input_bytes(rows) // segment_bytes).bit_length()))
 
         def count(batches):
             words, pairs, n = [], [], 0
@@ -274,7 +274,7 @@ class Model:
         self.blocks.append(spark.sparkContext.broadcast(Block(segments, parts)))
 
 
-def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: int = BLOCK_MODEL) -> DataFrame:
+def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: int = BLOCK_MODEL, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text.
 
     Learns from the texts whose crc32(id) modulo FOLDS is not HELD_OUT (a null id counts as empty text)
@@ -283,7 +283,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     alone; other columns are ignored.
     """
     kind = docs.schema[id_column].dataType.simpleString()
-    model = Model(docs, id_column, text_column, most)
+    model = Model(docs, id_column, text_column, most, segment_bytes)
     totals, n_train = model.totals, model.totals.n
     now = docs.select(F.col(id_column), F.col(text_column).alias("text"), *(F.lit(None).cast("binary").alias(c) for c in STATE))
     for block in model.blocks[:-1]:
