@@ -160,6 +160,16 @@ def test_kinds_of_pages(page, text):
     assert html.main_text(f"<!DOCTYPE html><html><body>{page}</body></html>").split("\n\n") == text.split("|")
 
 
+def test_rows_of_columns_and_lists_of_sources():
+    column = lambda x: "".join(f"<p>{x} {k} has words, commas, and more words, so that it counts for something.</p>" for k in range(9))
+    text = lambda x: [f"{x} {k} has words, commas, and more words, so that it counts for something." for k in range(9)]
+    rows = "".join(f"<div class=row><div class=col>{column(x)}</div></div>" for x in ("First", "Second"))
+    assert html.main_text(f"<html><body><div>{rows}</div><ul><li><a href=1>m</a><li><a href=2>n</a></ul></body></html>").split("\n\n") == text("First") + text("Second")
+    sources = "<h2>Sources</h2><ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul>"
+    assert html.main_text(f"<article>{column('Only')}{sources}</article>").split("\n\n") == [*text("Only"), "Sources", "one", "two"]
+    assert html.main_text(f"<article>{column('Only')}<nav>{sources}</nav></article>").split("\n\n") == text("Only")
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [(None, ""), ("", ""), ("<nav>x</nav>", ""), ("plain &lt;b&gt; & more", "plain <b> & more"), ("<p>a < b", "a < b"), ("<p>a<!-- <p>no</p> -->b", "ab"), ("<article><p>x&nbsp; y</p></article>", "x y"), ("<p title='>'>q</p>", "q"), ("<p>open <b", "open"), ("<article class=comment><p>no</p></article><article><header><h1>H</h1></header><p>yes.</p></article>", "H\n\nyes.")],

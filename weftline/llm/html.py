@@ -222,10 +222,12 @@ def _measure(root: Node) -> list[Node]:
             node.parent.chars += node.chars
             node.parent.linked += node.linked
             node.parent.links += node.links
-    menus = set()
+    menus, articles = set(), set()
     for node in order:
-        # a list, table or box that is links alone is a menu
-        if node.tag in ("ul", "ol", "dl", "div", "section", "table") and node.links >= 2 and node.chars and node.linked >= 0.9 * node.chars and node.chars < 0.9 * root.chars:
+        if node.tag == "article" or id(node.parent) in articles:
+            articles.add(id(node))
+        # a list, table or box that is links alone is a menu; in an article it may be a list of sources
+        elif node.tag in ("ul", "ol", "dl", "div", "section", "table") and node.links >= 2 and node.chars and node.linked >= 0.9 * node.chars and node.chars < 0.9 * root.chars:
             node.bad = True
             menus.add(id(node))
     for node in order:
@@ -308,9 +310,43 @@ def _best(root: Node, nodes: list[Node]) -> list[Node]:
         best = node  # a part of an article stands for all of it
     if best.parent is None:
         return [best]
+    top, chosen, paths = best.parent, {id(best)}, set()
+    if best is not node:
+        top, chosen, paths = _others(best, nodes)
+    return _kept(top, best, chosen, paths)
+
+
+def _others(best: Node, nodes: list[Node]) -> tuple[Node, set[int], set[int]]:
+    """Other containers that score high, near the best: the lowest node that holds all, they, and what leads to them."""
+    above, node = [], best.parent
+    while node is not None and len(above) < LEVELS:
+        above.append(node)
+        node = node.parent
+    level = {id(x): i for i, x in enumerate(above)}
+    chosen, paths, top = {id(best)}, set(), 0
+    for node in sorted((x for x in nodes if x.score >= max(10.0, 0.2 * best.score)), key=lambda x: -x.score):
+        if id(node) in level or id(node) in paths:
+            continue
+        way, x = [], node
+        while x is not None and id(x) not in level and id(x) not in chosen and len(way) < LEVELS:
+            way.append(id(x))
+            x = x.parent
+        if x is not None and id(x) in level:
+            chosen.add(id(node))
+            paths.update(way[1:])
+            top = max(top, level[id(x)])
+    paths.update(id(x) for x in above[:top])
+    return above[top], chosen, paths
+
+
+def _kept(top: Node, best: Node, chosen: set[int], paths: set[int]) -> list[Node]:
     kept, follows = [], False
-    for kid in reversed(best.parent.kids):
-        if kid is best:
+    for kid in reversed(top.kids):
+        if id(kid) in paths:
+            kept.extend(reversed(_kept(kid, best, chosen, paths)))
+            follows = True
+            continue
+        if id(kid) in chosen:
             keep = True
         elif isinstance(kid, str) or kid.bad or not kid.chars:
             continue
