@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import blocks, cut, plain, table
 from weftline.llm.linear import Sparse, fit_sparse, logit, sigmoid
-from weftline.llm.words import BASE, INVERSE, _power_table, classes, mix, scan
+from weftline.llm.words import KEEP, eight, hashes, lowered, mix, scan, spans
 
 #: Labelled documents that the chain is fitted on at the most.
 POSITIVES, NEGATIVES = 2500, 5000
 #: Words and word beginnings that the models use at the most, and documents that must hold one.
 FEATURES, LEAST_DOCS = 2048, 3
-#: Lengths, in bytes, of word beginnings.
+#: Lengths, in bytes, of word beginnings; eight at the most.
 STEMS = (4, 5, 6, 7, 8)
 FOLDS = 5
 
@@ -36,18 +36,15 @@ FOLDS = 5
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, hash) of every word and word beginning, and the texts' words: first[i] to first[i + 1]."""
     data, offsets = plain(texts)
-    first, hashes, starts, ends = scan(data, offsets, "letters")
+    first, starts, ends = spans(data, offsets, "letters")
+    low, lengths = lowered(data), ends - starts
     document = np.repeat(np.arange(len(texts)), np.diff(first))
-    values = classes("letters")[1][data].astype(np.uint64) + np.uint64(1)
-    values *= _power_table(BASE, len(data))
-    total = np.concatenate(([np.uint64(0)], np.cumsum(values)))
-    inverse = _power_table(INVERSE, len(data) + 1)
-    all_documents, all_hashes = [document], [hashes]
+    all_documents, all_hashes = [document], [hashes(low, starts, lengths)]
+    begins = eight(low, starts) if len(starts) else np.empty(0, np.uint64)
     for n in STEMS:
-        longer = np.flatnonzero(ends - starts > n)
-        at = starts[longer]
+        longer = np.flatnonzero(lengths > n)
         all_documents.append(document[longer])
-        all_hashes.append(mix((total[at + n] - total[at]) * inverse[at] + np.uint64(n << 40)))
+        all_hashes.append(mix((begins[longer] & KEEP[n]) + np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)))
     return np.concatenate(all_documents), np.concatenate(all_hashes), first
 
 
