@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from weftline.sources.shared import shared_folder
 
@@ -55,6 +56,27 @@ def blocks(batches, column: str = "text", most: int = BLOCK_BYTES):
             begin = end
 
 
+def column(name: str):
+    """The column of that very name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, **columns) -> DataFrame:
+    """The rows of docs as one struct, weft_row, beside columns to work on, so that no names clash."""
+    return docs.select(F.struct(*map(column, docs.columns)).alias("weft_row"), *(c.alias(n) for n, c in columns.items()))
+
+
+def filtered(docs: DataFrame, keep, text_column: str = "text", **columns) -> DataFrame:
+    """docs, all columns, without the rows for which keep, given record batches of (text, columns), is false."""
+
+    def run(batches):
+        for batch in blocks(batches):
+            yield batch.filter(pa.array(keep(batch))).select(["weft_row"])
+
+    rows = packed(docs, text=column(text_column), **columns)
+    return rows.mapInArrow(run, StructType([StructField("weft_row", docs.schema)])).select("weft_row.*")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component, of edges (a, b).
 

@@ -18,13 +18,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from weftline.llm.common import blocks, cut, plain, table
+from weftline.llm.common import blocks, column, cut, filtered, packed, plain, table
 from weftline.llm.words import equal, hashes, lowered, mix, spans
 
 WINDOW = 13
@@ -258,20 +257,18 @@ def annotate(docs: DataFrame, bench: DataFrame, id_column: str = "doc_id", text_
 
         return docs.select(id_column, text_column).mapInArrow(run, out)
     # several passes: each adds its items, its longest match, and its hit words as a bitmap, to the rows
-    more = StructType.fromDDL("hits binary, items array<string>, longest bigint, longest_word bigint, longest_item string")
-    now = docs.select(F.col(id_column), F.col(text_column), F.lit(None).cast("binary"), F.array().cast("array<string>"), *(F.lit(None).cast(t) for t in ("bigint", "bigint", "string")))
-    state = StructType([docs.schema[id_column], docs.schema[text_column], *more.fields])
+    state = StructType([StructField("id", docs.schema[id_column].dataType), *StructType.fromDDL(f"text string, hits binary, {FOUND.split(', ', 2)[2]}").fields])
+    now = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"), *((F.array() if f.name == "items" else F.lit(None)).cast(f.dataType).alias(f.name) for f in state.fields[2:]))
     for number, block in enumerate(found):
-        now = now.mapInArrow(_pass(block, state.names), state)
+        now = now.mapInArrow(_pass(block), state)
         if number % 4 == 3:
             now = cut(now)
 
     def finish(batches):
-        for batch in batches:
-            for part in blocks([batch.rename_columns(["id", "text", *more.names])]):
-                n_words = np.diff(Shard(*plain(part.column("text"))).first)
-                hit = [int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) for h in part.column("hits").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), part.column("items"), pc.fill_null(part.column("longest"), 0), part.column("longest_word"), part.column("longest_item")], names=out.names)
+        for batch in blocks(batches):
+            n_words = np.diff(Shard(*plain(batch.column("text"))).first)
+            hit = [int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) for h in batch.column("hits").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), *(batch.column(c) for c in out.names[3:])], names=out.names)
 
     return now.mapInArrow(finish, out)
 
@@ -287,17 +284,16 @@ def _found(n_words, n_hit, items, best) -> list[pa.Array]:
     ]
 
 
-def _pass(block, names: list[str]):
+def _pass(block):
     def run(batches):
         tests = block.value
-        for batch in batches:
-            for part in blocks([batch.rename_columns(["id", "text", "hits", "items", "longest", "longest_word", "longest_item"])]):
-                n_words, masks, items, best = _judge(tests, part.column("text"))
-                hits = [np.packbits(m) if h is None else np.packbits(m) | np.frombuffer(h, np.uint8) for m, h in zip(masks, part.column("hits").to_pylist(), strict=True)]
-                items = [sorted({*x, *old}) for x, old in zip(items, part.column("items").to_pylist(), strict=True)]
-                old = zip(*(part.column(c).to_pylist() for c in ("longest", "longest_word", "longest_item")), strict=True)
-                best = [_longer(b, None if not n else (-n, w, i)) for b, (n, w, i) in zip(best, old, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), pa.array([h.tobytes() for h in hits], pa.binary()), *_found(n_words, n_words, items, best)[2:]], names=names)
+        for batch in blocks(batches):
+            n_words, masks, items, best = _judge(tests, batch.column("text"))
+            hits = [np.packbits(m) if h is None else np.packbits(m) | np.frombuffer(h, np.uint8) for m, h in zip(masks, batch.column("hits").to_pylist(), strict=True)]
+            items = [sorted({*x, *old}) for x, old in zip(items, batch.column("items").to_pylist(), strict=True)]
+            old = zip(*(batch.column(c).to_pylist() for c in ("longest", "longest_word", "longest_item")), strict=True)
+            best = [_longer(b, (-n, w, i) if n else None) for b, (n, w, i) in zip(best, old, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array([h.tobytes() for h in hits], pa.binary()), *_found(n_words, n_words, items, best)[2:]], names=batch.schema.names)
 
     return run
 
@@ -340,19 +336,16 @@ def remove(docs: DataFrame, bench: DataFrame, text_column: str = "text", item_co
     """docs, all columns, without the contaminated documents. Cases as in annotate()."""
     found = benchmark_blocks(bench, item_column, text_column, most)
     if len(found) > 1:
-        # the whole row rides along as one struct, so that any column names are safe
-        packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_id"), F.col(text_column).alias("text"))
-        judged = annotate(packed, bench.select(F.col(item_column).alias("item_id"), F.col(text_column).alias("text")), most=most)
+        rows = packed(docs, text=column(text_column)).withColumnRenamed("weft_row", "doc_id")
+        judged = annotate(rows, bench.select(F.col(item_column).alias("item_id"), F.col(text_column).alias("text")), most=most)
         return judged.where(~contaminated()).select("doc_id.*")
 
-    def run(batches):
-        tests = found[0].value if found else TestSuffixes([])
-        for batch in blocks(batches, text_column):
-            n_words, masks, _, _ = _judge(tests, batch.column(text_column))
-            n_hit = np.array([m.sum() for m in masks], np.int64)
-            yield batch.filter(pa.array(~((n_hit > 0) & (SHARE * n_hit >= n_words))))
+    def keep(batch):
+        n_words, masks, _, _ = _judge(found[0].value if found else TestSuffixes([]), batch.column("text"))
+        n_hit = np.array([m.sum() for m in masks], np.int64)
+        return ~((n_hit > 0) & (SHARE * n_hit >= n_words))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, keep, text_column)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import blocks, cut, plain, table
+from weftline.llm.common import blocks, cut, filtered, plain, table
 from weftline.llm.linear import fit_dense, logit, predict_dense, sigmoid
 from weftline.llm.words import mix, scan
 
@@ -218,12 +218,10 @@ def keep_good(docs: DataFrame, model: CoTrained, text_column: str = "text") -> D
     """docs, all columns, without the documents whose p_good is below THRESHOLD. Cases as in score()."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for batch in blocks(batches, text_column):
-            meta = [batch.column(c).to_pylist() if c in batch.schema.names else [None] * batch.num_rows for c in ("source", "lang", "n_chars")]
-            yield batch.filter(pa.array(shared.value.predict(batch.column(text_column), *meta) >= THRESHOLD))
+    def keep(batch):
+        return shared.value.predict(batch.column("text"), *(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars"))) >= THRESHOLD
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, keep, text_column, **dict(zip(("source", "lang", "n_chars"), _meta(docs), strict=True)))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import blocks, cut, plain, table
+from weftline.llm.common import blocks, cut, filtered, plain, table
 from weftline.llm.linear import Sparse, fit_sparse, logit, sigmoid
 from weftline.llm.words import KEEP, eight, hashes, lowered, mix, scan, spans
 
@@ -253,11 +253,7 @@ def remove(docs: DataFrame, chain: Chain, text_column: str = "text") -> DataFram
     """docs, all columns, without those whose first category's probability reaches the chain's threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
-    def run(batches):
-        for batch in blocks(batches, text_column):
-            yield batch.filter(pa.array(shared.value.predict(batch.column(text_column))[:, 0] < shared.value.threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, lambda batch: shared.value.predict(batch.column("text"))[:, 0] < shared.value.threshold, text_column)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
