@@ -1,19 +1,24 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counting: workers hash the words of whole training texts and of each pair of neighbours, add up
-equal ones over a few million words and send them on as packed arrays, dealt by hash; so a common word is
-one entry of an array per worker batch, and all segments are alike. A task adds up a segment and
-builds its part of the filter: an n-gram with count c is entered for the levels 1 to
-1 + floor(log(c) / log(LEVEL)). Probing asks for level after level until one is missing; the last
-found is the quantised count. Word probabilities interpolate bigram and unigram estimates with
-weights fitted, by how often the context was seen, on all training texts, each word's own occurrence
-taken out: estimates depend on three levels only (word, pair, context), so workers count the triples
-of levels, and the fit needs no more than these counts, however large the corpus.
-
-The filter, with exact word counts for the baseline, goes to the workers in broadcast blocks of at
-most BLOCK_MODEL bytes (whole segments). If the corpus needs more than one block, the texts pass
-once for each, and carry what earlier blocks knew of their words; no n-gram is dropped, and the
-memory of a worker stays bounded by one block and one block of texts.
+Counting: workers hash the words, pairs and triples of whole training texts, add up equal ones over a
+million words and send them on as packed arrays, dealt by hash; so a common word is one entry of an
+array per worker batch, and all segments are alike. A task adds up a segment and builds its part of
+the filter: an n-gram with count c is entered for every level whose least count c reaches. Probing
+asks for level after level until one is missing; the last found is the quantised count. Triples are
+entered from a count of two on, as is usual for that order.
+
+Probabilities: a pair's estimate is the least count of its level divided by its context's exact count, a
+triple's the same divided by the most that its context's level stands for. So estimates under one context
+sum to one at most, but for words that the filter only seems to hold. How many these may be is known from
+how full the filter is, and that much is added to the denominator (Totals.spare). Interpolation weights
+depend on how often the context was seen, and are fitted on all training texts, each word's own
+occurrence taken out. Estimates depend on a few levels only, so workers count tuples of levels, and the
+fit needs no more than these counts, however large the corpus.
+
+The filter, with exact word counts for the baseline, streams through the driver to the workers in
+broadcast pieces of at most PIECE bytes. A block is as many pieces as BLOCK_MODEL holds; if the corpus
+needs more than one block, the texts pass once for each, and carry what earlier blocks knew of their
+n-grams. No training text is left out, and the memory of driver and workers stays bounded.
 """
 
 from __future__ import annotations
@@ -24,29 +29,54 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from weftline.llm.common import blocks, cut, input_bytes, plain, table
+from weftline.llm.common import blocks, column, cut, input_bytes, plain, table
 from weftline.llm.words import mix, scan
 
-#: Base of the logarithm that counts are quantised by.
-LEVEL = 1.5
-#: Bits of filter for each entry, and probes: about one in eighty absent entries seems present.
-BITS, PROBES = 9, 5
-#: Most bytes of one broadcast block; a segment is far smaller (see SEGMENT_BYTES).
-BLOCK_MODEL = 256 << 20
+
+
+class Levels:
+    """Quantised counts: one level for each count up to `exact`, then levels whose least counts grow by a factor."""
+
+    def __init__(self, exact: int, growth: float, classes: int, top: int = 1 << 42):
+        """classes: how many further levels share a class; weights are fitted for classes."""
+        floors = list(range(exact + 1))
+        while floors[-1] < top:
+            floors.append(max(floors[-1] + 1, int(floors[-1] * growth)))
+        self.floors = np.array(floors, np.int64)
+        #: The most that a level stands for.
+        self.most = np.append(self.floors[1:], 1 << 60) - 1
+        number = np.arange(len(floors))
+        #: The level that represents a level's class, and the level without one occurrence.
+        self.representative = np.where(number <= 8, number, 8 + (number - 8) // classes * classes)
+        self.without_one = np.where(number <= exact, np.maximum(number - 1, 0), number)
+
+    def of(self, counts: np.ndarray) -> np.ndarray:
+        return (np.searchsorted(self.floors, counts, "right") - 1).astype(np.uint8)
+
+
+#: Levels of words, which are told apart finely, and of pairs and triples, which take a filter entry each.
+WORDS, GRAMS = Levels(16, 1.12, 8), Levels(8, 1.25, 4)
+#: Lanes of a filter: an entry sets some bits of one 64-bit cell in each.
+LANES = 3
+#: (bits of filter, bits set in a lane) for an n-gram's first entry, and for each further one, which is asked only
+#: where the first is there.
+FIRST, MORE = (28, 6), (12, 3)
+#: Least level that an order's n-grams are entered at.
+FIRST_LEVEL = {2: 1, 3: 2}
+#: Most bytes of one broadcast, and of all that one pass over the texts uses.
+PIECE, BLOCK_MODEL = 48 << 20, 512 << 20
 #: Input bytes per segment, which decides how finely n-grams are dealt.
 SEGMENT_BYTES = 4 << 20
 #: Words that a worker adds up before it sends them on.
 BATCH_WORDS = 1 << 20
-#: Rows of an Arrow batch; texts may be long, and a batch is held beside the model.
-BATCH_ROWS = 1000
-#: Levels that a worker takes at a time, one byte for each word.
-BLOCK_LEVELS = 1 << 17
+#: Words that are probed, or levels that are scored, at a time.
+PROBED, BLOCK_LEVELS = 1 << 16, 1 << 17
 FOLDS, HELD_OUT = 5, 1
-THRESHOLDS = LEVEL ** np.arange(1, 120)
-#: Count that a level stands for: the mean of the whole numbers in it.
-ESTIMATES = np.concatenate(([0.0], [(max(np.ceil(LEVEL ** (q - 1)), 1) + max(np.ceil(LEVEL**q) - 1, np.ceil(LEVEL ** (q - 1)), 1)) / 2 for q in range(1, 120)]))
 START, END = np.uint64(0x51A27), np.uint64(0xE2D)
+#: What blocks so far knew of the words of a text.
+STATE = {"counts": np.int64, "pairs": np.uint8, "triples": np.uint8}
 
 
 def fold(ids: list) -> np.ndarray:
@@ -54,8 +84,11 @@ def fold(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(("" if i is None else str(i)).encode()) % FOLDS for i in ids], np.int64)
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, words, pairs): hashes of each text's words and end, and of each with what precedes it."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, words, pairs, triples): hashes of each text's words and end, and of each with the one and two before it.
+
+    A text's first word has a start before it; its triple is its pair with another start.
+    """
     first, hashes, _, _ = scan(*plain(texts), "spaced")
     first = first + np.arange(len(first))
     words = np.empty(first[-1], np.uint64)
@@ -66,212 +99,320 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.empty_like(words)
     before[1:] = words[:-1]
     before[first[:-1]] = START
-    return first, words, mix(before * np.uint64(0xD6E8FEB86659FD93) + words)
+    pairs = join(before, words)
+    context = np.empty_like(words)
+    context[1:] = pairs[:-1]
+    context[first[:-1]] = START
+    return first, words, pairs, join(context, words)
+
+
+def join(context, word) -> np.ndarray:
+    """Hash of a context, given by its hash, and the word after it."""
+    return mix(np.asarray(context, np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.asarray(word, np.uint64))
+
+
+# counting
+
 
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs."""
+    size = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
-def _packed(words: list[np.ndarray], pairs: list[np.ndarray], segments: int):
-    shift = np.uint64(64 - (segments.bit_length() - 1))
-    rows = {c: [] for c in ("segment", "pair", "hashes", "counts")}
-    for is_pair, parts in ((False, words), (True, pairs)):
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(n, -1)
+    return out.view("<u8").ravel()
+
+
+def _packed(grams: dict[int, list[np.ndarray]], bits: int):
+    """Rows of (segment, order, n, steps, counts): each segment's hashes, ascending, as steps from one to the next."""
+    rows: list[tuple] = []
+    for order, parts in grams.items():
         values, counts = np.unique(np.concatenate(parts), return_counts=True)
-        while len(values):  # counts beyond 65,535 take several entries
-            at = np.searchsorted(values, np.arange(1, segments, dtype=np.uint64) << shift) if segments > 1 else []
-            for s, (v, c) in enumerate(zip(np.split(values, at), np.split(np.minimum(counts, 65535).astype(np.uint16), at), strict=True)):
-                if len(v):
-                    rows["segment"].append(s)
-                    rows["pair"].append(is_pair)
-                    rows["hashes"].append(v.tobytes())
-                    rows["counts"].append(c.tobytes())
-            counts = counts - np.minimum(counts, 65535)
-            values, counts = values[counts > 0], counts[counts > 0]
-    names = list(rows)
-    table_ = pa.table([pa.array(rows[c], t) for c, t in zip(names, (pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names)
-    yield from table_.to_batches(max_chunksize=64)
-
-
-def _sum(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    values = np.frombuffer(b"".join(r[0] for r in rows), np.uint64)
-    counts = np.frombuffer(b"".join(r[1] for r in rows), np.uint16)
+        segments = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
+        bounds = np.flatnonzero(np.diff(segments, prepend=-1, append=-1))
+        if order > 1:  # as many bits as tell the n-grams of a corpus of this size apart
+            values = values >> np.uint64(max(0, 24 - bits))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            rows.append((int(segments[a]), order, b - a, _pack(np.diff(values[a:b], prepend=np.uint64(0))), _pack(counts[a:b])))
+    made = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["segment", "gram", "n", "steps", "counts"])
+    yield from made.to_batches(max_chunksize=64)
+
+
+def _sum(rows: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    if not rows:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    values = np.concatenate([np.cumsum(_unpack(s, n), dtype=np.uint64) for n, s, _ in rows])
+    counts = np.concatenate([_unpack(c, n) for n, _, c in rows]).astype(np.int64)
     order = np.argsort(values, kind="stable")
-    values, counts = values[order], counts[order].astype(np.int64)
-    begins = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
-    return values[begins], np.add.reduceat(counts, begins) if len(begins) else counts
+    values, counts = values[order], counts[order]
+    begins = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return values[begins], np.add.reduceat(counts, begins)
+
+
+# the filter
+
+
+def _cells(entries: np.ndarray, lane: int, set_: int, size) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, bits set in it) of entries in one lane of so many cells."""
+    e = mix(entries + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 % 2**64))
+    cell = ((e >> np.uint64(32)) * np.asarray(size, np.uint64)) >> np.uint64(32)
+    bits = np.uint64(1) << (e & np.uint64(63))
+    for k in range(1, set_):
+        bits |= np.uint64(1) << ((e >> np.uint64(5 * k)) & np.uint64(63))
+    return cell.astype(np.int64), bits
+
+
+def _entry(grams: np.ndarray, level: int) -> np.ndarray:
+    return grams * np.uint64(0xFF51AFD7ED558CCD) + np.uint64(level * 0xC4CEB9FE1A85EC53 % 2**64)
 
 
-def _entries(hashes: np.ndarray, level) -> np.ndarray:
-    return mix(hashes + np.asarray(level).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _filter(grams: np.ndarray, levels: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """(cells of first entries, cells of further ones, chances that either seems to hold what it does not)."""
+    made, chances = [], []
+    for steps, (bits, set_) in (((least,), FIRST), (range(least + 1, int(levels.max(initial=0)) + 1), MORE)):
+        n = sum(int((levels >= step).sum()) for step in steps)
+        size = max(1, -(-n * bits // (64 * LANES)))
+        cells = np.zeros(LANES * size, np.uint64)
+        for step in steps:
+            entries = _entry(grams[levels >= step], step)
+            for lane in range(LANES):
+                at, mask = _cells(entries, lane, set_, size)
+                np.bitwise_or.at(cells, at + lane * size, mask)
+        made.append(cells)
+        full = np.bitwise_count(cells).reshape(LANES, size) / 64
+        chances.append(float(np.prod((full**set_).mean(axis=1))))
+    return *made, *chances
 
 
-def _places(entries: np.ndarray, probe: int, sizes) -> np.ndarray:
-    """Bit of an entry's probe, in a segment of so many bits."""
-    step = (entries >> np.uint64(32)) | np.uint64(1)
-    return ((entries & np.uint64(0xFFFFFFFF)) + step * np.uint64(probe) + np.uint64(probe * probe * probe)) % np.asarray(sizes, np.uint64)
+#: Columns of a built segment.
+SEGMENT = {"segment": "int", "words": "binary", "counts": "binary", "total": "bigint", "floors": "bigint", "distinct": "bigint"}
+SEGMENT |= {c + str(g): t for g in FIRST_LEVEL for c, t in (("first", "binary"), ("more", "binary"), ("chance", "double"), ("chances", "double"))}
+ARROW = {"int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "bigint": pa.int64()}
 
 
 def _build(group: pa.Table) -> pa.Table:
-    """A segment: its filter, and the exact counts of its words."""
-    kind = group.column("pair").to_pylist()
-    rows = list(zip(group.column("hashes").to_pylist(), group.column("counts").to_pylist(), strict=True))
-    words, n = _sum([r for r, p in zip(rows, kind, strict=True) if not p])
-    pairs, m = _sum([r for r, p in zip(rows, kind, strict=True) if p])
-    levels = 1 + np.searchsorted(THRESHOLDS, np.concatenate((n, m)), "right")
-    grams = np.concatenate((words, pairs))
-    size = max(64, int(levels.sum()) * BITS)
-    bits = np.zeros(-(-size // 8) * 8, bool)
-    for level in range(1, int(levels.max(initial=0)) + 1):
-        entries = _entries(grams[levels >= level], level)
-        for probe in range(PROBES):
-            bits[_places(entries, probe, size)] = True
-    return pa.table(
-        {
-            "segment": pa.array([group.column("segment")[0].as_py()], pa.int32()),
-            "size": pa.array([size], pa.int64()),
-            "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()),
-            "words": pa.array([words.tobytes()], pa.binary()),
-            "counts": pa.array([n.tobytes()], pa.binary()),
-            "total": pa.array([int(n.sum())], pa.int64()),
-            "distinct": pa.array([len(words)], pa.int64()),
-        }
-    )
-
-
-def _narrow(counts: np.ndarray) -> np.ndarray:
-    return counts if counts.max(initial=0) >> 32 else counts.astype(np.uint32)
-
-
-class Block:
+    """A segment: the exact counts of its words, and a filter of its pairs and one of its triples."""
+    kind = group.column("gram").to_pylist()
+    rows = list(zip(*(group.column(c).to_pylist() for c in ("n", "steps", "counts")), strict=True))
+    words, n = _sum([r for r, k in zip(rows, kind, strict=True) if k == 1])
+    out = {"segment": group.column("segment")[0].as_py(), "words": words.tobytes(), "counts": n.tobytes(), "total": int(n.sum()), "floors": int(WORDS.floors[WORDS.of(n)].sum()), "distinct": len(words)}
+    for order, least in FIRST_LEVEL.items():
+        grams, counts = _sum([r for r, k in zip(rows, kind, strict=True) if k == order])
+        levels = GRAMS.of(counts)
+        first, more, chance, chances = _filter(grams[levels >= least], levels[levels >= least], least)
+        out |= {f"first{order}": first.tobytes(), f"more{order}": more.tobytes(), f"chance{order}": chance, f"chances{order}": chances}
+    return pa.table([pa.array([out[c]], ARROW[t]) for c, t in SEGMENT.items()], list(SEGMENT))
+
+
+class Cells:
+    """The cells of several segments' filters, one after another."""
+
+    def __init__(self, parts: list[bytes], set_: int):
+        self.set = set_
+        sizes = np.array([len(p) // (8 * LANES) for p in parts], np.int64)
+        self.size, self.begin = sizes, (np.cumsum(sizes) - sizes) * LANES
+        self.cells = np.frombuffer(b"".join(parts), np.uint64)
+
+    def holds(self, entries: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Indices of the entries that the filter of their segment (which) seems to hold."""
+        left = np.arange(len(entries))
+        for lane in range(LANES):
+            own = which[left]
+            at, mask = _cells(entries[left], lane, self.set, self.size[own])
+            left = left[self.cells[self.begin[own] + lane * self.size[own] + at] & mask == mask]
+        return left
+
+
+class Piece:
     """Some segments of the model, as a worker holds them."""
 
-    def __init__(self, segments: int, parts: list[list]):
-        """parts: [segment, size, bits, words, counts] of each, emptied here."""
-        self.shift = np.uint64(64 - (segments.bit_length() - 1))
-        self.whole = segments == 1
-        self.offset, self.size = np.full(segments, -1, np.int64), np.ones(segments, np.int64)
-        # each kind of array leaves parts once it is copied, so that little is held twice
-        parts.sort(key=lambda p: p[0])
-        self.counts = np.concatenate([_narrow(np.frombuffer(p.pop(), np.int64)) for p in parts]) if parts else np.empty(0, np.int64)
-        self.words = np.frombuffer(b"".join([p.pop() for p in parts]), np.uint64)
-        self.bits = np.empty(sum(len(p[2]) for p in parts), np.uint8)
-        at = 0
-        for part in parts:
-            bits = part.pop()
-            self.offset[part[0]], self.size[part[0]] = at * 8, part[1]
-            self.bits[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
-            at += len(bits)
-
-    def level(self, hashes: np.ndarray) -> np.ndarray:
-        """Quantised counts: the last level in a row that the filter seems to hold, 0 if none."""
-        found = np.zeros(len(hashes), np.uint8)
-        segment = np.zeros(len(hashes), np.int64) if self.whole else (hashes >> self.shift).astype(np.int64)
-        open_ = np.flatnonzero(self.offset[segment] >= 0)
-        level = 1
-        while len(open_) and level < len(ESTIMATES):
-            for probe in range(PROBES):
-                own = segment[open_]
-                place = self.offset[own] + _places(_entries(hashes[open_], level), probe, self.size[own]).astype(np.int64)
-                open_ = open_[(self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
-            found[open_] = level
+    def __init__(self, bits: int, rows: list):
+        """rows: Rows of SEGMENT's columns."""
+        self.bits = bits
+        self.place = np.full(1 << bits, -1, np.int64)
+        self.place[[r["segment"] for r in rows]] = np.arange(len(rows))
+        words = np.frombuffer(b"".join([r["words"] for r in rows]), np.uint64)
+        order = np.argsort(words)
+        counts = np.frombuffer(b"".join([r["counts"] for r in rows]), np.int64)[order]
+        self.words, self.counts = words[order], counts if counts.max(initial=0) >> 32 else counts.astype(np.uint32)
+        self.filters = {g: (Cells([r[f"first{g}"] for r in rows], FIRST[1]), Cells([r[f"more{g}"] for r in rows], MORE[1])) for g in FIRST_LEVEL}
+
+    def count(self, words: np.ndarray) -> np.ndarray:
+        """Exact counts of words; 0 for what other pieces hold."""
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.counts[at].astype(np.int64), 0)
+
+    def level(self, hashes: np.ndarray, order: int, found: np.ndarray) -> None:
+        """Puts the levels of n-grams of this piece into found: the last in a row that the filter seems to hold."""
+        which = self.place[(hashes >> np.uint64(64 - self.bits)).astype(np.int64)] if self.bits else np.zeros(len(hashes), np.int64)
+        left = np.flatnonzero(which >= 0)
+        grams = hashes[left] >> np.uint64(max(0, 24 - self.bits))
+        which, level = which[left], FIRST_LEVEL[order]
+        first, more = self.filters[order]
+        cells = first
+        while len(left) and level < len(GRAMS.floors):
+            held = cells.holds(_entry(grams, level), which)
+            left, grams, which = left[held], grams[held], which[held]
+            found[left] = level
             level += 1
-        return found
+            cells = more
 
-    def probe(self, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(exact counts, word levels, pair levels); 0 for what other blocks hold."""
-        distinct, back = np.unique(words, return_inverse=True)
-        counts = np.zeros(len(distinct), np.int64)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
-            counts = np.where(self.words[at] == distinct, self.counts[at].astype(np.int64), 0)
-        return counts[back], self.level(distinct)[back], self.level(pairs)
+
+def probe(pieces, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exact word counts, pair levels, triple levels); 0 for what other blocks hold.
+
+    A triple is asked for only where its pair may be there, in this block or another.
+    """
+    counts = np.zeros(len(words), np.int64)
+    levels = {2: np.zeros(len(words), np.uint8), 3: np.zeros(len(words), np.uint8)}
+    distinct, back = np.unique(words, return_inverse=True)
+    for piece in pieces:
+        counts += piece.count(distinct)[back]
+        for order, grams in ((2, pairs), (3, triples)):
+            for begin in range(0, len(grams), PROBED):
+                piece.level(grams[begin : begin + PROBED], order, levels[order][begin : begin + PROBED])
+    return counts, levels[2], levels[3]
+
+
+# probabilities
 
 
 class Totals:
-    """What scoring needs beside the blocks: tokens, distinct words, interpolation weights."""
+    """What scoring needs beside the filter: sums over the words, chances of false entries, interpolation weights."""
 
-    def __init__(self, n: int, v: int):
-        self.n, self.v, self.weights = n, v, np.full(len(ESTIMATES), 0.1)
+    def __init__(self, n: int, floors: int, v: int, chance: dict[int, float], chances: dict[int, float]):
+        """n, floors, v: tokens, the sum of the least counts of the words' levels, distinct words; chance and chances:
+        that a filter of an order falsely seems to hold a first, a further entry."""
+        self.n, self.floors, self.v, self.chance, self.chances = n, floors, v, chance, chances
+        self.weights = {2: np.full(len(WORDS.floors), 0.1), 3: np.full(len(GRAMS.floors), 0.1)}
 
     def base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.5) / (self.n + 0.5 * (self.v + 1)))
+        """The baseline's probability of words by their exact counts."""
+        return (counts + 0.5) / (self.n + 0.5 * (self.v + 1))
 
-    def estimates(self, words, pairs, before, less: float = 0.0):
-        """(unigram, bigram) probabilities and the context's level; less is taken off counts."""
-        one = (np.maximum(ESTIMATES[words] - less, 0) + 0.5) / (self.n + 0.5 * (self.v + 1))
-        context = np.maximum(ESTIMATES[before] - less, 0)
-        two = np.minimum(1.0, np.divide(np.maximum(ESTIMATES[pairs] - less, 0), context, out=np.zeros(len(words)), where=context > 0))
-        return np.minimum(one, 1.0), two, np.where(context > 0, before, 0)
+    def spare(self, order: int, context: np.ndarray, after) -> np.ndarray:
+        """Most that words which the filter falsely seems to hold, or to hold more often, add up to under a context.
 
-    def fit(self, words, pairs, before, times, rounds: int = 20) -> None:
-        """Interpolation weights by expectation maximisation, each word's own occurrence left out.
+        context: the most that the context's level stands for; after: how many words are asked for. How many
+        of them seem to be there is all but Poisson distributed; five deviations beyond its mean, and one
+        more, are hardly ever met. A further entry adds one, or a quarter of a count above eight.
+        """
+        first = after * self.chance[order]
+        more = context * (1.25 * self.chances[order])
+        return FIRST_LEVEL[order] * (1 + first + 5 * np.sqrt(first)) + more + 5 * np.sqrt(more)
+
+    def estimates(self, words, pairs, triples, before, pairs_before):
+        """(one, two, three): probabilities by word, pair and triple, of the levels of these and of the word and pair before.
 
-        words, pairs, before: levels, which the training texts hold so many times.
+        Level 0 stands for a word that no training text has, and for a text's first word's context.
         """
-        one, two, context = self.estimates(words, pairs, before, 1.0)
-        seen = np.bincount(context, times, len(self.weights))
+        one = (WORDS.floors[words] + 0.5) / (self.floors + 0.5 * (self.v + 1))
+        known = (words > 0) & (before > 0)
+        context = WORDS.most[before]
+        two = np.where(known, GRAMS.floors[pairs], 0) / (context + self.spare(2, context, self.v))
+        after = np.minimum(context, self.v)  # a triple is asked for only if its pair seems to be there
+        context = GRAMS.most[pairs_before]
+        there = known & (pairs > 0) & (pairs_before > 0) & (triples >= FIRST_LEVEL[3])
+        three = np.where(there, GRAMS.floors[triples], 0) / (context + self.spare(3, context, after))
+        return one, np.minimum(two, 1.0), np.minimum(three, 1.0)
+
+    def shares(self, before, pairs_before) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of pair and triple for their contexts; none where there is no context."""
+        two, three = self.weights[2][WORDS.representative[before]], self.weights[3][GRAMS.representative[pairs_before]]
+        return np.where(before > 0, two, 0.0), np.where(pairs_before > 0, three, 0.0)
+
+    def probability(self, words, pairs, triples, before, pairs_before) -> np.ndarray:
+        one, two, three = self.estimates(words, pairs, triples, before, pairs_before)
+        v, w = self.shares(before, pairs_before)
+        return w * three + (1 - w) * (v * two + (1 - v) * one)
+
+    def fit(self, levels: list[np.ndarray], times: np.ndarray, rounds: int = 20) -> None:
+        """Interpolation weights by expectation maximisation.
+
+        levels: arguments of estimates(), of tokens whose own occurrence is taken out, as representatives
+        of their classes; times: how many tokens have them.
+        """
+        one, two, three = self.estimates(*levels)
+        before, pairs_before = levels[3], levels[4]
         for _ in range(rounds):
-            w = self.weights[context]
-            share = w * two / (w * two + (1 - w) * one)
-            # levels seen little lean on a common prior
-            self.weights = (np.bincount(context, share * times, len(self.weights)) + 1.0) / (seen + 20.0)
-        self.weights = np.minimum(self.weights, 0.99)
-        self.weights[0] = 0.0
-
-    def score(self, words, pairs, before) -> np.ndarray:
-        one, two, context = self.estimates(words, pairs, before)
-        w = self.weights[context]
-        return np.log10(w * two + (1 - w) * one)
-
-
-def _before(first: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Levels of the words before; a text's first word has none: unigram only."""
-    before = np.zeros_like(words)
-    before[1:] = words[:-1]
-    before[first[:-1]] = 0
-    return before
+            v, w = self.shares(before, pairs_before)
+            lower = v * two + (1 - v) * one
+            whole = w * three + (1 - w) * lower
+            by_three, by_two = w * three / whole * times, (1 - w) * v * two / whole * times
+            # classes seen little lean on a common prior
+            for order, context, mine, all_ in ((2, before, by_two, np.where(before > 0, times - by_three, 0)), (3, pairs_before, by_three, np.where(pairs_before > 0, times, 0))):
+                n = len(self.weights[order])
+                self.weights[order] = (np.bincount(context, mine, n) + 1.0) / (np.bincount(context, all_, n) + 20.0)
+
+
+def _before(first: np.ndarray, values: np.ndarray, start) -> np.ndarray:
+    """What is known of the word before; start for a text's first word."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[first[:-1]] = start
+    return out
 
 
 def _by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first[:-1]) if len(first) > 1 else np.empty(0)
 
 
+# the model
+
+
 class Model:
-    """Broadcast blocks and totals."""
+    """Broadcast pieces, by block, and totals."""
 
     def __init__(self, docs: DataFrame, id_column: str, text_column: str, most: int = BLOCK_MODEL, segment_bytes: int = SEGMENT_BYTES):
         spark = docs.sparkSession
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-        segments = 1 << max(0, min(20, (input_bytes(rows) // segment_bytes).bit_length()))
+        rows = docs.select(column(id_column).alias("doc_id"), column(text_column).alias("text"))
+        bits = min(20, (input_bytes(rows) // segment_bytes).bit_length())
 
         def count(batches):
-            words, pairs, n = [], [], 0
+            grams, n = {1: [], 2: [], 3: []}, 0
             for batch in blocks(batches):
                 batch = batch.filter(pa.array(fold(batch.column("doc_id").to_pylist()) != HELD_OUT))
                 if not batch.num_rows:
                     continue
-                _, w, p = tokens(batch.column("text"))
-                words.append(w)
-                pairs.append(p)
-                n += len(w)
+                _, *found = tokens(batch.column("text"))
+                for parts, more in zip(grams.values(), found, strict=True):
+                    parts.append(more)
+                n += len(found[0])
                 if n >= BATCH_WORDS:
-                    yield from _packed(words, pairs, segments)
-                    words, pairs, n = [], [], 0
+                    yield from _packed(grams, bits)
+                    grams, n = {1: [], 2: [], 3: []}, 0
             if n:
-                yield from _packed(words, pairs, segments)
-
-        packed = rows.mapInArrow(count, "segment int, pair boolean, hashes binary, counts binary")
-        built = cut(packed.groupBy("segment").applyInArrow(_build, "segment int, size bigint, bits binary, words binary, counts binary, total bigint, distinct bigint"))
-        sums = built.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
-        self.totals = Totals(sums["n"] or 0, sums["v"] or 0)
-        self.blocks = []
-        parts, size = [], 0
-        for row in built.select("segment", "size", "bits", "words", "counts").toLocalIterator():
-            n = len(row[2]) + len(row[3]) + len(row[4])
-            if parts and size + n > most:
-                self.blocks.append(spark.sparkContext.broadcast(Block(segments, parts)))
-                parts, size = [], 0
-            parts.append([row[0], row[1], bytes(row[2]), bytes(row[3]), bytes(row[4])])
-            size += n
-        self.blocks.append(spark.sparkContext.broadcast(Block(segments, parts)))
+                yield from _packed(grams, bits)
+
+        packed = rows.mapInArrow(count, "segment int, gram int, n bigint, steps binary, counts binary")
+        built = cut(packed.groupBy("segment").applyInArrow(_build, ", ".join(f"{c} {t}" for c, t in SEGMENT.items())))
+        sums = {"total": 0, "floors": 0, "distinct": 0}
+        false = {c + str(g): 0.0 for g in FIRST_LEVEL for c in ("chance", "chances")}
+        self.blocks, block, size, part, held = [], [], 0, [], 0
+        segments = 0
+        # one segment after another: the driver holds a piece at a time
+        for row in built.toLocalIterator():
+            n = sum(len(x) for x in row if isinstance(x, (bytes, bytearray)))
+            if part and held + n > PIECE or part and size + n > most:
+                block.append(spark.sparkContext.broadcast(Piece(bits, part)))
+                part, held = [], 0
+            if block and size + n > most:
+                self.blocks.append(block)
+                block, size = [], 0
+            part.append(row)
+            held, size, segments = held + n, size + n, segments + 1
+            sums = {c: v + row[c] for c, v in sums.items()}
+            false = {c: v + row[c] for c, v in false.items()}
+        block.append(spark.sparkContext.broadcast(Piece(bits, part)))
+        self.blocks.append(block)
+        share = {c: v / max(segments, 1) for c, v in false.items()}
+        self.totals = Totals(*sums.values(), *({g: share[c + str(g)] for g in FIRST_LEVEL} for c in ("chance", "chances")))
 
 
 def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: int = BLOCK_MODEL, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -282,37 +423,34 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     table gives an empty result; without training texts probabilities are those of the smoothing
     alone; other columns are ignored.
     """
-    kind = docs.schema[id_column].dataType.simpleString()
     model = Model(docs, id_column, text_column, most, segment_bytes)
     totals, n_train = model.totals, model.totals.n
-    now = docs.select(F.col(id_column), F.col(text_column).alias("text"), *(F.lit(None).cast("binary").alias(c) for c in STATE))
+    state = StructType([StructField("id", docs.schema[id_column].dataType), *StructType.fromDDL("text string, " + ", ".join(f"{c} binary" for c in STATE)).fields])
+    now = docs.select(column(id_column).alias("id"), column(text_column).alias("text"), *(F.lit(None).cast("binary").alias(c) for c in STATE))
     for block in model.blocks[:-1]:
-        now = cut(now.mapInArrow(_pass(block), now.schema))
-    probed = cut(now.mapInArrow(_last(model.blocks[-1], totals), f"`{id_column}` {kind}, held_out boolean, n_known bigint, base_score double, words binary, pairs binary"))
+        now = cut(now.mapInArrow(_pass(block), state))
+    levels = StructType([state["id"], *StructType.fromDDL("held_out boolean, n_known bigint, base_score double, words binary, pairs binary, triples binary").fields])
+    probed = cut(now.mapInArrow(_last(model.blocks[-1], totals, levels.names), levels))
     _fit(probed, totals)
-    names = [id_column, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    out = StructType([docs.schema[id_column], *StructType.fromDDL("held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double").fields])
 
     def finish(batches):
         for batch in blocks(batches, "words", BLOCK_LEVELS):
-            first, words, pairs = _levels(batch)
+            first, *found = _levels(batch)
             ids, held, known, base = (batch.column(i) for i in range(4))
             n = np.diff(first)
-            score_ = _by_text(totals.score(words, pairs, _before(first, words)), first)
-            yield pa.RecordBatch.from_arrays([ids, held, pa.array(n), known, pa.array(np.full(len(n), n_train)), base, pa.array(score_)], names)
+            score_ = _by_text(np.log10(totals.probability(*_seen(first, *found))), first)
+            yield pa.RecordBatch.from_arrays([ids, held, pa.array(n), known, pa.array(np.full(len(n), n_train)), base, pa.array(score_)], names=out.names)
 
-    return probed.mapInArrow(finish, f"`{id_column}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-
-
-#: What blocks so far knew of the words of a text.
-STATE = {"counts": np.int64, "words": np.uint8, "pairs": np.uint8}
+    return probed.mapInArrow(finish, out)
 
 
 def _known(block, batches):
-    """(batch, first, counts, word levels, pair levels), with what earlier blocks knew."""
+    """(batch, first, counts, pair levels, triple levels), with what earlier blocks knew."""
     for batch in blocks(batches):
-        first, words, pairs = tokens(batch.column("text"))
+        first, *grams = tokens(batch.column("text"))
         found = []
-        for (c, t), new in zip(STATE.items(), block.value.probe(words, pairs), strict=True):
+        for (c, t), new in zip(STATE.items(), probe([p.value for p in block], *grams), strict=True):
             old = batch.column(c).to_pylist()
             if old[0] is not None:
                 new = new + np.frombuffer(b"".join(old), t)
@@ -327,47 +465,54 @@ def _binary(values: np.ndarray, first: np.ndarray) -> pa.Array:
 def _pass(block):
     def run(batches):
         for batch, first, *found in _known(block, batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(_binary(x, first) for x in found)], batch.schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(_binary(x, first) for x in found)], names=batch.schema.names)
 
     return run
 
 
-def _last(block, totals):
-    """The last pass keeps the levels, and of the counts what results need."""
+def _last(block, totals, names):
+    """The last pass keeps the levels, and of the exact counts what results need."""
 
     def run(batches):
-        for batch, first, counts, words, pairs in _known(block, batches):
+        for batch, first, counts, pairs, triples in _known(block, batches):
             held = fold(batch.column(0).to_pylist()) == HELD_OUT
-            known, base = _by_text((counts > 0).astype(np.int64), first), _by_text(totals.base(counts), first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held), pa.array(known), pa.array(base), _binary(words, first), _binary(pairs, first)], [batch.schema.names[0], "held_out", "n_known", "base_score", "words", "pairs"])
+            known, base = _by_text((counts > 0).astype(np.int64), first), _by_text(np.log10(totals.base(counts)), first)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held), pa.array(known), pa.array(base), *(_binary(x, first) for x in (WORDS.of(counts), pairs, triples))], names=names)
 
     return run
 
 
-def _levels(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, word levels, pair levels) of a batch of _last()."""
-    words, pairs = (batch.column(c).to_pylist() for c in ("words", "pairs"))
-    first = np.concatenate(([0], np.cumsum([len(x) for x in words], dtype=np.int64)))
-    return first, np.frombuffer(b"".join(words), np.uint8), np.frombuffer(b"".join(pairs), np.uint8)
+def _levels(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(first, levels of words, pairs, triples) of a batch of _last()."""
+    found = [batch.column(c).to_pylist() for c in ("words", "pairs", "triples")]
+    first = np.concatenate(([0], np.cumsum([len(x) for x in found[0]], dtype=np.int64)))
+    return first, *(np.frombuffer(b"".join(x), np.uint8) for x in found)
+
+
+def _seen(first, words, pairs, triples):
+    """Arguments of Totals.estimates() from levels."""
+    return words, pairs, triples, _before(first, words, 0), _before(first, pairs, 0)
 
 
 def _fit(probed: DataFrame, totals: Totals) -> None:
-    """Fits the weights on all training texts: at most one row for each triple of levels reaches the driver."""
-    base = len(ESTIMATES)
+    """Fits the weights on all training texts: at most one row for each tuple of classes reaches the driver."""
 
     def count(batches):
-        times = np.zeros(base**3, np.int64)
+        tuples, times = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in blocks(batches, "words", BLOCK_LEVELS):
-            first, words, pairs = _levels(batch)
-            triples, n = np.unique((words.astype(np.int64) * base + pairs) * base + _before(first, words), return_counts=True)
-            times[triples] += n
-        found = np.flatnonzero(times)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times[found])], ["triple", "n"])
-
-    got = probed.where("not held_out").select("words", "pairs").mapInArrow(count, "triple bigint, n bigint").groupBy("triple").agg(F.sum("n").alias("n")).orderBy("triple").toArrow()
-    triples, times = (got.column(c).to_numpy() for c in ("triple", "n"))
-    if len(triples):
-        totals.fit(triples // base**2, triples // base % base, triples % base, times)
+            key = np.zeros(1, np.int64)
+            for x, kind in zip(_seen(*_levels(batch)), (WORDS, GRAMS, GRAMS, WORDS, GRAMS), strict=True):
+                key = key << 8 | kind.representative[kind.without_one[x]]
+            found, n = np.unique(key, return_counts=True)
+            tuples, back = np.unique(np.concatenate((tuples, found)), return_inverse=True)
+            times = np.bincount(back, np.concatenate((times, n)), len(tuples)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(tuples), pa.array(times)], ["levels", "n"])
+
+    rows = probed.where("not held_out").select("words", "pairs", "triples")
+    got = rows.mapInArrow(count, "levels bigint, n bigint").groupBy("levels").agg(F.sum("n").alias("n")).orderBy("levels").toArrow()
+    tuples, times = (got.column(c).to_numpy() for c in ("levels", "n"))
+    if len(tuples):
+        totals.fit([tuples >> k & 255 for k in (32, 24, 16, 8, 0)], times)
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
