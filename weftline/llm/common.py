@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,6 +28,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, computed once, as a compressed table in a folder of its own in the shared one, and that folder."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that written() made."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets the cleaner remove shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def input_bytes(df: DataFrame) -> int:
     """Size that the optimizer estimates for df, from file sizes; reads no data."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from weftline.llm.common import blocks, column, cut, input_bytes, plain, table
+from weftline.llm.common import blocks, column, delete, input_bytes, plain, sweep, table, written
 from weftline.llm.words import mix, scan
 
 
@@ -70,7 +70,7 @@ PIECE, BLOCK_MODEL = 48 << 20, 512 << 20
 #: Input bytes per segment, which decides how finely n-grams are dealt.
 SEGMENT_BYTES = 4 << 20
 #: Words that a worker adds up before it sends them on.
-BATCH_WORDS = 1 << 20
+BATCH_WORDS = 3 << 20
 #: Words that are probed, or levels that are scored, at a time.
 PROBED, BLOCK_LEVELS = 1 << 16, 1 << 17
 FOLDS, HELD_OUT = 5, 1
@@ -127,6 +127,14 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _key(hashes: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """Words keep their hash; n-grams as many of its bits as tell those of a corpus with 2**bits segments apart.
+
+    Of all n-grams about one in 100,000 shares its key with another, no more than the filter itself confuses.
+    """
+    return hashes if order == 1 else hashes >> np.uint64(max(0, 28 - bits))
+
+
 def _packed(grams: dict[int, list[np.ndarray]], bits: int):
     """Rows of (segment, order, n, steps, counts): each segment's hashes, ascending, as steps from one to the next."""
     rows: list[tuple] = []
@@ -134,8 +142,7 @@ def _packed(grams: dict[int, list[np.ndarray]], bits: int):
         values, counts = np.unique(np.concatenate(parts), return_counts=True)
         segments = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
         bounds = np.flatnonzero(np.diff(segments, prepend=-1, append=-1))
-        if order > 1:  # as many bits as tell the n-grams of a corpus of this size apart
-            values = values >> np.uint64(max(0, 24 - bits))
+        values = _key(values, order, bits)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             rows.append((int(segments[a]), order, b - a, _pack(np.diff(values[a:b], prepend=np.uint64(0))), _pack(counts[a:b])))
     made = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["segment", "gram", "n", "steps", "counts"])
@@ -252,7 +259,7 @@ class Piece:
         """Puts the levels of n-grams of this piece into found: the last in a row that the filter seems to hold."""
         which = self.place[(hashes >> np.uint64(64 - self.bits)).astype(np.int64)] if self.bits else np.zeros(len(hashes), np.int64)
         left = np.flatnonzero(which >= 0)
-        grams = hashes[left] >> np.uint64(max(0, 24 - self.bits))
+        grams = _key(hashes[left], order, self.bits)
         which, level = which[left], FIRST_LEVEL[order]
         first, more = self.filters[order]
         cells = first
@@ -391,13 +398,14 @@ class Model:
                 yield from _packed(grams, bits)
 
         packed = rows.mapInArrow(count, "segment int, gram int, n bigint, steps binary, counts binary")
-        built = cut(packed.groupBy("segment").applyInArrow(_build, ", ".join(f"{c} {t}" for c, t in SEGMENT.items())))
+        built, folder = written(packed.groupBy("segment").applyInArrow(_build, ", ".join(f"{c} {t}" for c, t in SEGMENT.items())))
+        sweep(spark)
         sums = {"total": 0, "floors": 0, "distinct": 0}
         false = {c + str(g): 0.0 for g in FIRST_LEVEL for c in ("chance", "chances")}
         self.blocks, block, size, part, held = [], [], 0, [], 0
         segments = 0
-        # one segment after another: the driver holds a piece at a time
-        for row in built.toLocalIterator():
+        # one file after another, and a piece at a time, so that the driver never holds the model
+        for row in (row for path in sorted(built.inputFiles()) for row in spark.read.schema(built.schema).parquet(path).toLocalIterator()):
             n = sum(len(x) for x in row if isinstance(x, (bytes, bytearray)))
             if part and held + n > PIECE or part and size + n > most:
                 block.append(spark.sparkContext.broadcast(Piece(bits, part)))
@@ -413,6 +421,7 @@ class Model:
         self.blocks.append(block)
         share = {c: v / max(segments, 1) for c, v in false.items()}
         self.totals = Totals(*sums.values(), *({g: share[c + str(g)] for g in FIRST_LEVEL} for c in ("chance", "chances")))
+        delete(spark, folder)
 
 
 def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: int = BLOCK_MODEL, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -427,10 +436,18 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     totals, n_train = model.totals, model.totals.n
     state = StructType([StructField("id", docs.schema[id_column].dataType), *StructType.fromDDL("text string, " + ", ".join(f"{c} binary" for c in STATE)).fields])
     now = docs.select(column(id_column).alias("id"), column(text_column).alias("text"), *(F.lit(None).cast("binary").alias(c) for c in STATE))
+    before = None
     for block in model.blocks[:-1]:
-        now = cut(now.mapInArrow(_pass(block), state))
+        now, folder = written(now.mapInArrow(_pass(block), state))
+        if before:
+            delete(docs.sparkSession, before)
+        before = folder
+        _release(block)
     levels = StructType([state["id"], *StructType.fromDDL("held_out boolean, n_known bigint, base_score double, words binary, pairs binary, triples binary").fields])
-    probed = cut(now.mapInArrow(_last(model.blocks[-1], totals, levels.names), levels))
+    probed, _ = written(now.mapInArrow(_last(model.blocks[-1], totals, levels.names), levels))
+    if before:
+        delete(docs.sparkSession, before)
+    _release(model.blocks[-1])
     _fit(probed, totals)
     out = StructType([docs.schema[id_column], *StructType.fromDDL("held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double").fields])
 
@@ -445,6 +462,12 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return probed.mapInArrow(finish, out)
 
 
+def _release(block) -> None:
+    """Frees a block's broadcasts; what was computed with them is written."""
+    for piece in block:
+        piece.destroy()
+
+
 def _known(block, batches):
     """(batch, first, counts, pair levels, triple levels), with what earlier blocks knew."""
     for batch in blocks(batches):
