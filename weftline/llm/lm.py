@@ -66,7 +66,7 @@ FIRST, MORE = (28, 6), (12, 3)
 #: Least level that an order's n-grams are entered at.
 FIRST_LEVEL = {2: 1, 3: 2}
 #: Most bytes of one broadcast, and of all that one pass over the texts uses.
-PIECE, BLOCK_MODEL = 48 << 20, 512 << 20
+PIECE, BLOCK_MODEL = 12 << 20, 512 << 20
 #: Input bytes per segment, which decides how finely n-grams are dealt.
 SEGMENT_BYTES = 4 << 20
 #: Words that a worker adds up before it sends them on.
@@ -238,15 +238,15 @@ class Piece:
     """Some segments of the model, as a worker holds them."""
 
     def __init__(self, bits: int, rows: list):
-        """rows: Rows of SEGMENT's columns."""
+        """rows: SEGMENT's columns by name; emptied here, so that little is held twice."""
         self.bits = bits
         self.place = np.full(1 << bits, -1, np.int64)
         self.place[[r["segment"] for r in rows]] = np.arange(len(rows))
-        words = np.frombuffer(b"".join([r["words"] for r in rows]), np.uint64)
+        words = np.frombuffer(b"".join([r.pop("words") for r in rows]), np.uint64)
         order = np.argsort(words)
-        counts = np.frombuffer(b"".join([r["counts"] for r in rows]), np.int64)[order]
+        counts = np.frombuffer(b"".join([r.pop("counts") for r in rows]), np.int64)[order]
         self.words, self.counts = words[order], counts if counts.max(initial=0) >> 32 else counts.astype(np.uint32)
-        self.filters = {g: (Cells([r[f"first{g}"] for r in rows], FIRST[1]), Cells([r[f"more{g}"] for r in rows], MORE[1])) for g in FIRST_LEVEL}
+        self.filters = {g: (Cells([r.pop(f"first{g}") for r in rows], FIRST[1]), Cells([r.pop(f"more{g}") for r in rows], MORE[1])) for g in FIRST_LEVEL}
 
     def count(self, words: np.ndarray) -> np.ndarray:
         """Exact counts of words; 0 for what other pieces hold."""
@@ -405,18 +405,19 @@ class Model:
         self.blocks, block, size, part, held = [], [], 0, [], 0
         segments = 0
         # one file after another, and a piece at a time, so that the driver never holds the model
-        for row in (row for path in sorted(built.inputFiles()) for row in spark.read.schema(built.schema).parquet(path).toLocalIterator()):
-            n = sum(len(x) for x in row if isinstance(x, (bytes, bytearray)))
-            if part and held + n > PIECE or part and size + n > most:
-                block.append(spark.sparkContext.broadcast(Piece(bits, part)))
-                part, held = [], 0
-            if block and size + n > most:
-                self.blocks.append(block)
-                block, size = [], 0
-            part.append(row)
-            held, size, segments = held + n, size + n, segments + 1
-            sums = {c: v + row[c] for c, v in sums.items()}
-            false = {c: v + row[c] for c, v in false.items()}
+        for path in sorted(built.inputFiles()):
+            for row in spark.read.schema(built.schema).parquet(path).toLocalIterator():
+                n = sum(len(x) for x in row if isinstance(x, (bytes, bytearray)))
+                if part and held + n > PIECE or part and size + n > most:
+                    block.append(spark.sparkContext.broadcast(Piece(bits, part)))
+                    part, held = [], 0
+                if block and size + n > most:
+                    self.blocks.append(block)
+                    block, size = [], 0
+                part.append(row.asDict())
+                held, size, segments = held + n, size + n, segments + 1
+                sums = {c: v + row[c] for c, v in sums.items()}
+                false = {c: v + row[c] for c, v in false.items()}
         block.append(spark.sparkContext.broadcast(Piece(bits, part)))
         self.blocks.append(block)
         share = {c: v / max(segments, 1) for c, v in false.items()}
