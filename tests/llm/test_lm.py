@@ -91,6 +91,11 @@ class Brute:
         return w * three + (1 - w) * (v * two + (1 - v) * one)
 
 
+def held(model):
+    ((_, pieces),) = model.blocks
+    return lm.Block.of_pieces([p.value for p in pieces])
+
+
 def corpus(spark):
     return ODD + [r.text for r in table(spark, DATA, "documents").orderBy("doc_id").limit(60).collect()]
 
@@ -138,9 +143,9 @@ def test_scores_are_brute_force(model):
 def test_levels_are_those_of_exact_counts(model):
     texts, _, made = model
     counts = trained(texts)
-    pieces = [p.value for p in made.blocks[0]]
+    block = held(made)
     first, words, pairs, triples = lm.tokens(pa.array(texts))
-    exact, two, three = lm.probe(pieces, words, pairs, triples)
+    exact, two, three = lm.probe(block, words, pairs, triples)
     at = wrong = 0
     for t in texts:
         w = ["<s>", *words_of(t)]
@@ -157,22 +162,22 @@ def test_levels_are_those_of_exact_counts(model):
 def test_probabilities_sum_to_one_at_most(spark, model):
     """Over all words and an unknown one, after 300 contexts of two words, rare ones and unseen ones among them."""
     texts, _, made = model
-    pieces, totals = [p.value for p in made.blocks[0]], made.totals
-    vocabulary = np.concatenate([np.concatenate([p.words for p in pieces]), [np.uint64(12345)]])
+    block, totals = held(made), made.totals
+    vocabulary = np.concatenate([block.words, [np.uint64(12345)]])
     rng = np.random.default_rng(0)
     first, words, pairs, _ = lm.tokens(pa.array(texts))
     inner = np.setdiff1d(np.arange(1, len(words)), first)
-    places = np.concatenate((rng.choice(inner, 150), inner[np.argsort(lm.probe(pieces, words, pairs, pairs)[0][inner - 1])[:: max(1, len(inner) // 150)]]))
+    places = np.concatenate((rng.choice(inner, 150), inner[np.argsort(lm.probe(block, words, pairs, pairs)[0][inner - 1])[:: max(1, len(inner) // 150)]]))
     sums = []
     for p in places:
         # the pair at p is the context; words[p] is the last word before the one that is asked for
         here = np.full(len(vocabulary), words[p])
-        counts, two, three = lm.probe(pieces, vocabulary, lm.join(here, vocabulary), lm.join(np.full(len(vocabulary), pairs[p]), vocabulary))
-        (before,), (pair_before,), _ = lm.probe(pieces, words[p : p + 1], pairs[p : p + 1], pairs[p : p + 1])
+        counts, two, three = lm.probe(block, vocabulary, lm.join(here, vocabulary), lm.join(np.full(len(vocabulary), pairs[p]), vocabulary))
+        (before,), (pair_before,), _ = lm.probe(block, words[p : p + 1], pairs[p : p + 1], pairs[p : p + 1])
         known = totals.probability(lm.WORDS.of(counts), two, three, np.full(len(vocabulary), lm.WORDS.of(np.array([before]))[0]), np.full(len(vocabulary), pair_before))
         sums.append(known.sum())
     assert len(sums) >= 300 and max(sums) <= 1 + 1e-6 and min(sums) > 0.3
-    alone = totals.probability(lm.WORDS.of(lm.probe(pieces, vocabulary, vocabulary, vocabulary)[0]), *(np.zeros(len(vocabulary), np.uint8) for _ in range(4))).sum()
+    alone = totals.probability(lm.WORDS.of(lm.probe(block, vocabulary, vocabulary, vocabulary)[0]), *(np.zeros(len(vocabulary), np.uint8) for _ in range(4))).sum()
     assert alone == pytest.approx(1)
 
 
@@ -182,7 +187,7 @@ def test_weights_come_from_all_training_texts(spark):
     rows = docs(spark, texts)
     made = lm.Model(rows, "doc_id", "text")
     first, *grams = lm.tokens(pa.array(texts))
-    counts, two, three = lm.probe([p.value for p in made.blocks[0]], *grams)
+    counts, two, three = lm.probe(held(made), *grams)
     train = np.repeat(lm.fold(range(len(texts))) != lm.HELD_OUT, np.diff(first))
     seen = lm._seen(first, lm.WORDS.of(counts), two, three)
     kinds = (lm.WORDS, lm.GRAMS, lm.GRAMS, lm.WORDS, lm.GRAMS)
@@ -233,7 +238,7 @@ def test_filter_never_misses_and_seldom_invents():
     grams = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
     levels = lm.GRAMS.of(rng.geometric(0.3, len(grams)))
     first, more, chance, chances = lm._filter(grams, levels, 1)
-    a, b = lm.Cells([first.tobytes()], lm.FIRST[1]), lm.Cells([more.tobytes()], lm.MORE[1])
+    a, b = lm.Cells([first], lm.FIRST[1]), lm.Cells([more], lm.MORE[1])
     here = np.zeros(len(grams), np.int64)
     assert len(a.holds(lm._entry(grams, 1), here)) == len(grams)
     assert set(np.flatnonzero(levels >= 3)) <= set(b.holds(lm._entry(grams, 3), here))

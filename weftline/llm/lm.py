@@ -23,6 +23,7 @@ n-grams. No training text is left out, and the memory of driver and workers stay
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -69,10 +70,12 @@ FIRST_LEVEL = {2: 1, 3: 2}
 PIECE, BLOCK_MODEL = 12 << 20, 512 << 20
 #: Input bytes per segment, which decides how finely n-grams are dealt.
 SEGMENT_BYTES = 4 << 20
+#: Binary logarithm of the segments where the input's size is not known.
+UNKNOWN_BITS = 8
 #: Words that a worker adds up before it sends them on.
 BATCH_WORDS = 3 << 20
 #: Words that are probed, or levels that are scored, at a time.
-PROBED, BLOCK_LEVELS = 1 << 16, 1 << 17
+PROBED, BLOCK_LEVELS = 1 << 17, 1 << 17
 FOLDS, HELD_OUT = 5, 1
 START, END = np.uint64(0x51A27), np.uint64(0xE2D)
 #: What blocks so far knew of the words of a text.
@@ -218,11 +221,18 @@ def _build(group: pa.Table) -> pa.Table:
 class Cells:
     """The cells of several segments' filters, one after another."""
 
-    def __init__(self, parts: list[bytes], set_: int):
+    def __init__(self, parts: list[np.ndarray], set_: int):
+        """parts: the cells of each, emptied here."""
         self.set = set_
-        sizes = np.array([len(p) // (8 * LANES) for p in parts], np.int64)
-        self.size, self.begin = sizes, (np.cumsum(sizes) - sizes) * LANES
-        self.cells = np.frombuffer(b"".join(parts), np.uint64)
+        self.size = np.array([len(p) // LANES for p in parts], np.int64)
+        self.begin = (np.cumsum(self.size) - self.size) * LANES
+        self.cells = np.empty(self.size.sum() * LANES, np.uint64)
+        for k, at in enumerate(self.begin):
+            self.cells[at : at + len(parts[k])] = parts[k]
+            parts[k] = None
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.cells[b : b + LANES * n] for b, n in zip(self.begin, self.size, strict=True)]
 
     def holds(self, entries: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Indices of the entries that the filter of their segment (which) seems to hold."""
@@ -234,19 +244,39 @@ class Cells:
         return left
 
 
-class Piece:
+class Block:
     """Some segments of the model, as a worker holds them."""
 
-    def __init__(self, bits: int, rows: list):
-        """rows: SEGMENT's columns by name; emptied here, so that little is held twice."""
-        self.bits = bits
+    def __init__(self, bits: int, segments: list[int], words: np.ndarray, counts: np.ndarray, cells: dict[int, tuple[list, list]]):
+        self.bits, self.segments = bits, segments
         self.place = np.full(1 << bits, -1, np.int64)
-        self.place[[r["segment"] for r in rows]] = np.arange(len(rows))
-        words = np.frombuffer(b"".join([r.pop("words") for r in rows]), np.uint64)
+        self.place[segments] = np.arange(len(segments))
         order = np.argsort(words)
-        counts = np.frombuffer(b"".join([r.pop("counts") for r in rows]), np.int64)[order]
-        self.words, self.counts = words[order], counts if counts.max(initial=0) >> 32 else counts.astype(np.uint32)
-        self.filters = {g: (Cells([r.pop(f"first{g}") for r in rows], FIRST[1]), Cells([r.pop(f"more{g}") for r in rows], MORE[1])) for g in FIRST_LEVEL}
+        counts = counts if counts.max(initial=0) >> 32 else counts.astype(np.uint32)
+        self.words, self.counts = words[order], counts[order]
+        self.filters = {g: (Cells(first, FIRST[1]), Cells(more, MORE[1])) for g, (first, more) in cells.items()}
+
+    @staticmethod
+    def of_rows(bits: int, rows: list[dict]) -> Block:
+        """rows: SEGMENT's columns by name; emptied here, so that little is held twice."""
+        numbers = lambda c, kind: [np.frombuffer(r.pop(c), kind) for r in rows]
+        whole = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+        words, counts = (whole(numbers(c, t), t) for c, t in (("words", np.uint64), ("counts", np.int64)))
+        return Block(bits, [r["segment"] for r in rows], words, counts, {g: (numbers(f"first{g}", np.uint64), numbers(f"more{g}", np.uint64)) for g in FIRST_LEVEL})
+
+    @staticmethod
+    def of_pieces(pieces: list) -> Block:
+        """One block of several, which an iterator yields."""
+        bits, segments, words, counts, cells = 0, [], [], [], {g: ([], []) for g in FIRST_LEVEL}
+        for piece in pieces:
+            bits = piece.bits
+            segments += piece.segments
+            words.append(piece.words)
+            counts.append(piece.counts)
+            for g, filters in piece.filters.items():
+                for whole, part in zip(cells[g], filters, strict=True):
+                    whole += part.parts()
+        return Block(bits, segments, np.concatenate(words), np.concatenate(counts), cells)
 
     def count(self, words: np.ndarray) -> np.ndarray:
         """Exact counts of words; 0 for what other pieces hold."""
@@ -271,20 +301,33 @@ class Piece:
             cells = more
 
 
-def probe(pieces, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(exact word counts, pair levels, triple levels); 0 for what other blocks hold.
-
-    A triple is asked for only where its pair may be there, in this block or another.
-    """
-    counts = np.zeros(len(words), np.int64)
-    levels = {2: np.zeros(len(words), np.uint8), 3: np.zeros(len(words), np.uint8)}
+def probe(block: Block, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exact word counts, pair levels, triple levels); 0 for what other blocks hold."""
     distinct, back = np.unique(words, return_inverse=True)
-    for piece in pieces:
-        counts += piece.count(distinct)[back]
-        for order, grams in ((2, pairs), (3, triples)):
-            for begin in range(0, len(grams), PROBED):
-                piece.level(grams[begin : begin + PROBED], order, levels[order][begin : begin + PROBED])
-    return counts, levels[2], levels[3]
+    found = []
+    for order, grams in ((2, pairs), (3, triples)):
+        levels = np.zeros(len(words), np.uint8)
+        for begin in range(0, len(grams), PROBED):
+            block.level(grams[begin : begin + PROBED], order, levels[begin : begin + PROBED])
+        found.append(levels)
+    return block.count(distinct)[back], *found
+
+
+#: The block that a worker holds, with its name; the pieces that it was made of are not kept.
+_held: dict[str, Block] = {}
+
+
+def _load(name: str, pieces: list) -> Block:
+    if name not in _held:
+        _held.clear()
+
+        def each():
+            for piece in pieces:
+                yield piece.value
+                piece.__dict__.pop("_value", None)
+
+        _held[name] = Block.of_pieces(each())
+    return _held[name]
 
 
 # probabilities
@@ -374,12 +417,14 @@ def _by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Broadcast pieces, by block, and totals."""
+    """Blocks, each a name and broadcast pieces, and totals."""
 
     def __init__(self, docs: DataFrame, id_column: str, text_column: str, most: int = BLOCK_MODEL, segment_bytes: int = SEGMENT_BYTES):
         spark = docs.sparkSession
         rows = docs.select(column(id_column).alias("doc_id"), column(text_column).alias("text"))
-        bits = min(20, (input_bytes(rows) // segment_bytes).bit_length())
+        size = input_bytes(rows)
+        # a plan that starts from no files has no known size
+        bits = min(20, (size // segment_bytes).bit_length()) if size < 1 << 60 else UNKNOWN_BITS
 
         def count(batches):
             grams, n = {1: [], 2: [], 3: []}, 0
@@ -409,17 +454,17 @@ class Model:
             for row in spark.read.schema(built.schema).parquet(path).toLocalIterator():
                 n = sum(len(x) for x in row if isinstance(x, (bytes, bytearray)))
                 if part and held + n > PIECE or part and size + n > most:
-                    block.append(spark.sparkContext.broadcast(Piece(bits, part)))
+                    block.append(spark.sparkContext.broadcast(Block.of_rows(bits, part)))
                     part, held = [], 0
                 if block and size + n > most:
-                    self.blocks.append(block)
+                    self.blocks.append((uuid.uuid4().hex, block))
                     block, size = [], 0
                 part.append(row.asDict())
                 held, size, segments = held + n, size + n, segments + 1
                 sums = {c: v + row[c] for c, v in sums.items()}
                 false = {c: v + row[c] for c, v in false.items()}
-        block.append(spark.sparkContext.broadcast(Piece(bits, part)))
-        self.blocks.append(block)
+        block.append(spark.sparkContext.broadcast(Block.of_rows(bits, part)))
+        self.blocks.append((uuid.uuid4().hex, block))
         share = {c: v / max(segments, 1) for c, v in false.items()}
         self.totals = Totals(*sums.values(), *({g: share[c + str(g)] for g in FIRST_LEVEL} for c in ("chance", "chances")))
         delete(spark, folder)
@@ -465,16 +510,17 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 def _release(block) -> None:
     """Frees a block's broadcasts; what was computed with them is written."""
-    for piece in block:
+    for piece in block[1]:
         piece.destroy()
 
 
 def _known(block, batches):
     """(batch, first, counts, pair levels, triple levels), with what earlier blocks knew."""
+    held = _load(*block)
     for batch in blocks(batches):
         first, *grams = tokens(batch.column("text"))
         found = []
-        for (c, t), new in zip(STATE.items(), probe([p.value for p in block], *grams), strict=True):
+        for (c, t), new in zip(STATE.items(), probe(held, *grams), strict=True):
             old = batch.column(c).to_pylist()
             if old[0] is not None:
                 new = new + np.frombuffer(b"".join(old), t)
