@@ -67,7 +67,7 @@ FIRST, MORE = (28, 6), (12, 3)
 #: Least level that an order's n-grams are entered at.
 FIRST_LEVEL = {2: 1, 3: 2}
 #: Most bytes of one broadcast, and of all that one pass over the texts uses.
-PIECE, BLOCK_MODEL = 12 << 20, 512 << 20
+PIECE, BLOCK_MODEL = 8 << 20, 512 << 20
 #: Input bytes per segment, which decides how finely n-grams are dealt.
 SEGMENT_BYTES = 4 << 20
 #: Binary logarithm of the segments where the input's size is not known.
@@ -451,15 +451,15 @@ class Model:
         segments = 0
         # one file after another, and a piece at a time, so that the driver never holds the model
         for path in sorted(built.inputFiles()):
-            for row in spark.read.schema(built.schema).parquet(path).toLocalIterator():
-                n = sum(len(x) for x in row if isinstance(x, (bytes, bytearray)))
+            for row in _rows(spark.read.schema(built.schema).parquet(path)):
+                n = sum(len(x) for x in row.values() if isinstance(x, bytes))
                 if part and held + n > PIECE or part and size + n > most:
                     block.append(spark.sparkContext.broadcast(Block.of_rows(bits, part)))
                     part, held = [], 0
                 if block and size + n > most:
                     self.blocks.append((uuid.uuid4().hex, block))
                     block, size = [], 0
-                part.append(row.asDict())
+                part.append(row)
                 held, size, segments = held + n, size + n, segments + 1
                 sums = {c: v + row[c] for c, v in sums.items()}
                 false = {c: v + row[c] for c, v in false.items()}
@@ -470,6 +470,13 @@ class Model:
         delete(spark, folder)
 
 
+def _rows(df: DataFrame):
+    """The rows of a small table as dictionaries, one after another."""
+    found = df.toArrow()
+    for k in range(found.num_rows):
+        yield found.slice(k, 1).to_pylist()[0]
+
+
 def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: int = BLOCK_MODEL, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text.
 
