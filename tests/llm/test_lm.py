@@ -93,7 +93,7 @@ class Brute:
 
 def held(model):
     ((_, pieces),) = model.blocks
-    return lm.Block.of_pieces([p.value for p in pieces])
+    return lm.Block.of_pieces([shape for _, shape in pieces], (p.value for p, _ in pieces))
 
 
 def corpus(spark):
@@ -238,7 +238,7 @@ def test_filter_never_misses_and_seldom_invents():
     grams = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
     levels = lm.GRAMS.of(rng.geometric(0.3, len(grams)))
     first, more, chance, chances = lm._filter(grams, levels, 1)
-    a, b = lm.Cells([first], lm.FIRST[1]), lm.Cells([more], lm.MORE[1])
+    a, b = (lm.Cells(np.array([len(x) // lm.LANES]), x, bits[1]) for x, bits in ((first, lm.FIRST), (more, lm.MORE)))
     here = np.zeros(len(grams), np.int64)
     assert len(a.holds(lm._entry(grams, 1), here)) == len(grams)
     assert set(np.flatnonzero(levels >= 3)) <= set(b.holds(lm._entry(grams, 3), here))

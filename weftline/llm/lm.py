@@ -221,18 +221,10 @@ def _build(group: pa.Table) -> pa.Table:
 class Cells:
     """The cells of several segments' filters, one after another."""
 
-    def __init__(self, parts: list[np.ndarray], set_: int):
-        """parts: the cells of each, emptied here."""
-        self.set = set_
-        self.size = np.array([len(p) // LANES for p in parts], np.int64)
-        self.begin = (np.cumsum(self.size) - self.size) * LANES
-        self.cells = np.empty(self.size.sum() * LANES, np.uint64)
-        for k, at in enumerate(self.begin):
-            self.cells[at : at + len(parts[k])] = parts[k]
-            parts[k] = None
-
-    def parts(self) -> list[np.ndarray]:
-        return [self.cells[b : b + LANES * n] for b, n in zip(self.begin, self.size, strict=True)]
+    def __init__(self, size: np.ndarray, cells: np.ndarray, set_: int):
+        """size: cells of each segment's lanes."""
+        self.size, self.cells, self.set = size, cells, set_
+        self.begin = (np.cumsum(size) - size) * LANES
 
     def holds(self, entries: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Indices of the entries that the filter of their segment (which) seems to hold."""
@@ -247,36 +239,41 @@ class Cells:
 class Block:
     """Some segments of the model, as a worker holds them."""
 
-    def __init__(self, bits: int, segments: list[int], words: np.ndarray, counts: np.ndarray, cells: dict[int, tuple[list, list]]):
-        self.bits, self.segments = bits, segments
+    def __init__(self, bits: int, segments: np.ndarray, words: np.ndarray, counts: np.ndarray, filters: dict[int, tuple[Cells, Cells]]):
+        self.bits, self.segments, self.filters = bits, segments, filters
         self.place = np.full(1 << bits, -1, np.int64)
         self.place[segments] = np.arange(len(segments))
         order = np.argsort(words)
-        counts = counts if counts.max(initial=0) >> 32 else counts.astype(np.uint32)
         self.words, self.counts = words[order], counts[order]
-        self.filters = {g: (Cells(first, FIRST[1]), Cells(more, MORE[1])) for g, (first, more) in cells.items()}
 
     @staticmethod
     def of_rows(bits: int, rows: list[dict]) -> Block:
-        """rows: SEGMENT's columns by name; emptied here, so that little is held twice."""
-        numbers = lambda c, kind: [np.frombuffer(r.pop(c), kind) for r in rows]
-        whole = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-        words, counts = (whole(numbers(c, t), t) for c, t in (("words", np.uint64), ("counts", np.int64)))
-        return Block(bits, [r["segment"] for r in rows], words, counts, {g: (numbers(f"first{g}", np.uint64), numbers(f"more{g}", np.uint64)) for g in FIRST_LEVEL})
+        """rows: SEGMENT's columns by name."""
+        whole = lambda c, kind: np.frombuffer(b"".join([r[c] for r in rows]), kind)
+        cells = lambda c, set_: Cells(np.array([len(r[c]) // (8 * LANES) for r in rows], np.int64), whole(c, np.uint64), set_)
+        counts = whole("counts", np.int64)
+        counts = counts if counts.max(initial=0) >> 32 else counts.astype(np.uint32)
+        return Block(bits, np.array([r["segment"] for r in rows], np.int64), whole("words", np.uint64), counts, {g: (cells(f"first{g}", FIRST[1]), cells(f"more{g}", MORE[1])) for g in FIRST_LEVEL})
+
+    def arrays(self) -> list[np.ndarray]:
+        return [self.segments, self.words, self.counts, *(x for pair in self.filters.values() for f in pair for x in (f.size, f.cells))]
+
+    def shape(self) -> list[tuple]:
+        return [(len(x), x.dtype) for x in self.arrays()]
 
     @staticmethod
-    def of_pieces(pieces: list) -> Block:
-        """One block of several, which an iterator yields."""
-        bits, segments, words, counts, cells = 0, [], [], [], {g: ([], []) for g in FIRST_LEVEL}
+    def of_pieces(shapes: list[list[tuple]], pieces) -> Block:
+        """One block of several of these shapes, which are asked for one after another and not kept."""
+        whole = [np.empty(sum(n for n, _ in parts), max(kind for _, kind in parts)) for parts in zip(*shapes, strict=True)]
+        at, bits = [0] * len(whole), 0
         for piece in pieces:
             bits = piece.bits
-            segments += piece.segments
-            words.append(piece.words)
-            counts.append(piece.counts)
-            for g, filters in piece.filters.items():
-                for whole, part in zip(cells[g], filters, strict=True):
-                    whole += part.parts()
-        return Block(bits, segments, np.concatenate(words), np.concatenate(counts), cells)
+            for k, x in enumerate(piece.arrays()):
+                whole[k][at[k] : at[k] + len(x)] = x
+                at[k] += len(x)
+        segments, words, counts, *rest = whole
+        cells = [Cells(size, found, set_) for size, found, set_ in zip(rest[::2], rest[1::2], (FIRST[1], MORE[1]) * len(FIRST_LEVEL), strict=True)]
+        return Block(bits, segments, words, counts, dict(zip(FIRST_LEVEL, zip(cells[::2], cells[1::2], strict=True), strict=True)))
 
     def count(self, words: np.ndarray) -> np.ndarray:
         """Exact counts of words; 0 for what other pieces hold."""
@@ -322,11 +319,11 @@ def _load(name: str, pieces: list) -> Block:
         _held.clear()
 
         def each():
-            for piece in pieces:
+            for piece, _ in pieces:
                 yield piece.value
                 piece.__dict__.pop("_value", None)
 
-        _held[name] = Block.of_pieces(each())
+        _held[name] = Block.of_pieces([shape for _, shape in pieces], each())
     return _held[name]
 
 
@@ -417,7 +414,7 @@ def _by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Blocks, each a name and broadcast pieces, and totals."""
+    """Blocks, each a name and broadcast pieces with their shapes, and totals."""
 
     def __init__(self, docs: DataFrame, id_column: str, text_column: str, most: int = BLOCK_MODEL, segment_bytes: int = SEGMENT_BYTES):
         spark = docs.sparkSession
@@ -449,12 +446,17 @@ class Model:
         false = {c + str(g): 0.0 for g in FIRST_LEVEL for c in ("chance", "chances")}
         self.blocks, block, size, part, held = [], [], 0, [], 0
         segments = 0
+
+        def send(block, part):
+            piece = Block.of_rows(bits, part)
+            block.append((spark.sparkContext.broadcast(piece), piece.shape()))
+
         # one file after another, and a piece at a time, so that the driver never holds the model
         for path in sorted(built.inputFiles()):
             for row in _rows(spark.read.schema(built.schema).parquet(path)):
                 n = sum(len(x) for x in row.values() if isinstance(x, bytes))
                 if part and held + n > PIECE or part and size + n > most:
-                    block.append(spark.sparkContext.broadcast(Block.of_rows(bits, part)))
+                    send(block, part)
                     part, held = [], 0
                 if block and size + n > most:
                     self.blocks.append((uuid.uuid4().hex, block))
@@ -463,7 +465,7 @@ class Model:
                 held, size, segments = held + n, size + n, segments + 1
                 sums = {c: v + row[c] for c, v in sums.items()}
                 false = {c: v + row[c] for c, v in false.items()}
-        block.append(spark.sparkContext.broadcast(Block.of_rows(bits, part)))
+        send(block, part)
         self.blocks.append((uuid.uuid4().hex, block))
         share = {c: v / max(segments, 1) for c, v in false.items()}
         self.totals = Totals(*sums.values(), *({g: share[c + str(g)] for g in FIRST_LEVEL} for c in ("chance", "chances")))
@@ -517,7 +519,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 def _release(block) -> None:
     """Frees a block's broadcasts; what was computed with them is written."""
-    for piece in block[1]:
+    for piece, _ in block[1]:
         piece.destroy()
 
 
