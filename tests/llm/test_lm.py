@@ -93,7 +93,7 @@ class Brute:
 
 def held(model):
     ((_, pieces),) = model.blocks
-    return lm.Block.of_pieces([shape for _, shape in pieces], (p.value for p, _ in pieces))
+    return lm.Block.of_pieces([outline for _, outline in pieces], (p.value for p, _ in pieces))
 
 
 def corpus(spark):

@@ -239,41 +239,49 @@ class Cells:
 class Block:
     """Some segments of the model, as a worker holds them."""
 
-    def __init__(self, bits: int, segments: np.ndarray, words: np.ndarray, counts: np.ndarray, filters: dict[int, tuple[Cells, Cells]]):
-        self.bits, self.segments, self.filters = bits, segments, filters
+    def __init__(self, bits: int, segments: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, filters: dict[int, tuple[Cells, Cells]]):
+        """sizes: words of each segment; words are in ascending order, as segments are their upper bits."""
+        self.bits, self.segments, self.sizes, self.words, self.counts, self.filters = bits, segments, sizes, words, counts, filters
         self.place = np.full(1 << bits, -1, np.int64)
         self.place[segments] = np.arange(len(segments))
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
 
     @staticmethod
     def of_rows(bits: int, rows: list[dict]) -> Block:
         """rows: SEGMENT's columns by name."""
+        rows = sorted(rows, key=lambda r: r["segment"])
+        numbers = lambda c: np.array([r[c] for r in rows], np.int64)
         whole = lambda c, kind: np.frombuffer(b"".join([r[c] for r in rows]), kind)
         cells = lambda c, set_: Cells(np.array([len(r[c]) // (8 * LANES) for r in rows], np.int64), whole(c, np.uint64), set_)
         counts = whole("counts", np.int64)
         counts = counts if counts.max(initial=0) >> 32 else counts.astype(np.uint32)
-        return Block(bits, np.array([r["segment"] for r in rows], np.int64), whole("words", np.uint64), counts, {g: (cells(f"first{g}", FIRST[1]), cells(f"more{g}", MORE[1])) for g in FIRST_LEVEL})
+        return Block(bits, numbers("segment"), numbers("distinct"), whole("words", np.uint64), counts, {g: (cells(f"first{g}", FIRST[1]), cells(f"more{g}", MORE[1])) for g in FIRST_LEVEL})
 
-    def arrays(self) -> list[np.ndarray]:
-        return [self.segments, self.words, self.counts, *(x for pair in self.filters.values() for f in pair for x in (f.size, f.cells))]
-
-    def shape(self) -> list[tuple]:
-        return [(len(x), x.dtype) for x in self.arrays()]
+    def outline(self) -> tuple:
+        """What of_pieces() must know beforehand."""
+        return self.bits, self.segments, self.sizes, self.counts.dtype, {g: [f.size for f in pair] for g, pair in self.filters.items()}
 
     @staticmethod
-    def of_pieces(shapes: list[list[tuple]], pieces) -> Block:
-        """One block of several of these shapes, which are asked for one after another and not kept."""
-        whole = [np.empty(sum(n for n, _ in parts), max(kind for _, kind in parts)) for parts in zip(*shapes, strict=True)]
-        at, bits = [0] * len(whole), 0
+    def of_pieces(outlines: list[tuple], pieces) -> Block:
+        """One block of several with these outlines, which are asked for one after another and not kept."""
+        bits, segments, sizes = outlines[0][0], *(np.concatenate([o[k] for o in outlines]) for k in (1, 2))
+        order = np.argsort(segments)
+        begins = np.empty(len(order), np.int64)
+        begins[order] = np.cumsum(sizes[order]) - sizes[order]
+        words, counts = np.empty(sizes.sum(), np.uint64), np.empty(sizes.sum(), max(o[3] for o in outlines))
+        size = {g: [np.concatenate([o[4][g][k] for o in outlines]) for k in range(2)] for g in FIRST_LEVEL}
+        filters = {g: tuple(Cells(n, np.empty(n.sum() * LANES, np.uint64), set_) for n, (_, set_) in zip(two, (FIRST, MORE), strict=True)) for g, two in size.items()}
+        done, filled = 0, {(g, k): 0 for g in FIRST_LEVEL for k in range(2)}
         for piece in pieces:
-            bits = piece.bits
-            for k, x in enumerate(piece.arrays()):
-                whole[k][at[k] : at[k] + len(x)] = x
-                at[k] += len(x)
-        segments, words, counts, *rest = whole
-        cells = [Cells(size, found, set_) for size, found, set_ in zip(rest[::2], rest[1::2], (FIRST[1], MORE[1]) * len(FIRST_LEVEL), strict=True)]
-        return Block(bits, segments, words, counts, dict(zip(FIRST_LEVEL, zip(cells[::2], cells[1::2], strict=True), strict=True)))
+            at = 0
+            for begin, n in zip(begins[done : done + len(piece.segments)].tolist(), piece.sizes.tolist(), strict=True):
+                words[begin : begin + n], counts[begin : begin + n] = piece.words[at : at + n], piece.counts[at : at + n]
+                at += n
+            done += len(piece.segments)
+            for (g, k), at in filled.items():
+                cells = piece.filters[g][k].cells
+                filters[g][k].cells[at : at + len(cells)] = cells
+                filled[g, k] = at + len(cells)
+        return Block(bits, segments, sizes, words, counts, filters)
 
     def count(self, words: np.ndarray) -> np.ndarray:
         """Exact counts of words; 0 for what other pieces hold."""
@@ -323,7 +331,7 @@ def _load(name: str, pieces: list) -> Block:
                 yield piece.value
                 piece.__dict__.pop("_value", None)
 
-        _held[name] = Block.of_pieces([shape for _, shape in pieces], each())
+        _held[name] = Block.of_pieces([outline for _, outline in pieces], each())
     return _held[name]
 
 
@@ -414,7 +422,7 @@ def _by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Blocks, each a name and broadcast pieces with their shapes, and totals."""
+    """Blocks, each a name and broadcast pieces with their outlines, and totals."""
 
     def __init__(self, docs: DataFrame, id_column: str, text_column: str, most: int = BLOCK_MODEL, segment_bytes: int = SEGMENT_BYTES):
         spark = docs.sparkSession
@@ -449,7 +457,7 @@ class Model:
 
         def send(block, part):
             piece = Block.of_rows(bits, part)
-            block.append((spark.sparkContext.broadcast(piece), piece.shape()))
+            block.append((spark.sparkContext.broadcast(piece), piece.outline()))
 
         # one file after another, and a piece at a time, so that the driver never holds the model
         for path in sorted(built.inputFiles()):
