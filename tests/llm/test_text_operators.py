@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,9 +83,36 @@ def test_decoding_of_any_ids(library, model):
     assert [model.decode(x) for x in lists] == [library.decode(x) for x in lists]
 
 
-def test_long_words_take_few_rounds(library, model):
-    text = "".join(random.Random(5).choice("abcdefgh") for _ in range(100_000))
-    assert model.encode([text])[0] == library.encode(text, add_eos=True)
+def unbroken(library, seed, n):
+    rng = random.Random(seed)
+    pieces = [p.replace("▁", "") for p in (library.id_to_piece(i) for i in range(300, 32000)) if p.isalpha()]
+    return {
+        "letters": "".join(rng.choice("abcdefgh") for _ in range(n)),
+        "all letters": "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFéüñ") for _ in range(n)),
+        "pieces": "".join(rng.choice(pieces) for _ in range(n // 5)),
+        "one": "a" * n,
+        "two": "ab" * (n // 2),
+        "runs": "".join(rng.choice("abeo") * rng.randint(1, 40) for _ in range(n // 20)),
+        "dashes": "".join(rng.choice("-=_*") * rng.randint(1, 60) for _ in range(n // 30)),
+        "odd": "".join(rng.choice("th🎉日éer<0x41>") for _ in range(n)),
+    }
+
+
+@pytest.mark.parametrize("n", [40, 300, 3000])
+def test_unbroken_texts_are_the_librarys(library, model, n):
+    for seed in range(6):
+        for name, text in unbroken(library, seed, n).items():
+            assert model.encode([text])[0] == library.encode(text, add_eos=True), (name, seed)
+    texts = [t for seed in range(6) for t in unbroken(library, seed, n).values()]
+    assert model.encode([" ".join(texts)])[0] == library.encode(" ".join(texts), add_eos=True)
+
+
+def test_a_million_letters_take_seconds(library, model):
+    for name, text in unbroken(library, 5, 1_000_000).items():
+        began = time.monotonic()
+        got = model.encode([text])[0]
+        assert time.monotonic() - began < 25, name
+        assert got == library.encode(text, add_eos=True), name
 
 
 def test_sentencepiece_tables(spark, library):

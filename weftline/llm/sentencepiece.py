@@ -5,7 +5,11 @@ be merged alone. The words of a batch that are not known yet are laid out in one
 symbols. Each round finds for every word the least rank among its adjacent pairs (a segmented
 minimum), merges that pair in all words at once, leftmost first, and compacts the array; words
 without a pair left drop out. Ranks follow the model's scores; equal scores go to the leftmost pair,
-as in the library. Rounds are as many as the longest chain of different merges in one word.
+as in the library. So a short word takes as many rounds as it has different merges.
+
+Parts of more than LONG characters without a cut (letters run together, say) merge in each round all
+pairs whose turn is sure to come, not the least alone (_merge_long), so that rounds stay few whatever the
+length. Memory is about 100 bytes for each character of such a part.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ CACHE_WORDS = 200_000
 #: Symbols merged at a time.
 ROUND_SYMBOLS = 1 << 18
 NONE = np.int64(1) << 40
+#: Characters of a part without cuts beyond which all pairs that are sure to merge do so in one round.
+LONG = 32
 
 
 def model_path() -> str:
@@ -148,6 +154,7 @@ class Model:
         self.one_by_one = np.zeros(self.n_pieces, bool)
         for piece, i in normal.items():
             self.one_by_one[i] = piece in sooner or counts[rank_of[piece]] > 1
+        self._trie(normal, rank_of)
         # cuts: between two characters that stand together in no piece
         self.joined = np.unique(np.array([ord(a) << 32 | ord(b) for p in normal for a, b in zip(p, p[1:], strict=False)], np.int64))
         runs = {len(p) for p in normal if set(p) == {SPACE}}
@@ -165,6 +172,21 @@ class Model:
             raise ValueError("pieces with a space after other characters are not supported")
         self.words = re.compile(rf"{SPACE}{{{self.longest_run}}}(?={SPACE})|{SPACE}*[^{SPACE}]+|{SPACE}+")
 
+    def _trie(self, normal: dict[str, int], rank_of: dict[str, int]) -> None:
+        """Beginnings of pieces as numbered nodes: from a node and a character to the next, and what piece ends there."""
+        nodes, steps = {"": 0}, {}
+        for piece in normal:
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in nodes:
+                    nodes[piece[:k]] = len(nodes)
+                    steps[nodes[piece[: k - 1]] << 21 | ord(piece[k - 1])] = nodes[piece[:k]]
+        self.step_keys = np.array(sorted(steps), np.int64)
+        self.step_to = np.array([steps[k] for k in self.step_keys.tolist()], np.int64)
+        self.node_rank, self.node_piece = np.full(len(nodes), NONE), np.full(len(nodes), -1, np.int64)
+        for piece, i in normal.items():
+            self.node_rank[nodes[piece]], self.node_piece[nodes[piece]] = rank_of[piece], i
+        self.longest_piece = max(map(len, normal))
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
 
@@ -220,7 +242,16 @@ class Model:
         near = np.minimum(np.searchsorted(self.joined, pairs), len(self.joined) - 1)
         cut = (self.joined[near] != pairs) | (word[1:] != word[:-1])
         part = np.concatenate(([0], np.cumsum(cut)))
-        symbols, part = self._merge(symbols, part)
+        sizes = np.bincount(part)
+        far = sizes[part] > LONG
+        if far.any():
+            long = self._merge_long(codes[far], symbols[far], part[far])
+            near = self._merge(symbols[~far], part[~far])
+            symbols, part = (np.concatenate(x) for x in zip(long, near, strict=True))
+            order = np.argsort(part, kind="stable")
+            symbols, part = symbols[order], part[order]
+        else:
+            symbols, part = self._merge(symbols, part)
         # words from parts, then bytes for what is no piece
         firsts = np.concatenate(([0], np.flatnonzero(cut) + 1))
         owner = word[firsts][part]
@@ -277,6 +308,93 @@ class Model:
         order = np.argsort(place, kind="stable")
         return symbols[order], part[order]
 
+    def _merge_long(self, codes: np.ndarray, symbols: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As _merge(), with as many merges in a round as are sure to happen.
+
+        One at a time, the least pair would merge, of equal ones the leftmost. So before a pair of rank r
+        merges, others merge only if their rank is below r, or r and they stand to the left. Its left symbol can
+        be lost to nothing but a piece that ends with it and begins at a symbol before it, its right symbol
+        to nothing but a piece that begins with it and ends at a later symbol's end. If the text has no such
+        piece of a rank that comes before r, the pair's turn is sure to come, wherever other merges happen.
+        Of a chain of overlapping pairs of one rank every second merges, from the left.
+        """
+        n = len(codes)
+        if not n:
+            return symbols, part
+        # nodes[k, p]: the trie's node for the k characters from p on, 0 if no piece begins so
+        nodes = np.zeros((self.longest_piece + 1, n), np.int32)
+        alive, node = np.arange(n), np.zeros(n, np.int64)
+        for k in range(1, self.longest_piece + 1):
+            inside = alive + k <= n
+            alive, node = alive[inside], node[inside]
+            inside = part[alive + k - 1] == part[alive]
+            alive, node = alive[inside], node[inside]
+            keys = node << 21 | codes[alive + k - 1]
+            at = np.minimum(np.searchsorted(self.step_keys, keys), len(self.step_keys) - 1)
+            hit = self.step_keys[at] == keys
+            alive, node = alive[hit], self.step_to[at[hit]]
+            if not len(alive):
+                break
+            nodes[k, alive] = node
+        deepest = k
+
+        def rank_of(begin, length):
+            """Rank of the text of so many characters as a piece."""
+            fits = (length <= deepest) & (begin >= 0) & (begin < n)
+            return np.where(fits, self.node_rank[nodes[np.where(fits, length, 0), np.where(fits, begin, 0)]], NONE)
+
+        begins, lengths = np.arange(n), np.ones(n, np.int64)
+        edge = np.ones(n + 1, bool)  # where a symbol begins, and the end
+        rank = np.append(rank_of(begins[:-1], lengths[:-1] + 1), NONE)
+        while (live := rank < NONE).any():
+            before = np.concatenate(([NONE], rank[:-1]))
+            after = np.append(rank[1:], NONE)
+            sure = np.flatnonzero(live & (rank <= before) & (rank <= after))
+            r = rank[sure]
+            left, right = begins[sure], begins[sure + 1]
+            n_left, n_right = lengths[sure], lengths[sure + 1]
+            neighbour = np.where(sure > 0, lengths[np.maximum(sure, 1) - 1], 0)
+            ok = np.ones(len(sure), bool)
+            for k in range(1, deepest):
+                at = np.flatnonzero(ok)
+                if not len(at):
+                    break
+                # a symbol of k characters that could stand before the left symbol, or after the right one
+                start = left[at] - k
+                there = (start >= 0) & edge[np.maximum(start, 0)] & (k != neighbour[at])
+                if k > 1:
+                    there &= rank_of(start, np.full(len(at), k)) < NONE
+                lost = there & (rank_of(start, n_left[at] + k) <= r[at])
+                stop = right[at] + n_right[at] + k
+                there = (stop <= n) & edge[np.minimum(stop, n)]
+                if k > 1:
+                    there &= rank_of(right[at] + n_right[at], np.full(len(at), k)) < NONE
+                lost |= there & (rank_of(right[at], n_right[at] + k) < r[at])
+                ok[at[lost]] = False
+            sure, r = sure[ok], r[ok]
+            # chains of overlapping pairs: equal ranks, as each is least beside the other
+            linked = np.concatenate(([False], (sure[1:] == sure[:-1] + 1) & (r[1:] == r[:-1])))
+            head = np.maximum.accumulate(np.where(linked, 0, np.arange(len(sure))))
+            # a chain whose first pair has an equal to its left that is not sure has to wait
+            waits = before[sure] == r
+            chosen = sure[((np.arange(len(sure)) - head) % 2 == 0) & ~waits[head]]
+            # the least pair of all, leftmost, is always next
+            chosen = np.union1d(chosen, [int(np.argmin(rank))])
+            chosen = chosen[np.concatenate(([True], np.diff(chosen) > 1))]
+            lengths[chosen] += lengths[chosen + 1]
+            edge[begins[chosen + 1]] = False
+            keep = np.ones(len(begins), bool)
+            keep[chosen + 1] = False
+            begins, lengths = begins[keep], lengths[keep]
+            changed = np.zeros(len(keep), bool)
+            changed[chosen] = True
+            changed[chosen[chosen > 0] - 1] = True
+            changed[chosen[chosen > 1] - 2] = True  # the symbol before the pair may be one that has just grown
+            rank, changed = rank[keep], np.flatnonzero(changed[keep][:-1])
+            rank[changed] = rank_of(begins[changed], lengths[changed] + lengths[changed + 1])
+            rank[-1] = NONE
+        return np.where(lengths > 1, self.node_piece[nodes[lengths, begins]], symbols[begins]), part[begins]
+
     def _ids(self, symbols: np.ndarray, owner: np.ndarray, n: int) -> list[list[int]]:
         odd = (symbols < 0) | (symbols >= self.n_pieces)
         if odd.any():
