@@ -3,6 +3,7 @@
 import hashlib
 import html as escapes
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -178,9 +179,35 @@ def test_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
-@pytest.mark.parametrize("page", ["<div>" * 50_000 + "x", "<p>a, b</p>" * 30_000, "<a href='" * 20_000, "<b><p>" * 5_000, "<!-- " * 50_000, "<ul><li>x" * 5_000, "<table><tr><td>x" * 3_000])
-def test_pages_of_any_depth_and_length(page):
-    html.main_text(page)
+HOSTILE = {
+    "deep": "<div>" * 200_000 + "x",
+    "paragraphs": "<p>a, b</p>" * 100_000,
+    "quotes": "<a href='" * 120_000,
+    "inline": "<b><p>" * 100_000,
+    "comments": "<!-- " * 200_000,
+    "lists": "<ul><li>x" * 100_000,
+    "tables": "<table><tr><td>x" * 60_000,
+    "names": "<title" * 170_000,
+    "names that end": "<title" * 170_000 + ">",
+    "walls": "<p><button>" + "<div>" * 200_000,
+    "ends": "<div>" + "<b>" * 100_000 + "</i>" * 100_000 + "</p>" * 50_000,
+    "raw": "<script>" + "</scrip" * 140_000,
+    "slashes": "</ " * 300_000 + ">",
+    "references": "&amp" * 250_000 + "&#" * 100_000,
+    "cells": "<table>" + "<td>x" * 150_000,
+    "items": "<ul>" + "<li><p>x" * 100_000,
+    "links": "<div><a href=x>y</a>" * 50_000,
+    "attributes": "<p " + "a=b " * 250_000 + ">x",
+    "names in class": "<p class='" + "ad-x " * 200_000 + "'>x",
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_hostile_pages_take_linear_time(kind):
+    """A megabyte each; seconds allow for a slow machine."""
+    began = time.monotonic()
+    html.main_text(HOSTILE[kind])
+    assert time.monotonic() - began < 8
 
 
 def test_page_tables(spark):

@@ -49,8 +49,8 @@ BONUS = {"article": 25.0, "main": 10.0, "section": 3.0}
 POINT_CHARS, POINT_MOST = 100, 3.0
 LEVELS = 5
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
@@ -66,26 +66,24 @@ class Node:
 def parse(page: str) -> Node:
     """The page's tree; texts are kids in place, with character references decoded."""
     root = Node("html", "", None)
-    at, here, opened, tag = 0, root, {}, _TAG
+    at, here, depth, tag = 0, root, 0, _TAG
+    opened: dict[str, list] = {}  # (depth, node) of the open elements of each name, innermost last
     size = len(page)
 
     def close(node):
-        nonlocal here
-        while here is not node:
-            opened[here.tag] -= 1
-            here = here.parent
-        opened[node.tag] -= 1
-        here = node.parent
-
-    def nearest(tags, walls=()):
-        node = here
-        while node is not root:
-            if node.tag in tags:
-                return node
-            if node.tag in walls or node.tag in ("table",) and not tags & {"tr", "td", "th", "tbody", "thead", "tfoot"}:
-                return None
-            node = node.parent
-        return None
+        nonlocal here, depth
+        while here is not node.parent:
+            opened[here.tag].pop()
+            here, depth = here.parent, depth - 1
+
+    def innermost(names):
+        return max((opened[x][-1] for x in names if opened.get(x)), key=lambda x: x[0], default=(0, None))
+
+    def nearest(tags, walls=frozenset()):
+        """The innermost open element of these tags, unless a wall, or a table that they are no part of, stands inside it."""
+        found, node = innermost(tags)
+        wall, _ = innermost(walls if tags & {"tr", "td", "th", "tbody", "thead", "tfoot"} else walls | {"table"})
+        return node if found >= wall else None
 
     while at < size:
         begin = page.find("<", at)
@@ -130,10 +128,7 @@ def parse(page: str) -> Node:
             elif name == "br":
                 here.kids.append(Node("br", "", here))
             elif opened.get(name):
-                node = here
-                while node.tag != name:
-                    node = node.parent
-                close(node)
+                close(opened[name][-1][1])
             continue
         if name == "html":
             continue
@@ -158,8 +153,8 @@ def parse(page: str) -> Node:
                 at = page.find(">", end.end())
                 at = size if at < 0 else at + 1
             continue
-        opened[name] = opened.get(name, 0) + 1
-        here = node
+        here, depth = node, depth + 1
+        opened.setdefault(name, []).append((depth, node))
     return root
 
 
