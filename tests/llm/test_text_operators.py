@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, sentencepiece, simhash
-from weftline.llm.common import components, table
+from weftline.llm.common import components, join_unique, table
 
 DATA = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -259,3 +259,41 @@ def test_dedup_judges_rows_of_one_id_by_their_texts(spark):
     kept = lambda texts, ids: sorted((r.doc_id, r.text) for r in simhash.dedup(docs(spark, texts, ids)).collect())
     assert kept([a, b, b], [5, 5, 3]) == [(3, b), (5, a)]
     assert kept([a, c, c], [5, 5, 5]) == sorted([(5, a), (5, c)])
+
+
+def plain_dedup(rows):
+    """Of each group of rows that link, directly or by others, and rows of one id and text, one stays; null ids stay."""
+    fps = [plain_fingerprint(t) for _, t in rows]
+    group = plain_groups(fps, list(range(len(rows))))
+    out = [(i, t) for i, t in rows if i is None]
+    for g in set(group):
+        members = [(i, t) for (i, t), k in zip(rows, group, strict=True) if k == g and i is not None]
+        if members:
+            least = min(i for i, _ in members)
+            out.append((least, {t for i, t in members if i == least}))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_dedup_is_brute_force(spark, seed):
+    """Ids that stand for several texts, copies, null ids and texts: exactly one row of each group, and none lost."""
+    rng = random.Random(seed)
+    texts = [" ".join(f"{x}{k}" for k in range(40)) for x in ("tok", "word", "other", "more")] + ["", None, "a b", " ", "a  b "]
+    rows = [(rng.choice([1, 2, 3, 4, 5, 6, None]), rng.choice(texts)) for _ in range(30)]
+    kept = [(r.doc_id, r.text) for r in simhash.dedup(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()]
+    want = plain_dedup(rows)
+    known = [(i, t) for i, t in kept if i is not None]
+    assert sorted(map(str, (k for k in kept if k[0] is None))) == sorted(map(str, (w for w in want if w[0] is None)))
+    groups = [w for w in want if w[0] is not None]
+    assert len(known) == len(groups)
+    for i, some in groups:
+        assert sum(k[0] == i and k[1] in some for k in known) == 1
+
+
+def test_hot_keys_meet_in_a_broadcast(spark):
+    left = spark.range(5000).selectExpr("if(id < 4000, 7, id) as k", "id").cache()
+    right = spark.range(6000).selectExpr("id as k", "id * 2 as v").cache()
+    found = join_unique(left, right, "k")
+    assert found.count() == 5000 and found.where("v <> 2 * k").count() == 0
+    assert found.select("id").distinct().count() == 5000
+    assert join_unique(left.limit(0), right, "k").count() == join_unique(left, right.limit(0), "k").count() == 0

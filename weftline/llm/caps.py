@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import components, cut, table
+from weftline.llm.common import components, cut, join_unique, table
 
 COSINE = 0.95
 RECALL = 0.9995
 SAMPLE = 4000
 CHUNK = 8192
-#: Codewords of each half: about the square root of the vectors, so that caps keep their size.
-LEAST_WORDS, MOST_WORDS = 16, 2048
+#: Codewords of each half: about the square root of the vectors, so that caps keep their size up to 268 million.
+LEAST_WORDS, MOST_WORDS = 16, 16384
 
 
 class Code:
@@ -62,12 +62,13 @@ class Code:
         length = np.linalg.norm(noise, axis=1, keepdims=True)
         near = cosine * unit + math.sqrt(1 - cosine**2) * np.divide(noise, length, out=np.zeros_like(noise), where=length > 1e-9)
         near /= np.linalg.norm(near, axis=1, keepdims=True)
-        (a, b), (c, d) = self.products(unit), self.products(near)
         top = min(self.words, 64)  # the best shared filter has a high codeword in each half
         best = np.empty(len(unit))
-        for k in range(len(unit)):
-            i, j = np.argpartition(-(a[k] + c[k]), top - 1)[:top], np.argpartition(-(b[k] + d[k]), top - 1)[:top]
-            best[k] = np.minimum(a[k, i][:, None] + b[k, j], c[k, i][:, None] + d[k, j]).max()
+        for begin in range(0, len(unit), 256):
+            (a, b), (c, d) = self.products(unit[begin : begin + 256]), self.products(near[begin : begin + 256])
+            for k in range(len(a)):
+                i, j = np.argpartition(-(a[k] + c[k]), top - 1)[:top], np.argpartition(-(b[k] + d[k]), top - 1)[:top]
+                best[begin + k] = np.minimum(a[k, i][:, None] + b[k, j], c[k, i][:, None] + d[k, j]).max()
         self.threshold = float(np.quantile(best, 1 - recall, method="lower")) if len(best) else 0.0
         return self
 
@@ -189,7 +190,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0)
     fit = given.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad)
     classes = cut(fit.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
-    sizes = [r[0] for r in classes.select(F.size("v")).distinct().collect()]
+    # a vector that is the only one of its length links with nothing
+    sizes = [r[0] for r in classes.groupBy(F.size("v")).count().where("count > 1").collect()]
     found = [_links(classes.where(F.size("v") == size), size, cosine, recall, sample, chunk, words) for size in sorted(sizes)]
     links = found[0] if found else classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("weight").alias("n")).limit(0)
     for more in found[1:]:
@@ -198,7 +200,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
     joined = components(links.select("a", "b")).select(F.col("node").alias("rep"), "root")
     by_class = classes.join(counts, "rep", "left").join(joined, "rep", "left").select("v", (F.coalesce("more", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    known = fit.join(by_class, "v").select("id", "n_links", "component_id")
+    known = join_unique(cut(fit), cut(by_class), "v").select("id", "n_links", "component_id")
     rest = given.where(F.col("id").isNull() | F.col("v").isNull() | F.coalesce(bad, F.lit(False))).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     return known.union(rest).withColumnRenamed("id", id_column)
 

@@ -100,6 +100,23 @@ def filtered(docs: DataFrame, keep, text_column: str = "text", **columns) -> Dat
     return rows.mapInArrow(run, StructType([StructField("weft_row", docs.schema)])).select("weft_row.*")
 
 
+#: A key is hot if it holds more than one in so many rows; there are fewer hot keys than that.
+HOT = 1000
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on one column; right has each key once at the most, left may hold very many rows of a few.
+
+    Rows of hot keys meet theirs in a broadcast of fewer than HOT rows; the others are shuffled. Both
+    sides are read more than once, so they should be written.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("weft_n"))
+    hot = cut(counts.where(F.col("weft_n") * HOT > left.count()).select(key))
+    mine = right.join(F.broadcast(hot), key, "left_semi")
+    rest = left.join(F.broadcast(hot), key, "left_anti").join(right.join(F.broadcast(hot), key, "left_anti"), key)
+    return left.join(F.broadcast(mine), key).unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component, of edges (a, b).
 

@@ -9,8 +9,8 @@ point lies further than the radius beyond the split, and only balls over a bound
 sides. Within a leaf members are sorted by distance from another vantage point, which bounds the
 window to compare bit by bit on all 64 bits.
 
-The trees are fitted on a bounded sample (SAMPLE fingerprints), which decides balance only, never
-results. Leaves with more than CHUNK members (copies cluster) are dealt to several tasks, as are
+The trees are fitted on a bounded sample (SAMPLE fingerprints, a million at the most), which decides
+balance only, never results. Leaves with more than CHUNK members (copies cluster) are dealt to several tasks, as are
 their look-ups, so no leaf is gathered whole. A task returns a spanning forest of the links it
 finds, not all pairs; a distributed component search joins the forests.
 """
@@ -24,15 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from weftline.llm.common import blocks, components, cut, table
+from weftline.llm.common import blocks, components, cut, join_unique, table
 
 RADIUS = 3
 SHINGLE = 3
-#: Distinct fingerprints that the trees are fitted on at the most.
-SAMPLE = 1 << 16
+#: Distinct fingerprints that the trees are fitted on, or so many for each leaf where that is more.
+SAMPLE, SAMPLE_LEAF = 1 << 16, 8
 #: Members that a leaf should have, members and look-ups that one task takes from it at the most.
 LEAF, CHUNK, CHUNK_QUERIES = 512, 4096, 16384
-MOST_LEVELS = 14
+#: Leaves are LEAF members each up to 2**MOST_LEVELS * LEAF = 67 million fingerprints; beyond, leaves grow and are dealt out.
+MOST_LEVELS = 17
 HALVES = (0xFFFFFFFF, 0xFFFFFFFF << 32)
 
 
@@ -155,6 +156,7 @@ def links(classes: DataFrame, radius: int = RADIUS, leaf: int = LEAF, chunk: int
     spark = classes.sparkSession
     n = classes.count()
     levels = min(MOST_LEVELS, max(0, (max(n, 1) - 1) // leaf).bit_length())
+    sample = max(sample, SAMPLE_LEAF << levels)
     share = min(1.0, sample / max(n, 1))
     chosen = classes.where((F.xxhash64("fp") % 1_000_000 + 1_000_000) % 1_000_000 < int(share * 1_000_000) + 1).limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     forest = spark.sparkContext.broadcast([Tree(np.sort(chosen), half, levels, radius // 2) for half in HALVES])
@@ -175,7 +177,7 @@ def links(classes: DataFrame, radius: int = RADIUS, leaf: int = LEAF, chunk: int
             yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(np.bincount(inverse, member).astype(np.int64)), pa.array(np.bincount(inverse))], ["leaf", "members", "queries"])
 
     sizes = classes.mapInArrow(count, "leaf bigint, members bigint, queries bigint").groupBy("leaf").agg(F.sum("members").alias("m"), F.sum("queries").alias("q"))
-    # at most two trees' leaves: 2 * 2**MOST_LEVELS rows
+    # fewer rows than leaves, which are 2 * 2**MOST_LEVELS at the most
     dealt = {r[0]: (-(-r[1] // chunk), -(-r[2] // CHUNK_QUERIES)) for r in sizes.where((F.col("m") > chunk) | (F.col("q") > CHUNK_QUERIES)).collect()}
 
     def route(batches):
@@ -212,11 +214,12 @@ def _grouped(docs: DataFrame, id_column: str, text_column: str, radius: int) ->
     fps = cut(fingerprints(docs, id_column, text_column))
     classes = cut(fps.groupBy("fp").agg(F.min(id_column).alias("least")))
     joined = components(links(classes.select("fp"), radius))
-    roots = classes.join(joined, F.col("fp") == F.col("node")).select("fp", "root", "least")
-    best = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = roots.join(best, "root").select("fp", "root", "component_id")
-    of = classes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(of, "fp").select(id_column, "fp", "root", "component_id")
+    roots = cut(classes.join(joined, F.col("fp") == F.col("node")).select("fp", "root", "least"))
+    best = cut(roots.groupBy("root").agg(F.min("least").alias("component_id")))
+    # a component may hold very many fingerprints, and a fingerprint very many documents
+    linked = join_unique(roots, best, "root").select("fp", "root", "component_id")
+    of = cut(classes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id")))
+    return join_unique(fps, of, "fp").select(id_column, "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
