@@ -285,8 +285,7 @@ def test_toxicity_on_held_out_labels(spark):
     got = toxicity.score(docs, chain).join(test.select("doc_id", F.col("toxic").alias("y")), "doc_id").toPandas()
     y, p = got.y == 1, got.toxic
     assert (y & p).sum() / y.sum() > 0.85 and (~y & p).sum() / (~y).sum() < 0.01
-    assert chain.names == ["toxic", "severe"] and (got.p_severe <= 1).all()
-    assert (got[y].p_severe.mean()) > 10 * got[~y].p_severe.mean()
+    assert chain.names == ["poor", "toxic"] and (got.p_poor <= 1).all()
 
 
 def test_quality_on_held_out_labels(spark):
@@ -314,28 +313,6 @@ def test_classifiers_on_odd_tables(spark, labels):
     assert toxicity.score(empty, toxicity.train(empty, known)).count() == 0 and quality.score(empty, quality.train(empty, known)).count() == 0
 
 
-def test_views_teach_each_other():
-    """Labels are few; the metadata says what the content cannot see, and the pool carries it over."""
-    rng = np.random.default_rng(0)
-
-    def draw(n):
-        y = rng.integers(0, 2, n).astype(float)
-        a = y[:, None] * 2 + rng.normal(size=(n, 3)) * 0.7
-        b = y[:, None] * 2 + rng.normal(size=(n, 2)) * 0.7
-        return [a, b], y
-
-    x, y = draw(40)
-    pool, _ = draw(2000)
-    test, truth = draw(2000)
-
-    def accuracy(m):
-        odds = np.column_stack([v.log_odds(t) for v, t in zip(m.views, test, strict=True)])
-        return (((odds @ m.combination[:2] + m.combination[2]) > 0) == (truth == 1)).mean()
-
-    assert accuracy(quality.co_train(x, y, pool)) >= accuracy(quality.co_train(x, y, pool, rounds=0)) - 0.01
-    assert accuracy(quality.co_train(x, y, pool)) > 0.97
-
-
 # the pipeline
 
 

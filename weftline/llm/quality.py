@@ -2,14 +2,16 @@
 
 One classifier sees a document's content (characters, repetition, shapes of words and lines), the
 other its metadata (source, language, stated length). Both start from the labelled documents. Round
-after round each scores a pool of unlabelled documents and hands those that it is most sure of, with
-its verdict as label, to the other, so each learns from what only the other view shows; a view hands
-over only what its calibrated probability makes at least CONFIDENT, so a weak view keeps silent. Both
-are calibrated on labelled documents held out of training, and a small model of the two calibrated
-log-odds, fitted there too, gives the score of every document.
-
-Models are fitted on a bounded sample (LABELLED and POOL documents, by hash of the id); scoring
-covers all documents, whole texts, in one pass without shuffle.
+after round each scores all other documents and hands those that it is most sure of, with its verdict as
+label, to the other, so each learns from what only the other view shows; a view hands over only what
+its calibrated probability makes at least CONFIDENT, if that held for labels that it did not see, so a weak
+view keeps silent, and of documents that
+look the same to both views one. Both are calibrated on labelled documents held out of training in turn, and a
+small model of the two calibrated log-odds, fitted there too, gives the score of every document.
+
+The labels are a bounded sample (LABELLED documents, by hash of the id), and HANDED bounds what a view
+hands over; all documents are scored in every round, from a table of their views' numbers. Scoring covers
+all documents, whole texts, in one pass without shuffle.
 """
 
 from __future__ import annotations
@@ -20,19 +22,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from weftline.llm.common import blocks, cut, filtered, plain, table
+from weftline.llm.common import blocks, cut, delete, filtered, plain, table, written
 from weftline.llm.linear import fit_dense, logit, predict_dense, sigmoid
 from weftline.llm.words import mix, scan
 
-#: Labelled and unlabelled documents that the views are trained on at the most.
-LABELLED, POOL = 8000, 8000
-#: Rounds, pseudo-labels of each class that a view hands over in a round, and how sure it must be.
-ROUNDS, HANDED, CONFIDENT = 4, 500, 0.97
+#: Labelled documents that the views are trained on at the most; others count as unlabelled.
+LABELLED = 8000
+#: Rounds, pseudo-labels that a view hands over in a round, and how sure it must be.
+ROUNDS, HANDED, CONFIDENT = 4, 1000, 0.97
+#: A view hands over a verdict only if, of labels that it did not see and was as sure of, so few (one more counted)
+#: were wrong, and half as many as without looking.
+MOST_ERROR = 0.1
 #: A pseudo-label's weight beside a label's.
 PSEUDO = 0.3
-#: Labelled documents held out for calibration: one in so many.
-HOLD_OUT = 4
+#: Parts of the labelled documents: each is held out of views that calibration is fitted on.
+FOLDS = 4
 THRESHOLD = 0.5
 SOURCES, LANGUAGES, LENGTHS = 32, 8, 24
 PUNCTUATION = [b for b in range(33, 127) if not chr(b).isalnum()]
@@ -106,19 +112,21 @@ class View:
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> View:
         self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-3)
         self.beta = fit_dense(self._standard(x), y, weight, l2=2.0)
-        self.line = np.array([1.0, 0.0])
+        self.line, self.says = np.array([1.0, 0.0]), {}
         return self
 
     def _standard(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> View:
-        self.line = fit_dense(logit(predict_dense(self._standard(x), self.beta))[:, None], y, l2=1e-2)
-        return self
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return logit(predict_dense(self._standard(x), self.beta))
+
+    def calibrated(self, raw: np.ndarray) -> np.ndarray:
+        return np.clip(raw * self.line[0] + self.line[1], -12, 12)
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         """Calibrated log-odds."""
-        return np.clip(logit(predict_dense(self._standard(x), self.beta)) * self.line[0] + self.line[1], -12, 12)
+        return self.calibrated(self.raw(x))
 
 
 class CoTrained:
@@ -133,32 +141,83 @@ class CoTrained:
         return predict_dense(odds, self.combination)
 
 
-def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, handed: int = HANDED) -> CoTrained:
-    """x and pool: the two views of labelled and unlabelled documents, in an order that is independent of the labels."""
-    held = np.arange(len(y)) % HOLD_OUT == 0
-    if len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:
-        held = np.zeros(len(y), bool)  # too few labels to hold any out
-    check = held if held.any() else ~held
-    labels = [np.full(len(pool[0]), -1.0) for _ in x]  # what each view was handed
+def most_sure(views: list[View], x: list[np.ndarray], keys: np.ndarray, taken: list[set], most: dict[float, int]) -> list[tuple]:
+    """(receiving view, verdict, how sure, key, row) of what each view would hand to the other.
 
-    def train(k):
-        got = labels[k] >= 0
-        view = View().fit(np.vstack([x[k][~held], pool[k][got]]), np.concatenate([y[~held], labels[k][got]]), np.concatenate([np.ones((~held).sum()), np.full(got.sum(), PSEUDO)]))
-        return view.calibrate(x[k][check], y[check])
+    keys tell documents apart that look different to a view; one of each, and none that the receiver was
+    handed before (taken), the surest first.
+    """
+    found = []
+    if not len(keys):
+        return found
+    for k, other in ((0, 1), (1, 0)):
+        p = sigmoid(views[k].log_odds(x[k]))
+        for verdict, sure in ((1.0, p), (0.0, 1 - p)):
+            at = np.flatnonzero((sure >= CONFIDENT) & views[k].says[verdict])
+            at = at[np.lexsort((keys[at], -sure[at]))]
+            mine: set = set()
+            for i in at.tolist():
+                if keys[i] not in taken[other] and keys[i] not in mine:
+                    mine.add(int(keys[i]))
+                    found.append((other, verdict, float(sure[i]), int(keys[i]), i))
+                    if len(mine) == most[verdict]:
+                        break
+    return found
+
+
+def _of_arrays(pool: list[np.ndarray]):
+    keys = np.arange(len(pool[0]))
+    return lambda views, taken, most: [(other, verdict, sure, key, pool[other][i]) for other, verdict, sure, key, i in most_sure(views, pool, keys, taken, most)]
+
+
+def co_train(x: list[np.ndarray], y: np.ndarray, pool, rounds: int = ROUNDS, handed: int = HANDED) -> CoTrained:
+    """x: the two views of labelled documents, in an order that is independent of the labels.
+
+    pool: the two views of unlabelled ones, or a function of the views, of the keys that each was handed
+    before and of how many of each verdict are wanted, in the labels' proportion, which returns (receiving view, verdict, how sure, key, numbers of the receiving view).
+    """
+    fold = np.arange(len(y)) % FOLDS
+    share = y.mean()
+    most = {1.0: max(1, round(handed * share)), 0.0: max(1, round(handed * (1 - share)))}
+    ask = pool if callable(pool) else _of_arrays(pool)
+    got: list[list] = [[], []]  # (verdict, numbers) that each view was handed
+    taken: list[set] = [set(), set()]
 
-    views = [train(k) for k in range(2)]
+    def train(k):
+        """A view, and the calibrated log-odds of labelled documents by views that did not see them."""
+        more = np.array([v for _, v in got[k]]).reshape(len(got[k]), x[k].shape[1])
+        verdicts = np.array([v for v, _ in got[k]])
+
+        def fit(rows):
+            return View().fit(np.vstack([x[k][rows], more]), np.concatenate([y[rows], verdicts]), np.concatenate([np.ones(rows.sum()), np.full(len(more), PSEUDO)]))
+
+        view, raw = fit(fold >= 0), np.zeros(len(y))
+        for f in range(FOLDS):
+            rest = fold != f
+            if rest.any() and not rest.all():
+                raw[~rest] = fit(rest).raw(x[k][~rest])
+            elif not rest.all():
+                raw = view.raw(x[k])
+        view.line = fit_dense(raw[:, None], y, l2=1e-2)
+        # a view that errs on labels that it did not see, more often than not, says nothing
+        view.line[0] = max(view.line[0], 0.0)
+        odds = view.calibrated(raw)
+        for verdict, sure in ((1.0, sigmoid(odds)), (0.0, sigmoid(-odds))):
+            at = sure >= CONFIDENT
+            error, guess = ((y[at] != verdict).sum() + 1) / (at.sum() + 2), (y != verdict).mean()
+            view.says[verdict] = bool(error <= min(MOST_ERROR, guess / 2))
+        return view, odds
+
+    trained = [train(k) for k in range(2)]
     for _ in range(rounds):
-        for k in range(2):
-            other = 1 - k
-            p = sigmoid(views[k].log_odds(pool[k])) if len(pool[k]) else np.empty(0)
-            for verdict, sure in ((1.0, p), (0.0, 1 - p)):
-                free = np.flatnonzero((labels[other] < 0) & (sure >= CONFIDENT))
-                labels[other][free[np.argsort(-sure[free], kind="stable")[:handed]]] = verdict
-        views = [train(k) for k in range(2)]
-    odds = np.column_stack([v.log_odds(a[check]) for v, a in zip(views, x, strict=True)])
-    combination = fit_dense(odds, y[check], l2=1.0)
+        for other, verdict, _, key, numbers in ask([v for v, _ in trained], taken, most):
+            if key not in taken[other]:  # sure of both verdicts it can not be, but equal keys come once
+                taken[other].add(key)
+                got[other].append((verdict, numbers))
+        trained = [train(k) for k in range(2)]
+    combination = fit_dense(np.column_stack([odds for _, odds in trained]), y, l2=1.0)
     combination[:2] = np.maximum(combination[:2], 0)  # a calibrated view never counts against itself
-    return CoTrained(views, combination)
+    return CoTrained([v for v, _ in trained], combination)
 
 
 def _meta(docs: DataFrame) -> list:
@@ -166,33 +225,71 @@ def _meta(docs: DataFrame) -> list:
     return [(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("n_chars", "bigint"))]
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
-    """A classifier from labels (doc_id, quality 0 or 1); other values and nulls teach nothing."""
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, handed: int = HANDED) -> CoTrained:
+    """A classifier from labels (doc_id, quality 0 or 1); other values and nulls teach nothing.
+
+    Of labels with one id the largest counts, of labelled documents with one id the one whose numbers come first.
+    """
+    spark = docs.sparkSession
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().join(known, "doc_id", "left")
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = cut(ids)
-    # at most LABELLED + POOL ids
-    picked = cut(ids.where("y is not null").orderBy(*order).limit(labelled).union(ids.where("y is null").orderBy(*order).limit(pool)))
-    sample = docs.select("doc_id", "text", *_meta(docs)).join(F.broadcast(picked), "doc_id")
+    # at most LABELLED ids
+    picked = cut(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
+    rows = docs.select("doc_id", "text", *_meta(docs)).join(F.broadcast(picked), "doc_id", "left")
 
     def views(batches):
         for batch in blocks(batches):
             a = content(batch.column("text"))
             b = metadata(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
-            rows = [pa.array([r.astype(np.float32).tobytes() for r in v], pa.binary()) for v in (a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *rows], ["doc_id", "y", "a", "b"])
+            a, b = ([r.astype(np.float32).tobytes() for r in v] for v in (a, b))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["doc_id", "y", "a", "b"])
 
+    widths = content(pa.array(["", "x"])).shape[1], SOURCES + LANGUAGES + LENGTHS
+    array = lambda lists, k: np.frombuffer(b"".join(lists), np.float32).reshape(-1, widths[k]).astype(float)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = sample.mapInArrow(views, f"doc_id {kind}, y double, a binary, b binary").orderBy(*order, "a").toArrow()
+    seen, folder = written(rows.mapInArrow(views, f"doc_id {kind}, y double, a binary, b binary"))
+    found = seen.where("y is not null").groupBy("doc_id").agg(F.min(F.struct("a", "b", "y")).alias("v")).orderBy(F.xxhash64("doc_id"), "doc_id").select("v.*").toArrow()
     y = found.column("y").to_numpy()
-    x = [np.frombuffer(b"".join(found.column(c).to_pylist()), np.float32).reshape(len(y), -1).astype(float) if len(y) else np.zeros((0, w)) for c, w in (("a", content(pa.array(["", "x"])).shape[1]), ("b", SOURCES + LANGUAGES + LENGTHS))]
-    has = ~np.isnan(y)
-    if not has.any():
+    if not len(y):
         # without labels everything is kept
-        flat = [View().fit(np.zeros((1, v.shape[1])), np.ones(1), np.ones(1)) for v in x]
-        return CoTrained(flat, np.array([0.0, 0.0, 5.0]))
-    return co_train([v[has] for v in x], y[has], [v[~has] for v in x])
+        delete(spark, folder)
+        return CoTrained([View().fit(np.zeros((1, w)), np.ones(1), np.ones(1)) for w in widths], np.array([0.0, 0.0, 5.0]))
+    pool = seen.where("y is null").select(F.xxhash64("a", "b").alias("key"), "a", "b")
+
+    def ask(views, taken, most):
+        shared = spark.sparkContext.broadcast((views, taken))
+
+        def surest(batches):
+            best: list[tuple] = []
+            for batch in batches:
+                for begin in range(0, batch.num_rows, 4096):
+                    part = batch.slice(begin, 4096)
+                    lists = [part.column(c).to_pylist() for c in ("a", "b")]
+                    best += [(o, v, s, k, lists[o][i]) for o, v, s, k, i in most_sure(shared.value[0], [array(x, n) for n, x in enumerate(lists)], part.column("key").to_numpy(), shared.value[1], most)]
+                best = _first(best, most)
+            if best:
+                yield pa.RecordBatch.from_pydict(dict(zip(("view", "verdict", "sure", "key", "numbers"), map(list, zip(*best, strict=True)), strict=True)), schema=pa.schema([("view", pa.int32()), ("verdict", pa.float64()), ("sure", pa.float64()), ("key", pa.int64()), ("numbers", pa.binary())]))
+
+        # at most 2 * HANDED rows of each partition, and as many in all
+        rows = pool.mapInArrow(surest, "view int, verdict double, sure double, key bigint, numbers binary").dropDuplicates(["view", "verdict", "key"])
+        rank = F.row_number().over(W.partitionBy("view", "verdict").orderBy(F.desc("sure"), "key"))
+        best = rows.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("verdict") == 1.0, most[1.0]).otherwise(most[0.0])).drop("rank").collect()
+        shared.unpersist()
+        return [(r["view"], r["verdict"], r["sure"], r["key"], array([bytes(r["numbers"])], r["view"])[0]) for r in sorted(best, key=lambda r: (r["view"], -r["verdict"], -r["sure"], r["key"]))]
+
+    model = co_train([array(found.column(c).to_pylist(), k) for k, c in enumerate("ab")], y, ask, rounds, handed)
+    delete(spark, folder)
+    return model
+
+
+def _first(rows: list[tuple], most: dict[float, int]) -> list[tuple]:
+    """The surest rows of each view and verdict, one of each key."""
+    out, count, seen = [], {}, set()
+    for r in sorted(rows, key=lambda r: (r[0], r[1], -r[2], r[3])):
+        if (r[0], r[1], r[3]) not in seen and count.get(r[:2], 0) < most[r[1]]:
+            seen.add((r[0], r[1], r[3]))
+            count[r[:2]] = count.get(r[:2], 0) + 1
+            out.append(r)
+    return out
 
 
 def score(docs: DataFrame, model: CoTrained, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

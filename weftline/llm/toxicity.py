@@ -5,16 +5,18 @@ later model also gets the earlier categories' log-odds. In training these come o
 models that did not see the document, so that a later model does not trust its predecessors more
 than it can when it scores new documents.
 
-The labels table knows one category, toxic. The chain's second category, severe, is made from it:
-toxic documents whose out-of-fold log-odds are in the upper half. Other chains can be passed.
+The chain's categories come from the labels: first poor (quality 0), then toxic, whose model sees how
+likely the document is poor; the last category is the verdict. Other chains can be passed.
 
-Models are fitted on a bounded sample of labelled documents (POSITIVES and NEGATIVES, by hash of
-the id), near copies in it left out so that one much-copied text does not rule; sampling weights
-restore the classes' shares. Scoring covers all documents, whole texts, in one pass without shuffle.
+Models are fitted on a bounded sample of labelled documents (POSITIVES and NEGATIVES of the last
+category, by hash of the id), near copies in it left out so that one much-copied text does not rule, and
+others drawn in their place; sampling weights restore the classes' shares. Scoring covers all documents, whole texts, in one pass without shuffle.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +28,14 @@ from weftline.llm.words import KEEP, eight, hashes, lowered, mix, scan, spans
 
 #: Labelled documents that the chain is fitted on at the most.
 POSITIVES, NEGATIVES = 2500, 5000
-#: Words and word beginnings that the models use at the most, and documents that must hold one.
+#: How many times as many are looked at, so that others can take the place of near copies.
+DRAWN = 2
+#: Categories in order, as SQL over the labels' columns that gives 0, 1 or null.
+CATEGORIES = {"poor": "1 - quality", "toxic": "toxic"}
+#: Words and word beginnings that the models use at the most for each category, and documents that must hold one.
 FEATURES, LEAST_DOCS = 2048, 3
+#: Least hashes that tell near copies, and how many of them such share.
+SIGNS, SHARED = 16, 13
 #: Lengths, in bytes, of word beginnings; eight at the most.
 STEMS = (4, 5, 6, 7, 8)
 FOLDS = 5
@@ -90,22 +98,18 @@ def _earlier(p: np.ndarray) -> np.ndarray:
     return np.clip(logit(p), -8, 8) / 8
 
 
-def _fit_chain(x: Sparse, y: np.ndarray, weight: np.ndarray, fold: np.ndarray, severe: bool) -> tuple[list[np.ndarray], np.ndarray]:
-    """Models for the columns of y, and one more for severity; out-of-fold probabilities of all."""
-    columns = y.shape[1] + severe
-    out, models = np.zeros((len(y), columns)), []
-    for k in range(columns):
-        if k < y.shape[1]:
-            target = y[:, k]
-        else:
-            toxic = y[:, 0] == 1
-            target = (toxic & (out[:, 0] > np.median(out[toxic, 0]) if toxic.any() else toxic)).astype(float)
+def _fit_chain(x: Sparse, y: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Models for the columns of y, in order, and out-of-fold probabilities; a label that is not known weighs nothing."""
+    out, models = np.zeros(y.shape), []
+    for k in range(y.shape[1]):
+        known = ~np.isnan(y[:, k])
+        target, own = np.where(known, y[:, k], 0.0), weight * known
         x.extra = _earlier(out[:, :k])
-        models.append(fit_sparse(x, target, weight))
+        models.append(fit_sparse(x, target, own))
         for f in range(FOLDS):
             test = fold == f
             if test.any() and not test.all():
-                beta = fit_sparse(x.take(np.flatnonzero(~test)), target[~test], weight[~test])
+                beta = fit_sparse(x.take(np.flatnonzero(~test)), target[~test], own[~test])
                 out[test, k] = sigmoid(x.take(np.flatnonzero(test)).times(beta))
             elif test.any():
                 out[test, k] = sigmoid(x.times(models[k]))
@@ -125,7 +129,7 @@ def _threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float(np.clip(sigmoid((logit(p[order][best]) + logit(np.array(below))) / 2), 0.05, 0.95))
 
 
-def _signatures(first: np.ndarray, hashes: np.ndarray, n: int = 3) -> np.ndarray:
+def _signatures(first: np.ndarray, hashes: np.ndarray, n: int = SIGNS) -> np.ndarray:
     """Least hashes of each text's word triples under n mixings: near copies share them."""
     out = np.zeros((len(first) - 1, n), np.uint64)
     h = hashes.copy()
@@ -137,60 +141,70 @@ def _signatures(first: np.ndarray, hashes: np.ndarray, n: int = 3) -> np.ndarray
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("toxic",), severe: bool = True, positives: int = POSITIVES, negatives: int = NEGATIVES) -> Chain:
-    """A chain over label columns of 0 and 1, in order, and severity of the first.
-
-    Labels with nulls, and of documents that are not there, teach nothing. Without labelled documents of
-    a category its model gives next to none.
+def _apart(rows, most: dict[int, int]):
+    """Ids of rows (id, target, signature) without near copies of earlier ones, so many of each target."""
+    kept, holders, left = [], {}, dict(most)
+    for i, target, *signs in rows:
+        shared: dict[int, int] = {}
+        for mark in enumerate(signs):
+            for other in holders.get(mark, ()):
+                shared[other] = shared.get(other, 0) + 1
+        if left[target] > 0 and max(shared.values(), default=0) < SHARED:
+            for mark in enumerate(signs):
+                holders.setdefault(mark, []).append(len(kept))
+            kept.append(i)
+            left[target] -= 1
+    return kept
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, positives: int = POSITIVES, negatives: int = NEGATIVES) -> Chain:
+    """A chain over categories, in order; the last is the verdict.
+
+    Labels of documents that are not there teach nothing, nor do those without the last category; where
+    another is null, 0 or 1 aside, or labels lack its columns, that category learns from the rest, or is left
+    out. Of labels with one id the largest counts, of documents with one id the least text. Without
+    labelled documents the chain finds nothing toxic.
     """
     spark = docs.sparkSession
-    names = [*categories, *(["severe"] if severe else [])]
-    known = labels.where("doc_id is not null")
-    for c in categories:
-        known = known.where(F.col(c).isin(0, 1))
-    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(*(F.max(c).cast("int").alias(c) for c in categories))
-    known = cut(known.select("doc_id", F.struct(*categories).alias("y"), F.greatest(*categories, F.lit(0)).alias("any")))
-    sizes = {r[0]: r[1] for r in known.groupBy("any").count().collect()}
+    last = list(categories)[-1]
+    has = {c: e for c, e in categories.items() if c == last or all(w in labels.columns for w in re.findall(r"[A-Za-z_]\w*", e))}
+    names = list(has)
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(*(F.max(F.when(F.expr(e).isin(0, 1), F.expr(e))).cast("int").alias(c) for c, e in has.items())).where(F.col(last).isNotNull())
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = cut(known.select("doc_id", F.struct(*names).alias("y"), F.col(last).alias("target")))
+    sizes = {r[0]: r[1] for r in known.groupBy("target").count().collect()}
+    most = {1: positives, 0: negatives}
     picked = None
-    for value, most in ((1, positives), (0, negatives)):
-        part = known.where(F.col("any") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    for value, n in most.items():
+        part = known.where(F.col("target") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(DRAWN * n)
         picked = part if picked is None else picked.union(part)
-    # at most POSITIVES + NEGATIVES ids
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(cut(picked)), "doc_id"))
+    # at most DRAWN * (POSITIVES + NEGATIVES) ids
+    sample = docs.select("doc_id", "text").join(F.broadcast(cut(picked)), "doc_id")
+    sample = cut(sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("target").alias("target")))
+    marks = [f"s{k}" for k in range(SIGNS)]
 
     def sign(batches):
         for batch in blocks(batches):
             first, hashes, _, _ = scan(*plain(batch.column("text")), "letters")
             signs = _signatures(first, hashes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(signs[:, k].view(np.int64)) for k in range(3))], ["doc_id", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("target"), *(pa.array(signs[:, k].view(np.int64)) for k in range(SIGNS))], ["doc_id", "target", *marks])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    seen: set = set()
-    kept = []
-    for row in sample.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, a bigint, b bigint, c bigint").orderBy(F.xxhash64("doc_id"), "doc_id", "a").toLocalIterator():
-        marks = {(k, row[k + 1]) for k in range(3)}
-        if row[0] not in seen and not marks & seen:
-            kept.append(row[0])
-        seen |= marks | {row[0]}
+    signed = sample.select("doc_id", "text", "target").mapInArrow(sign, f"doc_id {kind}, target int, " + ", ".join(f"{m} bigint" for m in marks))
+    kept = _apart(map(tuple, signed.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator()), most)
     if not kept:
         return Chain(names, Vocabulary(np.empty(0, np.uint64)), [np.array([0.0] * k + [-20.0]) for k in range(len(names))])
     ids = spark.sparkContext.broadcast(set(kept))
 
     def rows(batches):
-        done = set()
         for batch in blocks(batches):
-            chosen = []
-            for i in batch.column("doc_id").to_pylist():
-                chosen.append(i in ids.value and i not in done)
-                done.add(i)
-            batch = batch.filter(pa.array(chosen))
+            batch = batch.filter(pa.array([i in ids.value for i in batch.column("doc_id").to_pylist()]))
             if batch.num_rows:
-                yield batch
+                yield batch, np.array([[np.nan if v[c] is None else v[c] for c in names] for v in batch.column("y").to_pylist()])
 
     def count(batches):
-        for batch in rows(batches):
+        for batch, y in rows(batches):
             document, hashes, _ = features(batch.column("text"))
-            y = np.array([list(v.values()) for v in batch.column("y").to_pylist()])
             order = np.lexsort((document, hashes))
             document, hashes = document[order], hashes[order]
             new = np.ones(len(hashes), bool)
@@ -198,41 +212,40 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("to
             document, hashes = document[new], hashes[new]
             begins = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.empty(0, np.int64)
             if len(begins):
-                sums = np.add.reduceat(y[document], begins, axis=0)
-                total = np.diff(np.concatenate((begins, [len(hashes)])))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[begins].view(np.int64)), pa.array(total), *(pa.array(sums[:, k].astype(np.int64)) for k in range(y.shape[1]))], ["hash", "n", *categories])
+                sums = np.add.reduceat(np.hstack([np.ones((len(y), 1)), np.nan_to_num(y), ~np.isnan(y)])[document], begins, axis=0).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[begins].view(np.int64)), *map(pa.array, sums.T)], ["hash", *counts])
 
     def vectors(batches):
-        for batch in rows(batches):
+        for batch, y in rows(batches):
             x = vocabulary.value.find(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(x.bounds, pa.int32()), pa.array(x.ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), lists], ["doc_id", "y", "ids"])
-
-    counted = sample.mapInArrow(count, "hash bigint, n bigint, " + ", ".join(f"`{c}` bigint" for c in categories)).groupBy("hash").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in categories)).where(F.col("n") >= LEAST_DOCS)
-    label = {r[0]: r[1] for r in sample.select("doc_id", "y").collect()}
-    n, best = len(kept), None
-    for c in categories:
-        p = sum(label[i][c] for i in kept)
-        a, b = F.col(c), F.col("n") - F.col(c)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(y), pa.list_(pa.float64())), lists], ["doc_id", "y", "ids"])
+
+    counts = ["n", *(f"p{k}" for k in range(len(names))), *(f"k{k}" for k in range(len(names)))]
+    counted = cut(sample.mapInArrow(count, "hash bigint, " + ", ".join(f"{c} bigint" for c in counts)).groupBy("hash").agg(*(F.sum(c).alias(c) for c in counts)).where(F.col("n") >= LEAST_DOCS))
+    label = {r[0]: r[1] for r in sample.select("doc_id", "y").where("doc_id is not null").toLocalIterator()}
+    chosen = set()
+    for k, c in enumerate(names):
+        own = [label[i][c] for i in kept if label[i][c] is not None]
+        p, n = sum(own), len(own)
+        a, b = F.col(f"p{k}"), F.col(f"k{k}") - F.col(f"p{k}")
         z = F.abs(F.log((a + 0.5) / (F.lit(p + 0.5) - a + 0.5)) - F.log((b + 0.5) / (F.lit(n - p + 0.5) - b + 0.5))) / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        best = z if best is None else F.greatest(best, z)
-    chosen = counted.orderBy(best.desc(), "hash").limit(FEATURES).select("hash").toPandas()["hash"].to_numpy(np.int64).view(np.uint64)
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(chosen))
-    schema = sample.schema
-    found = sample.mapInArrow(vectors, f"doc_id {kind}, y {schema['y'].dataType.simpleString()}, ids array<int>").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    y = np.array([list(v.values()) for v in found.column("y").to_pylist()], float)
+        chosen |= {r[0] for r in counted.orderBy(z.desc(), "hash").limit(FEATURES).select("hash").collect()}
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(np.array(sorted(chosen), np.int64).view(np.uint64)))
+    found = sample.mapInArrow(vectors, f"doc_id {kind}, y array<double>, ids array<int>").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    y = np.array(found.column("y").to_pylist(), float)
     lists = found.column("ids").combine_chunks()
     x = Sparse(lists.flatten().to_numpy().astype(np.int64), np.concatenate(([0], np.cumsum([len(v) for v in lists.to_pylist()]))).astype(np.int64), len(vocabulary.value.hashes))
-    drawn = y.max(axis=1)
-    weight = np.where(drawn == 1, max(1.0, sizes.get(1, 0) / max(1, positives)), max(1.0, sizes.get(0, 0) / max(1, negatives)))
+    target = y[:, -1]
+    weight = np.where(target == 1, sizes.get(1, 0) / max(1, (target == 1).sum()), sizes.get(0, 0) / max(1, (target == 0).sum()))
     weight = weight / weight.mean()
     fold = np.arange(len(y)) % FOLDS  # rows are in hash order
-    models, out = _fit_chain(x, y, weight, fold, severe)
-    return Chain(names, vocabulary.value, models, _threshold(out[:, 0], y[:, 0], weight))
+    models, out = _fit_chain(x, y, weight, fold)
+    return Chain(names, vocabulary.value, models, _threshold(out[:, -1], target, weight))
 
 
 def score(docs: DataFrame, chain: Chain, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, p_<category> of each, toxic): toxic if the first category's probability reaches the chain's threshold.
+    """(id, p_<category> of each, toxic): toxic if the last category's probability reaches the chain's threshold.
 
     Null and empty texts have the models' constant probability; repeated rows and null ids stay; an
     empty table gives an empty result; other columns are ignored.
@@ -244,16 +257,16 @@ def score(docs: DataFrame, chain: Chain, id_column: str = "doc_id", text_column:
     def run(batches):
         for batch in blocks(batches, text_column):
             p = shared.value.predict(batch.column(text_column))
-            yield pa.RecordBatch.from_arrays([batch.column(id_column), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, 0] >= shared.value.threshold)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(id_column), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= shared.value.threshold)], names)
 
     return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, " + ", ".join(f"`p_{n}` double" for n in chain.names) + ", toxic boolean")
 
 
 def remove(docs: DataFrame, chain: Chain, text_column: str = "text") -> DataFrame:
-    """docs, all columns, without those whose first category's probability reaches the chain's threshold."""
+    """docs, all columns, without those whose last category's probability reaches the chain's threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
-    return filtered(docs, lambda batch: shared.value.predict(batch.column("text"))[:, 0] < shared.value.threshold, text_column)
+    return filtered(docs, lambda batch: shared.value.predict(batch.column("text"))[:, -1] < shared.value.threshold, text_column)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
