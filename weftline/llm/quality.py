@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from weftline.llm.common import blocks, cut, delete, filtered, plain, table, written
 from weftline.llm.linear import fit_dense, logit, predict_dense, sigmoid
@@ -35,6 +34,8 @@ ROUNDS, HANDED, CONFIDENT = 4, 1000, 0.97
 #: A view hands over a verdict only if, of labels that it did not see and was as sure of, so few (one more counted)
 #: were wrong, and half as many as without looking.
 MOST_ERROR = 0.1
+#: Tasks that the surest documents come together in before they go to the driver.
+MERGERS = 4
 #: A pseudo-label's weight beside a label's.
 PSEUDO = 0.3
 #: Parts of the labelled documents: each is held out of views that calibration is fitted on.
@@ -255,6 +256,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
         return CoTrained([View().fit(np.zeros((1, w)), np.ones(1), np.ones(1)) for w in widths], np.array([0.0, 0.0, 5.0]))
     pool = seen.where("y is null").select(F.xxhash64("a", "b").alias("key"), "a", "b")
 
+    sure = "view int, verdict double, sure double, key bigint, numbers binary"
+
     def ask(views, taken, most):
         shared = spark.sparkContext.broadcast((views, taken))
 
@@ -266,21 +269,31 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
                     lists = [part.column(c).to_pylist() for c in ("a", "b")]
                     best += [(o, v, s, k, lists[o][i]) for o, v, s, k, i in most_sure(shared.value[0], [array(x, n) for n, x in enumerate(lists)], part.column("key").to_numpy(), shared.value[1], most)]
                 best = _first(best, most)
-            if best:
-                yield pa.RecordBatch.from_pydict(dict(zip(("view", "verdict", "sure", "key", "numbers"), map(list, zip(*best, strict=True)), strict=True)), schema=pa.schema([("view", pa.int32()), ("verdict", pa.float64()), ("sure", pa.float64()), ("key", pa.int64()), ("numbers", pa.binary())]))
+            yield _rows(best)
+
+        def merge(batches):
+            yield _rows(_first([r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in SURE.names), strict=True)], most))
 
-        # at most 2 * HANDED rows of each partition, and as many in all
-        rows = pool.mapInArrow(surest, "view int, verdict double, sure double, key bigint, numbers binary").dropDuplicates(["view", "verdict", "key"])
-        rank = F.row_number().over(W.partitionBy("view", "verdict").orderBy(F.desc("sure"), "key"))
-        best = rows.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("verdict") == 1.0, most[1.0]).otherwise(most[0.0])).drop("rank").collect()
+        # at most HANDED rows of each view from a task; merged in tasks of two levels, so that few reach the driver
+        rows = pool.mapInArrow(surest, sure).dropDuplicates(["view", "verdict", "key"]).mapInArrow(merge, sure)
+        best = rows.repartition(MERGERS).mapInArrow(merge, sure).collect()
         shared.unpersist()
-        return [(r["view"], r["verdict"], r["sure"], r["key"], array([bytes(r["numbers"])], r["view"])[0]) for r in sorted(best, key=lambda r: (r["view"], -r["verdict"], -r["sure"], r["key"]))]
+        return [(o, v, s, k, array([bytes(n)], o)[0]) for o, v, s, k, n in _first([tuple(r) for r in best], most)]
 
     model = co_train([array(found.column(c).to_pylist(), k) for k, c in enumerate("ab")], y, ask, rounds, handed)
     delete(spark, folder)
     return model
 
 
+#: What tasks say of documents that a view is sure of.
+SURE = pa.schema([("view", pa.int32()), ("verdict", pa.float64()), ("sure", pa.float64()), ("key", pa.int64()), ("numbers", pa.binary())])
+
+
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*found, strict=True) if found else [()] * len(SURE)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, SURE.types, strict=True)], schema=SURE)
+
+
 def _first(rows: list[tuple], most: dict[float, int]) -> list[tuple]:
     """The surest rows of each view and verdict, one of each key."""
     out, count, seen = [], {}, set()
