@@ -4,7 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it
 shared folder and reads it again as the next stage's docs. Stages keep the columns of documents; the
 last returns doc_id, n_tokens, ids_sha256, decoded_sha256. A stage that needs labels or the benchmark
 reads them from sf_dir. Documents in and models out: classifiers are fitted on a bounded sample of
-the documents that reach their stage.
+the documents that reach their stage. Null texts, ids and metadata, empty tables, repeated rows and ids and
+further columns are treated as the operators' docstrings say: no row is lost but to a stage's verdict, and
+the near-copy stage keeps one row of each group, told by id and text. A stage's table is deleted
+when the next one is written.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import decontaminate, quality, sentencepiece, simhash, toxicity
-from weftline.llm.common import shared_folder, table
+from weftline.llm.common import delete, shared_folder, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,4 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if number < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{number}")
             docs = spark.read.parquet(f"{folder}/{number}")
+            if number:
+                delete(spark, f"{folder}/{number - 1}")
     return docs

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline.functions.columns import fixed
 
 MAX_WORDS = 500
 BINS = 50
@@ -20,8 +21,10 @@ def clean(records: DataFrame, column: str = "paragraph") -> DataFrame:
     return records.withColumn(column, F.expr(T.clean_text(column)))
 
 
-def filter_max_words(records: DataFrame, most: int = MAX_WORDS, column: str = "paragraph") -> DataFrame:
-    return records.where(F.expr(f"{T.word_count(column)} <= {most}"))
+def filter_max_words(records: DataFrame, most: int = MAX_WORDS, column: str = "paragraph", count: str | None = None) -> DataFrame:
+    """records of so many words at the most; count names a column that keeps their number. Words are split once."""
+    kept = fixed(records, **{count or "weft_words": T.word_count(column)}).where(F.col(count or "weft_words") <= most)
+    return kept if count else kept.drop("weft_words")
 
 
 def token_stats(records: DataFrame, column: str = "paragraph") -> DataFrame:

@@ -156,8 +156,8 @@ ORACLES = {
     "execution_states": f"{_RECURSIVE} select file_index as record_no, completed, available, can_terminate from st",
     "workflow_summary": f"{_RECURSIVE} select n.file_index as record_no, coalesce(any_value(a.n), 0) as n_actors, count(action_id) as n_actions, count(gateway_id) as n_gateways, any_value(s.n) as n_execution_states from rn n left join {_ACTORS} a on a.file_index = n.file_index join (select file_index, count(*) as n from st group by 1) s on s.file_index = n.file_index group by n.file_index",
     "extract_summary": f"{RAW} select n.file_index as record_no, coalesce(any_value(a.n), 0) as n_actors, count(action_id) as n_actions, count(gateway_id) as n_gateways from rn n left join {_ACTORS} a on a.file_index = n.file_index group by n.file_index order by 1 limit 20",
-    "validation_join": f"{BOTH} select file_index, (select count(*) from rn where rn.file_index = f.file_index) as n_nodes, (select count(action_id) from xn where xn.file_index = f.file_index) as n_actions from (select distinct file_index from fnd) f where file_index % 10 <> 3",
-    "validation_unmatched": f"with {_ND} select distinct file_index from fnd where file_index % 10 = 3",
+    "validation_join": f"{BOTH} select file_index, (select count(*) from rn where rn.file_index = f.file_index) as n_nodes, (select count(action_id) from xn where xn.file_index = f.file_index) as n_actions from (select distinct file_index from fnd) f",
+    "validation_unmatched": f"with {_ND} select distinct -1 - file_index as file_index from fnd where file_index % 10 = 3",
     "action_prf": _prf("actions"),
     "edge_prf": _prf("action_successors", "action_predecessors"),
     "gateway_edge_prf": _prf("gateway_branches_next", "gateway_incoming"),

@@ -74,7 +74,7 @@ def clean_paragraph(spark, d):
 
 @query
 def filter_max_words(spark, d):
-    return corpus.filter_max_words(corpus.clean(_paragraphs(spark, d))).select("record_no", F.expr(T.word_count("paragraph")).cast("bigint").alias("n_words"))
+    return corpus.filter_max_words(corpus.clean(_paragraphs(spark, d)), count="n_words").select("record_no", F.col("n_words").cast("bigint").alias("n_words"))
 
 
 @query
@@ -239,13 +239,13 @@ def workflow_json(spark, d):
 @query
 def validation_join(spark, d):
     raw = _records(spark, d)
-    return validate.joined(G.graphs(raw.where("file_index % 10 <> 3")), workflow.workflows(G.graphs(records.with_faults(raw)))).select("file_index", F.size("g").cast("bigint").alias("n_nodes"), F.size("workflow.actions").cast("bigint").alias("n_actions"))
+    return validate.joined(G.graphs(raw), workflow.workflows(G.graphs(records.with_strays(records.with_faults(raw))))).select("file_index", F.size("g").cast("bigint").alias("n_nodes"), F.size("workflow.actions").cast("bigint").alias("n_actions"))
 
 
 @query
 def validation_unmatched(spark, d):
     raw = _records(spark, d)
-    return validate.unmatched(raw.where("file_index % 10 <> 3"), records.with_faults(raw))
+    return validate.unmatched(raw, records.with_strays(records.with_faults(raw)))
 
 
 def _prf(*measures: str):

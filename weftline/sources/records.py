@@ -69,10 +69,9 @@ def event_records(events: DataFrame) -> DataFrame:
     One shuffle, by user: the runs are grouped in the partitions that the window made. Numbers are
     unique, however many runs a user has; a user or run beyond NUMBER's ranges is an error.
     """
-    events.createOrReplaceTempView("weft_events")
     edges = ", ".join(f"named_struct('a', {a}, 'b', {b}, 'cond', '{c}')" for a, b, c in TEMPLATE)
     return events.sparkSession.sql(f"""
-        with ranked as (select user_id, event_type, value, row_number() over (partition by user_id order by ts, event_id) - 1 as rn from weft_events),
+        with ranked as (select user_id, event_type, value, row_number() over (partition by user_id order by ts, event_id) - 1 as rn from {{events}}),
         runs as (
           select user_id, cast(floor(rn / 10) as bigint) as run, array_sort(collect_list(named_struct('pos', cast(rn % 10 as int), 'kind', event_type, 'value', value))) as steps
           from ranked group by user_id, cast(floor(rn / 10) as bigint) having count(*) = 10),
@@ -86,7 +85,12 @@ def event_records(events: DataFrame) -> DataFrame:
             'agent', case when s.value > 10 then concat('Team ', s.kind) else '' end)) as step_nodes,
           transform(filter(array({edges}), t -> not (t.a = 7 and t.b = 1) or file_index % 7 = 0), t -> named_struct(
             'src', concat('sid-', file_index, '-', t.a), 'tgt', concat('sid-', file_index, '-', t.b), 'condition', t.cond)) as SequenceFlow
-        from keyed""")
+        from keyed""", events=events)
+
+
+def with_strays(records: DataFrame) -> DataFrame:
+    """records, and beside every tenth a copy under a number that no other record has."""
+    return records.unionByName(records.where("file_index % 10 = 3").withColumns({"file_index": F.expr("-1 - file_index"), "record_no": F.expr("-1 - record_no")}))
 
 
 def with_faults(records: DataFrame) -> DataFrame:
