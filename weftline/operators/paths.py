@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from itertools import combinations, islice, permutations, product
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,8 +137,13 @@ def _graphs(batch: pd.DataFrame):
         yield record, Graph([(n["rid"], n["type"], n["action_id"]) for n in nodes], [(x["src"], x["tgt"]) for x in edges]), nodes
 
 
+#: What enumeration reads of a graph.
+NODES = "transform(g, n -> named_struct('rid', n.rid, 'type', n.type, 'action_id', n.action_id))"
+FLOWS = "coalesce(transform(SequenceFlow, x -> named_struct('src', x.src, 'tgt', x.tgt)), cast(array() as array<struct<src: string, tgt: string>>))"
+
+
 def _slim(graphs: DataFrame) -> DataFrame:
-    return graphs.select("record_no", F.expr("transform(g, n -> named_struct('rid', n.rid, 'type', n.type, 'action_id', n.action_id))").alias("n"), F.expr("coalesce(transform(SequenceFlow, x -> named_struct('src', x.src, 'tgt', x.tgt)), cast(array() as array<struct<src: string, tgt: string>>))").alias("x"))
+    return graphs.select("record_no", F.expr(NODES).alias("n"), F.expr(FLOWS).alias("x"))
 
 
 def execution_paths(graphs: DataFrame, on_error: str = "raise") -> DataFrame:
@@ -177,6 +183,40 @@ def matching_joins(graphs: DataFrame) -> DataFrame:
     return _slim(graphs).mapInPandas(run, f"record_no {kind}, split string, join string")
 
 
+def states_of(paths: list[tuple], cap: int = CAP) -> list[dict]:
+    """The states that prefixes of the first paths make, by first appearance; see execution_states()."""
+    found: dict[tuple, tuple[set, list]] = {}
+    for path in paths[:cap]:
+        for i in range(len(path) + 1):
+            after, ends = found.setdefault(path[:i], (set(), [False]))
+            following = path[i] if i < len(path) else ""
+            if following:
+                after.add(following)
+            else:
+                ends[0] = True
+    return [{"completed": list(c), "available": sorted(after), "can_terminate": ends[0]} for c, (after, ends) in found.items()]
+
+
+#: A record's execution states.
+STATES = pa.list_(pa.struct([("completed", pa.list_(pa.string())), ("available", pa.list_(pa.string())), ("can_terminate", pa.bool_())]))
+
+
+def with_states(graphs: DataFrame, cap: int = CAP) -> DataFrame:
+    """graphs with a column, states: paths and states are made inside the row, so nothing is shuffled or joined."""
+
+    @F.arrow_udf("array<struct<completed: array<string>, available: array<string>, can_terminate: boolean>>")
+    def make(record, n, x):
+        rows = []
+        for number, graph, nodes in _graphs({"record_no": record.to_pylist(), "n": n.to_pylist(), "x": x.to_pylist()}):
+            try:
+                rows.append(states_of(graph.paths([n["rid"] for n in nodes if n["type"] == "StartNode"]), cap))
+            except ValueError as e:
+                raise ValueError(f"record {number}: {e}") from None
+        return pa.array(rows, STATES)
+
+    return graphs.withColumn("states", make(F.col("record_no"), F.expr(NODES), F.expr(FLOWS)))
+
+
 def execution_states(paths: DataFrame, cap: int = CAP) -> DataFrame:
     """(record_no, state_no, completed, available, can_terminate): prefixes of the first paths, by first appearance.
 

@@ -38,7 +38,7 @@ def incoming(n: str) -> str:
 
 
 def workflows(graphs: DataFrame) -> DataFrame:
-    """(record_no, file_index, procedure_text, workflow) without execution states."""
+    """(record_no, file_index, procedure_text, workflow), with execution states if graphs have them (paths.with_states)."""
     actions = (
         f"transform(filter(g, n -> n.action_id is not null), n -> named_struct('id', n.action_id, 'name', {T.strip('n.text')}, 'actor', {T.or_null('n.agent')}, "
         f"'predecessors', {predecessors('n')}, 'successors', {successors('n')}, 'postconditions', array(concat(n.action_id, '_done'))))"
@@ -47,7 +47,8 @@ def workflows(graphs: DataFrame) -> DataFrame:
         f"transform(filter(g, n -> n.gateway_id is not null), n -> named_struct('id', n.gateway_id, 'type', {gateway_type('n.type')}, 'role', {role('n.in_degree', 'n.out_degree')}, "
         f"'incoming_from', {incoming('n')}, 'branches', {branches('n')}, 'actor', {T.or_null('n.agent')}))"
     )
-    whole = f"named_struct('actors', coalesce({ACTORS}, cast(array() as array<string>)), 'actions', {actions}, 'gateways', {gateways})"
+    states = ", 'execution_states', transform(states, x -> named_struct('completed_actions', x.completed, 'available_next', x.available, 'can_terminate', if(x.can_terminate, true, null)))" if "states" in graphs.columns else ""
+    whole = f"named_struct('actors', coalesce({ACTORS}, cast(array() as array<string>)), 'actions', {actions}, 'gateways', {gateways}{states})"
     return fixed(graphs, workflow=whole).select("record_no", "file_index", F.col("paragraph").alias("procedure_text"), "workflow")
 
 

@@ -47,6 +47,11 @@ def _paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select(F.col("doc_id").alias("record_no"), F.expr("replace(text, '. ', '. <SEP> ')").alias("paragraph"))
 
 
+def _whole(raw: DataFrame) -> DataFrame:
+    """Workflows with execution states, each record's in one pass."""
+    return workflow.workflows(paths.with_states(G.graphs(raw)))
+
+
 def _measured(spark: SparkSession, d: str) -> DataFrame:
     raw = _records(spark, d)
     return validate.metrics(validate.joined(G.graphs(raw), workflow.workflows(G.graphs(records.with_faults(raw)))))
@@ -215,9 +220,7 @@ def execution_states(spark, d):
 
 @query
 def workflow_summary(spark, d):
-    found = _graphs(spark, d)
-    flows = workflow.with_states(workflow.workflows(found), paths.execution_states(paths.execution_paths(found)))
-    return flows.select("record_no", *(F.size(f"workflow.{c}").cast("bigint").alias(f"n_{c}") for c in ("actors", "actions", "gateways", "execution_states")))
+    return _whole(_records(spark, d)).select("record_no", *(F.size(f"workflow.{c}").cast("bigint").alias(f"n_{c}") for c in ("actors", "actions", "gateways", "execution_states")))
 
 
 @query
@@ -229,8 +232,7 @@ def extract_summary(spark, d):
 
 @query
 def workflow_json(spark, d):
-    found = _graphs(spark, d)
-    return export.workflow_json(workflow.with_states(workflow.workflows(found), paths.execution_states(paths.execution_paths(found))))
+    return export.workflow_json(_whole(_records(spark, d)))
 
 
 # validation
