@@ -82,3 +82,37 @@ def test_stream_equals_batch(spark, tmp_path):
     (folder / "b.json").write_text(json.dumps(RAW[0] | {"file_index": 77}))
     write_stream(stream_workflows(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_files_of_one_array_are_pythons(spark, tmp_path):
+    """As json.dump() writes them, with and without indentation and escapes; and they read back."""
+    import json
+
+    from weftline.sources import export, records
+
+    node = {"resourceId": "r", "NodeText": "é\n\"x\"", "type": "XOR", "agent": None}
+    flow = {"src": "r", "tgt": "s", "condition": ""}
+    rows = [{"file_index": i, "paragraph": f"p\t{i} 日\n[", "step_nodes": [node] * (i % 3), "SequenceFlow": [flow] if i else None} for i in range(2500)]
+    df = spark.createDataFrame([(i, *r.values()) for i, r in enumerate(rows)], records.RECORD).repartition(3)
+    for ascii_only, indent in ((True, 2), (False, 2), (False, None)):
+        path = f"{tmp_path}/{ascii_only}{indent}.json"
+        export.write_array(export.row_json(df, ascii_only=ascii_only, indent=indent), path, indent=indent)
+        assert open(path, encoding="utf-8").read() == json.dumps(rows, ensure_ascii=ascii_only, indent=indent)
+        back = records.read_records(spark, path).orderBy("record_no").collect()
+        assert [r.asDict(True) | {"record_no": None} for r in back[:5]] == [r | {"record_no": None} for r in rows[:5]] and len(back) == len(rows)
+    path = f"{tmp_path}/none.json"
+    export.write_array(export.row_json(df.limit(0)), path)
+    assert json.load(open(path)) == []
+
+
+def test_cleaning_at_any_depth(spark):
+    kind = "id int, paragraph string, a struct<paragraph: string, b: array<struct<paragraph: string, c: map<string, array<struct<paragraph: string, d: string>>>>>>, m map<string, string>, n struct<paragraph: array<string>>"
+    text = "x <SEP> y\n  z"
+    rows = spark.createDataFrame([(1, text, (text, [(text, {"paragraph": [(text, text)], "k": [(text, text)]})]), {"paragraph": text, "q": text}, ([text],)), (2, None, None, None, None)], kind)
+    from weftline.operators import corpus
+
+    got = {r.id: r.asDict(True) for r in corpus.clean_nested(rows).collect()}
+    clean = "x y z"
+    assert got[1] == {"id": 1, "paragraph": clean, "a": {"paragraph": clean, "b": [{"paragraph": clean, "c": {"paragraph": [{"paragraph": text, "d": text}], "k": [{"paragraph": clean, "d": text}]}}]}, "m": {"paragraph": clean, "q": text}, "n": {"paragraph": [text]}}
+    assert got[2] == {"id": 2, "paragraph": None, "a": None, "m": None, "n": None}
+    assert corpus.clean_nested(rows).schema.simpleString() == rows.schema.simpleString()

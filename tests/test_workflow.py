@@ -106,7 +106,7 @@ def test_averages_of_nothing(spark):
     measured = validate.metrics(validate.joined(G.graphs(rows.limit(0)), workflows(G.graphs(rows))))
     row = validate.averages(measured).first()
     assert row.records == 0 and row.action_f1 is None
-    assert validate.report(measured).count() == 1 + len(validate.AVERAGES)
+    assert validate.report(measured).count() == len(validate.HEADING) + 4 + len(validate.AVERAGES)
 
 
 @pytest.mark.parametrize("x", ["plain", "it's", 'say "x"', "it's \"x\"", "a\\b", "line\nfeed", None])
@@ -123,3 +123,37 @@ def test_json_shape(spark):
     assert w["actions"][1]["actor"] is None and w["gateways"][0]["branches"][1] == {"next": None} and w["gateways"][0]["actor"] == "Boss"
     assert any(s.get("can_terminate") for s in w["execution_states"]) and all(s.get("can_terminate", True) is True for s in w["execution_states"])
     assert json.dumps(out) == export.workflow_json(with_states(workflows(g), execution_states(paths)), ascii_only=True).first().json
+
+
+def test_report_is_pythons_text(spark):
+    """Numbers in the middle of two, quotes in texts, and lines that come only where something is missing."""
+    from weftline.operators import validate
+
+    halves = spark.createDataFrame([(k / 8,) for k in range(9)] + [(k / 7,) for k in range(8)], "x double")
+    got = {r.x: r.t for r in halves.selectExpr("x", f"{validate.two_places('x')} as t").collect()}
+    assert got == {x: f"{x:.2f}" for x in got}
+    texts = ["a", "it's", 'say "x"', "it's \"x\"", "b\\c\nd", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    assert {r.x: r.t for r in rows.selectExpr("x", f"{validate.literal('x')} as t").collect()} == {t: repr(t) for t in texts}
+
+
+def test_states_in_the_row_are_those_of_path_tables(spark):
+    from weftline.operators import graph, paths
+    from weftline.sources import records
+
+    raw = records.event_records(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    graphs = graph.graphs(raw)
+    one = paths.with_states(graphs).selectExpr("record_no", "posexplode(states) as (state_no, s)").selectExpr("record_no", "cast(state_no as bigint) as state_no", "s.completed", "s.available", "s.can_terminate")
+    two = paths.execution_states(paths.execution_paths(graphs)).select("record_no", F.col("state_no").cast("bigint").alias("state_no"), "completed", "available", "can_terminate")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(one) == key(two)
+
+
+@pytest.mark.parametrize("paths_", [[()], [("a", "")], [("", "a"), ("a",)], [("a", "b"), ("a", "c"), ("a",)], [tuple("abc")] * 2 + [("x", str(k)) for k in range(80)]])
+def test_states_of_odd_paths(spark, paths_):
+    from weftline.operators import paths
+
+    paths_ = list(dict.fromkeys(paths_))
+    rows = spark.createDataFrame([(1, i, list(p), None) for i, p in enumerate(paths_)], "record_no long, path_no long, path array<string>, error string")
+    want = [(r.completed, r.available, r.can_terminate) for r in paths.execution_states(rows).orderBy("state_no").collect()]
+    assert [tuple(s.values()) for s in paths.states_of(paths_)] == want

@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from weftline.functions import text as T
 from weftline.functions.columns import fixed
@@ -21,6 +22,28 @@ def clean(records: DataFrame, column: str = "paragraph") -> DataFrame:
     return records.withColumn(column, F.expr(T.clean_text(column)))
 
 
+def _cleaned(x: str, kind: DataType, key: str, named: bool = False) -> str:
+    """x with every text under the key cleaned, at any depth; what else stands under the key stays as it is."""
+    if named:
+        return T.clean_text(x) if isinstance(kind, StringType) else x
+    n = x.count("->")  # lambdas within lambdas need names of their own
+    if isinstance(kind, StructType):
+        fields = ", ".join(f"'{f.name}', {_cleaned(f'{x}.`{f.name}`', f.dataType, key, f.name == key)}" for f in kind.fields)
+        return f"if({x} is null, null, named_struct({fields}))"
+    if isinstance(kind, ArrayType):
+        name = f"a{len(x)}_{n}"
+        return f"transform({x}, {name} -> {_cleaned(name, kind.elementType, key)})"
+    if isinstance(kind, MapType):
+        k, v = f"k{len(x)}_{n}", f"v{len(x)}_{n}"
+        return f"transform_values({x}, ({k}, {v}) -> if({k} = '{key}', {_cleaned(v, kind.valueType, key, True)}, {_cleaned(v, kind.valueType, key)}))"
+    return x
+
+
+def clean_nested(records: DataFrame, key: str = "paragraph") -> DataFrame:
+    """records with the texts of every column and nested field or map key of that name cleaned, whatever the depth."""
+    return records.select(*(F.expr(_cleaned(f"`{f.name}`", f.dataType, key, f.name == key)).alias(f.name) for f in records.schema.fields))
+
+
 def filter_max_words(records: DataFrame, most: int = MAX_WORDS, column: str = "paragraph", count: str | None = None) -> DataFrame:
     """records of so many words at the most; count names a column that keeps their number. Words are split once."""
     kept = fixed(records, **{count or "weft_words": T.word_count(column)}).where(F.col(count or "weft_words") <= most)

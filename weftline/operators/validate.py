@@ -6,13 +6,14 @@ the row. Pairs and triples are sets of structs in which null is a value like any
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from weftline.functions import text as T
 from weftline.functions.columns import fixed
-from weftline.operators.graph import GATEWAYS, gateway_type, role
+from weftline.operators.graph import GATEWAYS, gateway_type, graphs, role
+from weftline.sources.records import read_records, read_workflows
 
 SETS = ("actions", "action_successors", "action_predecessors", "gateway_branches_next", "gateway_incoming", "branch_tuples")
 AVERAGES = {
@@ -36,6 +37,11 @@ def joined(graphs: DataFrame, workflows: DataFrame) -> DataFrame:
     return workflows.select("file_index", "workflow").join(last.select("file_index", "record_no", "g", "e"), "file_index")
 
 
+def validate_files(spark: SparkSession, raw_path: str, workflow_path: str) -> DataFrame:
+    """Measures of the workflows of one file against the raw records of another; see metrics()."""
+    return metrics(joined(graphs(read_records(spark, raw_path)), read_workflows(spark, workflow_path)))
+
+
 def unmatched(graphs: DataFrame, workflows: DataFrame) -> DataFrame:
     return workflows.select("file_index").join(graphs.select("file_index"), "file_index", "left_anti")
 
@@ -118,28 +124,90 @@ def averages(measured: DataFrame) -> DataFrame:
     return measured.agg(F.count("*").alias("records"), *(F.avg(v).alias(k) for k, v in AVERAGES.items()))
 
 
+def _fields(kind: str) -> tuple[str, ...]:
+    return ("a", "b", "c") if kind == "branch_tuples" else ("a", "b")
+
+
+def _written(x: str, kind: str) -> str:
+    """Differences as Python writes the elements of a list of strings or tuples."""
+    item = literal("p") if kind == "actions" else "concat('(', " + ", ', ', ".join(literal(f"p.{f}") for f in _fields(kind)) + ", ')')"
+    return f"array_join(transform({x}, p -> {item}), ', ')"
+
+
 def diagnostics(measured: DataFrame) -> DataFrame:
     """(record_no, measure, missing, extra) with the shown differences as text."""
-    text = lambda k, side: f"array_join(transform(m.{k}.{side}, p -> {literal('p') if k == 'actions' else f'concat(\'(\', {", \', \', ".join(literal(f"p.{f}") for f in (("a", "b", "c") if k == "branch_tuples" else ("a", "b")))}, \')\')'}), ', ')"
-    parts = ", ".join(f"named_struct('measure', '{k}', 'missing', {text(k, 'missing')}, 'extra', {text(k, 'extra')})" for k in SETS)
+    parts = ", ".join(f"named_struct('measure', '{k}', 'missing', {_written(f'm.{k}.missing', k)}, 'extra', {_written(f'm.{k}.extra', k)})" for k in SETS)
     return measured.select("record_no", F.expr(f"inline(array({parts}))"))
 
 
+# The report's texts.
+RULE = "=" * 80
+HEADING = (RULE, "EXTRACTION VALIDATION REPORT", RULE)
+SCORES = {
+    "actions": "  Actions:           ",
+    "action_successors": "  Action successors: ",
+    "action_predecessors": "  Action predecess:  ",
+    "gateway_branches_next": "  Gateway next:      ",
+    "gateway_incoming": "  Gateway incoming:  ",
+    "branch_tuples": "  Branch tuples:     ",
+}
+GATEWAY_LINE = "  Gateways:          "
+COUNT_LINE = "  Branch counts:     "
+MISSING, EXTRA = " " * 21 + "Missing: ", " " * 21 + "Extra:   "
+MEANS = {
+    "action_f1": "  Action F1:              ",
+    "gateway_type_accuracy": "  Gateway type accuracy:  ",
+    "gateway_role_accuracy": "  Gateway role accuracy:  ",
+    "action_successor_f1": "  Action successor F1:    ",
+    "action_predecessor_f1": "  Action predecessor F1:  ",
+    "gateway_next_f1": "  Gateway next F1:        ",
+    "gateway_incoming_f1": "  Gateway incoming F1:    ",
+    "branch_tuple_f1": "  Branch tuple F1:        ",
+    "branch_count_accuracy": "  Branch count accuracy:  ",
+}
+
+
+def two_places(x: str) -> str:
+    """A number with two places as Python writes it: the middle between two goes to the even one.
+
+    Only odd eighths stand in the middle exactly; Java rounds these up.
+    """
+    return f"format_string('%.2f', {x} - if({x} * 8 = floor({x} * 8) and cast({x} * 8 as bigint) % 4 = 1, 0.005D, 0.0D))"
+
+
+def _whole(x: str) -> str:
+    return f"cast({x} as string)"
+
+
+def _line_numbers() -> dict[str, int]:
+    """The place of each kind of line in a record's part of the report; lines that are not there leave a gap."""
+    lines = ["", "record", "actions", "actions missing", "actions extra", "gateways"]
+    for k in list(SCORES)[1:]:
+        lines += [k, f"{k} missing"]
+    return {x: n for n, x in enumerate([*lines, "counts"])}
+
+
 def report(measured: DataFrame) -> DataFrame:
-    """(record_no, line_no, line): the report's lines for each record; the averages' lines have a null record_no."""
-    line = lambda label, k: f"format_string('%s P=%.2f R=%.2f F1=%.2f (GT=%d, Ext=%d)', '{label}', m.{k}.precision, m.{k}.recall, m.{k}.f1, m.{k}.gt_count, m.{k}.ext_count)"
-    lines = [
-        "format_string('Record (file_index: %s)', cast(file_index as string))",
-        line("Actions", "actions"),
-        "format_string('Gateways count_match=%s type_acc=%.2f role_acc=%.2f (GT=%d, Ext=%d)', cast(m.gateways.count_match as string), m.gateways.type_accuracy, m.gateways.role_accuracy, m.gateways.gt_count, m.gateways.ext_count)",
-        line("Action successors", "action_successors"),
-        line("Action predecessors", "action_predecessors"),
-        line("Gateway next", "gateway_branches_next"),
-        line("Gateway incoming", "gateway_incoming"),
-        line("Branch tuples", "branch_tuples"),
-        "format_string('Branch counts accuracy=%.2f (compared=%d)', m.branch_counts.accuracy, m.branch_counts.total_compared)",
-    ]
-    each = measured.select("record_no", F.expr(f"posexplode(array({', '.join(lines)}))").alias("line_no", "line"))
+    """(section, record_no, line_no, line): heading (0), lines of each record (1), averages (2); records are named by number.
+
+    Lines of no record have -1 as record_no.
+    """
+    at = _line_numbers()
+    lines = {"": "''", "record": f"concat('--- Record ', {_whole('record_no')}, ' (file_index: ', {_whole('file_index')}, ') ---')"}
+    for k, label in SCORES.items():
+        m = f"m.{k}"
+        lines[k] = f"concat('{label}P=', {two_places(m + '.precision')}, '  R=', {two_places(m + '.recall')}, '  F1=', {two_places(m + '.f1')}, '  (GT=', {_whole(m + '.gt_count')}, ', Ext=', {_whole(m + '.ext_count')}, ')')"
+        for side, title in (("missing", MISSING), ("extra", EXTRA)):
+            if f"{k} {side}" in at:
+                lines[f"{k} {side}"] = f"if(size({m}.{side}) > 0, concat('{title}[', {_written(f'{m}.{side}', k)}, ']'), null)"
+    g = "m.gateways"
+    lines["gateways"] = f"concat('{GATEWAY_LINE}count_match=', initcap({_whole(g + '.count_match')}), '  type_acc=', {two_places(g + '.type_accuracy')}, '  role_acc=', {two_places(g + '.role_accuracy')}, '  (GT=', {_whole(g + '.gt_count')}, ', Ext=', {_whole(g + '.ext_count')}, ')')"
+    lines["counts"] = f"concat('{COUNT_LINE}accuracy=', {two_places('m.branch_counts.accuracy')}, '  (compared=', {_whole('m.branch_counts.total_compared')}, ')')"
+    parts = ", ".join(f"named_struct('line_no', {at[k]}, 'line', {x})" for k, x in lines.items())
+    each = measured.select(F.lit(1).alias("section"), "record_no", F.expr(f"inline(filter(array({parts}), s -> s.line is not null))"))
     mean = averages(measured)
-    total = mean.select(F.lit(None).cast(measured.schema["record_no"].dataType).alias("record_no"), F.expr("posexplode(array(" + ", ".join(["format_string('AVERAGES (over %d records)', records)", *(f"format_string('{k} %.2f', {k})" for k in AVERAGES)]) + "))").alias("line_no", "line"))
-    return each.union(total)
+    texts = ["''", f"'{RULE}'", f"concat('AVERAGES (over ', {_whole('records')}, ' records):')", *(f"concat('{label}', {two_places(k)})" for k, label in MEANS.items()), f"'{RULE}'"]
+    none = F.lit(-1).cast(measured.schema["record_no"].dataType).alias("record_no")
+    total = mean.select(F.lit(2).alias("section"), none, F.posexplode(F.array(*map(F.expr, texts))).alias("line_no", "line"))
+    head = mean.select(F.lit(0).alias("section"), none, F.posexplode(F.array(*map(F.lit, HEADING))).alias("line_no", "line"))
+    return each.unionByName(total).unionByName(head)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from weftline.operators.validate import COUNT_LINE, EXTRA, GATEWAY_LINE, HEADING, MEANS, MISSING, RULE, SCORES, _line_numbers
 from weftline.plans.queries import QUERIES
 from weftline.sources.records import TEMPLATE
 
@@ -117,8 +118,44 @@ def _prf(*measures: str) -> str:
     return f"{_SETS} select file_index as record_no, measure, round(p, 6) as \"precision\", round(r, 6) as recall, round(f, 6) as f1, gt as gt_count, ext as ext_count from sc where measure in ({', '.join(repr(m) for m in measures)})"
 
 
+_ITEM = "case when measure = 'actions' then chr(39) || k || chr(39) else '(' || array_to_string(list_transform(string_split(k, '|'), lambda x: case when x = '<none>' then 'None' else chr(39) || x || chr(39) end), ', ') || ')' end"
+_ORDER = "case when measure in ('gateway_branches_next', 'branch_tuples') then [item] else string_split(k, '|') end"
+
+
+def _shown(name: str, left: str, right: str, where: str) -> str:
+    return (
+        f"{name} as (select measure, file_index, string_agg(item, ', ' order by nth) as items from (select *, row_number() over (partition by measure, file_index order by {_ORDER}) as nth"
+        f" from (select *, {_ITEM} as item from (select measure, file_index, k from {left} except select measure, file_index, k from {right}))) where {where} group by measure, file_index)"
+    )
+
+
+_DIFFERENCES = f"{_SETS}, {_shown('dm', 'gs', 'xs', "nth <= 5 or measure = 'actions'")}, {_shown('dx', 'xs', 'gs', "measure = 'actions' or nth <= 5 and measure <> 'action_successors'")}"
+
 _F = {"action_f1": "actions", "action_successor_f1": "action_successors", "action_predecessor_f1": "action_predecessors", "gateway_next_f1": "gateway_branches_next", "gateway_incoming_f1": "gateway_incoming", "branch_tuple_f1": "branch_tuples"}
-_EACH = f"{_SETS}, vm as (select aa.file_index, type_accuracy as gateway_type_accuracy, role_accuracy as gateway_role_accuracy, count_accuracy as branch_count_accuracy, " + ", ".join(f"(select f from sc where sc.file_index = aa.file_index and measure = '{m}') as {k}" for k, m in _F.items()) + " from aa)"
+_VM = "vm as (select aa.file_index, type_accuracy as gateway_type_accuracy, role_accuracy as gateway_role_accuracy, count_accuracy as branch_count_accuracy, " + ", ".join(f"(select f from sc where sc.file_index = aa.file_index and measure = '{m}') as {k}" for k, m in _F.items()) + " from aa)"
+_EACH = f"{_SETS}, {_VM}"
+_AT = _line_numbers()
+
+
+def _two(x: str) -> str:
+    return f"printf('%.2f', {x}::double)"
+
+
+def _report() -> str:
+    lines = ["select 1 as section, file_index as record_no, 0 as line_no, '' as line from aa", "select 1, file_index, 1, '--- Record ' || file_index || ' (file_index: ' || file_index || ') ---' from aa"]
+    for k, label in SCORES.items():
+        lines.append(f"select 1, file_index, {_AT[k]}, '{label}P=' || {_two('p')} || '  R=' || {_two('r')} || '  F1=' || {_two('f')} || '  (GT=' || gt || ', Ext=' || ext || ')' from sc where measure = '{k}'")
+        for side, found, title in (("missing", "dm", MISSING), ("extra", "dx", EXTRA)):
+            if f"{k} {side}" in _AT:
+                lines.append(f"select 1, file_index, {_AT[f'{k} {side}']}, '{title}[' || items || ']' from {found} where measure = '{k}'")
+    lines.append(f"select 1, file_index, {_AT['gateways']}, '{GATEWAY_LINE}count_match=' || case when gt = ext then 'True' else 'False' end || '  type_acc=' || {_two('type_accuracy')} || '  role_acc=' || {_two('role_accuracy')} || '  (GT=' || gt || ', Ext=' || ext || ')' from aa")
+    lines.append(f"select 1, file_index, {_AT['counts']}, '{COUNT_LINE}accuracy=' || {_two('count_accuracy')} || '  (compared=' || least(gt, ext) || ')' from aa")
+    lines += [f"select 0, -1, {n}, '{x}'" for n, x in enumerate(HEADING)]
+    last = [(1, f"max('{RULE}')"), (2, "'AVERAGES (over ' || count(*) || ' records):'"), (3 + len(MEANS), f"max('{RULE}')"), *((3 + n, f"'{label}' || {_two(f'avg({k})')}") for n, (k, label) in enumerate(MEANS.items()))]
+    lines += ["select 2, -1, 0, ''", *(f"select 2, -1, {n}, {x} from vm" for n, x in last)]
+    return " union all ".join(lines)
+
+
 _MEASURES = ("gateway_type_accuracy", "gateway_role_accuracy", "branch_count_accuracy", *_F)
 _TEXT = "(select doc_id as record_no, replace(text, '. ', '. <SEP> ') as paragraph from documents)"
 _CLEAN = "regexp_replace(replace(replace(replace(paragraph, ' <SEP> ', ' '), '<SEP>', ' '), chr(10), ' '), ' {2,}', ' ', 'g')"
@@ -126,6 +163,8 @@ _COUNT = "len(regexp_extract_all({}, '\\S+'))"
 
 ORACLES = {
     "scan_records": f"with {_ND}, e as (select file_index, count(*) as n from ed group by 1) select n.file_index, count(*) as n_nodes, any_value(e.n) as n_flows, length(string_agg(event_type, ' ')) as n_chars from nd n join e on e.file_index = n.file_index group by 1",
+    "merge_splits": f"""select record_no, file_index, n_words, paragraph from (select row_number() over (order by record_no % 3, record_no) - 1 as record_no, record_no as file_index, {_CLEAN} as paragraph, {_COUNT.format(_CLEAN)} as n_words from {_TEXT}) where n_words <= 500""",
+    "clean_nested": f"select record_no, paragraph as title, {_CLEAN} as paragraph, {_CLEAN} as listed, {_CLEAN} as mapped, paragraph as other, record_no as number from {_TEXT}",
     "clean_paragraph": f"select record_no, {_CLEAN} as paragraph from {_TEXT}",
     "filter_max_words": f"select record_no, {_COUNT.format(_CLEAN)} as n_words from {_TEXT} where {_COUNT.format(_CLEAN)} <= 500",
     "token_stats": f"select count(*) as records, round(avg(n), 6) as mean, round(median(n), 6) as median, round(stddev_pop(n), 6) as std, min(n) as min, max(n) as max from (select {_COUNT.format('paragraph')} as n from {_TEXT})",
@@ -156,6 +195,10 @@ ORACLES = {
     "execution_states": f"{_RECURSIVE} select file_index as record_no, completed, available, can_terminate from st",
     "workflow_summary": f"{_RECURSIVE} select n.file_index as record_no, coalesce(any_value(a.n), 0) as n_actors, count(action_id) as n_actions, count(gateway_id) as n_gateways, any_value(s.n) as n_execution_states from rn n left join {_ACTORS} a on a.file_index = n.file_index join (select file_index, count(*) as n from st group by 1) s on s.file_index = n.file_index group by n.file_index",
     "extract_summary": f"{RAW} select n.file_index as record_no, coalesce(any_value(a.n), 0) as n_actors, count(action_id) as n_actions, count(gateway_id) as n_gateways from rn n left join {_ACTORS} a on a.file_index = n.file_index group by n.file_index order by 1 limit 20",
+    "read_workflows": f"""{_RECURSIVE} select n.file_index, coalesce(any_value(a.n), 0) as n_actors, count(action_id) as n_actions, count(gateway_id) as n_gateways, any_value(s.n) as n_execution_states,
+ (select count(*) from re where re.file_index = n.file_index and s_gateway is not null and has_tgt and trim(cond) <> '') as n_conditions, (select count(*) from re where re.file_index = n.file_index and s_gateway is not null and has_tgt and t_next is null) as n_ends,
+ count(*) filter (action_id is not null and trim(agent) <> '') as n_acted, any_value(s.terminal) as n_terminal
+ from rn n left join {_ACTORS} a on a.file_index = n.file_index join (select file_index, count(*) as n, count(*) filter (can_terminate) as terminal from st group by 1) s on s.file_index = n.file_index group by n.file_index""",
     "validation_join": f"{BOTH} select file_index, (select count(*) from rn where rn.file_index = f.file_index) as n_nodes, (select count(action_id) from xn where xn.file_index = f.file_index) as n_actions from (select distinct file_index from fnd) f",
     "validation_unmatched": f"with {_ND} select distinct -1 - file_index as file_index from fnd where file_index % 10 = 3",
     "action_prf": _prf("actions"),
@@ -166,6 +209,9 @@ ORACLES = {
     "gateway_role_accuracy": f"{_SETS} select file_index as record_no, round(role_accuracy, 6) as role_accuracy from aa",
     "branch_count_accuracy": f"{_SETS} select file_index as record_no, round(count_accuracy, 6) as accuracy, least(gt, ext) as total_compared from aa",
     "validation_metrics": f"{_EACH} select file_index as record_no, " + ", ".join(f"round({m}, 6) as {m}" for m in _MEASURES) + " from vm",
+    "validation_diagnostics": f"{_DIFFERENCES} select ms.file_index as record_no, ms.measure, coalesce(dm.items, '') as missing, coalesce(dx.items, '') as extra from ms left join dm on dm.measure = ms.measure and dm.file_index = ms.file_index left join dx on dx.measure = ms.measure and dx.file_index = ms.file_index",
+    "validation_report": f"{_DIFFERENCES}, {_VM} {_report()}",
     "validation_averages": f"{_EACH} select count(*) as records, " + ", ".join(f"round(avg({m}), 6) as {m}" for m in _MEASURES) + " from vm",
 }
+ORACLES["validation_from_files"] = ORACLES["validation_averages"]
 assert not set(ORACLES) - set(QUERIES)

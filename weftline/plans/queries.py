@@ -72,6 +72,40 @@ def scan_records(spark, d):
     return records.read_records(spark, folder).select("file_index", F.size("step_nodes").cast("bigint").alias("n_nodes"), F.size("SequenceFlow").cast("bigint").alias("n_flows"), F.length("paragraph").cast("bigint").alias("n_chars"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def merge_splits(spark, d):
+    """Three splits as files of one JSON array each, read, cleaned, joined with dense numbers and filtered."""
+    folder, splits = _folder(spark, "splits"), []
+    for n, name in enumerate(records.SPLITS):
+        part = _table(spark, d, "documents").where(F.col("doc_id") % 3 == n).select(
+            F.col("doc_id").alias("file_index"), F.expr("replace(text, '. ', '. <SEP> ')").alias("paragraph"), F.array().cast(f"array<{records.NODE}>").alias("step_nodes"), F.array().cast(f"array<{records.FLOW}>").alias("SequenceFlow"), F.col("doc_id").alias("at")
+        )
+        export.write_array(export.row_json(part, "at", ascii_only=n == 0, indent=2 if n else None), f"{folder}/{name}.json", "at", 2 if n else None)
+        splits.append(corpus.clean(records.read_records(spark, f"{folder}/{name}.json")))
+    merged = corpus.filter_max_words(records.merge_splits(splits), count="n_words")
+    return merged.select("record_no", "file_index", F.col("n_words").cast("bigint").alias("n_words"), "paragraph")
+
+
+@query
+def clean_nested(spark, d):
+    """Texts under the key in structs, lists and maps; those under other names stay."""
+    rows = _paragraphs(spark, d).selectExpr(
+        "record_no", "named_struct('title', paragraph, 'paragraph', paragraph) as one", "array(named_struct('paragraph', paragraph, 'n', record_no)) as many", "map('paragraph', paragraph, 'title', paragraph) as keyed", "named_struct('paragraph', record_no) as number"
+    )
+    return corpus.clean_nested(rows).selectExpr("record_no", "one.title", "one.paragraph", "many[0].paragraph as listed", "keyed['paragraph'] as mapped", "keyed['title'] as other", "number.paragraph as number")
+
+
+@query
+def exact_split(spark, d):
+    """The seeded shuffle and cut of the corpus, with positions."""
+    numbered = _table(spark, d, "documents").selectExpr("row_number() over (order by doc_id) - 1 as record_no").withColumn("record_no", F.col("record_no").cast("bigint"))
+    return corpus.exact_split(numbered).select("record_no", "position", "split")
+
+
 @query
 def clean_paragraph(spark, d):
     return corpus.clean(_paragraphs(spark, d))
@@ -235,9 +269,37 @@ def workflow_json(spark, d):
     return export.workflow_json(_whole(_records(spark, d)))
 
 
+@query
+def read_workflows(spark, d):
+    """Workflows written as JSON, one to a line, read back with the declared schema, and counted."""
+    folder = _folder(spark, "workflows") + "/"
+    export.workflow_json(_whole(_records(spark, d))).select("json").write.text(folder)
+    flows = records.read_workflows(spark, folder)
+    count = lambda x: F.expr(f"cast(size({x}) as bigint)")
+    ways = "flatten(transform(workflow.gateways, g -> g.branches))"
+    return flows.select(
+        "file_index",
+        *(count(f"workflow.{c}").alias(f"n_{c}") for c in ("actors", "actions", "gateways", "execution_states")),
+        count(f"filter({ways}, b -> b.condition is not null)").alias("n_conditions"),
+        count(f"filter({ways}, b -> b.next is null)").alias("n_ends"),
+        count("filter(workflow.actions, a -> a.actor is not null)").alias("n_acted"),
+        count("filter(workflow.execution_states, s -> s.can_terminate)").alias("n_terminal"),
+    )
+
+
 # validation
 
 
+@query
+def validation_from_files(spark, d):
+    """The measures' averages, of raw records and of extracted workflows that are read from files."""
+    raw = _records(spark, d)
+    one, two = _folder(spark, "raw") + "/", _folder(spark, "extracted") + "/"
+    records.write_records(raw, one)
+    export.workflow_json(workflow.workflows(G.graphs(records.with_faults(raw)))).select("json").write.text(two)
+    return validate.averages(validate.validate_files(spark, one, two)).select("records", *(F.round(k, 6).alias(k) for k in validate.AVERAGES))
+
+
 @query
 def validation_join(spark, d):
     raw = _records(spark, d)

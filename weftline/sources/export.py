@@ -1,10 +1,11 @@
-"""Workflows as JSON text with exactly the keys that the format has."""
+"""Records and workflows as JSON text with exactly the keys that the formats have, and files of one JSON array."""
 
 from __future__ import annotations
 
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -27,6 +28,52 @@ def document(file_index, procedure_text, workflow) -> dict:
     return out
 
 
+def _plain(x):
+    """Rows, arrays and numbers of a column as JSON knows them."""
+    if isinstance(x, dict):
+        return {k: _plain(v) for k, v in x.items()}
+    if hasattr(x, "asDict"):
+        return _plain(x.asDict())
+    return [_plain(y) for y in x] if isinstance(x, (list, tuple)) else x
+
+
+def row_json(rows: DataFrame, order: str = "record_no", ascii_only: bool = False, indent: int | None = None) -> DataFrame:
+    """(order, json): all other columns of each row as one JSON object, nulls written as null."""
+    columns = [c for c in rows.columns if c != order]
+
+    def run(batches):
+        for batch in batches:
+            texts = [json.dumps(_plain(x), ensure_ascii=ascii_only, indent=indent) for x in batch.select(columns).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(order), pa.array(texts, pa.string())], [order, "json"])
+
+    kind = rows.schema[order].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{order}` {kind}, json string")
+
+
+def write_array(texts: DataFrame, path: str, order: str = "record_no", indent: int | None = 2) -> None:
+    """One file with one JSON array of the texts in order, indented as json.dump() would.
+
+    A single file is written by one writer: rows stream through the driver, a partition at a time. It is for
+    exchange with tools that read such files; write_records() is for large corpora.
+    """
+    spark = texts.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
+    pad, end = (" " * indent, "\n") if indent else ("", "")
+    try:
+        held, first = [], True
+        for row in texts.orderBy(order).select("json").toLocalIterator():
+            # a line feed inside a string is escaped, so that every one here ends a line of the layout
+            held.append(("[" if first else "," if indent else ", ") + end + pad + row[0].replace("\n", "\n" + pad))
+            first = False
+            if len(held) == 1000:
+                out.write("".join(held).encode())
+                held = []
+        out.write(("".join(held) + ("[]" if first else end + "]")).encode())
+    finally:
+        out.close()
+
+
 def workflow_json(workflows: DataFrame, ascii_only: bool = False, indent: int | None = None) -> DataFrame:
     """(record_no, json): one JSON text per workflow."""
     kind = workflows.schema["record_no"].dataType.simpleString()

@@ -31,6 +31,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.monotonically_increasing_id().alias("record_no"), *read.columns)
 
 
+def read_workflows(spark: SparkSession, path: str) -> DataFrame:
+    """Extracted workflows of a JSON array file or of JSON Lines (a path ending in .jsonl or /); keys that are absent are null."""
+    lines = path.endswith((".jsonl", "/"))
+    return spark.read.schema(WORKFLOW).option("mode", "FAILFAST").option("multiLine", not lines).json(path)
+
+
 def merge_splits(splits: list[DataFrame]) -> DataFrame:
     """Splits one after another, with dense record numbers; each split keeps its own order.
 
