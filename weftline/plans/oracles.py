@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from weftline.operators.validate import COUNT_LINE, EXTRA, GATEWAY_LINE, HEADING, MEANS, MISSING, RULE, SCORES, _line_numbers
 from weftline.plans.queries import QUERIES
-from weftline.sources.records import TEMPLATE
+from weftline.sources.records import TEMPLATE, WIDE_TEXTS
 
 _ND = """
  r0 as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as rn from events),
@@ -82,6 +82,40 @@ _PATHS = """
   from (select file_index, array_to_string(path[1:i], '>') as completed, path[i + 1] as nxt from (select file_index, path, unnest(range(0, len(path) + 1)) as i from pp)) group by file_index, completed)"""
 _RECURSIVE = RAW.replace("with", "with recursive", 1) + "," + _PATHS
 
+# Wide records: ids by a fold over the nodes, joins by reachability, ways by permutations and subsets in order.
+_WIDE = f"""with recursive
+ wr as (select *, case when kind = 'XOR' then 60 + p_size % 10 else 1 + p_size % 8 end as n from (select p_partkey as record_no, p_size, case when p_partkey % 30 = 0 then 'XOR' when p_partkey % 2 = 0 then 'AND' else 'OR' end as kind from part)),
+ wl as (select record_no, 0 as pos, 's' as rid, 'StartNode' as type, '' as text from wr union all select record_no, 1, 'x', kind, '' from wr
+  union all select record_no, 2 + i, 'b' || i, 'Activity', ([{", ".join(f"'{t}'" for t in WIDE_TEXTS)}])[i % 4 + 1] from (select record_no, unnest(range(0, n)) as i from wr)
+  union all select record_no, 2 + n, 'j', kind, '' from wr union all select record_no, 3 + n, 'e', 'EndNode', case when record_no % 2 = 0 then 'Done' else '' end from wr
+  union all select record_no, 4 + n, 'b0', 'Activity', 'Again' from wr where record_no % 5 = 0),
+ wn as (select record_no, rid, row_number() over (partition by record_no order by min(pos)) - 1 as idx, arg_max(type, pos) as type, arg_max(text, pos) as text from wl group by record_no, rid),
+ wb as (select *, case when type in ('Activity', 'StartNode', 'EndNode') and text <> '' then replace(lower(text), ' ', '_') end as base from wn),
+ wf as (select record_no, -1::bigint as idx, cast([] as varchar[]) as seen, null::varchar as id from wr
+  union all select b.record_no, b.idx, case when b.base is null then f.seen else list_append(f.seen, case when list_contains(f.seen, b.base) then list_filter(list_transform(range(2, len(f.seen) + 3), lambda k: b.base || '_' || k), lambda c: not list_contains(f.seen, c))[1] else b.base end) end,
+   case when b.base is null then null when list_contains(f.seen, b.base) then list_filter(list_transform(range(2, len(f.seen) + 3), lambda k: b.base || '_' || k), lambda c: not list_contains(f.seen, c))[1] else b.base end
+  from wf f join wb b on b.record_no = f.record_no and b.idx = f.idx + 1),
+ wi as (select f.record_no, f.idx, b.rid, f.id from wf f join wb b on b.record_no = f.record_no and b.idx = f.idx),
+ we as (select record_no, 's' as src, 'x' as tgt, 0 as epos from wr union all select record_no, 'x', 'b' || i, 1 + 2 * i from (select record_no, unnest(range(0, n)) as i from wr)
+  union all select record_no, 'b' || i, 'j', 2 + 2 * i from (select record_no, unnest(range(0, n)) as i from wr) union all select record_no, 'j', 'e', 1 + 2 * n from wr)"""
+_WIDE_JOINS = f"""{_WIDE},
+ gates as (select n.record_no, n.rid as split, count(*) as outs from wn n join we e on e.record_no = n.record_no and e.src = n.rid where n.type in ('XOR', 'AND', 'OR') group by all having count(*) > 1),
+ reach as (select g.record_no, g.split, e.epos as branch, e.tgt as rid, [e.epos] as way from gates g join we e on e.record_no = g.record_no and e.src = g.split
+  union all select r.record_no, r.split, r.branch, e.tgt, list_append(r.way, e.epos) from reach r join we e on e.record_no = r.record_no and e.src = r.rid where e.tgt <> r.split and len(r.way) < 8),
+ common as (select r.record_no, r.split, r.rid, min([[len(way)], way]) as first from reach r join gates g on g.record_no = r.record_no and g.split = r.split group by r.record_no, r.split, r.rid, g.outs having count(distinct branch) = g.outs),
+ closing as (select c.record_no, c.split, arg_min(c.rid, c.first) as rid from common c join wn n on n.record_no = c.record_no and n.rid = c.rid where n.type in ('XOR', 'AND', 'OR') and (select count(*) from we e where e.record_no = c.record_no and e.tgt = c.rid) > 1 group by all)
+ select g.record_no, g.split, c.rid as "join" from gates g left join closing c on c.record_no = g.record_no and c.split = g.split"""
+_WIDE_PATHS = f"""{_WIDE},
+ orders as (select cast([] as integer[]) as o union all select list_append(o, i::integer) from orders, range(0, 8) as r(i) where len(o) < 8 and not list_contains(o, i::integer)),
+ subsets as (select cast([] as integer[]) as o union all select list_append(o, i::integer) from subsets, range(0, 8) as r(i) where i > coalesce(o[len(o)], -1)),
+ ways as (
+  select 'AND' as kind, n, o, row_number() over (partition by n order by o) as nth from orders, range(1, 9) as r(n) where len(o) = n and coalesce(list_max(o), 0) < n
+  union all select 'OR', n, o, row_number() over (partition by n order by len(o), o) from subsets, range(1, 9) as r(n) where len(o) between 1 and n and list_max(o) < n
+  union all select 'XOR', n, [i::integer], i + 1 from (select n, unnest(range(0, n)) as i from range(60, 70) as r(n))),
+ wp as (select r.record_no, w.nth - 1 as path_no, list_concat(list_transform(w.o, lambda i: ids[i + 1]), case when r.record_no % 2 = 0 then [done] else cast([] as varchar[]) end) as path
+  from wr r join (select record_no, list(id order by try_cast(substr(rid, 2) as int)) filter (rid like 'b%') as ids, any_value(id) filter (rid = 'e') as done from wi group by 1) i on i.record_no = r.record_no
+  join ways w on w.kind = r.kind and w.n = r.n where r.kind = 'XOR' or w.nth <= 60)"""
+
 _KEY = lambda *xs: " || '|' || ".join(f"coalesce({x}, '<none>')" for x in xs)
 _NAME = "regexp_replace(lower(trim(text)), ';+$', '')"
 _TUPLES = {
@@ -193,6 +227,11 @@ ORACLES = {
     "matching_joins": f"{RAW} select file_index as record_no, rid as split, case when pos = 2 then concat('sid-', file_index, '-5') end as \"join\" from rn where pos in (2, 7)",
     "execution_paths": f"{_RECURSIVE} select file_index as record_no, array_to_string(path, '>') as path from pp",
     "execution_states": f"{_RECURSIVE} select file_index as record_no, completed, available, can_terminate from st",
+    "wide_action_ids": f"{_WIDE} select record_no, idx, rid, id as action_id from wi where id is not null",
+    "wide_matching_joins": _WIDE_JOINS,
+    "wide_paths": f"{_WIDE_PATHS} select record_no, path_no, array_to_string(path, '>') as path from wp",
+    "wide_states": f"""{_WIDE_PATHS} select record_no, completed, coalesce(string_agg(distinct nxt, ',' order by nxt), '') as available, bool_or(nxt is null) as can_terminate
+ from (select record_no, array_to_string(path[1:i], '>') as completed, path[i + 1] as nxt from (select record_no, path, unnest(range(0, len(path) + 1)) as i from wp where path_no < 60)) group by record_no, completed""",
     "workflow_summary": f"{_RECURSIVE} select n.file_index as record_no, coalesce(any_value(a.n), 0) as n_actors, count(action_id) as n_actions, count(gateway_id) as n_gateways, any_value(s.n) as n_execution_states from rn n left join {_ACTORS} a on a.file_index = n.file_index join (select file_index, count(*) as n from st group by 1) s on s.file_index = n.file_index group by n.file_index",
     "extract_summary": f"{RAW} select n.file_index as record_no, coalesce(any_value(a.n), 0) as n_actors, count(action_id) as n_actions, count(gateway_id) as n_gateways from rn n left join {_ACTORS} a on a.file_index = n.file_index group by n.file_index order by 1 limit 20",
     "read_workflows": f"""{_RECURSIVE} select n.file_index, coalesce(any_value(a.n), 0) as n_actors, count(action_id) as n_actions, count(gateway_id) as n_gateways, any_value(s.n) as n_execution_states,

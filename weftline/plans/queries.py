@@ -252,6 +252,33 @@ def execution_states(spark, d):
     return paths.execution_states(paths.execution_paths(_nodes(spark, d))).select("record_no", _joined("completed", ">"), _joined("available"), "can_terminate")
 
 
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    return G.graphs(records.wide_records(_table(spark, d, "part")), with_edges=False)
+
+
+@query
+def wide_action_ids(spark, d):
+    """Ids where texts collide and an id of a node comes twice."""
+    return G.nodes(_wide(spark, d)).where("action_id is not null").select("record_no", "idx", "rid", "action_id")
+
+
+@query
+def wide_matching_joins(spark, d):
+    return paths.matching_joins(_wide(spark, d))
+
+
+@query
+def wide_paths(spark, d):
+    """Paths in order, where blocks have more ways than the cap allows."""
+    return paths.execution_paths(_wide(spark, d)).select("record_no", "path_no", _joined("path", ">"))
+
+
+@query
+def wide_states(spark, d):
+    """States where there are more paths than the cap allows."""
+    return paths.execution_states(paths.execution_paths(_wide(spark, d))).select("record_no", _joined("completed", ">"), _joined("available"), "can_terminate")
+
+
 @query
 def workflow_summary(spark, d):
     return _whole(_records(spark, d)).select("record_no", *(F.size(f"workflow.{c}").cast("bigint").alias(f"n_{c}") for c in ("actors", "actions", "gateways", "execution_states")))

@@ -94,6 +94,34 @@ def event_records(events: DataFrame) -> DataFrame:
         from keyed""", events=events)
 
 
+#: Texts of the branches of wide records, over and over: their ids collide with each other's suffixes.
+WIDE_TEXTS = ("Step", "step", "Step 2", "step_2")
+
+
+def wide_records(parts: DataFrame) -> DataFrame:
+    """Records of one block with many branches, of each part: more ways than the caps allow.
+
+    start > split > branch i > join > end. Parallel and inclusive blocks have up to eight branches; every 30th
+    record has an exclusive one of 60 to 69. Texts collide, every other end has a name, and every fifth record
+    holds its first branch's id again, with another text.
+    """
+    texts = ", ".join(f"'{t}'" for t in WIDE_TEXTS)
+    node = lambda rid, text, kind: f"named_struct('resourceId', {rid}, 'NodeText', {text}, 'type', {kind}, 'agent', '')"
+    flow = lambda a, b: f"named_struct('src', {a}, 'tgt', {b}, 'condition', '')"
+    return (
+        parts.selectExpr("p_partkey as record_no", "p_partkey as file_index", "p_name as paragraph", "case when p_partkey % 30 = 0 then 'XOR' when p_partkey % 2 = 0 then 'AND' else 'OR' end as kind", "p_size")
+        .withColumn("n", F.expr("cast(if(kind = 'XOR', 60 + p_size % 10, 1 + p_size % 8) as int)"))
+        .selectExpr(
+            "record_no",
+            "file_index",
+            "paragraph",
+            f"""concat(array({node("'s'", "''", "'StartNode'")}, {node("'x'", "''", "kind")}), transform(sequence(0, n - 1), i -> {node("concat('b', i)", f"array({texts})[i % 4]", "'Activity'")}),
+                array({node("'j'", "''", "kind")}, {node("'e'", "if(record_no % 2 = 0, 'Done', '')", "'EndNode'")}), if(record_no % 5 = 0, array({node("'b0'", "'Again'", "'Activity'")}), array())) as step_nodes""",
+            f"""concat(array({flow("'s'", "'x'")}), flatten(transform(sequence(0, n - 1), i -> array({flow("'x'", "concat('b', i)")}, {flow("concat('b', i)", "'j'")}))), array({flow("'j'", "'e'")})) as SequenceFlow""",
+        )
+    )
+
+
 def with_strays(records: DataFrame) -> DataFrame:
     """records, and beside every tenth a copy under a number that no other record has."""
     return records.unionByName(records.where("file_index % 10 = 3").withColumns({"file_index": F.expr("-1 - file_index"), "record_no": F.expr("-1 - record_no")}))
