@@ -332,3 +332,53 @@ def test_pipeline(spark):
             assert kept == {r.doc_id for r in decontaminate.annotate(before, table(spark, DATA, "benchmark")).where(~decontaminate.contaminated()).collect()}
     assert now.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert {tuple(r) for r in corpus_pipeline.run(spark, DATA).collect()} == {tuple(r) for r in now.collect()}
+
+
+def odd_tables(spark, folder, docs, labels=None):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    (table(spark, DATA, "labels") if labels is None else labels).write.parquet(f"{folder}/labels.parquet")
+    table(spark, DATA, "benchmark").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, copies, ids that stand for several texts, and columns named as the operators name theirs."""
+    docs = table(spark, DATA, "documents")
+    text = "The quiet harbour town keeps its records in order, and every morning the clerk reads them aloud to the council. "
+    odd = [(None, None, None, None, None), (None, text * 3, "en", "src1", 300), (7001, text * 3, "en", "src1", 300), (7001, text * 3, "en", "src1", 300), (7001, "Other words " * 20 + "altogether.", "en", "src1", 260), (7002, text * 3, None, None, None), (7003, "", "en", "src2", 0), (7004, None, "de", "src2", 0), (7005, "word " * 100_000, "en", "src3", 500_000)]
+    rows = docs.union(spark.createDataFrame(odd, docs.schema)).withColumns({"weft_fp": F.lit(1), "y": F.lit("x"), "p_good": F.lit(0.0), "hits": F.lit("z"), "n_tokens": F.lit(9), "weft_row": F.lit(2)})
+    folder = odd_tables(spark, tmp_path / "odd", rows)
+    now = table(spark, folder, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, now = now, stage(spark, now, folder).cache()
+        assert now.columns == rows.columns and now.count() <= before.count(), name
+        if name == "simhash near-dedup":
+            known = before.where("doc_id is not null")
+            assert now.where("doc_id is null").count() == before.where("doc_id is null").count()
+            groups = simhash._grouped(known.select("doc_id", "text"), "doc_id", "text", simhash.RADIUS).where("doc_id is not null").select("root").distinct().count()
+            assert now.where("doc_id is not null").count() == groups
+    got = corpus_pipeline.run(spark, folder)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() == now.count()
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    assert corpus_pipeline.run(spark, odd_tables(spark, tmp_path / "a", docs.limit(0))).count() == 0
+    few = docs.where("doc_id < 30")
+    # without labels nothing is judged; near copies and contaminated documents still go
+    assert 0 < corpus_pipeline.run(spark, odd_tables(spark, tmp_path / "b", few, labels.limit(0))).count() <= 30
+
+
+def test_null_vector_ids(spark):
+    rows = spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.0]), (3, [1.0, 0.01]), (4, [1.0, 0.0]), (5, None)], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.n_links, r.component_id) for r in caps.near_vectors(rows).collect()]
+    assert sorted(got, key=str) == sorted([(None, 0, None), (None, 0, None), (3, 1, 3), (4, 1, 3), (5, 0, 5)], key=str)
+
+
+def test_a_conversation_and_a_turn_of_any_length(spark):
+    long = "x [INST] " * 200_000
+    rows = spark.createDataFrame([(1, t, "user" if t % 2 == 0 else "assistant", f"turn {t}") for t in range(3000)] + [(2, 0, "assistant", long)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.digest(rows).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got[1].n_turns == 3000 and got[1].turns_sha256 == sha("".join(f"{'user' if t % 2 == 0 else 'assistant'}\nturn {t}\n" for t in range(3000)))
+    assert got[2].loss_chars == len(long) and got[2].loss_sha256 == sha(long)
