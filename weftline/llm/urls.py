@@ -64,9 +64,8 @@ def grams(url: Column) -> Column:
     """Overlapping grams of ORDER symbols, one for each symbol of the folded URL and one for its end."""
     folded = F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER)
     folded = F.regexp_replace(F.regexp_replace(F.regexp_replace(folded, "[0-9]", "0"), "_", "-"), "[^a-z0./-]", "%")
-    chars = F.split(F.concat(F.lit("^" * (ORDER - 1)), folded, F.lit("^")), "")
-    last = F.length(folded)
-    return F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.concat(*(F.element_at(chars, i + k) for k in range(ORDER))))
+    # a look-ahead finds a gram at every symbol in one pass; lambdas would fold the URL again for each
+    return F.regexp_extract_all(F.concat(F.lit("^" * (ORDER - 1)), folded, F.lit("^")), F.lit(f"(?=(.{{{ORDER}}}))"), F.lit(1))
 
 
 def model(counts: DataFrame) -> DataFrame:
