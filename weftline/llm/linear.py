@@ -94,5 +94,8 @@ def fit_sparse(x: Sparse, y: np.ndarray, weight: np.ndarray, l2: float = 1.0, ro
             after = (1 + np.sqrt(1 + 4 * t * t)) / 2
             ahead = beta + (t - 1) / after * (beta - before)
             t = after
+        done = np.abs(beta - before).max() < 1e-4 * max(1.0, np.abs(beta).max())
         before = beta
+        if done:
+            break
     return beta

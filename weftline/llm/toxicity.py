@@ -33,7 +33,7 @@ DRAWN = 2
 #: Categories in order, as SQL over the labels' columns that gives 0, 1 or null.
 CATEGORIES = {"poor": "1 - quality", "toxic": "toxic"}
 #: Words and word beginnings that the models use at the most for each category, and documents that must hold one.
-FEATURES, LEAST_DOCS = 2048, 3
+FEATURES, LEAST_DOCS = 1024, 3
 #: Least hashes that tell near copies, and how many of them such share.
 SIGNS, SHARED = 16, 13
 #: Lengths, in bytes, of word beginnings; eight at the most.
