@@ -63,6 +63,17 @@ def test_caps_are_brute_force(spark, options):
     assert caps.near_vectors(rows.limit(0)).count() == 0
 
 
+def test_caps_with_ids_that_stand_for_several_vectors(spark):
+    near = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.99, 0.1, 0.0]), (4, [0.1, 0.99, 0.0])]
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(8, 5))
+    more = [(k % 13, list(map(float, base[k % 8] + rng.normal(size=5) * 0.15))) for k in range(90)]
+    for rows in (near, more):
+        got = sorted((r.vec_id, r.n_links, r.component_id) for r in caps.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+        links, low = plain_links([i for i, _ in rows], [v for _, v in rows])
+        assert got == sorted(zip([i for i, _ in rows], links, low, strict=True))
+
+
 def test_caps_recall(spark):
     rows = caps.op4_caps(spark, "/root/testdata/sf0.01").toPandas().sort_values("vec_id")
     source = table(spark, "/root/testdata/sf0.01", "embeddings").toPandas().sort_values("vec_id")

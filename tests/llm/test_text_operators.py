@@ -115,6 +115,21 @@ def test_a_million_letters_take_seconds(library, model):
         assert got == library.encode(text, add_eos=True), name
 
 
+def test_memory_of_words_is_bounded(library, model):
+    """Long unbroken words are not kept from block to block, and short ones only up to a number of bytes."""
+    cache = sentencepiece.Words()
+    rng = random.Random(1)
+    for _ in range(3):
+        text = "".join(rng.choices("abcdefgh", k=5000))
+        assert model.encode([text], cache) == [library.encode(text, add_eos=True)]
+        assert not len(cache) and len(cache.block) == 1
+    model.encode(["a few words"], cache)
+    assert 0 < len(cache) and not cache.block and cache.bytes > 0
+    cache.bytes = sentencepiece.CACHE_BYTES + 1
+    model.encode(["others"], cache)
+    assert "few" not in "".join(cache) and cache.bytes < 10_000
+
+
 def test_sentencepiece_tables(spark, library):
     rows = docs(spark, ODD + ODD[:3], [*range(len(ODD)), 0, 0, None])
     encoded = sentencepiece.encode(rows)
@@ -254,6 +269,20 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[5, 3, 8, None], [5, 5, 8, None]])
+def test_dedup_with_clashing_names(spark, ids):
+    """Columns named as the operator names its own, or with dots and quotes in their names."""
+    text = " ".join(f"tok{k}" for k in range(60))
+    names = {"weft_fp": 1, "weft_row": 2, "id": 4, "root": 5, "a.b": 6, "c`d": 7, "component_id": 8}
+    rows = docs(spark, [text, text, "other words are here", text], ids).withColumns({"x": F.lit(0)})
+    rows = rows.select("*", *(F.lit(v).alias(k) for k, v in names.items()))
+    kept = simhash.dedup(rows)
+    assert kept.columns == rows.columns
+    got = kept.collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got) == [(False, min(ids[:2])), (False, 8), (True, None)]
+    assert all(r[k] == v for r in got for k, v in names.items())
+
+
 def test_dedup_judges_rows_of_one_id_by_their_texts(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in ("tok", "word", "other"))
     kept = lambda texts, ids: sorted((r.doc_id, r.text) for r in simhash.dedup(docs(spark, texts, ids)).collect())

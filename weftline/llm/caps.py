@@ -182,14 +182,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows whose id is
     null, link with nothing; vectors of different lengths are not compared. Rows with the same vector
-    link with each other, whatever their ids; an empty table gives an empty result; other columns are
-    ignored.
+    link with each other, whatever their ids; rows with the same id and different vectors are told
+    apart, each with its own links and component; an empty table gives an empty result; other columns
+    are ignored.
     """
     kind = "array<float>" if vectors.schema[vector_column].dataType.simpleString() == "array<float>" else "array<double>"
     given = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).cast(kind).alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0)
     fit = given.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad)
-    classes = cut(fit.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
+    # an id may stand for several vectors, so that a class has a number of its own
+    classes = cut(fit.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("weight")).withColumn("rep", F.monotonically_increasing_id()))
     # a vector that is the only one of its length links with nothing
     sizes = [r[0] for r in classes.groupBy(F.size("v")).count().where("count > 1").collect()]
     found = [_links(classes.where(F.size("v") == size), size, cosine, recall, sample, chunk, words) for size in sorted(sizes)]
@@ -199,7 +201,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     links = cut(links.groupBy("a", "b").agg(F.sum("n").alias("n")))
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
     joined = components(links.select("a", "b")).select(F.col("node").alias("rep"), "root")
-    by_class = classes.join(counts, "rep", "left").join(joined, "rep", "left").select("v", (F.coalesce("more", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    placed = cut(classes.join(counts, "rep", "left").join(joined, "rep", "left").select("v", "least", (F.coalesce("more", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")))
+    # a component may hold very many classes
+    by_class = join_unique(placed, cut(placed.groupBy("root").agg(F.min("least").alias("component_id"))), "root").select("v", "n_links", "component_id")
     known = join_unique(cut(fit), cut(by_class), "v").select("id", "n_links", "component_id")
     rest = given.where(F.col("id").isNull() | F.col("v").isNull() | F.coalesce(bad, F.lit(False))).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     return known.union(rest).withColumnRenamed("id", id_column)

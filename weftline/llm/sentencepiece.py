@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm.common import blocks, table
 
 SPACE = "▁"
-#: Words whose ids a worker remembers; at the bound it forgets all and goes on.
-CACHE_WORDS = 200_000
+#: Bytes, as Words counts them, that a worker's remembered words may take; at the bound it forgets all and goes on.
+CACHE_BYTES = 96 << 20
+#: Characters of the longest word that is remembered; longer ones are encoded anew in each block.
+CACHE_LONGEST = 200
 #: Symbols merged at a time.
 ROUND_SYMBOLS = 1 << 18
 NONE = np.int64(1) << 40
@@ -34,6 +36,32 @@ NONE = np.int64(1) << 40
 LONG = 32
 
 
+class Words(dict):
+    """Ids, their decimal form and their number, by word: short words for as long as they fit, long ones for one block."""
+
+    def __init__(self):
+        super().__init__()
+        self.block: dict = {}
+        self.bytes = 0
+
+    def __missing__(self, word: str):
+        return self.block[word]
+
+    def keep(self, word: str, entry: tuple) -> None:
+        if len(word) > CACHE_LONGEST:
+            self.block[word] = entry
+            return
+        self[word] = entry
+        # strings and lists as CPython keeps them, with the entry's share of the table
+        self.bytes += 400 + 4 * len(word) + 8 * len(entry[0]) + len(entry[1])
+
+    def next_block(self) -> None:
+        self.block = {}
+        if self.bytes > CACHE_BYTES:
+            self.clear()
+            self.bytes = 0
+
+
 def model_path() -> str:
     import public_tokenizers
 
@@ -412,21 +440,20 @@ class Model:
         ids = symbols.tolist()
         return [ids[a:b] for a, b in itertools.pairwise(bounds)]
 
-    def encode(self, texts: list[str | None], cache: dict | None = None) -> list[list[int]]:
+    def encode(self, texts: list[str | None], cache: Words | None = None) -> list[list[int]]:
         """Ids of each text with an end id; null counts as empty."""
-        cache = {} if cache is None else cache
+        cache = Words() if cache is None else cache
         split = [self.split(t or "") for t in texts]
         self.learn(split, cache)
         return [[i for w in words for i in cache[w][0]] + [self.eos] for words in split]
 
-    def learn(self, split: list[list[str]], cache: dict) -> None:
-        """Fills the cache with ids, and their decimal form, of the words that it lacks."""
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+    def learn(self, split: list[list[str]], cache: Words) -> None:
+        """Fills the cache with what it lacks of the words of a block."""
+        cache.next_block()
         new = list({w for words in split for w in words}.difference(cache))
         decimal = self.decimal
         for w, ids in zip(new, self.encode_words(new), strict=True):
-            cache[w] = ids, " ".join([decimal[i] for i in ids]), len(ids)
+            cache.keep(w, (ids, " ".join([decimal[i] for i in ids]), len(ids)))
 
     # decoding
 
@@ -483,13 +510,13 @@ def _utf8(data: bytes) -> str:
 
 
 #: Models, with the words that they have met, that a worker keeps from task to task.
-_models: dict[bytes, tuple[Model, dict]] = {}
+_models: dict[bytes, tuple[Model, Words]] = {}
 
 
-def _load(data: bytes) -> tuple[Model, dict]:
+def _load(data: bytes) -> tuple[Model, Words]:
     key = hashlib.sha256(data).digest()
     if key not in _models:
-        _models[key] = Model(data), {}
+        _models[key] = Model(data), Words()
     return _models[key]
 
 
@@ -512,7 +539,7 @@ def encode(docs: DataFrame, path: str | None = None, id_column: str = "doc_id",
 
     Null and empty texts give the end id alone. Rows are independent: repeated rows and ids give
     repeated results, null ids stay null, an empty table gives an empty one, other columns are
-    ignored. Memory: one block of texts, or one text where that is longer, and CACHE_WORDS words.
+    ignored. Memory: one block of texts, or one text where that is longer, and CACHE_BYTES of words.
     """
 
     def row(model, cache, ids, split):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from weftline.llm.common import blocks, components, cut, join_unique, table
+from weftline.llm.common import blocks, column, components, cut, join_unique, packed, table
 
 RADIUS = 3
 SHINGLE = 3
@@ -236,36 +236,38 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 BROADCAST_IDS = 2_000_000
 
 
-def _marked(docs: DataFrame, text_column: str) -> DataFrame:
-    """docs, all columns, with the fingerprint as weft_fp."""
+def _marked(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(weft_row, id, fp): the rows of docs as structs, with their ids and fingerprints."""
 
     def run(batches):
-        for batch in blocks(batches, text_column):
-            fps = np.array([fingerprint(t) for t in batch.column(text_column).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], [*batch.schema.names, "weft_fp"])
+        for batch in blocks(batches):
+            fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("weft_row"), batch.column("id"), pa.array(fps)], ["weft_row", "id", "fp"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("weft_fp", LongType())]))
+    rows = packed(docs, id=column(id_column), text=column(text_column))
+    return rows.mapInArrow(run, StructType([rows.schema["weft_row"], rows.schema["id"], StructField("fp", LongType())]))
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs, all columns, with one document of each group: the one with the smallest id.
 
     Rows with a null id stay; of rows with the same id and group one stays. Rows with the same id in
-    different groups are judged each in its own. Cases as in near_duplicates().
+    different groups are judged each in its own. Columns may have any names. Cases as in near_duplicates().
     """
-    named = cut(_grouped(docs, id_column, text_column, RADIUS).where(F.col(id_column).isNotNull()))
-    counts = named.agg(F.count("*").alias("n"), F.count_distinct(id_column).alias("ids"), F.count(F.when(F.col(id_column) != F.col("component_id"), 1)).alias("out")).first()
+    pairs = docs.select(column(id_column).alias("id"), column(text_column).alias("text"))
+    named = cut(_grouped(pairs, "id", "text", RADIUS).where(F.col("id").isNotNull()))
+    counts = named.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count(F.when(F.col("id") != F.col("component_id"), 1)).alias("out")).first()
     small = lambda rows, n: F.broadcast(rows) if n <= BROADCAST_IDS else rows
     if counts["n"] == counts["ids"]:
-        dropped = named.where(F.col(id_column) != F.col("component_id")).select(id_column)
-        return docs.join(small(dropped, counts["out"]), id_column, "left_anti").select(docs.columns)
+        dropped = named.where(F.col("id") != F.col("component_id")).select("id")
+        return packed(docs, id=column(id_column)).join(small(dropped, counts["out"]), "id", "left_anti").select("weft_row.*")
     # an id may stand for several texts: a row is told by its id and fingerprint, and a group keeps one such pair
-    kept = named.where(F.col(id_column) == F.col("component_id")).groupBy(id_column, "root").agg(F.min("fp").alias("fp"))
-    dropped = cut(named.select(id_column, "fp").distinct().join(kept, [id_column, "fp"], "left_anti").select(id_column, F.col("fp").alias("weft_fp")))
-    keys = [id_column, "weft_fp"]
-    rows = _marked(docs.where(F.col(id_column).isNotNull()), text_column)
-    rows = rows.join(small(dropped, dropped.count()), keys, "left_anti").dropDuplicates(keys)
-    return rows.select(docs.columns).union(docs.where(F.col(id_column).isNull()))
+    kept = named.where(F.col("id") == F.col("component_id")).groupBy("id", "root").agg(F.min("fp").alias("fp"))
+    dropped = cut(named.select("id", "fp").distinct().join(kept, ["id", "fp"], "left_anti"))
+    keys = ["id", "fp"]
+    rows = _marked(docs, id_column, text_column)
+    judged = rows.where(F.col("id").isNotNull()).join(small(dropped, dropped.count()), keys, "left_anti").dropDuplicates(keys)
+    return judged.select("weft_row.*").union(docs.where(column(id_column).isNull()))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
