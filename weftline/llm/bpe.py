@@ -19,7 +19,7 @@ import numpy as np
 from weftline.llm import words
 
 #: Bytes that a worker's remembered pieces may take, as Pieces counts them; at the bound it forgets all and goes on.
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 96 << 20
 #: Bytes of the longest piece that is remembered from block to block.
 CACHE_LONGEST = 256
 
@@ -71,8 +71,14 @@ class Pieces:
         raw = data.tobytes()
         distinct = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         number, long = self.number, {}
-        self._add(list(dict.fromkeys(p for p in distinct if p not in number)), long)
-        return np.array([number[p] if p in number else long[p] for p in distinct], np.int64)[which] if distinct else np.zeros(0, np.int64)
+        known = list(map(number.get, distinct))
+        new = [i for i, k in enumerate(known) if k is None]
+        if new:
+            self._add(list(dict.fromkeys([distinct[i] for i in new])), long)
+            for i in new:
+                p = distinct[i]
+                known[i] = number[p] if p in number else long[p]
+        return np.array(known, np.int64)[which]
 
     def ids(self, found: np.ndarray) -> np.ndarray:
         """Ids of pieces one after another."""

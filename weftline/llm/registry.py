@@ -1,6 +1,6 @@
 """Queries of the training-data operators, by name, with DuckDB SQL where it can express them."""
 
-from weftline.llm import caps, chat, decontaminate, html, lm, quality, sentencepiece, simhash, tokens, toxicity, urls
+from weftline.llm import align, caps, chat, decontaminate, html, lm, quality, sentencepiece, simhash, tokens, toxicity, urls
 
 QUERIES: dict = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
@@ -14,6 +14,7 @@ QUERIES: dict = {
     "op9_chat": chat.op9_chat,
     "op10_simhash": simhash.op10_simhash,
     "op12_token_files": tokens.op12_token_files,
+    "op13_alignment": align.op13_alignment,
 }
 ORACLES: dict = {
     "op6_urls": urls.ORACLE,

@@ -38,11 +38,11 @@ MAGIC = b"WEFTWM01"
 #: Bits of a chunk of a plane.
 CHUNK = 1 << 18
 #: Tokens of a shard, at whose reaching it ends with its document.
-SHARD = 1 << 24
+SHARD = 1 << 22
 #: Bytes of documents that a task encodes and writes.
 TASK_BYTES = 32 << 20
 #: Bytes of text encoded at a time.
-ENCODED = 4 << 20
+ENCODED = 2 << 20
 #: Tokens of a batch of documents that a reader returns, or one document where that is longer.
 READ_TOKENS = 1 << 20
 #: Id that ends a document.
@@ -60,12 +60,14 @@ def _packed(raw: bytes) -> bytes:
 
 
 def shard_bytes(ids: np.ndarray, doc_ids: pa.Array, lengths: np.ndarray) -> bytes:
-    """The file of a shard: its documents' ids one after another."""
-    used, which, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    """The file of a shard: its documents' ids, those of a vocabulary, one after another."""
+    counts = np.bincount(ids, minlength=1)
+    used = np.flatnonzero(counts)
+    counts = counts[used]
     order = np.argsort(-counts, kind="stable")
-    code = np.empty(len(used), np.uint32)
-    code[order] = np.arange(len(used), dtype=np.uint32)
-    now = code[which].astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+    code = np.zeros(used[-1] + 1 if len(used) else 1, np.uint16 if len(used) <= 1 << 16 else np.uint32)
+    code[used[order]] = np.arange(len(used))
+    now = code[ids]
     width = max(1, (len(used) - 1).bit_length()) if len(used) else 0
     parts, at = [], 0
 
