@@ -9,7 +9,7 @@ itself; a directory holds their places and the ones before them.
 
     "weft_tokens": a Spark source and sink of a folder of such files
 
-    docs.write.format("weft_tokens").mode("append").save(folder)     # doc_id, ids array<int>
+    rows.write.format("weft_tokens").mode("append").save(folder)     # doc_id, ids array<int>
     spark.read.format("weft_tokens").load(folder)                    # doc_id, start, n_tokens, ids
 
 Tasks write files under names of their attempt and tell the driver names and counts alone; the manifest, written
@@ -40,7 +40,7 @@ CHUNK = 1 << 18
 #: Tokens of a shard, at whose reaching it ends with its document.
 SHARD = 1 << 22
 #: Bytes of documents that a task encodes and writes.
-TASK_BYTES = 32 << 20
+TASK_BYTES = 16 << 20
 #: Bytes of text encoded at a time.
 ENCODED = 2 << 20
 #: Tokens of a batch of documents that a reader returns, or one document where that is longer.
@@ -252,8 +252,18 @@ class _Written(WriterCommitMessage):
 
 
 class TokenWriter(DataSourceArrowWriter):
-    def __init__(self, folder: str, shard: int):
-        self.folder, self.shard = folder, shard
+    def __init__(self, folder: str, shard: int, tokenizer: str | None):
+        self.folder, self.shard, self.tokenizer = folder, shard, tokenizer
+
+    def _documents(self, iterator):
+        """(ids of documents, their tokens as a list array)."""
+        for batch in iterator:
+            if self.tokenizer is None:
+                yield batch.column("doc_id"), batch.column("ids")
+                continue
+            encoder = _encoder(self.tokenizer, False)
+            for part in blocks([batch], "text", ENCODED):
+                yield part.column("doc_id"), _encoded(encoder, part.column("text"))
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -265,23 +275,22 @@ class TokenWriter(DataSourceArrowWriter):
             nonlocal held, size
             if not held:
                 return
-            lists = pa.concat_arrays([b.column("ids") for b in held])
+            doc_ids, lists = (pa.concat_arrays(x) for x in zip(*held, strict=True))
+            held, size = [], 0
             offsets = lists.offsets.to_numpy()
             ids = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-            doc_ids = pa.concat_arrays([b.column("doc_id") for b in held])
             name = f"part-{partition:07}-{len(shards):04}-{uuid.uuid4().hex}"
             files.write(f"{self.folder}/{name}", shard_bytes(ids, doc_ids, np.diff(offsets)))
             shards.append([name, len(doc_ids), len(ids)])
-            held, size = [], 0
 
-        for batch in iterator:
-            total = batch.column("ids").offsets.to_numpy()
+        for doc_ids, lists in self._documents(iterator):
+            total = lists.offsets.to_numpy()
             total = total[1:] - total[0]
             begin = 0
-            while begin < batch.num_rows:
+            while begin < len(lists):
                 done = int(total[begin - 1]) if begin else 0
-                end = min(batch.num_rows, int(np.searchsorted(total, done + self.shard - size, "left")) + 1)
-                held.append(batch.slice(begin, end - begin))
+                end = min(len(lists), int(np.searchsorted(total, done + self.shard - size, "left")) + 1)
+                held.append((doc_ids.slice(begin, end - begin), lists.slice(begin, end - begin)))
                 size += int(total[end - 1]) - done
                 begin = end
                 if size >= self.shard:
@@ -335,7 +344,11 @@ class TokenReader(DataSourceReader):
 
 
 class TokenFiles(DataSource):
-    """See above; ids are read as little-endian unsigned 32-bit integers. Option tokens_per_file bounds a shard."""
+    """See above; ids are read as little-endian unsigned 32-bit integers.
+
+    Option tokens_per_file bounds a shard. With option tokenizer, the path of a byte-level tokenizer's file,
+    rows are (doc_id, text), and what is written are the texts' ids, each with the end id.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -353,7 +366,7 @@ class TokenFiles(DataSource):
             files.delete(folder, files.names(folder))
         elif files.manifest(folder) is not None:
             raise ValueError(f"{folder} holds token ids already")
-        return TokenWriter(folder, int(self.options.get("tokens_per_file", SHARD)))
+        return TokenWriter(folder, int(self.options.get("tokens_per_file", SHARD)), self.options.get("tokenizer"))
 
 
 _encoders: dict = {}
@@ -367,27 +380,15 @@ def _encoder(path: str, plain_specials: bool) -> ByteLevel:
     return _encoders[key]
 
 
-def encoded(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>): ids of every whole text by a byte-level tokenizer's file, each with the end id.
-
-    Null and empty texts give the end id alone; rows are independent.
-    """
-    path = path or tokenizer_path()
-
-    def run(batches):
-        encoder = _encoder(path, False)
-        for batch in blocks(batches, "text", ENCODED):
-            data, offsets = plain(batch.column("text"))
-            ids, first, _ = encoder.encode(data, offsets)
-            ends = first + np.arange(len(first))
-            out = np.full(ends[-1], END, np.int32)
-            keep = np.ones(len(out), bool)
-            keep[ends[1:] - 1] = False
-            out[keep] = ids
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
-
-    return docs.select(column(id_column).cast("bigint").alias("doc_id"), column(text_column).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+def _encoded(encoder: ByteLevel, texts: pa.Array) -> pa.ListArray:
+    """Ids of texts, each with the end id; null counts as empty."""
+    ids, first, _ = encoder.encode(*plain(texts))
+    ends = first + np.arange(len(first))
+    out = np.full(ends[-1], END, np.int32)
+    keep = np.ones(len(out), bool)
+    keep[ends[1:] - 1] = False
+    out[keep] = ids
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, id_column: str = "doc_id", text_column: str = "text", task_bytes: int = TASK_BYTES, tokens_per_file: int = SHARD) -> None:
@@ -402,7 +403,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, id_colum
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / task_bytes) if size < 1 << 60 else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(column(id_column).cast("bigint").alias("doc_id"), column(text_column).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     ordered = rows.repartitionByRange(tasks, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
-    encoded(ordered, path).write.format("weft_tokens").option("tokens_per_file", tokens_per_file).mode("append").save(folder)
+    ordered.select("doc_id", "text").write.format("weft_tokens").option("tokenizer", path or tokenizer_path()).option("tokens_per_file", tokens_per_file).mode("append").save(folder)
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
