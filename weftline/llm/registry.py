@@ -1,6 +1,6 @@
 """Queries of the training-data operators, by name, with DuckDB SQL where it can express them."""
 
-from weftline.llm import align, caps, chat, decontaminate, html, lm, quality, sentencepiece, simhash, tokens, toxicity, urls
+from weftline.llm import align, caps, chat, decontaminate, html, lm, quality, search, sentencepiece, simhash, tokens, toxicity, urls
 
 QUERIES: dict = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
@@ -13,6 +13,7 @@ QUERIES: dict = {
     "op8_html": html.op8_html,
     "op9_chat": chat.op9_chat,
     "op10_simhash": simhash.op10_simhash,
+    "op11_search": search.op11_search,
     "op12_token_files": tokens.op12_token_files,
     "op13_alignment": align.op13_alignment,
 }
