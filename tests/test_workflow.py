@@ -156,4 +156,4 @@ def test_states_of_odd_paths(spark, paths_):
     paths_ = list(dict.fromkeys(paths_))
     rows = spark.createDataFrame([(1, i, list(p), None) for i, p in enumerate(paths_)], "record_no long, path_no long, path array<string>, error string")
     want = [(r.completed, r.available, r.can_terminate) for r in paths.execution_states(rows).orderBy("state_no").collect()]
-    assert [tuple(s.values()) for s in paths.states_of(paths_)] == want
+    assert [tuple(s.values()) for s in paths.Trie(paths_[: paths.CAP]).states()] == want

@@ -45,13 +45,6 @@ def or_null(x: str) -> str:
     return f"nullif({strip(x)}, '')"
 
 
-def numbered(bases: str) -> str:
-    """Ids of an array of bases: a base that is taken gets _2, _3 ... until it is free; null stays null."""
-    taken = "exists(seen, s -> s <=> {})"
-    free = f"element_at(filter(transform(sequence(2, size(seen) + 2), k -> concat(base, '_', k)), c -> not {taken.format('c')}), 1)"
-    return f"aggregate({bases}, cast(array() as array<string>), (seen, base) -> concat(seen, array(case when base is null then null when not {taken.format('base')} then base else {free} end)))"
-
-
 def ratio(part: str, whole: str, empty: str = "1.0D") -> str:
     return f"case when {whole} > 0 then cast({part} as double) / {whole} else {empty} end"
 

@@ -9,7 +9,7 @@ Caps then are slices of lazy streams, and at most CAP ways of each branch are ev
 from __future__ import annotations
 
 import sys
-from collections import deque
+from array import array
 from collections.abc import Iterator
 from itertools import combinations, islice, permutations, product
 
@@ -37,36 +37,35 @@ class Graph:
             self.into[tgt] = self.into.get(tgt, 0) + 1
         self._joins: dict = {}
 
-    def _reach(self, start, wall) -> set:
-        found, todo = set(), [start]
-        while todo:
-            rid = todo.pop()
-            if rid != wall and rid not in found:
-                found.add(rid)
-                todo += self.after.get(rid, ())
-        return found
-
     def join_of(self, split):
-        """The gateway that closes a split: the nearest that all branches reach and several edges enter."""
+        """The gateway that closes a split: the nearest that all branches reach, but for the split, and several edges enter."""
         if split not in self._joins:
-            self._joins[split] = self._find_join(split)
+            self._joins[split] = self._closing(split) if len(self.after.get(split, ())) > 1 else None
         return self._joins[split]
 
-    def _find_join(self, split):
-        starts = self.after.get(split, [])
-        if len(starts) < 2:
-            return None
-        common = set.intersection(*(self._reach(s, split) for s in starts))
-        line, met = deque(starts), set()
-        while line and common:
-            rid = line.popleft()
-            if rid in met:
-                continue
-            met.add(rid)
-            if rid in common and self.into.get(rid, 0) > 1 and self.kind.get(rid) in ("XOR", "AND", "OR"):
-                return rid
-            line.extend(self.after.get(rid, ()))
-        return None
+    def _closing(self, split):
+        """Marks each node with the set of branches that reach it, as bits, sweep after sweep until no mark grows."""
+        marks = {rid: 1 << i for i, rid in enumerate(dict.fromkeys(self.after[split]))}
+        everyone = (1 << len(marks)) - 1
+        # nodes by distance from the branches; the list grows while it is read
+        line = list(marks)
+        known = set(line)
+        for rid in line:
+            for tgt in self.after.get(rid, ()):
+                if tgt not in known:
+                    known.add(tgt)
+                    line.append(tgt)
+        growing = True
+        while growing:
+            growing = False
+            for rid in line:
+                mark = marks.get(rid, 0)
+                # what a branch reaches by way of the split itself does not count
+                for tgt in self.after.get(rid, ()) if rid != split and mark else ():
+                    if mark & ~marks.get(tgt, 0):
+                        marks[tgt] = marks.get(tgt, 0) | mark
+                        growing = True
+        return next((rid for rid in line if rid != split and marks.get(rid) == everyone and self.kind.get(rid) in ("XOR", "AND", "OR") and self.into.get(rid, 0) > 1), None)
 
     def follow(self, rid, visits: dict, stop=None) -> Iterator[tuple]:
         """Ids that can be met from a node on, in order. Chains are walked in place; only choices recurse."""
@@ -126,9 +125,19 @@ class Graph:
             for some in combinations(ways, n):
                 yield from product(*some)
 
-    def paths(self, starts) -> list[tuple]:
-        """Distinct paths from the start nodes, in order of discovery."""
-        return list(dict.fromkeys(p for s in starts for p in self.follow(s, {})))
+    def paths(self, starts) -> Iterator[tuple]:
+        """Distinct paths from the start nodes, in order of discovery, as they are found.
+
+        What is remembered of a path are the numbers of its actions, in two or four bytes each.
+        """
+        number = {a: i for i, a in enumerate(dict.fromkeys(self.action.values()))}
+        kind, met = "H" if len(number) < 1 << 16 else "I", set()
+        for start in starts:
+            for path in self.follow(start, {}):
+                key = array(kind, [number[a] for a in path]).tobytes()
+                if key not in met:
+                    met.add(key)
+                    yield path
 
 
 def _graphs(batch: pd.DataFrame):
@@ -146,27 +155,34 @@ def _slim(graphs: DataFrame) -> DataFrame:
     return graphs.select("record_no", F.expr(NODES).alias("n"), F.expr(FLOWS).alias("x"))
 
 
+#: Paths that a task hands on at a time.
+PATHS = 4096
+
+
 def execution_paths(graphs: DataFrame, on_error: str = "raise") -> DataFrame:
     """(record_no, path_no, path, error): distinct paths in order. Records without a way have none.
 
-    An activity without text fails the query, naming the record, or with on_error="null" gives the
-    record one row with null path and the error.
+    Paths are handed on as they are found, so that a record may have more than memory holds at once. An
+    activity without text fails the query, naming the record, or with on_error="null" ends the record's
+    paths with one row of null path and the error; the paths before it are not to be used.
     """
     kind = graphs.schema["record_no"].dataType.simpleString()
 
+    def found(batch):
+        for record, graph, nodes in _graphs(batch):
+            try:
+                for i, p in enumerate(graph.paths([n["rid"] for n in nodes if n["type"] == "StartNode"])):
+                    yield record, i, p, None
+            except ValueError as e:
+                if on_error == "raise":
+                    raise ValueError(f"record {record}: {e}") from None
+                yield record, None, None, str(e)
+
     def run(batches):
         for batch in batches:
-            rows = []
-            for record, graph, nodes in _graphs(batch):
-                try:
-                    found = graph.paths([n["rid"] for n in nodes if n["type"] == "StartNode"])
-                except ValueError as e:
-                    if on_error == "raise":
-                        raise ValueError(f"record {record}: {e}") from None
-                    rows.append((record, None, None, str(e)))
-                    continue
-                rows += [(record, i, list(p), None) for i, p in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["record_no", "path_no", "path", "error"]).astype({"path_no": "Int64"})
+            rows = found(batch)
+            while some := list(islice(rows, PATHS)):
+                yield pd.DataFrame(some, columns=["record_no", "path_no", "path", "error"]).astype({"path_no": "Int64"})
 
     return _slim(graphs).mapInPandas(run, f"record_no {kind}, path_no bigint, path array<string>, error string")
 
@@ -183,38 +199,61 @@ def matching_joins(graphs: DataFrame) -> DataFrame:
     return _slim(graphs).mapInPandas(run, f"record_no {kind}, split string, join string")
 
 
-def states_of(paths: list[tuple], cap: int = CAP) -> list[dict]:
-    """The states that prefixes of the first paths make, by first appearance; see execution_states()."""
-    found: dict[tuple, tuple[set, list]] = {}
-    for path in paths[:cap]:
-        for i in range(len(path) + 1):
-            after, ends = found.setdefault(path[:i], (set(), [False]))
-            following = path[i] if i < len(path) else ""
-            if following:
-                after.add(following)
-            else:
-                ends[0] = True
-    return [{"completed": list(c), "available": sorted(after), "can_terminate": ends[0]} for c, (after, ends) in found.items()]
+class Trie:
+    """Prefixes of paths: each has its actions, and by next action the prefixes that go on from it."""
+
+    def __init__(self, paths):
+        self.done: list[tuple] = [()] if paths else []
+        self.next: list[dict] = [{}] if paths else []
+        self.ended: set[int] = set()
+        for path in paths:
+            self.ended.add(self._walk(path))
+
+    def _walk(self, path: tuple) -> int:
+        """The prefix of a whole path; those on the way that are new are added."""
+        at = 0
+        for action in path:
+            if action not in self.next[at]:
+                self.next[at][action] = len(self.done)
+                self.done.append((*self.done[at], action))
+                self.next.append({})
+            at = self.next[at][action]
+        return at
+
+    def states(self) -> list[dict]:
+        """See execution_states(): an empty id after a prefix ends it and is not offered."""
+        return [{"completed": list(done), "available": sorted(filter(None, after)), "can_terminate": i in self.ended or "" in after} for i, (done, after) in enumerate(zip(self.done, self.next, strict=True))]
 
 
 #: A record's execution states.
 STATES = pa.list_(pa.struct([("completed", pa.list_(pa.string())), ("available", pa.list_(pa.string())), ("can_terminate", pa.bool_())]))
 
 
-def with_states(graphs: DataFrame, cap: int = CAP) -> DataFrame:
-    """graphs with a column, states: paths and states are made inside the row, so nothing is shuffled or joined."""
+def with_states(graphs: DataFrame, cap: int = CAP, on_error: str = "raise") -> DataFrame:
+    """graphs with a column, states: paths and states are made inside the row, so nothing is shuffled or joined.
 
-    @F.arrow_udf("array<struct<completed: array<string>, available: array<string>, can_terminate: boolean>>")
+    Ways are walked until cap distinct paths are found. An activity without text on one of them fails
+    the query, naming the record; with on_error="null" a second column, states_error, tells the reason and
+    states is null.
+    """
+
+    @F.arrow_udf("struct<states: array<struct<completed: array<string>, available: array<string>, can_terminate: boolean>>, error: string>")
     def make(record, n, x):
-        rows = []
+        rows, errors = [], []
         for number, graph, nodes in _graphs({"record_no": record.to_pylist(), "n": n.to_pylist(), "x": x.to_pylist()}):
             try:
-                rows.append(states_of(graph.paths([n["rid"] for n in nodes if n["type"] == "StartNode"]), cap))
+                rows.append(Trie(list(islice(graph.paths([n["rid"] for n in nodes if n["type"] == "StartNode"]), cap))).states())
+                errors.append(None)
             except ValueError as e:
-                raise ValueError(f"record {number}: {e}") from None
-        return pa.array(rows, STATES)
-
-    return graphs.withColumn("states", make(F.col("record_no"), F.expr(NODES), F.expr(FLOWS)))
+                if on_error == "raise":
+                    raise ValueError(f"record {number}: {e}") from None
+                rows.append(None)
+                errors.append(str(e))
+        return pa.StructArray.from_arrays([pa.array(rows, STATES), pa.array(errors, pa.string())], ["states", "error"])
+
+    columns = [f"`{c}`" for c in graphs.columns]
+    made = graphs.select(*columns, make(F.col("record_no"), F.expr(NODES), F.expr(FLOWS)).alias("weft_made"))
+    return made.select(*columns, "weft_made.states", *([F.col("weft_made.error").alias("states_error")] if on_error == "null" else []))
 
 
 def execution_states(paths: DataFrame, cap: int = CAP) -> DataFrame:

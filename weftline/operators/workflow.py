@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.functions.columns import fixed
-from weftline.operators.graph import gateway_type, role
+from weftline.operators.graph import entering, gateway_type, leaving, role
 
 ACTORS = f"array_distinct(filter(transform(step_nodes, n -> n.agent), a -> not {T.blank('a')}))"
 
@@ -18,23 +18,23 @@ def _known(x: str) -> str:
 
 def predecessors(n: str) -> str:
     """Ids of what leads to a node; an unnamed start counts as "start", other unnamed nodes are passed over."""
-    return _known(f"transform(filter(e, x -> x.tgt <=> {n}.rid), x -> x.s.schema_id)")
+    return _known(f"transform({entering(n)}, x -> x.s.schema_id)")
 
 
 def successors(n: str) -> str:
     """Ids of the actions and gateways that a node leads to."""
-    return _known(f"transform(filter(e, x -> x.src <=> {n}.rid), x -> coalesce(x.t.action_id, x.t.gateway_id))")
+    return _known(f"transform({leaving(n)}, x -> coalesce(x.t.action_id, x.t.gateway_id))")
 
 
 def branches(n: str) -> str:
     """A branch for each edge to a node that is there: its id, null for an unnamed end, else the raw id."""
     after = "coalesce(x.t.action_id, x.t.gateway_id, if(x.t.type = 'EndNode', null, x.tgt))"
-    return f"transform(filter(e, x -> x.src <=> {n}.rid and x.t.idx is not null), x -> named_struct('next', {after}, 'condition', {T.or_null('x.condition')}))"
+    return f"transform(filter({leaving(n)}, x -> x.t.idx is not null), x -> named_struct('next', {after}, 'condition', {T.or_null('x.condition')}))"
 
 
 def incoming(n: str) -> str:
     """Ids of the actions and gateways that lead to a gateway; unnamed starts are passed over."""
-    return _known(f"transform(filter(e, x -> x.tgt <=> {n}.rid), x -> coalesce(x.s.action_id, x.s.gateway_id))")
+    return _known(f"transform({entering(n)}, x -> coalesce(x.s.action_id, x.s.gateway_id))")
 
 
 def workflows(graphs: DataFrame) -> DataFrame:
