@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import random
+from array import array
+from itertools import accumulate
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from weftline.functions import text as T
 from weftline.functions.columns import fixed
+from weftline.sources import export
+from weftline.sources.records import read_open
+from weftline.sources.shared import shared_folder
 
 MAX_WORDS = 500
 BINS = 50
 TRAIN_SHARE, SEED = 0.8, 42
-#: Rows that the exact shuffle may permute on the driver.
-EXACT_ROWS = 5_000_000
+#: Rows that the exact shuffle may permute, in 800 MB of one task.
+EXACT_ROWS = 100_000_000
 
 
 def clean(records: DataFrame, column: str = "paragraph") -> DataFrame:
@@ -50,35 +57,94 @@ def filter_max_words(records: DataFrame, most: int = MAX_WORDS, column: str = "p
     return kept if count else kept.drop("weft_words")
 
 
+def word_counts(records: DataFrame, column: str = "paragraph") -> DataFrame:
+    """(n, records): how many records have so many words. All statistics follow from it, and it is as long as word counts differ."""
+    return records.select(F.expr(T.word_count(column)).cast("bigint").alias("n")).groupBy("n").agg(F.count("*").alias("records")).where("n is not null")
+
+
 def token_stats(records: DataFrame, column: str = "paragraph") -> DataFrame:
-    n = F.expr(T.word_count(column))
-    return records.select(n.alias("n")).agg(
-        F.count("n").alias("records"), F.avg("n").alias("mean"), F.median("n").alias("median"), F.stddev_pop("n").alias("std"), F.min("n").cast("bigint").alias("min"), F.max("n").cast("bigint").alias("max")
+    """One row, of one pass over the texts; sums are whole numbers, so that nothing is lost however many records there are."""
+    total = lambda x: F.expr(f"sum(cast({x} as decimal(38, 0)))")
+    sums = word_counts(records, column).agg(
+        F.coalesce(F.sum("records"), F.lit(0)).alias("records"), total("n * records").alias("s"), total("n * n * records").alias("q"), F.expr("percentile(n, 0.5D, records)").alias("median"), F.min("n").alias("min"), F.max("n").alias("max")
     )
+    mean, deviation = "cast(s as double) / records", "sqrt(cast(records * q - s * s as double)) / records"
+    empty = lambda x: F.expr(f"if(records = 0, null, {x})")
+    return sums.select("records", empty(mean).alias("mean"), "median", empty(deviation).alias("std"), "min", "max")
 
 
 def token_histogram(records: DataFrame, bins: int = BINS, column: str = "paragraph") -> DataFrame:
-    """(bin, low, high, records) for every bin, numbered from 1; the last is closed, and one value alone gets bins around it."""
-    counts = records.select(F.expr(T.word_count(column)).cast("double").alias("n"))
-    ends = counts.agg(F.min("n").alias("lo"), F.max("n").alias("hi")).select(F.expr("if(lo = hi, lo - 0.5, lo)").alias("lo"), F.expr("if(lo = hi, hi + 0.5, hi)").alias("hi"))
-    # one row of two numbers goes to every task
-    placed = counts.crossJoin(F.broadcast(ends)).select(F.expr(f"least(width_bucket(n, lo, hi, {bins}), {bins})").alias("bin")).groupBy("bin").agg(F.count("*").alias("records"))
-    every = ends.where("lo is not null").select(F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"), "lo", "hi")
-    found = every.join(placed.withColumn("bin", F.col("bin").cast("int")), "bin", "left")
-    return found.select("bin", F.expr(f"lo + (hi - lo) * (bin - 1) / {bins}").alias("low"), F.expr(f"lo + (hi - lo) * bin / {bins}").alias("high"), F.coalesce("records", F.lit(0)).cast("bigint").alias("records"))
+    """(bin, low, high, records) for every bin, numbered from 1; the last is closed, and one value alone gets bins around it.
+
+    One pass over the texts; the table of word counts, as long as they differ, comes together in a row.
+    """
+    row = word_counts(records, column).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.collect_list(F.struct("n", "records")).alias("counts")).where("least is not null")
+    row = fixed(row, lo="if(least = most, least - 0.5D, cast(least as double))", hi="if(least = most, most + 0.5D, cast(most as double))")
+    row = fixed(row, placed=f"transform(counts, c -> named_struct('bin', cast(least(width_bucket(c.n, lo, hi, {bins}), {bins}) as int), 'records', c.records))")
+    every = row.select("lo", "hi", "placed", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    found = "aggregate(filter(placed, p -> p.bin = bin), 0L, (a, p) -> a + p.records)"
+    return every.select("bin", F.expr(f"lo + (hi - lo) * (bin - 1) / {bins}").alias("low"), F.expr(f"lo + (hi - lo) * bin / {bins}").alias("high"), F.expr(found).alias("records"))
+
+
+def clean_open(records: DataFrame, key: str = "paragraph") -> DataFrame:
+    """Open records (a column record of VARIANT values) with every string under the key cleaned, at any depth; all else stays."""
+    return records.withColumn("record", F.parse_json(F.expr(T.clean_json("to_json(record)", key))))
+
+
+def merge_files(spark: SparkSession, paths: list[str], out: str, most: int = MAX_WORDS, indent: int | None = 2) -> dict[str, int]:
+    """The array files one after another as one, cleaned, with all keys, without records of more words.
+
+    Returns before, after and removed, counted by the write itself. No record passes through the driver and none is
+    sorted: tasks write what they read, in order.
+    """
+    rows = None
+    for path in paths:
+        part = clean_open(read_open(spark, path))
+        rows = part if rows is None else rows.unionByName(part)
+    words = fixed(rows, weft_words=T.word_count("coalesce(try_variant_get(record, '$.paragraph', 'string'), '')"))
+    counted = Observation()
+    kept = words.observe(counted, F.count("*").alias("before"), F.count_if(F.col("weft_words") <= most).alias("after")).where(F.col("weft_words") <= most)
+    export.write_array(export.open_json(kept, ascii_only=True, indent=indent), out, None, indent)
+    found = counted.get
+    return {"before": found["before"], "after": found["after"], "removed": found["before"] - found["after"]}
+
+
+def numbered(rows: DataFrame, order: str, name: str = "record_no") -> DataFrame:
+    """rows with dense numbers from 0 in order, which no task and no driver has to see whole.
+
+    The order is kept in the shared folder, so that it is the same when it is counted and when it is read.
+    """
+    shared_folder(rows.sparkSession)
+    ordered = rows.orderBy(order).withColumn("weft_task", F.spark_partition_id()).withColumn("weft_at", F.monotonically_increasing_id() - F.col("weft_task").cast("bigint") * (1 << 33)).checkpoint()
+    sizes = sorted((r[0], r[1]) for r in ordered.groupBy("weft_task").count().collect())
+    begins = dict(zip([t for t, _ in sizes], accumulate([n for _, n in sizes], initial=0), strict=False))
+    # a row for each task
+    offsets = rows.sparkSession.createDataFrame(list(begins.items()), "weft_task int, weft_begin bigint")
+    return ordered.join(F.broadcast(offsets), "weft_task").withColumn(name, F.col("weft_begin") + F.col("weft_at")).drop("weft_task", "weft_at", "weft_begin")
 
 
 def exact_split(records: DataFrame, share: float = TRAIN_SHARE, seed: int = SEED) -> DataFrame:
     """records with position and split after Python's seeded shuffle of their numbers.
 
-    record_no must be dense from 0. The permutation is made on the driver, for up to EXACT_ROWS rows.
+    record_no must be dense from 0. The shuffle draws each number from the state that the one before left,
+    so one task makes it, in eight bytes for each row, for up to EXACT_ROWS rows; records themselves stay
+    distributed.
     """
     n = records.count()
     if n > EXACT_ROWS:
         raise ValueError(f"{n} rows; the exact shuffle is for {EXACT_ROWS} at the most, hash_split() for any number")
-    order = list(range(n))
-    random.Random(seed).shuffle(order)
-    rows = records.sparkSession.createDataFrame([(r, p) for p, r in enumerate(order)], "record_no bigint, position bigint")
+
+    def shuffled(batches):
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                order = array("q", range(n))
+                random.Random(seed).shuffle(order)
+                drawn = np.frombuffer(order, np.int64)
+                for begin in range(0, n, 1 << 16):
+                    part = drawn[begin : begin + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.arange(begin, begin + len(part)))], ["record_no", "position"])
+
+    rows = records.sparkSession.range(0, 1, 1, 1).mapInArrow(shuffled, "record_no bigint, position bigint")
     return records.join(rows, "record_no").withColumn("split", F.when(F.col("position") < int(n * share), "train").otherwise("test"))
 
 

@@ -198,6 +198,14 @@ _COUNT = "len(regexp_extract_all({}, '\\S+'))"
 ORACLES = {
     "scan_records": f"with {_ND}, e as (select file_index, count(*) as n from ed group by 1) select n.file_index, count(*) as n_nodes, any_value(e.n) as n_flows, length(string_agg(event_type, ' ')) as n_chars from nd n join e on e.file_index = n.file_index group by 1",
     "merge_splits": f"""select record_no, file_index, n_words, paragraph from (select row_number() over (order by record_no % 3, record_no) - 1 as record_no, record_no as file_index, {_CLEAN} as paragraph, {_COUNT.format(_CLEAN)} as n_words from {_TEXT}) where n_words <= 500""",
+    "merge_files": f"""select row_number() over (order by record_no % 3, record_no) - 1 as record_no, record_no as file_index, {_CLEAN} as paragraph, paragraph as title, {_CLEAN} as noted, n_chars as n, source, n_chars as size,
+   array_to_string(list_sort(json_keys(record)), ',') as keys, array_to_string(list_sort(json_keys(record, '$.meta')), ',') as meta_keys
+  from (select doc_id as record_no, replace(text, '. ', '. <SEP> ') as paragraph, n_chars, source,
+    json_object('file_index', doc_id, 'paragraph', text, 'meta', json_object('lang', lang, 'source', source, 'title', text, 'history', [text]), 'size', n_chars) as record from documents) where {_COUNT.format(_CLEAN)} <= 500""",
+    "merge_file_counts": f"select count(*) as before, count(*) filter ({_COUNT.format(_CLEAN)} <= 500) as after, count(*) filter ({_COUNT.format(_CLEAN)} > 500) as removed from {_TEXT}",
+    "array_scan": "select row_number() over (order by doc_id) - 1 as record_no, doc_id as file_index, length(replace(text, '. ', '. <SEP> ')) as n_chars from documents",
+    "checked_records": """select doc_id as at, case when doc_id % 7 = 0 then 'no JSON' when doc_id % 11 = 0 then 'does not fit the schema' when doc_id % 13 = 0 then 'activity without text' else '' end as error,
+   case when error = '' then doc_id else -1 end as file_index, case when error = '' then length(replace(text, '. ', '. <SEP> ')) else -1 end as n_chars from documents""",
     "clean_nested": f"select record_no, paragraph as title, {_CLEAN} as paragraph, {_CLEAN} as listed, {_CLEAN} as mapped, paragraph as other, record_no as number from {_TEXT}",
     "clean_paragraph": f"select record_no, {_CLEAN} as paragraph from {_TEXT}",
     "filter_max_words": f"select record_no, {_COUNT.format(_CLEAN)} as n_words from {_TEXT} where {_COUNT.format(_CLEAN)} <= 500",
@@ -207,6 +215,8 @@ ORACLES = {
  select i::int as bin, round(lo + (hi - lo) * (i - 1) / 50, 6) as low, round(lo + (hi - lo) * i / 50, 6) as high, coalesce(b.records, 0) as records from range(1, 51) as r(i) cross join e left join b on b.bin = r.i""",
     "merge_counts": f"select count(*) as before, count(*) filter (n <= 500) as after, count(*) filter (n > 500) as removed from (select {_COUNT.format(_CLEAN)} as n from {_TEXT})",
     "train_test_split": "select doc_id as record_no, case when row_number() over (order by md5('42-' || doc_id), doc_id) <= floor((select count(*) from documents) * 0.8) then 'train' else 'test' end as split from documents",
+    "train_test_files": """select split, row_number() over (partition by split order by doc_id) - 1 as record_no, doc_id as file_index, lang from (
+   select *, case when row_number() over (order by md5('42-' || doc_id), doc_id) <= floor((select count(*) from documents) * 0.8) then 'train' else 'test' end as split from documents)""",
     "nodes": f"{RAW} select file_index as record_no, idx, rid, text, type, agent from rn",
     "edges": f"{RAW} select file_index as record_no, idx, src, tgt, cond as condition from re",
     "adjacency": f"{RAW} select file_index as record_no, rid, coalesce((select string_agg(tgt, ',' order by idx) from re where re.src = rn.rid), '') as outgoing, coalesce((select string_agg(src, ',' order by idx) from re where re.tgt = rn.rid), '') as incoming from rn",

@@ -12,6 +12,7 @@ from weftline.functions import text as T
 from weftline.operators import corpus, paths, validate, workflow
 from weftline.operators import graph as G
 from weftline.sources import export, records
+from weftline.sources.arrays import read_array
 from weftline.sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +91,69 @@ def merge_splits(spark, d):
     return merged.select("record_no", "file_index", F.col("n_words").cast("bigint").alias("n_words"), "paragraph")
 
 
+def _open(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as records with keys that no schema of the engine names, some of them nested; json in order of at."""
+    text = F.expr("replace(text, '. ', '. <SEP> ')")
+    history = F.array(F.struct(text.alias("paragraph"), F.col("n_chars").alias("n")), F.struct(F.col("lang").alias("paragraph"), F.lit(0).cast("bigint").alias("n")))
+    record = F.struct(F.col("doc_id").alias("file_index"), text.alias("paragraph"), F.struct(F.col("lang"), F.col("source"), text.alias("title"), history.alias("history")).alias("meta"), F.col("n_chars").alias("size"))
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("at"), F.to_json(record).alias("json"))
+
+
+def _merged(spark: SparkSession, d: str) -> tuple[str, dict[str, int]]:
+    folder = _folder(spark, "open")
+    for n, name in enumerate(records.SPLITS):
+        export.write_array(_open(spark, d).where(F.col("at") % 3 == n), f"{folder}/{name}.json", "at", None)
+    counts = corpus.merge_files(spark, [f"{folder}/{name}.json" for name in records.SPLITS], f"{folder}/merged.json")
+    return f"{folder}/merged.json", counts
+
+
+@query
+def merge_files(spark, d):
+    """Three array files of records with unknown keys, cleaned at any depth, joined, filtered, written as one and read back."""
+    rows = records.read_open(spark, _merged(spark, d)[0])
+    value = lambda path, kind="string": F.expr(f"variant_get(record, '$.{path}', '{kind}')")
+    keys = lambda x: F.array_join(F.array_sort(F.json_object_keys(F.to_json(x))), ",")
+    return rows.select(
+        "record_no", value("file_index", "bigint").alias("file_index"), value("paragraph").alias("paragraph"), value("meta.title").alias("title"), value("meta.history[0].paragraph").alias("noted"), value("meta.history[0].n", "bigint").alias("n"),
+        value("meta.source").alias("source"), value("size", "bigint").alias("size"), keys(F.col("record")).alias("keys"), keys(F.expr("variant_get(record, '$.meta')")).alias("meta_keys"),
+    )
+
+
+@query
+def merge_file_counts(spark, d):
+    """Records before and after the length filter, and removed, as the write of the merged file counts them."""
+    return spark.createDataFrame([tuple(_merged(spark, d)[1].values())], "before bigint, after bigint, removed bigint")
+
+
+@query
+def array_scan(spark, d):
+    """One array file of all documents, read in ranges of 256 KB by as many tasks, numbered by position."""
+    path = _folder(spark, "array") + "/all.json"
+    export.write_array(_open(spark, d), path, "at")
+    rows = read_array(spark, path, 1 << 18)
+    return rows.select("record_no", F.get_json_object("json", "$.file_index").cast("bigint").alias("file_index"), F.length(F.get_json_object("json", "$.paragraph")).cast("bigint").alias("n_chars"))
+
+
+@query
+def train_test_files(spark, d):
+    """The pair of files of a split, written in order, read back with each record's place in its file."""
+    folder = _folder(spark, "split")
+    rows = _open(spark, d).withColumn("record_no", F.col("at"))
+    export.write_split(corpus.hash_split(rows), folder, order="at")
+    part = lambda name: read_array(spark, f"{folder}/{name}.json").select(F.lit(name).alias("split"), "record_no", F.get_json_object("json", "$.file_index").cast("bigint").alias("file_index"), F.get_json_object("json", "$.meta.lang").alias("lang"))
+    return part("train").unionByName(part("test"))
+
+
+@query
+def checked_records(spark, d):
+    """Good records, and bad ones with their reasons, of one pass over JSON Lines, some of which are broken."""
+    folder = _folder(spark, "checked") + "/"
+    bad = "case when at % 7 = 0 then left(json, length(json) - 1) when at % 11 = 0 then replace(json, '\"file_index\":', '\"file_index\":[1],\"was\":') when at % 13 = 0 then concat('{\"step_nodes\":[{\"type\":\"Activity\"}],', substring(json, 2)) else json end"
+    _open(spark, d).select(F.expr(bad).alias("value")).write.text(folder)
+    rows = records.read_checked(spark, folder)
+    return rows.select(F.regexp_extract("json", r'"(?:file_index|was)":(\d+)', 1).cast("bigint").alias("at"), F.coalesce("error", F.lit("")).alias("error"), F.expr("coalesce(file_index, -1)").alias("file_index"), F.expr("coalesce(cast(length(paragraph) as bigint), -1)").alias("n_chars"))
+
+
 @query
 def clean_nested(spark, d):
     """Texts under the key in structs, lists and maps; those under other names stay."""
@@ -102,7 +166,7 @@ def clean_nested(spark, d):
 @query
 def exact_split(spark, d):
     """The seeded shuffle and cut of the corpus, with positions."""
-    numbered = _table(spark, d, "documents").selectExpr("row_number() over (order by doc_id) - 1 as record_no").withColumn("record_no", F.col("record_no").cast("bigint"))
+    numbered = corpus.numbered(_table(spark, d, "documents").select("doc_id"), "doc_id")
     return corpus.exact_split(numbered).select("record_no", "position", "split")
 
 

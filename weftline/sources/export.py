@@ -7,6 +7,11 @@ import json
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftline.sources.arrays import write_array
+
+__all__ = ["document", "open_json", "row_json", "workflow_json", "write_array", "write_split"]
 
 
 def _list(x) -> list:
@@ -50,28 +55,24 @@ def row_json(rows: DataFrame, order: str = "record_no", ascii_only: bool = False
     return rows.mapInArrow(run, f"`{order}` {kind}, json string")
 
 
-def write_array(texts: DataFrame, path: str, order: str = "record_no", indent: int | None = 2) -> None:
-    """One file with one JSON array of the texts in order, indented as json.dump() would.
-
-    A single file is written by one writer: rows stream through the driver, a partition at a time. It is for
-    exchange with tools that read such files; write_records() is for large corpora.
-    """
-    spark = texts.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
-    pad, end = (" " * indent, "\n") if indent else ("", "")
-    try:
-        held, first = [], True
-        for row in texts.orderBy(order).select("json").toLocalIterator():
-            # a line feed inside a string is escaped, so that every one here ends a line of the layout
-            held.append(("[" if first else "," if indent else ", ") + end + pad + row[0].replace("\n", "\n" + pad))
-            first = False
-            if len(held) == 1000:
-                out.write("".join(held).encode())
-                held = []
-        out.write(("".join(held) + ("[]" if first else end + "]")).encode())
-    finally:
-        out.close()
+def open_json(records: DataFrame, ascii_only: bool = False, indent: int | None = None) -> DataFrame:
+    """(record_no, json): open records as text, their keys in alphabetical order."""
+    rows = records.select("record_no", F.to_json("record").alias("json"))
+    if not (ascii_only or indent):
+        return rows
+
+    def run(batches):
+        for batch in batches:
+            laid_out = [json.dumps(json.loads(x), ensure_ascii=ascii_only, indent=indent) for x in batch.column("json").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("record_no"), pa.array(laid_out, pa.string())], ["record_no", "json"])
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def write_split(texts: DataFrame, folder: str, order: str = "position", indent: int | None = 2) -> dict[str, int]:
+    """train.json and test.json of the rows' texts, by their column split and in order; returns how many each has."""
+    rows = texts.select(order, "split", "json")
+    return {name: write_array(rows.where(F.col("split") == name), f"{folder}/{name}.json", order, indent) for name in ("train", "test")}
 
 
 def workflow_json(workflows: DataFrame, ascii_only: bool = False, indent: int | None = None) -> DataFrame:

@@ -52,6 +52,13 @@ def delete(folder: str, some: list[str]) -> None:
             pass
 
 
+def delete_folder(folder: str) -> None:
+    """Deletes a folder with all in it, if it is there."""
+    store, at = opened(folder)
+    if store.get_file_info(at).type == fs.FileType.Directory:
+        store.delete_dir(at)
+
+
 def manifest(folder: str) -> dict | None:
     """What a finished write says of its files; None if there was none."""
     path = f"{folder}/_manifest.json"

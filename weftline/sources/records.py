@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import text as T
+from weftline.sources.arrays import read_array
+
 NODE = "struct<resourceId: string, NodeText: string, type: string, agent: string>"
 FLOW = "struct<src: string, tgt: string, condition: string>"
 RAW = f"file_index bigint, paragraph string, step_nodes array<{NODE}>, SequenceFlow array<{FLOW}>"
@@ -20,21 +23,56 @@ WORKFLOW = f"file_index bigint, procedure_text string, workflow struct<actors: a
 SPLITS = ("dev", "test", "train")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON array file or folder of JSON Lines (a path ending in .jsonl or /), with record_no by position.
+def texts(spark: SparkSession, path: str) -> DataFrame:
+    """(record_no, json): each record's text, of a JSON array file or of JSON Lines (a path ending in .jsonl or /).
 
-    A JSON array is one partition in file order, so its numbers are positions; for JSON Lines
-    they are unique and ordered within a file. A record that does not fit the schema fails the read.
+    An array is read by many tasks and numbered by position; numbers of JSON Lines are unique and
+    ordered within a file.
     """
-    lines = path.endswith((".jsonl", "/"))
-    read = spark.read.schema(RAW).option("mode", "FAILFAST").option("multiLine", not lines).json(path)
-    return read.select(F.monotonically_increasing_id().alias("record_no"), *read.columns)
+    if path.endswith((".jsonl", "/")):
+        return spark.read.text(path).where("trim(value) <> ''").select(F.monotonically_increasing_id().alias("record_no"), F.col("value").alias("json"))
+    return read_array(spark, path)
+
+
+def _parsed(rows: DataFrame, schema: str, *keep: str) -> DataFrame:
+    return rows.select(*keep, F.from_json("json", schema, {"mode": "FAILFAST"}).alias("weft")).select(*keep, "weft.*")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records as texts() finds them, with the declared columns. A record that does not fit the schema fails the read."""
+    return _parsed(texts(spark, path), RAW, "record_no")
 
 
 def read_workflows(spark: SparkSession, path: str) -> DataFrame:
     """Extracted workflows of a JSON array file or of JSON Lines (a path ending in .jsonl or /); keys that are absent are null."""
-    lines = path.endswith((".jsonl", "/"))
-    return spark.read.schema(WORKFLOW).option("mode", "FAILFAST").option("multiLine", not lines).json(path)
+    return _parsed(texts(spark, path), WORKFLOW)
+
+
+def read_open(spark: SparkSession, path: str) -> DataFrame:
+    """(record_no, record): records with all their keys, whatever they are, as VARIANT values. Text that is no JSON fails the read."""
+    return texts(spark, path).select("record_no", F.parse_json("json").alias("record"))
+
+
+def with_columns(records: DataFrame, schema: str = RAW) -> DataFrame:
+    """Open records with the declared columns beside them; keys that are absent, or of another kind, are null."""
+    return records.select("*", F.from_json(F.to_json("record"), schema).alias("weft")).select("*", "weft.*").drop("weft")
+
+
+#: Why a record is rejected.
+NO_JSON, NO_FIT, NO_TEXT = "no JSON", "does not fit the schema", "activity without text"
+
+
+def read_checked(spark: SparkSession, path: str) -> DataFrame:
+    """All records of one pass, good and bad: record_no, the declared columns, json, and error, null where the record is good.
+
+    Bad records have null columns: those that are no JSON, that do not fit the schema, or whose
+    paths could not be enumerated.
+    """
+    rows = texts(spark, path).select("record_no", "json", F.from_json("json", f"{RAW}, weft_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "weft_bad"}).alias("r"))
+    mute = "exists(r.step_nodes, n -> n.type = 'Activity' and " + T.blank("n.NodeText") + ")"
+    error = f"case when try_parse_json(json) is null then '{NO_JSON}' when r.weft_bad is not null or r is null then '{NO_FIT}' when {mute} then '{NO_TEXT}' end"
+    kept = rows.select("record_no", "json", "r", F.expr(error).alias("error"))
+    return kept.select("record_no", *(F.when(F.col("error").isNull(), F.col(f"r.{c}")).alias(c) for c in ("file_index", "paragraph", "step_nodes", "SequenceFlow")), "json", "error")
 
 
 def merge_splits(splits: list[DataFrame]) -> DataFrame:
