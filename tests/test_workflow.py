@@ -137,6 +137,32 @@ def test_report_is_pythons_text(spark):
     assert {r.x: r.t for r in rows.selectExpr("x", f"{validate.literal('x')} as t").collect()} == {t: repr(t) for t in texts}
 
 
+def test_fractions_are_rounded_as_python_rounds(spark):
+    """All k/n with n up to 500, and numbers right beside the middle of two."""
+    import math
+
+    xs = sorted({k / n for n in range(1, 501) for k in range(n + 1)} | {f(m / 200, d) for m in range(1, 400, 2) for d in (0, 9) for f in (math.nextafter,)})
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").selectExpr("x", f"{validate.two_places('x')} as t").collect()
+    assert [(r.x, r.t) for r in rows if r.t != f"{r.x:.2f}"] == []
+
+
+def test_report_scans_events_once(spark):
+    """The records are made of the events in one scan; lines and averages of the report come from one table of measures."""
+    from weftline.plans import registry
+
+    plan = registry.QUERIES["validation_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in plan and plan.count("Scan parquet") <= 2 and "Window" not in plan
+
+
+def test_last_of_a_number_is_kept_before_the_shuffle(spark):
+    """Of records that share a number the last counts, and each task sends one of them."""
+    rows = spark.range(0, 4000, 1, 4).selectExpr("id as record_no", "if(id % 3 = 0, 7, id) as file_index", "cast(id as string) as paragraph").selectExpr("*", "array(named_struct('resourceId', 's', 'NodeText', paragraph, 'type', 'Activity', 'agent', '')) as step_nodes", "cast(array() as array<struct<src: string, tgt: string, condition: string>>) as SequenceFlow")
+    pairs = validate.joined(G.graphs(rows), workflows(G.graphs(rows.where("file_index in (7, 8)").limit(2))))
+    assert {(r.file_index, r.g[0].text) for r in pairs.collect()} <= {(7, "3999"), (8, "8")}
+    plan = validate.joined(G.graphs(rows), workflows(G.graphs(rows)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_max_by") == 1
+
+
 def test_states_in_the_row_are_those_of_path_tables(spark):
     from weftline.operators import graph, paths
     from weftline.sources import records

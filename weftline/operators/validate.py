@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from weftline.functions import text as T
 from weftline.functions.columns import fixed
 from weftline.operators.graph import GATEWAYS, gateway_type, graphs, role
 from weftline.sources.records import read_records, read_workflows
+from weftline.sources.shared import kept
 
 SETS = ("actions", "action_successors", "action_predecessors", "gateway_branches_next", "gateway_incoming", "branch_tuples")
 AVERAGES = {
@@ -32,9 +32,13 @@ SHOWN = 5
 
 
 def joined(graphs: DataFrame, workflows: DataFrame) -> DataFrame:
-    """Workflows with their graph; of graphs with one file_index the last counts. Workflows without a graph are left out."""
-    last = graphs.withColumn("weft_n", F.row_number().over(W.partitionBy("file_index").orderBy(F.desc("record_no")))).where("weft_n = 1")
-    return workflows.select("file_index", "workflow").join(last.select("file_index", "record_no", "g", "e"), "file_index")
+    """Workflows with their graph; of graphs with one file_index the last counts. Workflows without a graph are left out.
+
+    Tasks keep the last of each number before anything is shuffled, so that a number that very many records share is
+    one row from each.
+    """
+    last = graphs.groupBy("file_index").agg(F.max_by(F.struct("record_no", "g", "e"), "record_no").alias("last"))
+    return workflows.select("file_index", "workflow").join(last.select("file_index", "last.*"), "file_index")
 
 
 def validate_files(spark: SparkSession, raw_path: str, workflow_path: str) -> DataFrame:
@@ -168,11 +172,14 @@ MEANS = {
 
 
 def two_places(x: str) -> str:
-    """A number with two places as Python writes it: the middle between two goes to the even one.
+    """A number from 0 on, with two places as Python writes it: the nearest of the number as it is in binary, of two the even one.
 
-    Only odd eighths stand in the middle exactly; Java rounds these up.
+    The number is cut into two parts that can be multiplied by 200 without loss, so that its side of the middle
+    between two hundredths is exact.
     """
-    return f"format_string('%.2f', {x} - if({x} * 8 = floor({x} * 8) and cast({x} * 8 as bigint) % 4 = 1, 0.005D, 0.0D))"
+    parts = f"transform(array({x}), v -> named_struct('h', v * 134217729D - (v * 134217729D - v), 'v', v, 'c', cast(floor(v * 100) as bigint)))"
+    side = f"transform({parts}, p -> named_struct('c', p.c, 'd', (p.h * 200 - (2 * p.c + 1)) + (p.v - p.h) * 200))"
+    return f"transform(transform({side}, s -> s.c + if(s.d > 0 or s.d = 0 and s.c % 2 = 1, 1, 0)), n -> concat(cast(n div 100 as string), '.', lpad(cast(n % 100 as string), 2, '0')))[0]"
 
 
 def _whole(x: str) -> str:
@@ -190,8 +197,10 @@ def _line_numbers() -> dict[str, int]:
 def report(measured: DataFrame) -> DataFrame:
     """(section, record_no, line_no, line): heading (0), lines of each record (1), averages (2); records are named by number.
 
-    Lines of no record have -1 as record_no.
+    Lines of no record have -1 as record_no. The measures are computed once and kept in the shared folder, from which
+    lines and averages are read.
     """
+    measured = kept(measured)
     at = _line_numbers()
     lines = {"": "''", "record": f"concat('--- Record ', {_whole('record_no')}, ' (file_index: ', {_whole('file_index')}, ') ---')"}
     for k, label in SCORES.items():
@@ -209,5 +218,5 @@ def report(measured: DataFrame) -> DataFrame:
     texts = ["''", f"'{RULE}'", f"concat('AVERAGES (over ', {_whole('records')}, ' records):')", *(f"concat('{label}', {two_places(k)})" for k, label in MEANS.items()), f"'{RULE}'"]
     none = F.lit(-1).cast(measured.schema["record_no"].dataType).alias("record_no")
     total = mean.select(F.lit(2).alias("section"), none, F.posexplode(F.array(*map(F.expr, texts))).alias("line_no", "line"))
-    head = mean.select(F.lit(0).alias("section"), none, F.posexplode(F.array(*map(F.lit, HEADING))).alias("line_no", "line"))
+    head = measured.sparkSession.createDataFrame([(0, n, x) for n, x in enumerate(HEADING)], "section int, line_no int, line string").select("section", none, "line_no", "line")
     return each.unionByName(total).unionByName(head)

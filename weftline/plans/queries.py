@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from weftline.operators import corpus, paths, validate, workflow
 from weftline.operators import graph as G
 from weftline.sources import export, records
 from weftline.sources.arrays import read_array
-from weftline.sources.shared import shared_folder
+from weftline.sources.shared import kept, run_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -54,7 +53,8 @@ def _whole(raw: DataFrame) -> DataFrame:
 
 
 def _measured(spark: SparkSession, d: str) -> DataFrame:
-    raw = _records(spark, d)
+    """The measures of workflows with faults against their raw records, which are made of the events once."""
+    raw = kept(_records(spark, d))
     return validate.metrics(validate.joined(G.graphs(raw), workflow.workflows(G.graphs(records.with_faults(raw)))))
 
 
@@ -68,19 +68,15 @@ def _joined(column: str, by: str = ",") -> F.Column:
 @query
 def scan_records(spark, d):
     """Records written as JSON Lines, read back with the declared schema, and counted."""
-    folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}/"
+    folder = run_folder(spark, "records") + "/"
     records.write_records(_records(spark, d), folder)
     return records.read_records(spark, folder).select("file_index", F.size("step_nodes").cast("bigint").alias("n_nodes"), F.size("SequenceFlow").cast("bigint").alias("n_flows"), F.length("paragraph").cast("bigint").alias("n_chars"))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def merge_splits(spark, d):
     """Three splits as files of one JSON array each, read, cleaned, joined with dense numbers and filtered."""
-    folder, splits = _folder(spark, "splits"), []
+    folder, splits = run_folder(spark, "splits"), []
     for n, name in enumerate(records.SPLITS):
         part = _table(spark, d, "documents").where(F.col("doc_id") % 3 == n).select(
             F.col("doc_id").alias("file_index"), F.expr("replace(text, '. ', '. <SEP> ')").alias("paragraph"), F.array().cast(f"array<{records.NODE}>").alias("step_nodes"), F.array().cast(f"array<{records.FLOW}>").alias("SequenceFlow"), F.col("doc_id").alias("at")
@@ -100,7 +96,7 @@ def _open(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, d: str) -> tuple[str, dict[str, int]]:
-    folder = _folder(spark, "open")
+    folder = run_folder(spark, "open")
     for n, name in enumerate(records.SPLITS):
         export.write_array(_open(spark, d).where(F.col("at") % 3 == n), f"{folder}/{name}.json", "at", None)
     counts = corpus.merge_files(spark, [f"{folder}/{name}.json" for name in records.SPLITS], f"{folder}/merged.json")
@@ -128,7 +124,7 @@ def merge_file_counts(spark, d):
 @query
 def array_scan(spark, d):
     """One array file of all documents, read in ranges of 256 KB by as many tasks, numbered by position."""
-    path = _folder(spark, "array") + "/all.json"
+    path = run_folder(spark, "array") + "/all.json"
     export.write_array(_open(spark, d), path, "at")
     rows = read_array(spark, path, 1 << 18)
     return rows.select("record_no", F.get_json_object("json", "$.file_index").cast("bigint").alias("file_index"), F.length(F.get_json_object("json", "$.paragraph")).cast("bigint").alias("n_chars"))
@@ -137,7 +133,7 @@ def array_scan(spark, d):
 @query
 def train_test_files(spark, d):
     """The pair of files of a split, written in order, read back with each record's place in its file."""
-    folder = _folder(spark, "split")
+    folder = run_folder(spark, "split")
     rows = _open(spark, d).withColumn("record_no", F.col("at"))
     export.write_split(corpus.hash_split(rows), folder, order="at")
     part = lambda name: read_array(spark, f"{folder}/{name}.json").select(F.lit(name).alias("split"), "record_no", F.get_json_object("json", "$.file_index").cast("bigint").alias("file_index"), F.get_json_object("json", "$.meta.lang").alias("lang"))
@@ -147,7 +143,7 @@ def train_test_files(spark, d):
 @query
 def checked_records(spark, d):
     """Good records, and bad ones with their reasons, of one pass over JSON Lines, some of which are broken."""
-    folder = _folder(spark, "checked") + "/"
+    folder = run_folder(spark, "checked") + "/"
     bad = "case when at % 7 = 0 then left(json, length(json) - 1) when at % 11 = 0 then replace(json, '\"file_index\":', '\"file_index\":[1],\"was\":') when at % 13 = 0 then concat('{\"step_nodes\":[{\"type\":\"Activity\"}],', substring(json, 2)) else json end"
     _open(spark, d).select(F.expr(bad).alias("value")).write.text(folder)
     rows = records.read_checked(spark, folder)
@@ -363,7 +359,7 @@ def workflow_json(spark, d):
 @query
 def read_workflows(spark, d):
     """Workflows written as JSON, one to a line, read back with the declared schema, and counted."""
-    folder = _folder(spark, "workflows") + "/"
+    folder = run_folder(spark, "workflows") + "/"
     export.workflow_json(_whole(_records(spark, d))).select("json").write.text(folder)
     flows = records.read_workflows(spark, folder)
     count = lambda x: F.expr(f"cast(size({x}) as bigint)")
@@ -385,7 +381,7 @@ def read_workflows(spark, d):
 def validation_from_files(spark, d):
     """The measures' averages, of raw records and of extracted workflows that are read from files."""
     raw = _records(spark, d)
-    one, two = _folder(spark, "raw") + "/", _folder(spark, "extracted") + "/"
+    one, two = run_folder(spark, "raw") + "/", run_folder(spark, "extracted") + "/"
     records.write_records(raw, one)
     export.workflow_json(workflow.workflows(G.graphs(records.with_faults(raw)))).select("json").write.text(two)
     return validate.averages(validate.validate_files(spark, one, two)).select("records", *(F.round(k, 6).alias(k) for k in validate.AVERAGES))
