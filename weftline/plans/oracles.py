@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from weftline.operators.validate import COUNT_LINE, EXTRA, GATEWAY_LINE, HEADING, MEANS, MISSING, RULE, SCORES, _line_numbers
 from weftline.plans.queries import QUERIES
-from weftline.sources.records import TEMPLATE, WIDE_TEXTS
+from weftline.sources.records import NESTED_EDGES, TEMPLATE, WIDE_TEXTS
 
 _ND = """
  r0 as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as rn from events),
@@ -98,13 +98,42 @@ _WIDE = f"""with recursive
  wi as (select f.record_no, f.idx, b.rid, f.id from wf f join wb b on b.record_no = f.record_no and b.idx = f.idx),
  we as (select record_no, 's' as src, 'x' as tgt, 0 as epos from wr union all select record_no, 'x', 'b' || i, 1 + 2 * i from (select record_no, unnest(range(0, n)) as i from wr)
   union all select record_no, 'b' || i, 'j', 2 + 2 * i from (select record_no, unnest(range(0, n)) as i from wr) union all select record_no, 'j', 'e', 1 + 2 * n from wr)"""
-_WIDE_JOINS = f"""{_WIDE},
- gates as (select n.record_no, n.rid as split, count(*) as outs from wn n join we e on e.record_no = n.record_no and e.src = n.rid where n.type in ('XOR', 'AND', 'OR') group by all having count(*) > 1),
- reach as (select g.record_no, g.split, e.epos as branch, e.tgt as rid, [e.epos] as way from gates g join we e on e.record_no = g.record_no and e.src = g.split
-  union all select r.record_no, r.split, r.branch, e.tgt, list_append(r.way, e.epos) from reach r join we e on e.record_no = r.record_no and e.src = r.rid where e.tgt <> r.split and len(r.way) < 8),
- common as (select r.record_no, r.split, r.rid, min([[len(way)], way]) as first from reach r join gates g on g.record_no = r.record_no and g.split = r.split group by r.record_no, r.split, r.rid, g.outs having count(distinct branch) = g.outs),
- closing as (select c.record_no, c.split, arg_min(c.rid, c.first) as rid from common c join wn n on n.record_no = c.record_no and n.rid = c.rid where n.type in ('XOR', 'AND', 'OR') and (select count(*) from we e where e.record_no = c.record_no and e.tgt = c.rid) > 1 group by all)
- select g.record_no, g.split, c.rid as "join" from gates g left join closing c on c.record_no = g.record_no and c.split = g.split"""
+
+
+def _closing(nodes: str, edges: str, record: str) -> str:
+    """CTEs and select of each split with the gateway that closes it: the first, by the ways to it, that all branches reach."""
+    return f"""
+ gates as (select n.{record} as rec, n.rid as split, count(*) as outs from {nodes} n join {edges} e on e.{record} = n.{record} and e.src = n.rid where n.type in ('XOR', 'AND', 'OR') group by all having count(*) > 1),
+ reach as (select g.rec, g.split, e.epos as branch, e.tgt as rid, [e.epos] as way, [e.tgt] as met from gates g join {edges} e on e.{record} = g.rec and e.src = g.split
+  union all select r.rec, r.split, r.branch, e.tgt, list_append(r.way, e.epos), list_append(r.met, e.tgt) from reach r join {edges} e on e.{record} = r.rec and e.src = r.rid where e.tgt <> r.split and not list_contains(r.met, e.tgt)),
+ common as (select r.rec, r.split, r.rid, min([[len(way)], way]) as first from reach r join gates g on g.rec = r.rec and g.split = r.split group by r.rec, r.split, r.rid, g.outs having count(distinct branch) = g.outs),
+ closing as (select c.rec, c.split, arg_min(c.rid, c.first) as rid from common c join {nodes} n on n.{record} = c.rec and n.rid = c.rid where n.type in ('XOR', 'AND', 'OR') and (select count(*) from {edges} e where e.{record} = c.rec and e.tgt = c.rid) > 1 group by all)
+ select g.rec as record_no, g.split, c.rid as "join" from gates g left join closing c on c.rec = g.rec and c.split = g.split"""
+
+
+_NESTED = f"""with recursive
+ nr as (select s_suppkey as record_no, case when s_suppkey % 2 = 0 then 'AND' else 'OR' end as outr, s_suppkey // 4 % 4 as shape, case when s_suppkey // 4 % 4 = 2 then 'XOR' when s_suppkey // 2 % 2 = 0 then 'AND' else 'OR' end as innr from supplier),
+ ne as (select record_no, src, tgt, epos from nr join (values {", ".join(f"({shape}, {k}, '{a}', '{b}')" for shape, pairs in enumerate(NESTED_EDGES) for k, (a, b) in enumerate(p.split(">") for p in pairs.split()))}) as t(shape, epos, src, tgt) on t.shape = nr.shape),
+ nn as (select record_no, rid, case rid when 'x' then outr when 'j' then outr when 'y' then innr when 'k' then innr else 'other' end as type from nr, (values ('x'), ('y'), ('j'), ('k')) as t(rid) where rid <> 'k' or shape in (0, 2))"""
+_NESTED_PATHS = f"""{_NESTED},
+ ends as (select *, case when record_no % 5 = 0 then ['done'] else cast([] as varchar[]) end as done from nr),
+ inside as (select record_no, nth, list_concat(way, case shape when 0 then ['delta'] when 3 then list_concat(['delta'], done) else cast([] as varchar[]) end) as way
+  from ends join (values ('AND', 0, ['alpha', 'beta']), ('AND', 1, ['beta', 'alpha']), ('OR', 0, ['alpha']), ('OR', 1, ['beta']), ('OR', 2, ['alpha', 'beta']), ('XOR', 0, ['alpha']), ('XOR', 1, ['beta']), ('one', 0, ['alpha'])) as t(kind, nth, way)
+  on kind = case when shape = 3 then 'one' else innr end),
+ chosen as (
+  select e.record_no, 2 * nth as path_no, list_concat(way, ['gamma']) as way from ends e join inside i on i.record_no = e.record_no where outr = 'AND'
+  union all select e.record_no, 2 * nth + 1, list_concat(['gamma'], way) from ends e join inside i on i.record_no = e.record_no where outr = 'AND'
+  union all select e.record_no, nth, way from ends e join inside i on i.record_no = e.record_no where outr = 'OR'
+  union all select record_no, (select count(*) from inside i where i.record_no = e.record_no), ['gamma'] from ends e where outr = 'OR'
+  union all select e.record_no, nth + 1 + (select count(*) from inside i where i.record_no = e.record_no), list_concat(way, ['gamma']) from ends e join inside i on i.record_no = e.record_no where outr = 'OR'),
+ np as (select b.record_no, path_no, list_concat(list_concat(way, case when shape in (1, 3) then ['delta'] else cast([] as varchar[]) end), done) as path from chosen b join ends e on e.record_no = b.record_no)"""
+
+
+def _states(paths: str) -> str:
+    return f"""select record_no, completed, coalesce(string_agg(distinct nxt, ',' order by nxt), '') as available, bool_or(nxt is null) as can_terminate
+ from (select record_no, array_to_string(path[1:i], '>') as completed, path[i + 1] as nxt from (select record_no, path, unnest(range(0, len(path) + 1)) as i from {paths} where path_no < 60)) group by record_no, completed"""
+
+
 _WIDE_PATHS = f"""{_WIDE},
  orders as (select cast([] as integer[]) as o union all select list_append(o, i::integer) from orders, range(0, 8) as r(i) where len(o) < 8 and not list_contains(o, i::integer)),
  subsets as (select cast([] as integer[]) as o union all select list_append(o, i::integer) from subsets, range(0, 8) as r(i) where i > coalesce(o[len(o)], -1)),
@@ -234,16 +263,26 @@ ORACLES = {
     "gateway_branches": f"{RAW} select file_index as record_no, s_gateway as id, row_number() over (partition by file_index, s_gateway order by idx) - 1 as branch_no, t_next as next, nullif(trim(cond), '') as condition from re where s_gateway is not null and has_tgt",
     "gateway_incoming": f"{RAW} select n.file_index as record_no, gateway_id as id, coalesce(i.labels, '') as incoming_from from rn n left join {INC} i on i.file_index = n.file_index and i.own = n.gateway_id where gateway_id is not null",
     "gateway_type_counts": f"{RAW} select file_index as record_no, gtype as type, count(*) as n from rn where gateway_id is not null group by all",
-    "matching_joins": f"{RAW} select file_index as record_no, rid as split, case when pos = 2 then concat('sid-', file_index, '-5') end as \"join\" from rn where pos in (2, 7)",
+    "matching_joins": f"with recursive {_ND}, {_closing('nd', 'ed', 'file_index')}",
     "execution_paths": f"{_RECURSIVE} select file_index as record_no, array_to_string(path, '>') as path from pp",
     "execution_states": f"{_RECURSIVE} select file_index as record_no, completed, available, can_terminate from st",
     "wide_action_ids": f"{_WIDE} select record_no, idx, rid, id as action_id from wi where id is not null",
-    "wide_matching_joins": _WIDE_JOINS,
+    "wide_matching_joins": f"{_WIDE}, {_closing('wn', 'we', 'record_no')}",
+    "nested_matching_joins": f"{_NESTED}, {_closing('nn', 'ne', 'record_no')}",
+    "nested_paths": f"{_NESTED_PATHS} select record_no, path_no, array_to_string(path, '>') as path from np",
+    "nested_states": f"{_NESTED_PATHS} {_states('np')}",
     "wide_paths": f"{_WIDE_PATHS} select record_no, path_no, array_to_string(path, '>') as path from wp",
-    "wide_states": f"""{_WIDE_PATHS} select record_no, completed, coalesce(string_agg(distinct nxt, ',' order by nxt), '') as available, bool_or(nxt is null) as can_terminate
- from (select record_no, array_to_string(path[1:i], '>') as completed, path[i + 1] as nxt from (select record_no, path, unnest(range(0, len(path) + 1)) as i from wp where path_no < 60)) group by record_no, completed""",
+    "wide_states": f"{_WIDE_PATHS} {_states('wp')}",
     "workflow_summary": f"{_RECURSIVE} select n.file_index as record_no, coalesce(any_value(a.n), 0) as n_actors, count(action_id) as n_actions, count(gateway_id) as n_gateways, any_value(s.n) as n_execution_states from rn n left join {_ACTORS} a on a.file_index = n.file_index join (select file_index, count(*) as n from st group by 1) s on s.file_index = n.file_index group by n.file_index",
     "extract_summary": f"{RAW} select n.file_index as record_no, coalesce(any_value(a.n), 0) as n_actors, count(action_id) as n_actions, count(gateway_id) as n_gateways from rn n left join {_ACTORS} a on a.file_index = n.file_index group by n.file_index order by 1 limit 20",
+    "workflow_values": f"""{_RECURSIVE} select file_index, 'text' as part, 0 as ordinal, string_agg(event_type, ' ' order by pos) as value from nd group by file_index
+ union all select f.file_index, 'actors', 0, coalesce(a.actors, '') from (select distinct file_index from nd) f left join {_ACTORS} a on a.file_index = f.file_index
+ union all select n.file_index, 'action', row_number() over (partition by n.file_index order by n.idx) - 1, concat_ws('|', action_id, trim(text), coalesce(nullif(trim(agent), ''), '-'), coalesce(p.labels, ''), coalesce(s.labels, ''), action_id || '_done')
+  from rn n left join {PRED} p on p.file_index = n.file_index and p.own = n.action_id left join {SUCC} s on s.file_index = n.file_index and s.own = n.action_id where action_id is not null
+ union all select n.file_index, 'gateway', row_number() over (partition by n.file_index order by n.idx) - 1, concat_ws('|', gateway_id, gtype, {_role()}, coalesce(i.labels, ''), coalesce(w.ways, ''), coalesce(nullif(trim(agent), ''), '-'))
+  from rn n left join {INC} i on i.file_index = n.file_index and i.own = n.gateway_id
+  left join (select file_index, s_gateway, string_agg(coalesce(t_next, '-') || ':' || coalesce(nullif(trim(cond), ''), '-'), ',' order by idx) as ways from re where s_gateway is not null and has_tgt group by all) w on w.file_index = n.file_index and w.s_gateway = n.gateway_id where gateway_id is not null
+ union all select file_index, 'state', -1, concat_ws('|', completed, available, cast(can_terminate as varchar)) from st""",
     "read_workflows": f"""{_RECURSIVE} select n.file_index, coalesce(any_value(a.n), 0) as n_actors, count(action_id) as n_actions, count(gateway_id) as n_gateways, any_value(s.n) as n_execution_states,
  (select count(*) from re where re.file_index = n.file_index and s_gateway is not null and has_tgt and trim(cond) <> '') as n_conditions, (select count(*) from re where re.file_index = n.file_index and s_gateway is not null and has_tgt and t_next is null) as n_ends,
  count(*) filter (action_id is not null and trim(agent) <> '') as n_acted, any_value(s.terminal) as n_terminal

@@ -339,6 +339,26 @@ def wide_states(spark, d):
     return paths.execution_states(paths.execution_paths(_wide(spark, d))).select("record_no", _joined("completed", ">"), _joined("available"), "can_terminate")
 
 
+def _nested(spark: SparkSession, d: str) -> DataFrame:
+    return G.graphs(records.nested_records(_table(spark, d, "supplier")), with_edges=False)
+
+
+@query
+def nested_matching_joins(spark, d):
+    return paths.matching_joins(_nested(spark, d))
+
+
+@query
+def nested_paths(spark, d):
+    """Paths in order, where blocks stand in blocks, and inner ones end before, with or beyond the outer one."""
+    return paths.execution_paths(_nested(spark, d)).select("record_no", "path_no", _joined("path", ">"))
+
+
+@query
+def nested_states(spark, d):
+    return paths.execution_states(paths.execution_paths(_nested(spark, d))).select("record_no", _joined("completed", ">"), _joined("available"), "can_terminate")
+
+
 @query
 def workflow_summary(spark, d):
     return _whole(_records(spark, d)).select("record_no", *(F.size(f"workflow.{c}").cast("bigint").alias(f"n_{c}") for c in ("actors", "actions", "gateways", "execution_states")))
@@ -374,6 +394,24 @@ def read_workflows(spark, d):
     )
 
 
+@query
+def workflow_values(spark, d):
+    """All values of workflows written as JSON and read back, a row for each text, list of actors, action, gateway and state."""
+    folder = run_folder(spark, "workflows") + "/"
+    export.workflow_json(_whole(_records(spark, d))).select("json").write.text(folder)
+    flows = records.read_workflows(spark, folder)
+    # read once: each workflow becomes an array of its rows
+    text = lambda *xs: "concat_ws('|', " + ", ".join(xs) + ")"
+    row = lambda part, at, value: f"named_struct('part', '{part}', 'ordinal', cast({at} as bigint), 'value', {value})"
+    parts = (
+        f"array({row('text', 0, 'procedure_text')}, {row('actors', 0, 'array_join(workflow.actors, {0})'.format(repr(',')))})",
+        "transform(workflow.actions, (a, i) -> " + row("action", "i", text("a.id", "a.name", "coalesce(a.actor, '-')", "array_join(a.predecessors, ',')", "array_join(a.successors, ',')", "array_join(a.postconditions, ',')")) + ")",
+        "transform(workflow.gateways, (g, i) -> " + row("gateway", "i", text("g.id", "g.type", "g.role", "array_join(g.incoming_from, ',')", "array_join(transform(g.branches, b -> concat(coalesce(b.next, '-'), ':', coalesce(b.condition, '-'))), ',')", "coalesce(g.actor, '-')")) + ")",
+        "transform(workflow.execution_states, s -> " + row("state", -1, text("array_join(s.completed_actions, '>')", "array_join(s.available_next, ',')", "cast(coalesce(s.can_terminate, false) as string)")) + ")",
+    )
+    return flows.select("file_index", F.expr(f"inline(concat({', '.join(parts)}))"))
+
+
 # validation
 
 

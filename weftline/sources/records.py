@@ -160,6 +160,37 @@ def wide_records(parts: DataFrame) -> DataFrame:
     )
 
 
+def nested_records(suppliers: DataFrame) -> DataFrame:
+    """Records of a block within a block, of each supplier, in four shapes.
+
+    start > x > (y > (a, b), c) > j > end. The inner block ends in a gateway of its own, before a step d (shape 0), or where
+    the outer one ends, with d after both (1); it is a choice (2), or has one branch, so that nothing stops it at the outer
+    block's end (3). Both blocks are parallel or inclusive by turns; every fifth end has a name.
+    """
+    node = lambda rid, text, kind: f"named_struct('resourceId', '{rid}', 'NodeText', {text}, 'type', {kind}, 'agent', '')"
+    flow = lambda pairs: "array(" + ", ".join(f"named_struct('src', '{a}', 'tgt', '{b}', 'condition', '')" for a, b in (p.split(">") for p in pairs.split())) + ")"
+    steps = ", ".join(node(r, f"'{t}'", "'Activity'") for r, t in NESTED_STEPS.items())
+    edges = " ".join(f"when {shape} then {flow(pairs)}" for shape, pairs in enumerate(NESTED_EDGES))
+    return suppliers.selectExpr("s_suppkey as record_no", "s_suppkey as file_index", "s_name as paragraph", "if(s_suppkey % 2 = 0, 'AND', 'OR') as outer", "s_suppkey div 4 % 4 as shape", "if(s_suppkey div 4 % 4 = 2, 'XOR', if(s_suppkey div 2 % 2 = 0, 'AND', 'OR')) as inner").selectExpr(
+        "record_no",
+        "file_index",
+        "paragraph",
+        f"""concat(array({node("s", "''", "'StartNode'")}, {node("x", "''", "outer")}, {node("y", "''", "inner")}, {steps}, {node("j", "''", "outer")}, {node("e", "if(record_no % 5 = 0, 'Done', '')", "'EndNode'")}),
+            if(shape in (0, 2), array({node("k", "''", "inner")}), array())) as step_nodes""",
+        f"case shape {edges} end as SequenceFlow",
+    )
+
+
+#: Steps and edges of nested records; edges by shape.
+NESTED_STEPS = {"a": "alpha", "b": "beta", "c": "gamma", "d": "delta"}
+NESTED_EDGES = (
+    "s>x x>y x>c y>a y>b a>k b>k k>d d>j c>j j>e",
+    "s>x x>y x>c y>a y>b a>j b>j c>j j>d d>e",
+    "s>x x>y x>c y>a y>b a>k b>k k>j c>j j>e",
+    "s>x x>y x>c y>a a>j c>j j>d d>e",
+)
+
+
 def with_strays(records: DataFrame) -> DataFrame:
     """records, and beside every tenth a copy under a number that no other record has."""
     return records.unionByName(records.where("file_index % 10 = 3").withColumns({"file_index": F.expr("-1 - file_index"), "record_no": F.expr("-1 - record_no")}))
