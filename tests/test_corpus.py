@@ -42,6 +42,29 @@ def test_statistics(spark):
     assert corpus.token_histogram(paragraphs(spark, [])).count() == 0
 
 
+def test_chart(spark):
+    from xml.etree import ElementTree
+
+    rows = paragraphs(spark, ["a b", "a", "a b c", "a b c d"] * 3 + ["a"])
+    (drawn,) = corpus.token_chart(rows).collect()
+    parts = list(ElementTree.fromstring(drawn.svg))
+    bars = [p for p in parts if p.tag.endswith("rect")]
+    assert [(int(b.get("x")), int(b.get("height"))) for b in bars] == [(60, 400), (284, 300), (522, 300), (746, 300)] and all(int(b.get("y")) + int(b.get("height")) == 440 for b in bars)
+    texts = [p.text for p in parts if p.tag.endswith("text")]
+    assert {"Token distribution per procedure", "Token count (words)", "Frequency", "Mean: 2", "Median: 2", "1", "4"} <= set(texts)
+    one = corpus.token_chart(paragraphs(spark, ["a b"])).first().svg
+    assert one.count("<rect") == 1 and not corpus.token_chart(paragraphs(spark, [])).count()
+
+
+def test_one_pass_for_statistics(spark, tmp_path):
+    """Texts are scanned and split once, whatever is asked of them."""
+    paragraphs(spark, ["a b", "c"]).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    for made in (corpus.token_stats(rows), corpus.token_histogram(rows)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_length_filter_is_inclusive(spark):
     rows = paragraphs(spark, ["w " * 500, "w " * 501, "", None])
     assert [r.record_no for r in corpus.filter_max_words(rows).orderBy("record_no").collect()] in ([0, 2], [0, 2, 3])

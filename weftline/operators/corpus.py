@@ -86,6 +86,45 @@ def token_histogram(records: DataFrame, bins: int = BINS, column: str = "paragra
     return every.select("bin", F.expr(f"lo + (hi - lo) * (bin - 1) / {bins}").alias("low"), F.expr(f"lo + (hi - lo) * bin / {bins}").alias("high"), F.expr(found).alias("records"))
 
 
+# The chart's texts.
+CHART_TITLE, CHART_X, CHART_Y = "Token distribution per procedure", "Token count (words)", "Frequency"
+#: Pixels of the chart, and of its plot within.
+CHART, PLOT = (800, 500), (60, 40, 700, 400)
+
+
+def token_chart(records: DataFrame, bins: int = BINS, column: str = "paragraph") -> DataFrame:
+    """(svg): the histogram drawn as one SVG text, with lines at mean and median; no row without records.
+
+    Drawn from the table of word counts alone, in one row; write it with files.write() or as text.
+    """
+    left, top, width, height = PLOT
+    row = token_histogram(records, bins, column).agg(F.array_sort(F.collect_list(F.struct("bin", "records"))).alias("bars"), F.max("records").alias("highest"), F.min("low").alias("lo"), F.max("high").alias("hi"))
+    # one row each
+    row = row.join(F.broadcast(token_stats(records, column).select("mean", "median", "min", "max"))).where("highest > 0")
+    y = lambda n: f"cast(floor({height} * {n} / highest) as bigint)"
+    bar = f"""concat('<rect x="', {left} + (b.bin - 1) * {width} div {bins}, '" y="', {top + height} - {y('b.records')}, '" width="', b.bin * {width} div {bins} - (b.bin - 1) * {width} div {bins}, '" height="', {y('b.records')}, '" fill="steelblue"/>')"""
+    at = lambda v: f"cast(floor({left} + {width} * ({v} - lo) / (hi - lo)) as bigint)"
+
+    def line(value, label, colour, place):
+        label = f"concat('{label}: ', cast(round({value}) as bigint))"
+        return f"""concat('<line x1="', {at(value)}, '" x2="', {at(value)}, '" y1="{top}" y2="{top + height}" stroke="{colour}" stroke-dasharray="6 4"/><text x="{left + width - 120}" y="{top + place}" fill="{colour}">', {label}, '</text>')"""
+
+    text = lambda x, y, t, more="": f"""'<text x="{x}" y="{y}" text-anchor="middle"{more}>{t}</text>'"""
+    parts = [
+        f"""'<svg xmlns="http://www.w3.org/2000/svg" width="{CHART[0]}" height="{CHART[1]}" font-family="sans-serif" font-size="14">'""",
+        text(left + width // 2, top - 15, CHART_TITLE),
+        f"array_join(transform(filter(bars, b -> b.records > 0), b -> {bar}), '')",
+        f"""'<path d="M{left} {top}V{top + height}H{left + width}" fill="none" stroke="black"/>'""",
+        line("mean", "Mean", "red", 20),
+        line("median", "Median", "orange", 40),
+        text(left + width // 2, CHART[1] - 15, CHART_X),
+        text(15, top + height // 2, CHART_Y, f' transform="rotate(-90 15 {top + height // 2})"'),
+        f"""concat('<text x="{left}" y="{top + height + 20}">', cast(min as string), '</text><text x="{left + width}" y="{top + height + 20}" text-anchor="end">', cast(max as string), '</text><text x="{left - 5}" y="{top + 12}" text-anchor="end">', cast(highest as string), '</text>')""",
+        "'</svg>'",
+    ]
+    return row.select(F.expr(f"concat({', '.join(parts)})").alias("svg"))
+
+
 def clean_open(records: DataFrame, key: str = "paragraph") -> DataFrame:
     """Open records (a column record of VARIANT values) with every string under the key cleaned, at any depth; all else stays."""
     return records.withColumn("record", F.parse_json(F.expr(T.clean_json("to_json(record)", key))))

@@ -242,6 +242,9 @@ ORACLES = {
     "token_histogram": f"""with c as (select {_COUNT.format('paragraph')}::double as n from {_TEXT}), e as (select min(n) - case when min(n) = max(n) then 0.5 else 0 end as lo, max(n) + case when min(n) = max(n) then 0.5 else 0 end as hi from c),
  b as (select least(50, floor((n - lo) * 50 / (hi - lo))::int + 1) as bin, count(*) as records from c, e group by 1)
  select i::int as bin, round(lo + (hi - lo) * (i - 1) / 50, 6) as low, round(lo + (hi - lo) * i / 50, 6) as high, coalesce(b.records, 0) as records from range(1, 51) as r(i) cross join e left join b on b.bin = r.i""",
+    "token_chart": f"""with c as (select {_COUNT.format('paragraph')}::double as n from {_TEXT}), e as (select min(n) - case when min(n) = max(n) then 0.5 else 0 end as lo, max(n) + case when min(n) = max(n) then 0.5 else 0 end as hi, 'Mean: ' || cast(round(avg(n)) as bigint) as mean, 'Median: ' || cast(round(median(n)) as bigint) as median from c),
+ b as (select least(50, floor((n - lo) * 50 / (hi - lo))::int + 1) as bin, count(*) as records from c, e group by 1)
+ select cast(60 + 14 * (bin - 1) as bigint) as x, cast(floor(400.0 * records / (select max(records) from b)) as bigint) as height, mean, median from b, e""",
     "merge_counts": f"select count(*) as before, count(*) filter (n <= 500) as after, count(*) filter (n > 500) as removed from (select {_COUNT.format(_CLEAN)} as n from {_TEXT})",
     "train_test_split": "select doc_id as record_no, case when row_number() over (order by md5('42-' || doc_id), doc_id) <= floor((select count(*) from documents) * 0.8) then 'train' else 'test' end as split from documents",
     "train_test_files": """select split, row_number() over (partition by split order by doc_id) - 1 as record_no, doc_id as file_index, lang from (

@@ -186,6 +186,15 @@ def token_histogram(spark, d):
     return corpus.token_histogram(_paragraphs(spark, d)).select("bin", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "records")
 
 
+@query
+def token_chart(spark, d):
+    """The histogram as a drawing, and its bars read off it again."""
+    drawn = corpus.token_chart(_paragraphs(spark, d))
+    bars = F.expr("regexp_extract_all(svg, r'<rect x=\"(\\d+)\" y=\"(\\d+)\" width=\"\\d+\" height=\"(\\d+)\"', 0)")
+    number = lambda k: F.regexp_extract("bar", rf'{k}="(\d+)"', 1).cast("bigint")
+    return drawn.select(F.explode(bars).alias("bar"), F.regexp_extract("svg", r">(Mean: \d+)<", 1).alias("mean"), F.regexp_extract("svg", r">(Median: \d+)<", 1).alias("median")).select(number(" x").alias("x"), number(" height").alias("height"), "mean", "median")
+
+
 @query
 def merge_counts(spark, d):
     """Records before and after the length filter, over three splits cut from the documents."""
