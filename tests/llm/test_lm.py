@@ -227,6 +227,37 @@ def test_several_blocks_give_the_scores_of_one(spark, most):
         assert many[i].score == pytest.approx(r.score) and many[i].base_score == pytest.approx(r.base_score) and many[i].n_known == r.n_known
 
 
+def test_one_block_at_a_time(spark, monkeypatch):
+    """A block is sent when its pass begins and freed before the next; none is left, nor the table they come from."""
+    rows = table(spark, DATA, "documents")
+    sent, held = [], []
+    real = spark.sparkContext.broadcast
+
+    class Kept:
+        def __init__(self, value):
+            self.inner, self.size = real(value), len(value.segments)
+            sent.append(self.size)
+            held.append(self)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def __reduce__(self):
+            return self.inner.__reduce__()
+
+        def destroy(self):
+            held.remove(self)
+            self.inner.destroy()
+
+    model = lm.Model(rows, "doc_id", "text", 120_000, segment_bytes=10_000)
+    assert len(model.blocks) >= 3
+    passes = []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: Kept(value) if isinstance(value, lm.Block) else real(value))
+    monkeypatch.setattr(lm, "_release", lambda block, f=lm._release: (passes.append(sum(k.size for k in held)), f(block)))
+    lm.score(rows, most=120_000, segment_bytes=10_000).count()
+    assert len(passes) == len(model.blocks) and sum(passes) == sum(sent) == sum(len(p) for b in model.blocks.plan for p in b) and not held
+
+
 def test_numbers_are_packed():
     for values in ([], [0], [1, 255], [256, 3], [2**40, 7], [2**64 - 1, 0]):
         values = np.array(values, np.uint64)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from weftline.sources.shared import shared_folder
+from weftline.sources.shared import run_folder, shared_folder
 
 #: Bytes of text that a worker scans at a time; numpy temporaries take 13 to 21 times this, of a longer text alone its bytes so many times.
 BLOCK_BYTES = 1 << 20
@@ -29,9 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """df, computed once, as a compressed table in a folder of its own in the shared one, and that folder."""
+    """df, computed once, as a compressed table in a folder of its own in the shared one, and that folder, which goes with the process."""
     spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    folder = run_folder(spark, "table")
     df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder), folder
 

@@ -7,18 +7,19 @@ the filter: an n-gram with count c is entered for every level whose least count
 asks for level after level until one is missing; the last found is the quantised count. Triples are
 entered from a count of two on, as is usual for that order.
 
-Probabilities: a pair's estimate is the least count of its level divided by its context's exact count, a
-triple's the same divided by the most that its context's level stands for. So estimates under one context
+Probabilities: the estimate of a pair, or triple, is the least count of its level divided by the most that its
+context's level stands for. So estimates under one context
 sum to one at most, but for words that the filter only seems to hold. How many these may be is known from
 how full the filter is, and that much is added to the denominator (Totals.spare). Interpolation weights
 depend on how often the context was seen, and are fitted on all training texts, each word's own
 occurrence taken out. Estimates depend on a few levels only, so workers count tuples of levels, and the
 fit needs no more than these counts, however large the corpus.
 
-The filter, with exact word counts for the baseline, streams through the driver to the workers in
-broadcast pieces of at most PIECE bytes. A block is as many pieces as BLOCK_MODEL holds; if the corpus
-needs more than one block, the texts pass once for each, and carry what earlier blocks knew of their
-n-grams. No training text is left out, and the memory of driver and workers stays bounded.
+The filter, with exact word counts for the baseline, goes to the workers in broadcast pieces of at most
+PIECE bytes. A block is as many pieces as BLOCK_MODEL holds; if the corpus needs more than one block, the
+texts pass once for each, and carry what earlier blocks knew of their n-grams. A block is read from the shared
+folder and sent when its pass begins, and freed when it ends, so that driver and workers hold one block
+at a time on disk, and the driver one piece in memory. No training text is left out.
 """
 
 from __future__ import annotations
@@ -422,7 +423,7 @@ def _by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Blocks, each a name and broadcast pieces with their outlines, and totals."""
+    """Totals, and blocks that are sent one after another."""
 
     def __init__(self, docs: DataFrame, id_column: str, text_column: str, most: int = BLOCK_MODEL, segment_bytes: int = SEGMENT_BYTES):
         spark = docs.sparkSession
@@ -450,34 +451,50 @@ class Model:
         packed = rows.mapInArrow(count, "segment int, gram int, n bigint, steps binary, counts binary")
         built, folder = written(packed.groupBy("segment").applyInArrow(_build, ", ".join(f"{c} {t}" for c, t in SEGMENT.items())))
         sweep(spark)
-        sums = {"total": 0, "floors": 0, "distinct": 0}
-        false = {c + str(g): 0.0 for g in FIRST_LEVEL for c in ("chance", "chances")}
-        self.blocks, block, size, part, held = [], [], 0, [], 0
-        segments = 0
-
-        def send(block, part):
-            piece = Block.of_rows(bits, part)
-            block.append((spark.sparkContext.broadcast(piece), piece.outline()))
-
-        # one file after another, and a piece at a time, so that the driver never holds the model
-        for path in sorted(built.inputFiles()):
-            for row in _rows(spark.read.schema(built.schema).parquet(path)):
-                n = sum(len(x) for x in row.values() if isinstance(x, bytes))
-                if part and held + n > PIECE or part and size + n > most:
-                    send(block, part)
-                    part, held = [], 0
-                if block and size + n > most:
-                    self.blocks.append((uuid.uuid4().hex, block))
-                    block, size = [], 0
-                part.append(row)
-                held, size, segments = held + n, size + n, segments + 1
-                sums = {c: v + row[c] for c, v in sums.items()}
-                false = {c: v + row[c] for c, v in false.items()}
-        send(block, part)
-        self.blocks.append((uuid.uuid4().hex, block))
-        share = {c: v / max(segments, 1) for c, v in false.items()}
-        self.totals = Totals(*sums.values(), *({g: share[c + str(g)] for g in FIRST_LEVEL} for c in ("chance", "chances")))
-        delete(spark, folder)
+        self.built, self.folder, self.bits = built, folder, bits
+        false = [c + str(g) for g in FIRST_LEVEL for c in ("chance", "chances")]
+        sizes = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, t in SEGMENT.items() if t == "binary"), F.lit(0))
+        # a row of numbers for each segment, of which there are at most 2^20
+        rows = sorted(built.select(F.input_file_name(), "segment", sizes, "total", "floors", "distinct", *false).collect())
+        share = dict(zip(false, (sum(r[6 + i] for r in rows) / max(len(rows), 1) for i in range(len(false))), strict=True))
+        self.totals = Totals(*(sum(r[i] for r in rows) for i in (3, 4, 5)), *({g: share[c + str(g)] for g in FIRST_LEVEL} for c in ("chance", "chances")))
+        self.blocks = Blocks(self, [r[:3] for r in rows], most)
+
+    def close(self) -> None:
+        delete(self.built.sparkSession, self.folder)
+
+
+class Blocks:
+    """The blocks of a model, each a name and broadcast pieces with their outlines, sent when it is asked for."""
+
+    def __init__(self, model: Model, segments: list[tuple[str, int, int]], most: int):
+        """segments: (file, number, bytes), in the order of files."""
+        self.model, self.plan, size, held = model, [[[]]], 0, 0
+        for file, number, n in segments:
+            if size and size + n > most:
+                self.plan.append([[]])
+                size = held = 0
+            elif held and held + n > PIECE:
+                self.plan[-1].append([])
+                held = 0
+            self.plan[-1][-1].append((file, number))
+            size, held = size + n, held + n
+
+    def __len__(self) -> int:
+        return len(self.plan)
+
+    def __iter__(self):
+        built, spark = self.model.built, self.model.built.sparkSession
+        for pieces in self.plan:
+            block = []
+            for part in pieces:
+                rows = []
+                if part:
+                    some = spark.read.schema(built.schema).parquet(*sorted({f for f, _ in part}))
+                    rows = _rows(some.where(F.col("segment").isin([n for _, n in part])))
+                piece = Block.of_rows(self.model.bits, list(rows))
+                block.append((spark.sparkContext.broadcast(piece), piece.outline()))
+            yield uuid.uuid4().hex, block
 
 
 def _rows(df: DataFrame):
@@ -499,18 +516,17 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     totals, n_train = model.totals, model.totals.n
     state = StructType([StructField("id", docs.schema[id_column].dataType), *StructType.fromDDL("text string, " + ", ".join(f"{c} binary" for c in STATE)).fields])
     now = docs.select(column(id_column).alias("id"), column(text_column).alias("text"), *(F.lit(None).cast("binary").alias(c) for c in STATE))
+    levels = StructType([state["id"], *StructType.fromDDL("held_out boolean, n_known bigint, base_score double, words binary, pairs binary, triples binary").fields])
     before = None
-    for block in model.blocks[:-1]:
-        now, folder = written(now.mapInArrow(_pass(block), state))
+    for k, block in enumerate(model.blocks, 1):
+        last = k == len(model.blocks)
+        now, folder = written(now.mapInArrow(_last(block, totals, levels.names), levels) if last else now.mapInArrow(_pass(block), state))
         if before:
             delete(docs.sparkSession, before)
         before = folder
         _release(block)
-    levels = StructType([state["id"], *StructType.fromDDL("held_out boolean, n_known bigint, base_score double, words binary, pairs binary, triples binary").fields])
-    probed, _ = written(now.mapInArrow(_last(model.blocks[-1], totals, levels.names), levels))
-    if before:
-        delete(docs.sparkSession, before)
-    _release(model.blocks[-1])
+    model.close()
+    probed = now
     _fit(probed, totals)
     out = StructType([docs.schema[id_column], *StructType.fromDDL("held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double").fields])
 
