@@ -101,6 +101,22 @@ def test_runs_of_a_user_with_very_many_events_keep_their_own_numbers(spark):
     assert pairs.count() == 1004 and pairs.where("g[1].text <> workflow.actions[if(g[0].text = '', 0, 1)].name").count() == 0
 
 
+def test_events_of_hot_users_are_dealt_out(spark):
+    """A user with a third of all events: the records are the same, and no task orders or groups all of the user's events."""
+    from weftline.sources import records
+
+    rows = spark.range(0, 6000, 1, 3).selectExpr("id as event_id", "case when id % 3 = 0 then 5 when id % 97 = 0 then null else id % 50 end as user_id", "timestamp_seconds(id * 7919 % 1000) as ts", "concat('t', id % 4) as event_type", "cast(id as double) as value")
+    key = lambda df: sorted(map(str, df.collect()))
+    spread = records.event_records(rows, 300)
+    assert key(spread) == key(records.event_records(rows)) and spread.where("file_index between 5000 and 5999").count() > 190
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the test's partitions are small
+        ranked = records._ranked(rows, 300).where("user_id = 5").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(ranked) > 1 and max(r["count"] for r in ranked) < 1900
+
+
 def test_averages_of_nothing(spark):
     rows = of(spark, ODD)
     measured = validate.metrics(validate.joined(G.graphs(rows.limit(0)), workflows(G.graphs(rows))))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 from array import array
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,9 @@ from weftline.functions import text as T
 from weftline.functions.columns import fixed
 from weftline.sources import export
 from weftline.sources.records import read_open
-from weftline.sources.shared import shared_folder
+from weftline.sources.numbers import numbered
+
+__all__ = ["clean", "clean_nested", "clean_open", "exact_split", "filter_max_words", "hash_split", "merge_files", "numbered", "token_chart", "token_histogram", "token_stats", "word_counts"]
 
 MAX_WORDS = 500
 BINS = 50
@@ -148,20 +149,6 @@ def merge_files(spark: SparkSession, paths: list[str], out: str, most: int = MAX
     return {"before": found["before"], "after": found["after"], "removed": found["before"] - found["after"]}
 
 
-def numbered(rows: DataFrame, order: str, name: str = "record_no") -> DataFrame:
-    """rows with dense numbers from 0 in order, which no task and no driver has to see whole.
-
-    The order is kept in the shared folder, so that it is the same when it is counted and when it is read.
-    """
-    shared_folder(rows.sparkSession)
-    ordered = rows.orderBy(order).withColumn("weft_task", F.spark_partition_id()).withColumn("weft_at", F.monotonically_increasing_id() - F.col("weft_task").cast("bigint") * (1 << 33)).checkpoint()
-    sizes = sorted((r[0], r[1]) for r in ordered.groupBy("weft_task").count().collect())
-    begins = dict(zip([t for t, _ in sizes], accumulate([n for _, n in sizes], initial=0), strict=False))
-    # a row for each task
-    offsets = rows.sparkSession.createDataFrame(list(begins.items()), "weft_task int, weft_begin bigint")
-    return ordered.join(F.broadcast(offsets), "weft_task").withColumn(name, F.col("weft_begin") + F.col("weft_at")).drop("weft_task", "weft_at", "weft_begin")
-
-
 def exact_split(records: DataFrame, share: float = TRAIN_SHARE, seed: int = SEED) -> DataFrame:
     """records with position and split after Python's seeded shuffle of their numbers.
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.sources.arrays import read_array
+from weftline.sources.numbers import numbered
+from weftline.sources.shared import shared_folder
 
 NODE = "struct<resourceId: string, NodeText: string, type: string, agent: string>"
 FLOW = "struct<src: string, tgt: string, condition: string>"
@@ -107,18 +109,43 @@ NUMBER = f"""case when user_id is null then null
           else cast(raise_error(concat('no record number for user ', user_id, ', run ', run)) as bigint) end"""
 
 
-def event_records(events: DataFrame) -> DataFrame:
+#: Events of a user that one task may put in order; those of users with more are dealt out by ranges.
+HOT_EVENTS = 1 << 22
+#: Bytes that an event takes in a file at the least.
+EVENT_BYTES = 4
+
+
+def _ranked(events: DataFrame, most: int) -> DataFrame:
+    """(user_id, event_type, value, rn): events with their number among their user's, by time."""
+    own = events.select("user_id", "ts", "event_id", "event_type", "value")
+    in_tasks = "row_number() over (partition by user_id order by ts, event_id) - 1"
+    rank = lambda rows: rows.select("user_id", "event_type", "value", F.expr(in_tasks).cast("bigint").alias("rn"))
+    size = int(own._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < most * EVENT_BYTES:
+        return rank(own)
+    users = own.groupBy("user_id").count().where(F.col("count") > most).select(F.col("user_id").alias("hot"))
+    users = users.checkpoint() if shared_folder(events.sparkSession) else users
+    if users.isEmpty():
+        return rank(own)
+    # hot users are few: each holds more than `most` events
+    same = F.col("user_id").eqNullSafe(F.col("hot"))
+    rest, hot = own.join(F.broadcast(users), same, "left_anti"), numbered(own.join(F.broadcast(users), same, "left_semi"), "user_id", "ts", "event_id", name="at")
+    first = F.broadcast(hot.groupBy(F.col("user_id").alias("hot")).agg(F.min("at").alias("first")))
+    return rank(rest).unionByName(hot.join(first, same).select("user_id", "event_type", "value", (F.col("at") - F.col("first")).alias("rn")))
+
+
+def event_records(events: DataFrame, hot_events: int = HOT_EVENTS) -> DataFrame:
     """Records of complete runs of ten events of a user, over a fixed ten-node template.
 
-    One shuffle, by user: the runs are grouped in the partitions that the window made. Numbers are
+    One shuffle, by user: the runs are grouped in the partitions that the window made. Events of users with more than
+    hot_events are put in order by ranges and grouped by run, so that no task has all of a user's. Numbers are
     unique, however many runs a user has; a user or run beyond NUMBER's ranges is an error.
     """
     edges = ", ".join(f"named_struct('a', {a}, 'b', {b}, 'cond', '{c}')" for a, b, c in TEMPLATE)
     return events.sparkSession.sql(f"""
-        with ranked as (select user_id, event_type, value, row_number() over (partition by user_id order by ts, event_id) - 1 as rn from {{events}}),
-        runs as (
+        with runs as (
           select user_id, cast(floor(rn / 10) as bigint) as run, array_sort(collect_list(named_struct('pos', cast(rn % 10 as int), 'kind', event_type, 'value', value))) as steps
-          from ranked group by user_id, cast(floor(rn / 10) as bigint) having count(*) = 10),
+          from {{ranked}} group by user_id, cast(floor(rn / 10) as bigint) having count(*) = 10),
         keyed as (select {NUMBER} as file_index, steps, steps[2].kind as split from runs)
         select file_index as record_no, file_index, array_join(transform(steps, s -> s.kind), ' ') as paragraph,
           transform(steps, s -> named_struct(
@@ -129,7 +156,7 @@ def event_records(events: DataFrame) -> DataFrame:
             'agent', case when s.value > 10 then concat('Team ', s.kind) else '' end)) as step_nodes,
           transform(filter(array({edges}), t -> not (t.a = 7 and t.b = 1) or file_index % 7 = 0), t -> named_struct(
             'src', concat('sid-', file_index, '-', t.a), 'tgt', concat('sid-', file_index, '-', t.b), 'condition', t.cond)) as SequenceFlow
-        from keyed""", events=events)
+        from keyed""", ranked=_ranked(events, hot_events))
 
 
 #: Texts of the branches of wide records, over and over: their ids collide with each other's suffixes.
