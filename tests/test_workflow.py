@@ -170,6 +170,21 @@ def test_report_scans_events_once(spark):
     assert "events.parquet" not in plan and plan.count("Scan parquet") <= 2 and "Window" not in plan
 
 
+def test_large_records_are_measured_in_linear_time(spark):
+    """8,000 steps and as many gateways: sets of pairs and triples are found by hash."""
+    import time
+
+    n = 8000
+    nodes = [("s", "", "StartNode", "")] + [(f"n{i}", f"Step {i}", "Activity", "a") for i in range(n)] + [(f"g{i}", "", "XOR", "") for i in range(n)]
+    edges = [("s", "n0", "")] + [(f"n{i}", f"g{i}", "") for i in range(n)] + [(f"g{i}", f"n{i + 1}", "c") for i in range(n - 1)]
+    g = G.graphs(spark.createDataFrame([(0, 0, "", nodes, edges)], "record_no long, file_index long, paragraph string, step_nodes array<struct<resourceId: string, NodeText: string, type: string, agent: string>>, SequenceFlow array<struct<src: string, tgt: string, condition: string>>"))
+    measured = validate.metrics(validate.joined(g, workflows(g)))
+    measured.limit(0).count()
+    began = time.time()
+    m = measured.first().m
+    assert time.time() - began < 40 and m.branch_tuples.f1 == m.action_successors.f1 == 1.0 and m.branch_tuples.gt_count == n - 1
+
+
 def test_last_of_a_number_is_kept_before_the_shuffle(spark):
     """Of records that share a number the last counts, and each task sends one of them."""
     rows = spark.range(0, 4000, 1, 4).selectExpr("id as record_no", "if(id % 3 = 0, 7, id) as file_index", "cast(id as string) as paragraph").selectExpr("*", "array(named_struct('resourceId', 's', 'NodeText', paragraph, 'type', 'Activity', 'agent', '')) as step_nodes", "cast(array() as array<struct<src: string, tgt: string, condition: string>>) as SequenceFlow")

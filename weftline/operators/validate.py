@@ -50,8 +50,14 @@ def unmatched(graphs: DataFrame, workflows: DataFrame) -> DataFrame:
     return workflows.select("file_index").join(graphs.select("file_index"), "file_index", "left_anti")
 
 
-def _set(x: str, keep: str = "true") -> str:
-    return f"array_distinct(filter({x}, p -> {keep}))"
+def _set(x: str, keep: str | None = None) -> str:
+    """Distinct pairs or triples, as JSON text: sets of texts are found by hash, sets of structs by comparing all with all."""
+    return f"array_distinct(transform({f'filter({x}, p -> {keep})' if keep else x}, p -> to_json(p)))"
+
+
+def _members(x: str, kind: str) -> str:
+    """The structs of a set of _set()."""
+    return f"transform({x}, s -> from_json(s, '{', '.join(f'{f} string' for f in _fields(kind))}'))"
 
 
 def _pairs(a: str, b: str) -> str:
@@ -71,16 +77,16 @@ def metrics(pairs: DataFrame) -> DataFrame:
     acts, gates = "workflow.actions", "workflow.gateways"
     sets = {
         "actions": (f"array_distinct(transform(filter(g, n -> n.action_id is not null), n -> {normal('n.text')}))", f"array_distinct(transform({acts}, a -> {normal('a.name')}))"),
-        "action_successors": (_set(f"transform(filter(e, x -> x.s.action_id is not null), x -> {_pairs('x.s.action_id', 'x.t.schema_id')})", some("p.b")), f"array_distinct({nested(acts, 'o.successors', _pairs('o.id', 'i'))})"),
-        "action_predecessors": (_set(f"transform(filter(e, x -> x.t.action_id is not null), x -> {_pairs('x.s.schema_id', 'x.t.action_id')})", some("p.a")), f"array_distinct({nested(acts, 'o.predecessors', _pairs('i', 'o.id'))})"),
+        "action_successors": (_set(f"transform(filter(e, x -> x.s.action_id is not null), x -> {_pairs('x.s.action_id', 'x.t.schema_id')})", some("p.b")), _set(nested(acts, "o.successors", _pairs("o.id", "i")))),
+        "action_predecessors": (_set(f"transform(filter(e, x -> x.t.action_id is not null), x -> {_pairs('x.s.schema_id', 'x.t.action_id')})", some("p.a")), _set(nested(acts, "o.predecessors", _pairs("i", "o.id")))),
         "gateway_branches_next": (
-            f"array_distinct(transform(filter(e, x -> x.s.gateway_id is not null and x.t.idx is not null and ({some('x.t.schema_id')} or x.t.type = 'EndNode')), x -> {_pairs('x.s.gateway_id', _nonempty('x.t.schema_id'))}))",
-            f"array_distinct({nested(gates, 'o.branches', _pairs('o.id', 'i.next'))})",
+            _set(f"transform(filter(e, x -> x.s.gateway_id is not null and x.t.idx is not null and ({some('x.t.schema_id')} or x.t.type = 'EndNode')), x -> {_pairs('x.s.gateway_id', _nonempty('x.t.schema_id'))})"),
+            _set(nested(gates, "o.branches", _pairs("o.id", "i.next"))),
         ),
-        "gateway_incoming": (_set(f"transform(filter(e, x -> x.t.gateway_id is not null), x -> {_pairs('x.s.schema_id', 'x.t.gateway_id')})", some("p.a")), f"array_distinct({nested(gates, 'o.incoming_from', _pairs('i', 'o.id'))})"),
+        "gateway_incoming": (_set(f"transform(filter(e, x -> x.t.gateway_id is not null), x -> {_pairs('x.s.schema_id', 'x.t.gateway_id')})", some("p.a")), _set(nested(gates, "o.incoming_from", _pairs("i", "o.id")))),
         "branch_tuples": (
-            f"array_distinct(transform(filter(e, x -> x.s.gateway_id is not null and x.t.idx is not null), x -> {triple('x.s.gateway_id', 'if(x.t.type = {0}, null, x.t.schema_id)'.format(repr('EndNode')), T.or_null('x.condition'))}))",
-            f"array_distinct({nested(gates, 'o.branches', triple('o.id', 'i.next', 'i.condition'))})",
+            _set(f"transform(filter(e, x -> x.s.gateway_id is not null and x.t.idx is not null), x -> {triple('x.s.gateway_id', 'if(x.t.type = {0}, null, x.t.schema_id)'.format(repr('EndNode')), T.or_null('x.condition'))})"),
+            _set(nested(gates, "o.branches", triple("o.id", "i.next", "i.condition"))),
         ),
     }
     rows = fixed(pairs, **{f"t_{k}": t for k, (t, _) in sets.items()}, **{f"x_{k}": x for k, (_, x) in sets.items()})
@@ -97,7 +103,7 @@ def metrics(pairs: DataFrame) -> DataFrame:
     for k in sets:
         parts.append(
             f"'{k}', named_struct('precision', p_{k}, 'recall', r_{k}, 'f1', {T.f1(f'p_{k}', f'r_{k}')}, 'gt_count', cast(size(t_{k}) as bigint), 'ext_count', cast(size(x_{k}) as bigint), "
-            f"'missing', {_shown(f'array_except(t_{k}, x_{k})', k)}, 'extra', {'slice(x_action_successors, 1, 0)' if k == 'action_successors' else _shown(f'array_except(x_{k}, t_{k})', k)})"
+            f"'missing', {_shown(f'array_except(t_{k}, x_{k})', k)}, 'extra', {_shown('slice(x_action_successors, 1, 0)' if k == 'action_successors' else f'array_except(x_{k}, t_{k})', k)})"
         )
     parts.append(
         f"'gateways', named_struct('count_match', size(gt) = size({gates}), 'gt_count', cast(size(gt) as bigint), 'ext_count', cast(size({gates}) as bigint), "
@@ -116,6 +122,7 @@ def literal(x: str) -> str:
 def _shown(x: str, kind: str) -> str:
     if kind == "actions":
         return f"array_sort({x})"
+    x = _members(x, kind)
     if kind in ("gateway_branches_next", "branch_tuples"):
         fields = ("a", "b", "c") if kind == "branch_tuples" else ("a", "b")
         key = lambda p: "concat('(', " + ", ', ', ".join(literal(f"{p}.{f}") for f in fields) + ", ')')"
