@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import sentencepiece
 from weftline.llm.bpe import ByteLevel, Pieces, gathered
-from weftline.llm.common import blocks, column, input_bytes, plain, shared_folder, table, written
+from weftline.llm.common import blocks, column, input_bytes, plain, run_folder, table, written
 from weftline.llm.packing import packed_numbers, unpacked_numbers
 from weftline.llm.tokens import tokenizer_path
 
@@ -282,7 +282,7 @@ def _bucketed(rows: DataFrame, key: str, size: int) -> DataFrame:
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, math.ceil(size / BUCKET_BYTES) if size < 1 << 60 else 0)
     name = f"weft_{uuid.uuid4().hex}"
-    rows.write.option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").bucketBy(min(buckets, 100_000), key).saveAsTable(name)
+    rows.write.option("path", run_folder(spark, "table")).option("compression", "zstd").bucketBy(min(buckets, 100_000), key).saveAsTable(name)
     found = spark.table(name)
     found.schema  # noqa: B018 - resolved now; files stay when the catalog forgets the table's name
     spark.sql(f"drop table {name}")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from weftline.llm.bpe import ByteLevel
-from weftline.llm.common import blocks, column, input_bytes, plain, shared_folder, table
+from weftline.llm.common import blocks, column, input_bytes, plain, run_folder, table
 from weftline.sources import files
 
 MAGIC = b"WEFTWM01"
@@ -413,6 +413,6 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = run_folder(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), folder)
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
