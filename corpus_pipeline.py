@@ -7,17 +7,15 @@ reads them from sf_dir. Documents in and models out: classifiers are fitted on a
 the documents that reach their stage. Null texts, ids and metadata, empty tables, repeated rows and ids and
 further columns are treated as the operators' docstrings say: no row is lost but to a stage's verdict, and
 the near-copy stage keeps one row of each group, told by id and text. A stage's table is deleted
-when the next one is written.
+when the next one is written, the last one with the process.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import decontaminate, quality, sentencepiece, simhash, toxicity
-from weftline.llm.common import delete, shared_folder, table
+from weftline.llm.common import delete, run_folder, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = run_folder(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
