@@ -272,3 +272,12 @@ def _links(classes: DataFrame, dimension: int, cosine: float, recall: float, sam
 def op4_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_vectors(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
+#: All pairs are compared, which suits a table of some thousand vectors.
+ORACLE = f"""with recursive given as (select row_number() over () as r, vec_id, cast(embedding as double[]) as v from embeddings),
+ fit as (select r, vec_id, v from given where len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+ links as (select a.r as a, b.r as b, b.vec_id from fit a join fit b on a.r <> b.r and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= {COSINE}),
+ reach as (select r as a, r as b from fit union select reach.a, links.b from reach join links on links.a = reach.b),
+ least as (select reach.a as r, min(fit.vec_id) as component_id from reach join fit on fit.r = reach.b group by reach.a)
+ select vec_id, (select count(*) from links where links.a = given.r) as n_links, coalesce(component_id, vec_id) as component_id, vec_id = coalesce(component_id, vec_id) as kept from given left join least on least.r = given.r"""

@@ -18,6 +18,8 @@ QUERIES: dict = {
     "op13_alignment": align.op13_alignment,
 }
 ORACLES: dict = {
+    "op4_caps": caps.ORACLE,
     "op6_urls": urls.ORACLE,
     "op9_chat": chat.ORACLE,
+    "op11_search": search.ORACLE,
 }

@@ -297,3 +297,15 @@ def _search(segments: DataFrame, run: list, documents: int, terms: int, k: int)
 def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments, _ = written(index(table(spark, sf_dir, "documents")))
     return search(segments, table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE = f"""with held as (select row_number() over () as r, doc_id, {_TERMS} as ts from documents),
+ sizes as (select r, doc_id, len(ts) as n from held where len(ts) > 0),
+ total as (select count(*) as docs, cast(sum(n) as bigint) as terms from sizes),
+ asked as (select i, item_id, t, count(*) as times from (select row_number() over () as i, item_id, unnest({_TERMS}) as t from benchmark) group by all),
+ found as (select r, t, count(*) as tf from (select r, unnest(ts) as t from held) where t in (select t from asked) group by all),
+ weights as (select t, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from found, total group by t, docs),
+ scores as (select i, item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) as bigint) as score
+  from asked join found using (t) join weights using (t) join sizes using (r), total group by i, item_id, r, doc_id)
+ select item_id, rank, doc_id, score from (select *, cast(row_number() over (partition by i order by score desc, doc_id nulls first) as integer) as rank from scores where score > 0) where rank <= 10"""
