@@ -46,6 +46,14 @@ def test_extraction_needs_one_shuffle(spark):
     assert plan.count("Exchange") <= 1
 
 
+@pytest.mark.parametrize("name", ["nodes", "edges", "adjacency", "actions", "gateway_branches", "workflow_json", "validation_diagnostics"])
+def test_graphs_are_built_once(spark, name):
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    builds = sum("make(" in line and "ArrowEvalPython" in line for line in plan.splitlines())
+    # with states, or with extracted workflows beside raw records, there are two different functions or two sides
+    assert builds <= (2 if name in ("workflow_json", "validation_diagnostics") else 1)
+
+
 def test_entry():
     import __spark_entry__
 

@@ -156,17 +156,23 @@ def leaving(n: str) -> str:
     return f"transform({n}.outs, i -> e[i])"
 
 
+# An inner generator would have its array filtered beforehand, where the optimizer computes the graph a second time;
+# so outer ones are used, and the rows that they add for empty arrays are left out afterwards.
+
+
 def nodes(graphs: DataFrame) -> DataFrame:
-    return graphs.select("record_no", "file_index", F.inline("g"))
+    return graphs.select("record_no", "file_index", F.inline_outer("g")).where("idx is not null")
 
 
 def edges(graphs: DataFrame) -> DataFrame:
-    return graphs.select("record_no", "file_index", F.explode("e").alias("e")).select("record_no", "file_index", "e.idx", "e.src", "e.tgt", "e.condition", F.col("e.s.rid").isNotNull().alias("has_src"), F.col("e.t.rid").isNotNull().alias("has_tgt"))
+    found = graphs.select("record_no", "file_index", F.explode_outer("e").alias("e")).where("e.idx is not null")
+    return found.select("record_no", "file_index", "e.idx", "e.src", "e.tgt", "e.condition", F.col("e.s.rid").isNotNull().alias("has_src"), F.col("e.t.rid").isNotNull().alias("has_tgt"))
 
 
 def adjacency(graphs: DataFrame) -> DataFrame:
     """(record_no, rid, outgoing, incoming): neighbours of each node in edge order, absent ones too."""
-    return graphs.select("record_no", "file_index", "e", F.explode("g").alias("n")).select("record_no", "file_index", "n.rid", F.expr(f"transform({leaving('n')}, x -> x.tgt)").alias("outgoing"), F.expr(f"transform({entering('n')}, x -> x.src)").alias("incoming"))
+    found = graphs.select("record_no", "file_index", "e", F.explode_outer("g").alias("n")).where("n.idx is not null")
+    return found.select("record_no", "file_index", "n.rid", F.expr(f"transform({leaving('n')}, x -> x.tgt)").alias("outgoing"), F.expr(f"transform({entering('n')}, x -> x.src)").alias("incoming"))
 
 
 def dangling_edges(graphs: DataFrame) -> DataFrame:
