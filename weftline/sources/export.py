@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.sources.arrays import write_array
+from weftline.sources.batches import in_pieces
 
 __all__ = ["document", "open_json", "row_json", "workflow_json", "write_array", "write_split"]
 
@@ -47,7 +48,7 @@ def row_json(rows: DataFrame, order: str = "record_no", ascii_only: bool = False
     columns = [c for c in rows.columns if c != order]
 
     def run(batches):
-        for batch in batches:
+        for batch in in_pieces(batches):
             texts = [json.dumps(_plain(x), ensure_ascii=ascii_only, indent=indent) for x in batch.select(columns).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(order), pa.array(texts, pa.string())], [order, "json"])
 
@@ -62,7 +63,7 @@ def open_json(records: DataFrame, ascii_only: bool = False, indent: int | None =
         return rows
 
     def run(batches):
-        for batch in batches:
+        for batch in in_pieces(batches):
             laid_out = [json.dumps(json.loads(x), ensure_ascii=ascii_only, indent=indent) for x in batch.column("json").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("record_no"), pa.array(laid_out, pa.string())], ["record_no", "json"])
 
@@ -80,8 +81,9 @@ def workflow_json(workflows: DataFrame, ascii_only: bool = False, indent: int |
     kind = workflows.schema["record_no"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
-            texts = [json.dumps(document(*row), ensure_ascii=ascii_only, indent=indent) for row in zip(b["file_index"], b["procedure_text"], b["workflow"], strict=True)]
-            yield pd.DataFrame({"record_no": b["record_no"], "json": texts})
+        for b in in_pieces(batches):
+            rows = zip(*(b.column(c).to_pylist() for c in ("file_index", "procedure_text", "workflow")), strict=True)
+            texts = [json.dumps(document(*row), ensure_ascii=ascii_only, indent=indent) for row in rows]
+            yield pa.RecordBatch.from_arrays([b.column("record_no"), pa.array(texts, pa.string())], ["record_no", "json"])
 
-    return workflows.select("record_no", "file_index", "procedure_text", "workflow").mapInPandas(run, f"record_no {kind}, json string")
+    return workflows.select("record_no", "file_index", "procedure_text", "workflow").mapInArrow(run, f"record_no {kind}, json string")
