@@ -1,9 +1,13 @@
 """Python takes batches in pieces, however many rows they have."""
 
+import json
+import pickle
+import tracemalloc
+
 import pyarrow as pa
 
 from weftline.operators import graph, workflow
-from weftline.sources import batches, export, records
+from weftline.sources import arrays, batches, export, files, records
 
 
 def test_pieces_are_small_and_whole():
@@ -36,3 +40,45 @@ def test_graphs_of_a_batch_are_built_in_pieces(monkeypatch):
     assert sum(sizes) == 500 and len(sizes) > 10
     assert got.to_pylist() == build(nodes, flows, True).to_pylist()
     assert graph.make_graphs(nodes.slice(0, 0), flows.slice(0, 0), True).to_pylist() == []
+
+
+def test_tasks_get_their_own_range_alone(tmp_path):
+    """The plan of all ranges went to every task, so that time grew by the square of the file."""
+    reader = arrays.ArrayReader("x", [(i, i + 1, 0, 1, i) for i in range(10_000)])
+    assert len(pickle.dumps(reader)) < 1000 and len(reader.partitions()) == 10_000
+
+
+def test_ranges_read_little_more_than_themselves(tmp_path, monkeypatch):
+    path = str(tmp_path / "a.json")
+    files.write(path, json.dumps([{"i": i, "t": "x" * 50} for i in range(100_000)]).encode())
+    read = []
+    monkeypatch.setattr(arrays, "Marks", lambda data, slashes, made=arrays.Marks: read.append(len(data)) or made(data, slashes))
+    size, step = files.size(path), 1 << 18
+    bounds = [(b, min(b + step, size)) for b in range(0, size, step)]
+    plan = arrays.compose([arrays.scan_range(path, *b) for b in bounds])
+    read.clear()
+    found = [x for b, (inside, depth, _) in zip(bounds, plan, strict=True) for x in arrays.elements(path, *b, inside, depth)]
+    assert len(found) == 100_000 and sum(read) < 1.5 * size
+
+
+def test_ranges_are_no_more_than_a_limit(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "a.json")
+    files.write(path, json.dumps(list(range(1000))).encode())
+    monkeypatch.setattr(arrays, "RANGES", 8)
+    rows = arrays.read_array(spark, path, 10)
+    assert rows.rdd.getNumPartitions() <= 8
+    assert [(r.record_no, r.json) for r in rows.orderBy("record_no").collect()] == [(i, str(i)) for i in range(1000)]
+
+
+def test_parts_are_written_in_pieces(spark, tmp_path, monkeypatch):
+    """All texts of a batch were laid out at once, several times over."""
+    from pyspark import TaskContext
+
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda c: type("T", (), {"partitionId": lambda self: 0})()))
+    batch = pa.RecordBatch.from_pydict({"json": ['"' + "y" * 10_000 + '"'] * 2000})
+    tracemalloc.start()
+    part = arrays.ArrayWriter(str(tmp_path / "p"), None).write(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert part.rows == 2000 and peak < 24 << 20
+    assert "[" + (tmp_path / "p" / part.name).read_text() + "]" == "[" + ", ".join(batch.column("json").to_pylist()) + "]"
