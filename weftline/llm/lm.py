@@ -207,6 +207,7 @@ ARROW = {"int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "bigi
 
 def _build(group: pa.Table) -> pa.Table:
     """A segment: the exact counts of its words, and a filter of its pairs and one of its triples."""
+    _free()
     kind = group.column("gram").to_pylist()
     rows = list(zip(*(group.column(c).to_pylist() for c in ("n", "steps", "counts")), strict=True))
     words, n = _sum([r for r, k in zip(rows, kind, strict=True) if k == 1])
@@ -323,6 +324,11 @@ def probe(block: Block, words: np.ndarray, pairs: np.ndarray, triples: np.ndarra
 _held: dict[str, Block] = {}
 
 
+def _free() -> None:
+    """A worker outlives its tasks; what it holds of a pass goes when it does something else."""
+    _held.clear()
+
+
 def _load(name: str, pieces: list) -> Block:
     if name not in _held:
         _held.clear()
@@ -433,6 +439,7 @@ class Model:
         bits = min(20, (size // segment_bytes).bit_length()) if size < 1 << 60 else UNKNOWN_BITS
 
         def count(batches):
+            _free()
             grams, n = {1: [], 2: [], 3: []}, 0
             for batch in blocks(batches):
                 batch = batch.filter(pa.array(fold(batch.column("doc_id").to_pylist()) != HELD_OUT))
@@ -531,6 +538,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     out = StructType([docs.schema[id_column], *StructType.fromDDL("held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double").fields])
 
     def finish(batches):
+        _free()
         for batch in blocks(batches, "words", BLOCK_LEVELS):
             first, *found = _levels(batch)
             ids, held, known, base = (batch.column(i) for i in range(4))
@@ -601,6 +609,7 @@ def _fit(probed: DataFrame, totals: Totals) -> None:
     """Fits the weights on all training texts: at most one row for each tuple of classes reaches the driver."""
 
     def count(batches):
+        _free()
         tuples, times = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in blocks(batches, "words", BLOCK_LEVELS):
             key = np.zeros(1, np.int64)
