@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import graph as G
-from weftline.operators import paths
+from weftline.operators import paths, validate, workflow
 from weftline.sources import records
 
 DIAMOND = [("s", "x", ""), ("x", "1", ""), ("x", "2", ""), ("1", "j", ""), ("2", "j", ""), ("j", "e", "")]
@@ -70,3 +70,10 @@ def test_small_tables_are_dealt_to_tasks(spark, tmp_path):
     made = records.wide_records(spark.read.parquet(str(tmp_path / "part")))
     counts = [r["n"] for r in made.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(counts) >= 4 and max(counts) < 2 * min(counts) and sum(counts) == 50_000
+
+
+def test_validation_shuffles_records_not_graphs(rows):
+    plan = validate.joined(rows, workflow.workflows(rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" in plan and all("step_nodes" in line and ", g," not in line for line in plan.splitlines() if "max_by" in line)
+    got = validate.joined(rows, workflow.workflows(rows))
+    assert got.columns == ["file_index", "workflow", "record_no", "g", "e"] and got.count() == 18

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as T
 from weftline.functions.columns import fixed
 from weftline.operators.graph import GATEWAYS, gateway_type, graphs, role
+from weftline.operators.graph import graphs as built
 from weftline.sources.records import read_records, read_workflows
 from weftline.sources.shared import kept
 
@@ -35,8 +36,13 @@ def joined(graphs: DataFrame, workflows: DataFrame) -> DataFrame:
     """Workflows with their graph; of graphs with one file_index the last counts. Workflows without a graph are left out.
 
     Tasks keep the last of each number before anything is shuffled, so that a number that very many records share is
-    one row from each.
+    one row from each. Where graphs have the record that they are built of, this is shuffled, as it takes a fraction of the
+    graph's bytes, and the graph is built after the join.
     """
+    if {"step_nodes", "SequenceFlow"} <= set(graphs.columns):
+        last = graphs.groupBy("file_index").agg(F.max_by(F.struct("record_no", "step_nodes", "SequenceFlow"), "record_no").alias("last"))
+        both = workflows.select("file_index", "workflow").join(last.select("file_index", "last.*"), "file_index")
+        return built(both).drop("step_nodes", "SequenceFlow").select("file_index", "workflow", "record_no", "g", "e")
     last = graphs.groupBy("file_index").agg(F.max_by(F.struct("record_no", "g", "e"), "record_no").alias("last"))
     return workflows.select("file_index", "workflow").join(last.select("file_index", "last.*"), "file_index")
 
