@@ -5,6 +5,7 @@ import pickle
 import tracemalloc
 
 import pyarrow as pa
+from pyspark.util import PythonEvalType
 
 from weftline.operators import graph, workflow
 from weftline.sources import arrays, batches, export, files, records
@@ -82,3 +83,36 @@ def test_parts_are_written_in_pieces(spark, tmp_path, monkeypatch):
     tracemalloc.stop()
     assert part.rows == 2000 and peak < 24 << 20
     assert "[" + (tmp_path / "p" / part.name).read_text() + "]" == "[" + ", ".join(batch.column("json").to_pylist()) + "]"
+
+
+def _peak(made):
+    """Rows of what a generator hands on, and the most bytes that Arrow held meanwhile."""
+    rows, before, most = 0, pa.total_allocated_bytes(), 0
+    for array in made:
+        rows += len(array)
+        most = max(most, pa.total_allocated_bytes() - before)
+        del array
+    return rows, most
+
+
+def _batch(n):
+    kinds = [pa.list_(pa.struct([(f, pa.string()) for f in fs])) for fs in (("resourceId", "NodeText", "type", "agent"), ("src", "tgt", "condition"))]
+    kind = ["StartNode", *["Activity"] * 8, "EndNode"]
+    nodes = [[{"resourceId": f"sid-{i}-{k}", "NodeText": f"step {k}", "type": kind[k], "agent": "Team"} for k in range(10)] for i in range(n)]
+    flows = [[{"src": f"sid-{i}-{k}", "tgt": f"sid-{i}-{k + 1}", "condition": ""} for k in range(9)] for i in range(n)]
+    return pa.array(nodes, kinds[0]), pa.array(flows, kinds[1])
+
+
+def _frame(spark):
+    return spark.createDataFrame([(i, i, f"p{i}", [("s", "Go", "StartNode", "x")], []) for i in range(50)], records.RECORD)
+
+
+def test_graphs_are_handed_on_in_pieces(spark):
+    """Those of a whole batch were put together before the first was handed on."""
+    batch = _batch(10_000)
+    whole = sum(a.nbytes for a in graph.graph_pieces([batch], True))
+    rows, most = _peak(graph.graph_pieces([batch], True))
+    assert rows == 10_000 and most < whole / 4
+    made = graph.graphs(_frame(spark))
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}\n" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.record_no, r.g[0].rid) for r in made.collect()) == [(i, "s") for i in range(50)]
