@@ -7,7 +7,7 @@ import tracemalloc
 import pyarrow as pa
 from pyspark.util import PythonEvalType
 
-from weftline.operators import graph, workflow
+from weftline.operators import graph, paths, workflow
 from weftline.sources import arrays, batches, export, files, records
 
 
@@ -116,3 +116,16 @@ def test_graphs_are_handed_on_in_pieces(spark):
     made = graph.graphs(_frame(spark))
     assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}\n" in made._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.record_no, r.g[0].rid) for r in made.collect()) == [(i, "s") for i in range(50)]
+
+
+def test_states_are_handed_on_in_pieces(spark):
+    nodes, flows = (a.to_pylist() for a in _batch(10_000))
+    n = pa.array([[{"rid": x["resourceId"], "type": x["type"], "action_id": x["NodeText"]} for x in r] for r in nodes])
+    x = pa.array([[{"src": e["src"], "tgt": e["tgt"]} for e in r] for r in flows])
+    batch = (pa.array(range(10_000), pa.int64()), n, x)
+    whole = sum(a.nbytes for a in paths.state_pieces([batch], 60, "raise"))
+    rows, most = _peak(paths.state_pieces([batch], 60, "raise"))
+    assert rows == 10_000 and most < whole / 4
+    made = paths.with_states(graph.graphs(_frame(spark)))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count(f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}\n") == 2
+    assert sorted((r.record_no, len(r.states)) for r in made.collect()) == [(i, 2) for i in range(50)]
