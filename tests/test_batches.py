@@ -5,8 +5,10 @@ import pickle
 import tracemalloc
 
 import pyarrow as pa
+import pytest
 from pyspark.util import PythonEvalType
 
+import __spark_entry__
 from weftline.operators import graph, paths, workflow
 from weftline.sources import arrays, batches, export, files, records
 
@@ -129,3 +131,17 @@ def test_states_are_handed_on_in_pieces(spark):
     made = paths.with_states(graph.graphs(_frame(spark)))
     assert made._jdf.queryExecution().optimizedPlan().toString().count(f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}\n") == 2
     assert sorted((r.record_no, len(r.states)) for r in made.collect()) == [(i, 2) for i in range(50)]
+
+
+@pytest.mark.parametrize("name", ["action_prf", "edge_prf", "gateway_edge_prf", "branch_tuple_prf"])
+def test_measures_have_one_worker_for_each_task(spark, name):
+    """Graphs are all that Python makes, once on each side of the join and by pieces, so a task has one worker, which holds a batch."""
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    steps = [x for x in plan.toString().splitlines() if "Python" in x or "InArrow" in x or "InPandas" in x]
+    assert len(steps) == 2 and all("ArrowEvalPython [make(" in x and x.endswith(f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}") for x in steps)
+
+
+def test_more_batches_take_no_more_memory():
+    batch = _batch(5_000)
+    once, often = (_peak(graph.graph_pieces((batch for _ in range(n)), True)) for n in (1, 6))
+    assert often[0] == 6 * once[0] and often[1] < 1.2 * once[1]
